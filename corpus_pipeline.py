@@ -1,28 +1,86 @@
-"""Training-corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing."""
+"""Training-corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
+``documents``.  Each result is written as Parquet and read again as the next stage's input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import quality
-from strataflow.llm.common import load, release_scratch, written
+from strataflow.llm import line_dedup, minhash, mixing, packing, quality
+from strataflow.llm.common import SPACE_CHARS, load, release_scratch, scratch_path
+from strataflow.llm.token_counts import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    raise NotImplementedError
+    verdicts = quality.quality_verdicts(docs.select("doc_id", "text", "lang"))
+    good = verdicts.where("kept").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated line runs; what is left without a word is a copy and goes."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    bare = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_CHARS))
+    out = out.where((F.col("n_deleted") == 0) | (bare != ""))
+    changed = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", changed).select(*COLUMNS)
+
+
+def by_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least id."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text that holds its first n words."""
+    spaces = F.regexp_extract_all(text, F.lit(r"[\x09-\x0D\x20]*[^\x09-\x0D\x20]+"), F.lit(0))
+    return F.array_join(F.slice(spaces, F.lit(1), n.cast("int")), "")
+
+
+def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them: whole, or for the last one of a source its first words."""
+    mix = mixing.mixture(docs.select("doc_id", "text", "source")).select("doc_id", "size", "taken", "position")
+    out = docs.join(mix.dropDuplicates(["doc_id"]), "doc_id").where("taken > 0")
+    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))
+    out = out.withColumn("words", F.explode(copies))
+    part = F.col("words") < F.col("size")
+    text = F.when(part, _first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
+    return out.withColumn("cut", text).select("doc_id", F.col("cut").alias("text"), "lang", "source", F.when(part, F.length("cut").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 1024 tokens."""
+    return packing.pack(docs, tokenizer_path(TOKENIZER))
+
+
+def _alone(stage):
+    """Scratch tables of earlier stages go when the next one starts, because their results have been written."""
+
+    def start(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_scratch(spark)
+        return stage(spark, docs, sf_dir)
+
+    return start
 
 
-STAGES: list = []
+STAGES = [(f.__name__, _alone(f)) for f in (by_quality, by_lines, by_near_copies, by_mixture, by_packing)]
+#: Tokens, line runs and near-copy groups are more than SQL can express; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again by the next."""
+    """All stages over ``documents``."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}").replace("/strataflow-", "/stages-strataflow-")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
