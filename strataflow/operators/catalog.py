@@ -42,7 +42,7 @@ def resolve_prefix(runs: DataFrame, prefix: str, run_id: str = "run_id") -> str:
 def prefix_matches(runs: DataFrame, prefixes: DataFrame, run_id: str = "run_id") -> DataFrame:
     """(prefix, n_matches, status) for prefixes of one length each: an equi-join on the cut id."""
     lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(100).collect()]
-    ids = runs.select(run_id).distinct().withColumn("prefix", F.explode(F.array(*[F.substring(run_id, 1, n) for n in lengths])))
+    ids = runs.select(run_id).distinct().withColumn("prefix", F.explode(F.array_distinct(F.array(*[F.substring(run_id, 1, n) for n in lengths]))))
     out = prefixes.join(ids, "prefix", "left").groupBy("prefix").agg(F.count(run_id).alias("n_matches"))
     return out.withColumn("status", F.when(F.col("n_matches") == 0, "unknown").when(F.col("n_matches") > 1, "ambiguous").otherwise("resolved"))
 
