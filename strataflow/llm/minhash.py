@@ -6,10 +6,14 @@ so the slots are negatively correlated and the estimate's variance is below that
 stops at the first level j where all slots of a document hold values under j + 1, which is after one to three levels for
 all but short texts.
 
-Links: documents that share a band of a signature are candidates.  Each bucket links its members to its least member
-first (a star, never all pairs); what the full sets confirm is grouped.  Only where a bucket still holds members of
-different groups are its cross-group pairs compared, so no link within a bucket is lost.  32 bands of 4 slots miss a pair
-of similarity 0.75 with probability 5e-6.
+Links: documents that share a band of a signature are candidates.  Each bucket compares its members with its least member
+(a star, never all pairs) on full sets; what is confirmed is grouped.  Only buckets that still hold members of different
+groups go on.  If x is not linked to the centre c of its bucket and y does not lie below c in size, then x and y can only
+be linked if they share an element that c lacks: let x and y lose disjoint parts of c and gain disjoint elements, then
+|x and y| / |x or y| <= |x and c| / |x or c|; and shared losses alone don't make up for what y lost itself.  So the next
+round's buckets are (centre, gained element), where stars are made again; the few pairs that the rule leaves out (x near
+the threshold, y smaller than c) are compared directly.  Centres grow from round to round, so the rounds end, and no link
+within a bucket is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
 
 Edge cases: a null or blank text has no shingles, is linked with nothing and is its own component; texts under ``k``
 words have their whole word sequence as one shingle; equal sets fall together before banding, whatever their number; rows
@@ -154,20 +158,33 @@ def _sets(k: int):
     return run
 
 
-def _verify(percent: int):
+COMPARED = "centre long, centre_n long, node long, n long, linked boolean, slack long, tokens array<long>"
+
+
+def _compare(percent: int):
+    """Similarity of a node to its centre on full sets, and what the node has beyond the centre.
+
+    With r elements of the centre lost and a gained, slack = 100 r + percent * a - (100 - percent) * |centre| is above 0
+    just if the two are not linked.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        names = [x.split()[0] for x in COMPARED.split(", ")]
         for batch in batches:
-            ok = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            rows, tokens = [], []
+            for c, node, x, y in zip(*(batch.column(k).to_pylist() for k in ("centre", "node")), batch.column("x"), batch.column("y"), strict=True):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+                gained = np.setdiff1d(y, x, assume_unique=True)
+                common = len(y) - len(gained)
+                linked = 100 * common >= percent * (len(x) + len(gained))
+                rows.append((c, len(x), node, len(y), linked, 100 * (len(x) - common) + percent * len(gained) - (100 - percent) * len(x)))
+                # Two linked sets differ in at most this many elements of either, so their beginnings meet.
+                tokens.append(gained[: (100 - percent) * len(y) // 100 + 1].view(np.int64))
+            if rows:
+                columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.list_(pa.int64()))], names=names)
 
     return run
 
@@ -184,32 +201,41 @@ def near_duplicates(
     buckets = nodes.select(F.explode("bands").alias("band"), "node", "n")
     centres = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("m"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(buckets.join(centres, "band"), "buckets")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    stars = shared.where((F.col("node") != F.col("centre")) & alike(F.col("n"), F.col("m"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars, "stars")
-    links = _confirmed(docs, stars, k, percent, "links")
-    groups = written(connected_components(links), "groups")
-    # Buckets whose members are not all in one group yet: compare what the stars did not.
-    labelled = shared.join(groups, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = labelled.join(mixed, "band")
-    x = rest.select("band", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component")])
-    y = rest.select("band", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "component")])
-    cross = x.join(y, "band").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & alike(F.col("n_x"), F.col("n_y")))
-    cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(docs, written(cross, "cross"), k, percent, "more")
-    merged = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    # The sets of all nodes that share a band with another one, made once.
+    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates()
+    sets = written(texts.mapInArrow(_sets(k), "node long, hashes binary"), "sets")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        left = sets.select(F.col("node").alias("centre"), F.col("hashes").alias("x"))
+        right = sets.select("node", F.col("hashes").alias("y"))
+        both = pairs.join(left, "centre").join(right, "node").select("centre", "node", "x", "y")
+        return written(both.mapInArrow(_compare(percent), COMPARED), "compared")
+
+    edges = lambda df: df.where("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    stars = shared.where((F.col("node") != F.col("centre")) & close).select("centre", "node").distinct()
+    merged = written(connected_components(edges(compared(stars))), "groups")
+    level = shared.select(F.col("band").alias("key"), "node", "n")
+    while True:
+        # Keys whose members are not all in one group yet get a centre; every member is compared with it.
+        labelled = level.join(merged, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre")).where("lo <> hi")
+        pairs = labelled.join(mixed.select("key", "centre"), "key").where("node <> centre").select("centre", "node").distinct()
+        found = compared(pairs)
+        if not found.limit(1).count():
+            break
+        # Two members of different groups that are similar have something in common that the centre lacks, unless the one
+        # that isn't linked to the centre is near the threshold and the other is smaller than the centre.
+        groups = found.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        far = groups.where("slack > 0").select(F.col("centre").alias("cx"), F.col("node").alias("b"), "slack", F.col("component").alias("gx"), F.col("n").alias("nx"))
+        small = groups.where("n < centre_n").select("centre", "node", "n", F.col("component").alias("gy"), (percent * (F.col("centre_n") - F.col("n"))).alias("room"))
+        near = (F.col("slack") <= F.col("room")) & (F.col("gx") != F.col("gy")) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n"))
+        odd = far.join(small, (F.col("cx") == F.col("centre")) & near).select(F.least("node", "b").alias("x"), F.greatest("node", "b").alias("y")).distinct()
+        more = edges(found).unionByName(edges(compared(odd.toDF("centre", "node"))))
+        merged = written(connected_components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
+        level = found.select("node", "n", F.explode("tokens").alias("token"), "centre").select(F.xxhash64("centre", "token").alias("key"), "node", "n")
     named = nodes.join(merged, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component"))
     out = sketches.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates()
-    sets = written(texts.mapInArrow(_sets(k), "node long, hashes binary"), f"{label}-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), label)
