@@ -157,7 +157,9 @@ class ZipMediaReader(DataSourceReader):
             raise ValueError("the member is cut short")
         return data if kind == zipfile.ZIP_STORED else zlib.decompress(data, -15)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark passes where no range was planned
+            return
         fs, _ = _filesystem(self.folder)
         rows, held = [], 0
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
