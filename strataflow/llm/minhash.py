@@ -7,13 +7,11 @@ stops at the first level j where all slots of a document hold values under j + 1
 all but short texts.
 
 Links: documents that share a band of a signature are candidates.  Each bucket compares its members with its least member
-(a star, never all pairs) on full sets; what is confirmed is grouped.  Only buckets that still hold members of different
-groups go on.  If x is not linked to the centre c of its bucket and y does not lie below c in size, then x and y can only
-be linked if they share an element that c lacks: let x and y lose disjoint parts of c and gain disjoint elements, then
-|x and y| / |x or y| <= |x and c| / |x or c|; and shared losses alone don't make up for what y lost itself.  So the next
-round's buckets are (centre, gained element), where stars are made again; the few pairs that the rule leaves out (x near
-the threshold, y smaller than c) are compared directly.  Centres grow from round to round, so the rounds end, and no link
-within a bucket is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
+(a star, never all pairs) on full sets; what is confirmed is grouped.  Members of buckets that still hold several groups
+are open.  Two linked sets share one of the first quarter of their elements in any common order, so open nodes are keyed by
+those, rarest first: a node with enough elements of its own then meets nobody.  Keys with equal members count once, and
+within a key the nodes outside its largest group are compared, in rounds of bounded size, with the nodes of other groups.
+So no link between groups of open nodes is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
 
 Edge cases: a null or blank text has no shingles, is linked with nothing and is its own component; texts under ``k``
 words have their whole word sequence as one shingle; equal sets fall together before banding, whatever their number; rows
@@ -28,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataflow.llm.common import large_text, mix64, slices, written
 from strataflow.llm.components import connected_components
@@ -158,37 +157,56 @@ def _sets(k: int):
     return run
 
 
-COMPARED = "centre long, centre_n long, node long, n long, linked boolean, slack long, tokens array<long>"
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, token) rows of sets."""
+    import numpy as np
+
+    for batch in batches:
+        if batch.num_rows:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
+            owner = np.repeat(batch.column("node").to_numpy(), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(parts))], names=["node", "token"])
 
 
-def _compare(percent: int):
-    """Similarity of a node to its centre on full sets, and what the node has beyond the centre.
+LINKS = "a long, b long"
 
-    With r elements of the centre lost and a gained, slack = 100 r + percent * a - (100 - percent) * |centre| is above 0
-    just if the two are not linked.
-    """
+
+def _linked(percent: int):
+    """The pairs of a batch that are linked on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names = [x.split()[0] for x in COMPARED.split(", ")]
         for batch in batches:
-            rows, tokens = [], []
-            for c, node, x, y in zip(*(batch.column(k).to_pylist() for k in ("centre", "node")), batch.column("x"), batch.column("y"), strict=True):
+            found = []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                gained = np.setdiff1d(y, x, assume_unique=True)
-                common = len(y) - len(gained)
-                linked = 100 * common >= percent * (len(x) + len(gained))
-                rows.append((c, len(x), node, len(y), linked, 100 * (len(x) - common) + percent * len(gained) - (100 - percent) * len(x)))
-                # Two linked sets differ in at most this many elements of either, so their beginnings meet.
-                tokens.append(gained[: (100 - percent) * len(y) // 100 + 1].view(np.int64))
-            if rows:
-                columns = [pa.array(c) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.list_(pa.int64()))], names=names)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found.append(i)
+            if found:
+                take = batch.take(pa.array(found))
+                yield pa.RecordBatch.from_arrays([take.column("a"), take.column("b")], names=["a", "b"])
 
     return run
 
 
+#: In a round, a key compares at least so many nodes with its others, more if it has few, and ends within MAX_ROUNDS.
+ROUND_NODES, ROUND_PAIRS, MAX_ROUNDS = 16, 4096, 64
+
+
+def _open_keys(level: DataFrame) -> DataFrame:
+    """Adds ``slot`` to rows (key, node, n, component) of keys with several groups: the round of a node outside the largest
+    group; null inside it.  Of keys with equal members one stays."""
+    groups = level.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
+    keys = groups.groupBy("key").agg(F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+    keys = keys.groupBy("m", "s", "top").agg(F.min("key").alias("key")).select("key", F.col("top.component").alias("main"), (F.col("m") - F.col("top.k")).alias("q"), "m")
+    size = F.greatest(F.lit(ROUND_NODES), F.floor(ROUND_PAIRS / F.col("m")), F.ceil(F.col("q") / MAX_ROUNDS))
+    rounds = F.ceil(F.col("q") / size)
+    slot = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("node"), rounds))
+    return level.join(keys, "key").select("key", "node", "n", slot.alias("slot"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
 ) -> DataFrame:
@@ -206,35 +224,35 @@ def near_duplicates(
     texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates()
     sets = written(texts.mapInArrow(_sets(k), "node long, hashes binary"), "sets")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("node").alias("centre"), F.col("hashes").alias("x"))
-        right = sets.select("node", F.col("hashes").alias("y"))
-        both = pairs.join(left, "centre").join(right, "node").select("centre", "node", "x", "y")
-        return written(both.mapInArrow(_compare(percent), COMPARED), "compared")
-
-    edges = lambda df: df.where("linked").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    close = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    stars = shared.where((F.col("node") != F.col("centre")) & close).select("centre", "node").distinct()
-    merged = written(connected_components(edges(compared(stars))), "groups")
-    level = shared.select(F.col("band").alias("key"), "node", "n")
-    while True:
-        # Keys whose members are not all in one group yet get a centre; every member is compared with it.
-        labelled = level.join(merged, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre")).where("lo <> hi")
-        pairs = labelled.join(mixed.select("key", "centre"), "key").where("node <> centre").select("centre", "node").distinct()
-        found = compared(pairs)
-        if not found.limit(1).count():
-            break
-        # Two members of different groups that are similar have something in common that the centre lacks, unless the one
-        # that isn't linked to the centre is near the threshold and the other is smaller than the centre.
-        groups = found.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        far = groups.where("slack > 0").select(F.col("centre").alias("cx"), F.col("node").alias("b"), "slack", F.col("component").alias("gx"), F.col("n").alias("nx"))
-        small = groups.where("n < centre_n").select("centre", "node", "n", F.col("component").alias("gy"), (percent * (F.col("centre_n") - F.col("n"))).alias("room"))
-        near = (F.col("slack") <= F.col("room")) & (F.col("gx") != F.col("gy")) & (100 * F.least("nx", "n") >= percent * F.greatest("nx", "n"))
-        odd = far.join(small, (F.col("cx") == F.col("centre")) & near).select(F.least("node", "b").alias("x"), F.greatest("node", "b").alias("y")).distinct()
-        more = edges(found).unionByName(edges(compared(odd.toDF("centre", "node"))))
-        merged = written(connected_components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
-        level = found.select("node", "n", F.explode("tokens").alias("token"), "centre").select(F.xxhash64("centre", "token").alias("key"), "node", "n")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        both = pairs.toDF("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        return written(both.mapInArrow(_linked(percent), LINKS), "links")
+
+    def grouped(rows: DataFrame, merged: DataFrame) -> DataFrame:
+        known = merged.withColumnRenamed("node", "of")
+        return rows.join(known, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
+
+    close = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    stars = shared.where((F.col("node") != F.col("centre")) & close("n", "m")).select("centre", "node")
+    merged = written(connected_components(confirmed(stars)), "groups")
+    labelled = grouped(shared.select("band", "node", "n"), merged)
+    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+    open_nodes = written(labelled.join(mixed, "band").select("node", "n", "component").distinct(), "open")
+    # The beginning of each open set in order of rarity; elements that no other open set has come first and make no key.
+    tokens = written(sets.join(open_nodes.select("node"), "node", "left_semi").mapInArrow(_tokens, "node long, token long"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1").withColumnRenamed("token", "t")
+    of_node = Window.partitionBy("node")
+    begin = tokens.join(common, F.col("token") == F.col("t")).select("node", "token", F.count("*").over(of_node).alias("c"), F.row_number().over(of_node.orderBy("f", "token")).alias("i"))
+    begin = begin.join(open_nodes, "node").where(F.col("i") + F.col("n") - F.col("c") <= F.floor((100 - percent) * F.col("n") / 100) + 1)
+    level = written(_open_keys(begin.select(F.col("token").alias("key"), "node", "n", "component")), "keys")
+    for r in range((level.agg(F.max("slot")).first()[0] or 0) + 1):
+        now = grouped(level, merged)
+        asked = now.where(F.col("slot") == r).toDF("k", "x", "nx", "slot", "cx")
+        pairs = asked.join(now, (F.col("k") == F.col("key")) & (F.col("cx") != F.col("component")) & close("nx", "n"))
+        links = confirmed(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
+        if links.limit(1).count():
+            merged = written(connected_components(links.unionByName(merged.toDF("a", "b"))), "groups")
     named = nodes.join(merged, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component"))
     out = sketches.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
