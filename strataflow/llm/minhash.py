@@ -10,8 +10,9 @@ Links: documents that share a band of a signature are candidates.  Each bucket c
 (a star, never all pairs) on full sets; what is confirmed is grouped.  Members of buckets that still hold several groups
 are open.  Two linked sets share one of the first quarter of their elements in any common order, so open nodes are keyed by
 those, rarest first: a node with enough elements of its own then meets nobody.  Keys with equal members count once, and
-within a key the nodes outside its largest group are compared, in rounds of bounded size, with the nodes of other groups.
-So no link between groups of open nodes is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
+within a key the nodes outside its largest group meet the nodes of other groups.  The join's condition holds parity bitmaps
+of the sets against each other: sets differ in at least as many elements as their bitmaps in bits, so a pair with too many
+is no link and is never made.  What passes is compared in full, so no link between groups of open nodes is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
 
 Edge cases: a null or blank text has no shingles, is linked with nothing and is its own component; texts under ``k``
 words have their whole word sequence as one shingle; equal sets fall together before banding, whatever their number; rows
@@ -35,7 +36,9 @@ SHINGLE = 5
 BANDS = 32
 ROWS = 4
 PERCENT = 75
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, parity array<long>"
+#: Longs in the parity bitmap of a set.
+PARITY = 16
 
 
 def shingle_hashes(texts: pa.Array, k: int = SHINGLE):
@@ -133,11 +136,14 @@ def _sketches(k: int, bands: int, rows: int):
                 band = np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
                 for r in range(rows):
                     band = mix64(band ^ ranks[:, :, r]) + np.uint64(r)
+                at = np.repeat(np.arange(len(counts)), counts) * (64 * PARITY) + (hashes % np.uint64(64 * PARITY)).astype(np.int64)
+                odd = (np.bincount(at, minlength=len(counts) * 64 * PARITY) & 1).astype(np.uint8)
+                parity = pa.array(np.packbits(odd).view(np.int64))
             full = counts > 0
             values = pa.array(band[full].reshape(-1).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            columns = [batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists]
+            columns = [batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * PARITY), parity)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
 
     return run
@@ -191,20 +197,13 @@ def _linked(percent: int):
     return run
 
 
-#: In a round, a key compares at least so many nodes with its others, more if it has few, and ends within MAX_ROUNDS.
-ROUND_NODES, ROUND_PAIRS, MAX_ROUNDS = 16, 4096, 64
-
-
 def _open_keys(level: DataFrame) -> DataFrame:
-    """Adds ``slot`` to rows (key, node, n, component) of keys with several groups: the round of a node outside the largest
-    group; null inside it.  Of keys with equal members one stays."""
+    """Rows (key, node, component) of keys with several groups, and whether the node is ``outside`` the largest group.  Of
+    keys with equal members one stays."""
     groups = level.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"))
     keys = groups.groupBy("key").agg(F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
-    keys = keys.groupBy("m", "s", "top").agg(F.min("key").alias("key")).select("key", F.col("top.component").alias("main"), (F.col("m") - F.col("top.k")).alias("q"), "m")
-    size = F.greatest(F.lit(ROUND_NODES), F.floor(ROUND_PAIRS / F.col("m")), F.ceil(F.col("q") / MAX_ROUNDS))
-    rounds = F.ceil(F.col("q") / size)
-    slot = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("node"), rounds))
-    return level.join(keys, "key").select("key", "node", "n", slot.alias("slot"))
+    keys = keys.groupBy("m", "s", "top").agg(F.min("key").alias("key")).select("key", F.col("top.component").alias("main"))
+    return level.join(keys, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
 
 
 def near_duplicates(
@@ -215,7 +214,7 @@ def near_duplicates(
     sketches = written(docs.mapInArrow(_sketches(k, bands, rows), SKETCH), "sketches")
     # Documents with equal sets are one node, named by its least doc_id.
     known = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = written(known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")), "nodes")
+    nodes = written(known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parity")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.parity").alias("parity")), "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), "node", "n")
     centres = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("m"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(buckets.join(centres, "band"), "buckets")
@@ -245,14 +244,16 @@ def near_duplicates(
     of_node = Window.partitionBy("node")
     begin = tokens.join(common, F.col("token") == F.col("t")).select("node", "token", F.count("*").over(of_node).alias("c"), F.row_number().over(of_node.orderBy("f", "token")).alias("i"))
     begin = begin.join(open_nodes, "node").where(F.col("i") + F.col("n") - F.col("c") <= F.floor((100 - percent) * F.col("n") / 100) + 1)
-    level = written(_open_keys(begin.select(F.col("token").alias("key"), "node", "n", "component")), "keys")
-    for r in range((level.agg(F.max("slot")).first()[0] or 0) + 1):
-        now = grouped(level, merged)
-        asked = now.where(F.col("slot") == r).toDF("k", "x", "nx", "slot", "cx")
-        pairs = asked.join(now, (F.col("k") == F.col("key")) & (F.col("cx") != F.col("component")) & close("nx", "n"))
-        links = confirmed(pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")))
-        if links.limit(1).count():
-            merged = written(connected_components(links.unionByName(merged.toDF("a", "b"))), "groups")
+    level = _open_keys(begin.select(F.col("token").alias("key"), "node", "component"))
+    bits = nodes.join(open_nodes.select("node"), "node", "left_semi").select("node", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
+    level = written(level.join(bits, "node"), "keys")
+    asked = level.where("outside").select(*[F.col(c).alias(f"_{c}") for c in level.columns])
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"_p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("_p0"))))
+    # Similarity of percent or more: 100 * (sum - d) >= percent * (sum + d) for a symmetric difference of d elements.
+    able = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("_n"))
+    pairs = asked.join(level, (F.col("_key") == F.col("key")) & (F.col("_component") != F.col("component")) & close("_n", "n") & able)
+    links = confirmed(pairs.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")))
+    merged = written(connected_components(links.unionByName(merged.toDF("a", "b"))), "groups")
     named = nodes.join(merged, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component"))
     out = sketches.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce("component", "doc_id")
