@@ -108,17 +108,20 @@ class CrossParser:
         for lang in self.languages:
             codes = self.symbols(np.frombuffer(texts[lang].lower().encode(), np.uint8)).tolist()
             nxt = suffix_automaton(codes)
-            root = np.full(width, 2 * base * width + 1, np.int64)
+            # One more state stands for a symbol that this language lacks: a phrase by itself, which ends at the next symbol.
+            lacks = 2 * (base + len(nxt)) * width
+            root = np.full(width, lacks + 1, np.int64)
             for c, s in nxt[0].items():
                 root[c] = 2 * (base + s) * width + 1
-            table = np.tile(root, (len(nxt), 1))
+            table = np.tile(root, (len(nxt) + 1, 1))
             for s, moves in enumerate(nxt):
                 for c, to in moves.items():
                     table[s, c] = 2 * (base + to) * width
+            table[0, table[0] == lacks + 1] = lacks  # at the start no phrase is open
             table[:, 0] = 2 * base * width  # the end of a stretch goes back to the start and is no phrase
             tables.append(table)
             self.starts.append(base * width)
-            base += len(nxt)
+            base += len(nxt) + 1
         self.table = np.concatenate(tables).reshape(-1).astype(np.int32 if 2 * base * width < 2**31 else np.int64) if tables else None
 
     def symbols(self, data):
