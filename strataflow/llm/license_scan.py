@@ -17,6 +17,8 @@ repeat an id and a path share their result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,31 +57,38 @@ def passages(files: DataFrame) -> DataFrame:
     return found.select("file", F.col("line").alias("passage"), "text", n_words_of(F.col("text")).alias("words"))
 
 
+def _notices(template: str) -> list[str]:
+    """A template as a whole and, where it has several, each of its sentences: a short header may give one of them alone."""
+    sentences = re.split(r"(?<=[a-z0-9]\.)\s+(?=[A-Z])", template)
+    return [template] if len(sentences) == 1 else [template, *sentences]
+
+
 def template_cosines(found: DataFrame, templates: dict[str, str], min_cosine: float) -> DataFrame:
     """Adds (license, cosine) to passages that are near enough to a template.
 
     The templates' vectors are a table of a few hundred rows, whatever the corpus; only their terms are joined.
     """
     spark = found.sparkSession
-    fixed = spark.createDataFrame(list(templates.items()), "license string, text string").coalesce(1)
-    tf = fixed.select("license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
+    notices = [(name, i, text) for name, whole in templates.items() for i, text in enumerate(_notices(whole))]
+    fixed = spark.createDataFrame(notices, "license string, notice int, text string").coalesce(1)
+    tf = fixed.select("license", "notice", F.explode(_terms(F.col("text"))).alias("term")).groupBy("license", "notice", "term").agg(F.count("*").alias("tf"))
     terms = found.select("file", "passage", F.explode(_terms(F.col("text"))).alias("term")).groupBy("file", "passage", "term").agg(F.count("*").alias("n"))
     # Document frequencies of the templates' terms over all passages and templates.
-    n_docs = found.count() + len(templates)
+    n_docs = found.count() + len(notices)
     known = tf.select("term").distinct()
     df = terms.join(F.broadcast(known), "term").groupBy("term").agg(F.count("*").alias("df"))
     df = df.unionByName(tf.groupBy("term").agg(F.count("*").alias("df"))).groupBy("term").agg(F.sum("df").alias("df"))
     idf = df.select("term", (F.log(F.lit(float(n_docs + 1)) / (F.col("df") + 1)) + 1).alias("idf"))
-    vectors = tf.join(F.broadcast(idf), "term").select("license", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norms = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = vectors.join(F.broadcast(norms), "license").select("license", F.col("term").alias("t"), (F.col("w") / F.col("norm")).alias("w"))
-    vectors = written(vectors.select("license", "t", "w").join(F.broadcast(idf.withColumnRenamed("term", "t")), "t"), "templates")
+    vectors = tf.join(F.broadcast(idf), "term").select("license", "notice", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    norms = vectors.groupBy("license", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    vectors = vectors.join(F.broadcast(norms), ["license", "notice"]).select("license", "notice", F.col("term").alias("t"), (F.col("w") / F.col("norm")).alias("w"))
+    vectors = written(vectors.select("license", "notice", "t", "w").join(F.broadcast(idf.withColumnRenamed("term", "t")), "t"), "templates")
     # Terms that no template has are as rare as a term can be; they lengthen a passage's vector.
     rare = F.log(F.lit(float(n_docs + 1)) / 2) + 1
     weighed = terms.join(F.broadcast(vectors.select(F.col("t").alias("term"), "idf").distinct()), "term", "left")
     weighed = weighed.withColumn("u", (1 + F.log("n")) * F.coalesce("idf", rare))
     length = weighed.groupBy("file", "passage").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("length"))
-    dots = weighed.where("idf is not null").join(F.broadcast(vectors.select("license", "t", "w")), F.col("term") == F.col("t")).groupBy("file", "passage", "license").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
+    dots = weighed.where("idf is not null").join(F.broadcast(vectors.select("license", "notice", "t", "w")), F.col("term") == F.col("t")).groupBy("file", "passage", "license", "notice").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
     scored = dots.join(length, ["file", "passage"]).withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= min_cosine)
     best = scored.groupBy("file", "passage").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b"))
     return found.join(best, ["file", "passage"]).select("file", "passage", "words", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
