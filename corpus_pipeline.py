@@ -26,7 +26,7 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later copies of repeated line runs; what is left without a word is a copy and goes."""
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS), maximal=True)
     bare = F.btrim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACE_CHARS))
     out = out.where((F.col("n_deleted") == 0) | (bare != ""))
     changed = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

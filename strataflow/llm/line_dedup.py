@@ -8,8 +8,13 @@ counts.  Rounds end when no suffix needs a longer prefix.
 
 A suffix's depth is the least number of lines that hold ``min_words`` words.  The LCP interval of that depth around a
 suffix is the set of suffixes with the same ranks for the two overlapping blocks of 2^k lines that cover it.  The first
-place of each interval is kept; the lines of all later ones are marked.  Marks of overlapping intervals join up to the
-maximal repeated runs, which are deleted.
+place of each interval is kept; the lines of all later ones are marked.
+
+These blocks alone leave the end of a run that holds fewer than ``min_words`` words after the last of them.  With
+``maximal``, blocks that end at a line and reach back ``min_words`` words are looked up in the same ranks, and blocks may
+begin or end with blank lines.  Every line of a repeated run of ``min_words`` words then lies in a block inside the run:
+one that begins with the line, one that ends with it, or the first of the run.  So the marks join up to the maximal
+repeated runs, which are deleted.
 
 Places are ordered by doc_id (null last), then by a hash of the text, then by line.  Edge cases: a null text has no lines
 and stays null; an empty text has one empty line; rows that repeat both id and text are one document, each gets the same
@@ -86,8 +91,8 @@ def _ranked(rows: DataFrame) -> Scratch:
     return out
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, th, pos) of every line that is to be deleted."""
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", maximal: bool = False) -> DataFrame:
+    """(d, th, pos) of every line that is to be deleted: of blocks that begin with a word or, if ``maximal``, of whole runs."""
     lines = written(_lines(docs, id_col, text_col), "lines")
     several = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
     active = lines.join(several, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2")
@@ -98,24 +103,33 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     inside = W.partitionBy(*_DOC, "stretch").orderBy("pos")
     active = active.withColumn("sofar", F.sum("words").over(inside.rowsBetween(W.unboundedPreceding, -1)))
     active = active.withColumn("sofar", F.coalesce("sofar", F.lit(0)))
-    # The first line by which the sum has risen enough is found by merging starts and ends in order of the sum.
-    ends = active.select(*_DOC, "stretch", "pos", (F.col("sofar") + F.col("words")).alias("at"), F.lit(1).alias("end"))
-    starts = active.where("words > 0").select(*_DOC, "stretch", "pos", (F.col("sofar") + min_words).alias("at"), F.lit(0).alias("end"))
-    ahead = W.partitionBy(*_DOC, "stretch").orderBy("at", "end", "pos").rowsBetween(0, W.unboundedFollowing)
-    depth = ends.unionByName(starts).withColumn("stop", F.min(F.when(F.col("end") == 1, F.col("pos"))).over(ahead)).where("end = 0 and stop is not null")
-    depth = depth.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("pos").alias("pos2"), (F.col("stop") - F.col("pos") + 1).alias("depth"))
-    here = (F.col("d") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") == F.col("pos2"))
-    active = active.drop("sofar", "stretch", "words").join(depth, here, "left").drop("d2", "th2", "pos2")
+    # The first line by which the sum has risen enough is found by merging starts and ends in order of the sum; so is the
+    # last line from which it has risen enough by an end.
+    ends = active.select(*_DOC, "stretch", "pos", (F.col("sofar") + F.col("words")).alias("at"), F.lit(1).alias("end"), F.col("sofar"))
+    starts = active if maximal else active.where("words > 0")
+    starts = starts.select(*_DOC, "stretch", "pos", (F.col("sofar") + min_words).alias("at"), F.lit(0).alias("end"), F.col("sofar"))
+    merged = W.partitionBy(*_DOC, "stretch").orderBy("at", "end", "pos")
+    blocks = ends.unionByName(starts).withColumn("stop", F.min(F.when(F.col("end") == 1, F.col("pos"))).over(merged.rowsBetween(0, W.unboundedFollowing)))
+    wanted = (F.col("end") == 0) & F.col("stop").isNotNull()
+    first, last = F.col("pos"), F.col("stop")
+    if maximal:
+        blocks = blocks.withColumn("since", F.max(F.when(F.col("end") == 0, F.struct("pos", "at"))).over(merged.rowsBetween(W.unboundedPreceding, 0)))
+        # Where the words up to the line before are too few, the block is the one that begins with its first line.
+        wanted = wanted | ((F.col("end") == 1) & (F.col("sofar") >= F.col("since.at")))
+        first, last = F.when(F.col("end") == 0, first).otherwise(F.col("since.pos")), F.when(F.col("end") == 0, last).otherwise(F.col("pos"))
+    blocks = written(blocks.where(wanted).select(*_DOC, first.alias("pos"), (last - first + 1).alias("depth")), "blocks")
+    deepest = blocks.agg(F.max("depth")).first()[0] or 0
+    active = active.drop("sofar", "stretch", "words")
     level = _ranked(active.withColumnsRenamed({"h1": "r1", "h2": "r2"}))
     found, h = [], 1
     while True:
         # Depths in h .. 2h - 1 are covered by two blocks of h lines.
         now = level.df
-        due = now.where(f"depth >= {h} and depth < {2 * h}")
+        due = blocks.where(f"depth >= {h} and depth < {2 * h}").join(now, [*_DOC, "pos"])
         second = now.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         due = due.join(second, (F.col("d") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") + F.col("depth") - h == F.col("pos2")))
         found.append(written(due.select(*_DOC, "pos", "depth", "rank", "rank2"), "due"))
-        if not now.where(f"depth >= {2 * h}").limit(1).count():
+        if deepest < 2 * h:
             break
         ahead = now.select(F.col("d").alias("d2"), F.col("th").alias("th2"), (F.col("pos") - h).alias("pos2"), F.col("rank").alias("r2"))
         paired = now.withColumnRenamed("rank", "r1").join(ahead, (F.col("d") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") == F.col("pos2")), "left").drop("d2", "th2", "pos2")
@@ -135,9 +149,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     return covered.distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the repeated runs' later copies deleted from the text, plus n_lines and n_deleted."""
-    gone = written(repeated_lines(docs, min_words, id_col, text_col), "repeated")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", maximal: bool = False) -> DataFrame:
+    """All columns of ``docs`` with the repeated runs' later copies deleted from the text, plus n_lines and n_deleted.
+
+    Without ``maximal`` the last lines of a run may stay, see above; the query and the pipeline set it.
+    """
+    gone = written(repeated_lines(docs, min_words, id_col, text_col, maximal), "repeated")
     gone = gone.groupBy("d", "th").agg(F.collect_list("pos").alias("_gone")).withColumnsRenamed({"d": "_d", "th": "_th"})
     joined = docs.join(gone, (_key(id_col) == F.col("_d")) & (F.xxhash64(text_col) == F.col("_th")), "left")
     joined = joined.withColumn("_lines", F.split(text_col, "\n"))

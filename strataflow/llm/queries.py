@@ -48,7 +48,7 @@ def op9_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"), maximal=True)
     return out.select("doc_id", "n_lines", "n_deleted", F.col("text").alias("kept_text"))
 
 
