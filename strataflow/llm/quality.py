@@ -4,7 +4,8 @@ Every document gets a histogram of character classes and one of common words.  T
 histograms, summed over all documents of each configured language that pass the base rules and are plain prose (few
 symbols and capitals, and as long as the word guard).  A document is rejected
 when the smallest Jensen-Shannon distance to any reference is too large; short documents are guarded, because their
-histograms are noise.
+histograms are noise.  Common words are a small share of prose, so a text without any of them is not far from a reference:
+its distance follows from the reference's share, and word distances are also held against that one.
 
 Edge cases: a null text counts as an empty one; an empty table gives an empty result; documents below the length guards
 are never rejected for their distance; where no reference exists (no document of a configured language) only the base
@@ -13,6 +14,7 @@ rules decide; repeated rows are judged alike; columns other than the id, text an
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,8 @@ class QualityRules:
     guard_words: int = 60
     max_char_distance: float = 0.3
     max_word_distance: float = 0.45
+    #: Word distances as shares of the distance that a text without any common word has from the same reference.
+    max_word_share: float = 0.9
     languages: tuple[str, ...] = ("de", "en", "es", "fr")
 
     @property
@@ -148,22 +152,33 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _bare_distance(reference: list[float]) -> float:
+    """Jensen-Shannon distance of a text without any common word from a reference, whose last share is that of other words."""
+    other = reference[-1]
+    total = (1 - other) + math.log2(2 / (1 + other)) + (other * math.log2(2 * other / (1 + other)) if other else 0.0)
+    return math.sqrt(max(total / 2, 0.0))
+
+
 def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: its counts, ``base_failed``, both distances (null under the guards) and ``kept``."""
     features = written(document_features(docs, rules, id_col, text_col, lang_col), "quality")
     references = language_references(features, rules)
 
-    def nearest(counts: str, k: int) -> Column:
+    def distances(counts: str, k: int) -> Column:
         total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
         shares = F.transform(counts, lambda x: x / total)
         each = [js_distance(shares, r[k]) for r in references.values()]
-        return F.least(*each) if len(each) > 1 else each[0] if each else F.lit(None).cast("double")
+        return F.array(*each) if each else F.lit(None).cast("array<double>")
 
     chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     out = features.withColumn("base_failed", _failed(rules))
-    out = out.withColumn("char_distance", F.when(chars >= rules.guard_chars, nearest("classes", 0)))
-    out = out.withColumn("word_distance", F.when(F.col("n_words") >= rules.guard_words, nearest("commons", 1)))
+    out = out.withColumn("char_distance", F.when(chars >= rules.guard_chars, F.array_min(distances("classes", 0))))
+    out = out.withColumn("words_away", F.when(F.col("n_words") >= rules.guard_words, distances("commons", 1)))
+    # A reference without common words says nothing about a text without them.
+    bare = F.array(*[F.lit(d or None).cast("double") for d in (_bare_distance(r[1]) for r in references.values())])
+    out = out.withColumn("word_distance", F.array_min("words_away")).withColumn("word_share", F.array_min(F.zip_with("words_away", bare, lambda d, b: d / b)))
     far = F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
+    far = far | F.coalesce(F.col("word_share") > rules.max_word_share, F.lit(False))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from strataflow.llm import queries
+from strataflow.llm import quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -55,3 +55,20 @@ def test_line_runs_are_deleted_to_their_ends(spark, tmp_path, seed):
     got = {r["doc_id"]: r for r in queries.op10_line_runs(spark, stored(spark, [(i, t, "en", "s") for i, t in rows], tmp_path)).collect()}
     for i, t in rows:
         assert (got[i]["n_deleted"], got[i]["kept_text"]) == (len(gone[i]), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])), i
+
+
+def test_quality_rejects_prose_without_common_words(spark, tmp_path):
+    rng = random.Random(5)
+    common = quality.COMMON_WORDS["en"]
+    rare = ["".join(rng.choice("aeinorstlhd") for _ in range(rng.randrange(3, 9))) for _ in range(4000)]
+    rare = [w for w in rare if w not in common]
+
+    def prose(n, share):
+        """Common words spread evenly, so that every text has the share."""
+        return " ".join(rng.choice(common) if int((i + 1) * share) > int(i * share) else rng.choice(rare) for i in range(n))
+
+    rows = [(i, prose(rng.randrange(60, 400), 0.16), "en", "s") for i in range(200)]
+    rows += [(1000 + i, " | ".join(rng.sample(rare, rng.randrange(60, 400))), "en", "s") for i in range(10)]
+    rows += [(2000 + i, prose(rng.randrange(60, 400), 0), "en", "s") for i in range(10)]
+    got = {r["doc_id"]: r["kept"] for r in queries.op1_quality_divergence(spark, stored(spark, rows, tmp_path)).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[i] for i in got if i >= 1000)
