@@ -6,11 +6,12 @@ first, and the level that the others reach is what is left over the weight that
 
 Curriculum: a source's weight changes over training time t in 0..1 along a piecewise linear schedule.  Its integral up to
 t, scaled to the source's target, is the demand for its words up to t.  The documents of a source lie one after another
-along that demand, in passes over the source; inverting the demand at the middle of a document's words gives its training
-position.  The result is range-sorted by position.
+along that demand, in passes over the source; inverting the demand at the middle of the words that a pass takes of a
+document gives the training position of that copy.  Results are range-sorted by position.
 
-Edge cases: a null or blank text has size 0, takes nothing and gets the position where it would lie; a null source is a
-source of its own and sorts last; rows that repeat an id are documents of their own; an empty table, or one without a
+Edge cases: a null or blank text has size 0 and takes nothing; what takes nothing has no copy and so no position in
+``schedule`` and ``curriculum``, while ``mixture`` gives the place where it would lie; a null source is a source of its own
+and sorts last; rows that repeat an id are documents of their own; an empty table, or one without a
 word, gives targets of 0; a null id sorts last; other columns are ignored.
 """
 
@@ -72,8 +73,11 @@ def position_at(share: Column, knots: tuple[tuple[float, float], ...]) -> Column
     return out
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[int, int] = EPOCHS, cap: int = CAP, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken and position, sorted by position.
+def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[int, int] = EPOCHS, cap: int = CAP, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies and place.
+
+    ``copies`` has the words and the training position of each pass that takes the document; ``place`` is where its first
+    pass would lie, whether it is taken or not.
 
     The documents of a source are ordered by a digest of their id and dealt into ``slots``; sums per slot are made
     before any shuffle of rows, so that a source with a third of all documents is spread over all tasks.
@@ -95,10 +99,30 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[i
         return F.greatest(F.least(goal - passes * F.col("source_size") - F.col("before"), F.col("size")), F.lit(0))
 
     taken = sum((within(p) for p in range(1, cap)), within(0))
-    share = F.when(F.col("target") > 0, (F.col("before") + F.col("size") / 2) / F.col("target")).otherwise(F.lit(0.0))
     kind = F.col("rank") % len(schedules)
-    position = position_at(share, schedules[-1])
-    for i, knots in list(enumerate(schedules))[:-1]:
-        position = F.when(kind == i, position_at(share, knots)).otherwise(position)
-    out = placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.round(position, 9).alias("position"))
+
+    def position(middle: Column) -> Column:
+        """When the source's demand reaches so many words."""
+        share = F.when(F.col("target") > 0, middle / F.col("target")).otherwise(F.lit(0.0))
+        out = position_at(share, schedules[-1])
+        for i, knots in list(enumerate(schedules))[:-1]:
+            out = F.when(kind == i, position_at(share, knots)).otherwise(out)
+        return F.round(out, 9)
+
+    copies = [F.when(within(p) > 0, F.struct(within(p).cast("long").alias("words"), position(F.col("before") + p * F.col("source_size") + within(p) / 2).alias("position"))) for p in range(cap)]
+    place = position(F.col("before") + F.col("size") / 2)
+    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.array_compact(F.array(*copies)).alias("copies"), place.alias("place"))
+
+
+def mixture(docs: DataFrame, *args, **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken and position (its place), sorted by position."""
+    out = schedule(docs, *args, **options).drop("copies").withColumnRenamed("place", "position")
     return written(out, "mixture").orderBy("position", F.col("doc_id").asc_nulls_last())
+
+
+def curriculum(docs: DataFrame, cap: int = CAP, **options) -> DataFrame:
+    """As :func:`mixture`, but with the position of each copy: position, position_2, ... up to ``cap``, null where none is taken."""
+    names = ["position", *[f"position_{p}" for p in range(2, cap + 1)]]
+    out = schedule(docs, cap=cap, **options)
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", *[F.get("copies", F.lit(p))["position"].alias(n) for p, n in enumerate(names)])
+    return written(out, "curriculum").orderBy(F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last())

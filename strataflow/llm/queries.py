@@ -40,7 +40,7 @@ def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(load(spark, sf_dir, "documents"))
+    return mixing.curriculum(load(spark, sf_dir, "documents"))
 
 
 def op9_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

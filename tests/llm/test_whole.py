@@ -72,3 +72,19 @@ def test_quality_rejects_prose_without_common_words(spark, tmp_path):
     rows += [(2000 + i, prose(rng.randrange(60, 400), 0), "en", "s") for i in range(10)]
     got = {r["doc_id"]: r["kept"] for r in queries.op1_quality_divergence(spark, stored(spark, rows, tmp_path)).collect()}
     assert all(got[i] for i in range(200)) and not any(got[i] for i in got if i >= 1000)
+
+
+def test_mixture_gives_every_copy_a_position(spark, tmp_path):
+    # All of source a is taken twice, and a part of source b once.
+    rows = [(i, "w " * 50, "en", "a") for i in range(20)] + [(100 + i, "w " * 50, "en", "b") for i in range(200)]
+    got = queries.op8_curriculum_mixture(spark, stored(spark, rows + [(999, "", "en", "a")], tmp_path)).collect()
+    assert len(got) == 221
+    a = [r for r in got if r["source"] == "a" and r["size"]]
+    assert all(r["taken"] == 100 for r in a)
+
+    # Source a fades from 1.5 to 0.5: by t it has demanded 1.5 t - t^2 / 2 of its words.
+    demand = sorted(1.5 * t - t * t / 2 for r in a for t in (r["position"], r["position_2"]))
+    assert demand == pytest.approx([(k + 0.5) / 40 for k in range(40)], abs=1e-6)
+    assert all((r["position"] is None) == (r["taken"] == 0) and (r["position_2"] is None) == (r["taken"] <= r["size"]) for r in got)
+    taken = [r["position"] for r in got if r["taken"]]
+    assert taken == sorted(taken) and [r["doc_id"] for r in got if r["position"] is None][-1] == 999
