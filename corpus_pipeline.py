@@ -1,7 +1,7 @@
 """Training-corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of
-``documents``.  Each result is written as Parquet and read again as the next stage's input.
+``documents``, and the mixture adds each copy's training position, by which packing orders them.  Each result is written as Parquet and read again as the next stage's input.
 """
 
 from __future__ import annotations
@@ -46,19 +46,20 @@ def _first_words(text: Column, n: Column) -> Column:
 
 
 def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: whole, or for the last one of a source its first words."""
-    mix = mixing.mixture(docs.select("doc_id", "text", "source")).select("doc_id", "size", "taken", "position")
-    out = docs.join(mix.dropDuplicates(["doc_id"]), "doc_id").where("taken > 0")
-    copies = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size"))), lambda i: F.least(F.col("size"), F.col("taken") - i * F.col("size")))
-    out = out.withColumn("words", F.explode(copies))
+    """Documents as often as the mixture takes them: whole, or for the last one of a source its first words.
+
+    One row per copy with its own training position, in order of the positions.
+    """
+    mix = mixing.schedule(docs.select("doc_id", "text", "source")).select("doc_id", "size", "copies")
+    out = docs.join(mix.dropDuplicates(["doc_id"]), "doc_id").withColumn("copy", F.explode("copies")).select("*", "copy.words", "copy.position")
     part = F.col("words") < F.col("size")
     text = F.when(part, _first_words(F.col("text"), F.col("words"))).otherwise(F.col("text"))
-    return out.withColumn("cut", text).select("doc_id", F.col("cut").alias("text"), "lang", "source", F.when(part, F.length("cut").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.withColumn("cut", text).select("doc_id", F.col("cut").alias("text"), "lang", "source", F.when(part, F.length("cut").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "position").orderBy("position", "doc_id")
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path(TOKENIZER))
+    """Pieces of all documents in windows of 1024 tokens, which follow the curriculum."""
+    return packing.pack(docs, tokenizer_path(TOKENIZER), position_col="position")
 
 
 def _alone(stage):

@@ -7,7 +7,11 @@ grain's end in its queue, which only needs the queue's running sum: rounds can b
 pass across windows and partitions without any state.  Grains in order of (round, source, place in the queue) follow one
 another without gaps; windows cut that sequence at every multiple of the window size, so only the last window is padded.
 
-Edge cases: a null text is an empty one and has the end token alone; rows that repeat an id are documents of their own; a
+With training positions, documents queue in that order, and credits change over time: training is divided into ``KNOTS``
+spans, and in the rounds of a span a queue is credited with an even part of the tokens that it holds there.  Summed credit
+then reaches a grain's end at a time that follows from the sums of the span alone.
+
+Edge cases: a null position sorts last; a null text is an empty one and has the end token alone; rows that repeat an id are documents of their own; a
 null source is a queue of its own; null ids stay null; an empty table gives no pieces; texts of any length are cut into
 grains; other columns are ignored.
 """
@@ -28,6 +32,7 @@ WINDOW = 1024
 GRAIN = 256
 END = 0
 SLOTS = 1024
+KNOTS = 64
 TABLE_SIZE = 400_000
 TOKENS = "row long, doc_id long, source string, slot int, tie long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -144,7 +149,7 @@ def _ranked(tokenizer):
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokenize(path: str, slots: int, table_size: int):
+def _tokenize(path: str, slots: int, table_size: int, ordered: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
@@ -155,7 +160,11 @@ def _tokenize(path: str, slots: int, table_size: int):
         end = np.array([END], np.uint16)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [np.concatenate((x, end)) for x in encoder.of(large_text(batch.column("text")))]
-            ties = np.array([xxhash.xxh64_intdigest(str(x)) >> 1 for x in batch.column("doc_id").to_pylist()], np.int64)
+            if ordered:
+                at = batch.column("position").fill_null(1.0).to_numpy(zero_copy_only=False)
+                ties = (np.clip(at, 0.0, 1 - 2.0**-53) * 2.0**63).astype(np.int64)
+            else:
+                ties = np.array([xxhash.xxh64_intdigest(str(x)) >> 1 for x in batch.column("doc_id").to_pylist()], np.int64)
             rows = np.arange(row, row + len(ids))
             row += len(ids)
             columns = [pa.array(rows), batch.column("doc_id"), batch.column("source"), pa.array((ties >> 32) * slots >> 31, pa.int64()).cast(pa.int32()), pa.array(ties), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
@@ -190,16 +199,19 @@ def _cut(window: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, table_size: int = TABLE_SIZE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, table_size: int = TABLE_SIZE, position_col: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
     ``weights``: share of each source in a window; by default a source's share of all tokens, so that all queues last to
-    the end.  Sources without a weight get the least of the weights.
+    the end.  Sources without a weight get the least of the weights.  ``position_col``: training positions in 0..1 that
+    order the documents and set the shares over time, instead of weights.
     """
+    if weights and position_col:
+        raise ValueError("shares are set by weights or by positions")
     if window < 1 or not 0 < grain <= window:
         raise ValueError("0 < grain <= window is needed")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    tokens = written(rows.mapInArrow(_tokenize(tokenizer, slots, table_size), TOKENS), "tokens")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *([F.col(position_col).cast("double").alias("position")] if position_col else []))
+    tokens = written(rows.mapInArrow(_tokenize(tokenizer, slots, table_size, position_col is not None), TOKENS), "tokens")
     meta = tokens.select("row", "source", "slot", "tie", "n_tokens")
     # The credit of a round and the rank of each queue, known to every (source, slot).
     sums = meta.groupBy("source", "slot").agg(F.sum("n_tokens").alias("n"))
@@ -212,12 +224,22 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRA
     everything = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     queues = shares.select("source", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("queue"), (window * F.col("weight") / F.sum("weight").over(everything)).alias("credit"))
     queues = queues.select(F.col("source").alias("s"), "queue", "credit")
-    by_slot = sums.join(queues, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("slot").alias("k"), "queue", "credit")
+    by_slot = sums.join(queues, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("slot").alias("k"), "queue", "credit", "n")
+    if position_col:
+        # Each span's tokens of a queue, and those before it; the rounds of all spans together.
+        by_slot = by_slot.withColumn("span", F.floor(F.col("k") * KNOTS / slots).cast("long"))
+        spans = by_slot.groupBy(F.col("queue").alias("q"), F.col("span").alias("p")).agg(F.sum("n").alias("held"))
+        spans = spans.withColumn("passed", F.sum("held").over(W.partitionBy("q").orderBy("p")) - F.col("held"))
+        spans = spans.withColumn("rounds", F.ceil(F.sum("held").over(W.partitionBy(F.lit(0))) / window))
+        by_slot = by_slot.join(spans, (F.col("queue") == F.col("q")) & (F.col("span") == F.col("p"))).drop("q", "p")
+    by_slot = by_slot.drop("n")
     placed = running_sum(meta, ["source"], ["tie", "row"], "slot", "n_tokens", "before")
-    placed = placed.join(by_slot, placed.source.eqNullSafe(by_slot.s) & (placed.slot == by_slot.k)).select("row", "queue", "credit", "n_tokens", "before")
+    placed = placed.join(by_slot, placed.source.eqNullSafe(by_slot.s) & (placed.slot == by_slot.k)).drop("source", "slot", "tie", "s", "k")
     grains = placed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(grain).cast("long"))))
     grains = grains.withColumn("len", F.least(F.lit(grain).cast("long"), F.col("n_tokens") - F.col("start"))).withColumn("from", F.col("before") + F.col("start"))
-    grains = grains.withColumn("round", F.ceil((F.col("from") + F.col("len")) / F.col("credit")).cast("long"))
+    end = F.col("from") + F.col("len")
+    sent = F.col("rounds") * (F.col("span") + (end - F.col("passed")) / F.col("held")) / KNOTS if position_col else end / F.col("credit")
+    grains = grains.withColumn("round", F.ceil(sent).cast("long"))
     grains = written(grains.select("row", "queue", "start", "len", "from", "round"), "grains")
     # Where each queue's part of each round begins in the sequence.
     turns = grains.groupBy("round", "queue").agg(F.min("from").alias("first"), F.sum("len").alias("sent"))

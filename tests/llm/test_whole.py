@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from strataflow.llm import quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -88,3 +89,28 @@ def test_mixture_gives_every_copy_a_position(spark, tmp_path):
     assert all((r["position"] is None) == (r["taken"] == 0) and (r["position_2"] is None) == (r["taken"] <= r["size"]) for r in got)
     taken = [r["position"] for r in got if r["taken"]]
     assert taken == sorted(taken) and [r["doc_id"] for r in got if r["position"] is None][-1] == 999
+
+
+def test_windows_follow_the_curriculum(spark):
+    rows = [(1000 * k + i, f"word{i} " * rng, "en", s) for k, s in enumerate("abc") for i, rng in enumerate([100] * 150 + [900] * 2)]
+    mixed = corpus_pipeline.by_mixture(spark, docs(spark, rows), "").collect()
+    order = [r["position"] for r in mixed]
+    assert order == sorted(order) and len(set(order)) > 300
+    frame = spark.createDataFrame(mixed).repartition(3)
+    pieces = corpus_pipeline.by_packing(spark, frame, "").collect()
+    assert sum(r["length"] for r in pieces if r["start"] + r["length"] == r["doc_tokens"]) > 0
+    half = max(r["sequence_id"] for r in pieces) / 2
+    share = [collections.Counter(), collections.Counter()]
+    for r in pieces:
+        share[r["sequence_id"] > half]["abc"[r["doc_id"] // 1000]] += r["length"]
+    early, late = ({k: n / sum(c.values()) for k, n in c.items()} for c in share)
+    # The first source fades, the third rises.
+    assert early["a"] - late["a"] > 0.08 and late["c"] - early["c"] > 0.04, (early, late)
+    # A document's copies lie in the windows at their positions.
+    when = collections.defaultdict(list)
+    for r in pieces:
+        if r["start"] == 0:
+            when[r["doc_id"]].append(r["sequence_id"] / (2 * half))
+    once = [r for r in mixed if len(when[r["doc_id"]]) == 1]
+    ranks = sorted(once, key=lambda r: when[r["doc_id"]][0])
+    assert len(once) > 10 and sum(abs(i - j) for i, j in enumerate(sorted(range(len(ranks)), key=lambda i: ranks[i]["position"]))) < len(ranks) ** 2 / 10
