@@ -125,10 +125,48 @@ def n_substeps(start: float, stop: float, dt: float) -> int:
     return max(0, math.ceil((stop - start) / dt - 1e-9))
 
 
-def snap(effects: DataFrame, time: str, start: float, dt: float) -> DataFrame:
-    """Adds ``step``, the grid step that an effect happens at (rounded to the nearest), and its number in that step's batch."""
-    step = F.round((F.col(time) - start) / dt).cast("long")
-    rows = effects.withColumn("step", step)
+#: Share of a step within which two times count as one.
+TOLERANCE = 1e-9
+
+
+def step_end(k: int, start: float, stop: float, dt: float) -> float:
+    """Where step k ends; the last one is shortened to end with the run."""
+    return stop if 0 < k == n_substeps(start, stop, dt) else start + k * dt
+
+
+def step_length(k: int, start: float, stop: float, dt: float) -> float:
+    """Length of step k, counted from 0: ``dt``, but for a last step that is cut short."""
+    n = n_substeps(start, stop, dt)
+    cut = stop - step_end(n - 1, start, stop, dt)
+    return cut if k == n - 1 and cut < (1 - TOLERANCE) * dt else dt
+
+
+def effect_step(t: float, start: float, stop: float, dt: float) -> int | None:
+    """The step at whose end an effect happens: the nearer end, of two as near the later one; None outside the run."""
+    if not start - TOLERANCE * dt <= t <= stop + TOLERANCE * dt:
+        return None
+    n = n_substeps(start, stop, dt)
+    before = min(max(math.floor((t - start) / dt), 0), n)
+    after = min(before + 1, n)
+    late = step_end(after, start, stop, dt) - t <= t - step_end(before, start, stop, dt) + 2 * TOLERANCE * dt
+    return after if late else before
+
+
+def snap(effects: DataFrame, time: str, start: float, dt: float, stop: float | None = None) -> DataFrame:
+    """Adds ``step``, the grid step at whose end an effect happens, and its number in that step's batch.
+
+    The nearest end counts, of two as near the later one.  With ``stop``, effects outside the run go, and one inside a
+    shortened last step takes the nearer of that step's own ends.
+    """
+    at = (F.col(time) - start) / dt
+    step = F.floor(at + 0.5 + TOLERANCE).cast("long")
+    rows = effects
+    if stop is not None:
+        n, span = n_substeps(start, stop, dt), (stop - start) / dt
+        rows = rows.where((at >= -TOLERANCE) & (at <= span + TOLERANCE))
+        inside = (at > n - 1) & F.lit(span < n - TOLERANCE)
+        step = F.when(inside, F.when(span - at <= at - (n - 1) + TOLERANCE, n).otherwise(n - 1)).otherwise(F.least(step, F.lit(n))).cast("long")
+    rows = rows.withColumn("step", step)
     return rows.withColumn("in_batch", F.row_number().over(W.partitionBy("step").orderBy(time, *[c for c in effects.columns if c != time])))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataflow.checks import Refused
 from strataflow.plans.model import Model
-from strataflow.plans.simulate import Kernel, compile_rate
+from strataflow.plans.simulate import Kernel, compile_rate, whole
 
 Series = Sequence[tuple[float, float | None]]
 
@@ -71,7 +71,7 @@ class Filter:
     def __init__(self, model: Model, series: Series, flow: str, start: float, dt: float, reporting: str, size: str | None = None):
         self.model, self.series, self.start, self.dt = model, list(series), start, dt
         self.kernel = Kernel(model)
-        self.flow = [t.name for t in model.transitions].index(flow)
+        self.flow = [t.name for t in self.kernel.model.transitions].index(flow)
         self.reporting, self.size = reporting, size
         self.initial = {c: compile_rate(e) for c, e in model.initial.items()}
 
@@ -79,7 +79,7 @@ class Filter:
         import numpy as np
 
         env = dict(parameters)
-        return {c: np.full(n, round(float(self.initial[c](env))) if c in self.initial else 0, np.int64) for c in self.model.compartments}
+        return {c: np.full(n, whole(np.float64(self.initial[c](env))) if c in self.initial else 0, np.int64) for c in self.model.compartments}
 
     def density(self, y: float, flow, parameters: dict):
         mean = parameters[self.reporting] * flow

@@ -48,7 +48,8 @@ class Model:
     real: tuple[str, ...] = ()
     actions: tuple[Action, ...] = ()
     bindings: Mapping[str, X.Expr] = field(default_factory=dict)
-    balance: str | None = None
+    #: A compartment and the value that it is set to at the end of every step, so that a budget holds.
+    balance: tuple[str, X.Expr] | None = None
 
 
 def staged(model: Model, compartment: str, stages: int, exit_name: str) -> Model:
@@ -85,7 +86,7 @@ def staged(model: Model, compartment: str, stages: int, exit_name: str) -> Model
 
 
 def branched(model: Model) -> Model:
-    """Flows with branches become one transition per destination, by weight."""
+    """Flows with branches become one transition per destination, by weight.  Every backend runs the model in this form."""
     out = []
     for t in model.transitions:
         total = sum(w for _, w in t.branches)
@@ -124,6 +125,10 @@ def problems(model: Model) -> list[str]:
             out.append(f"{t.name}: unknown law {t.law}")
     for c, e in model.initial.items():
         out += [f"{c}: {p}" for p in X.validate(e, names)]
+    out += [f"no compartment {c}" for c in model.real if c not in model.compartments]
+    if model.balance:
+        c, e = model.balance
+        out += [f"balance: {p}" for p in X.validate(e, names)] + ([f"balance: no compartment {c}"] if c not in model.compartments else [])
     for a in model.actions:
         if a.kind not in ("fraction", "absolute", "set", "add", "grouped"):
             out.append(f"{a.name}: unknown action {a.kind}")
@@ -132,7 +137,7 @@ def problems(model: Model) -> list[str]:
 
 def lint(model: Model) -> list[str]:
     """Compartments that nothing moves, transitions that share rate and ends."""
-    used = {c for t in model.transitions for c in (t.source, t.target)} | {c for a in model.actions for c in (a.source, a.target, *a.sources)}
+    used = {c for t in model.transitions for c in (t.source, t.target, *[b for b, _ in t.branches])} | ({model.balance[0]} if model.balance else set()) | {c for a in model.actions for c in (a.source, a.target, *a.sources)}
     out = [f"{c} never changes" for c in model.compartments if c not in used]
     seen: dict = {}
     for t in model.transitions:
@@ -144,18 +149,18 @@ def lint(model: Model) -> list[str]:
 
 # Which features each backend can run.
 BACKENDS = {
-    "chain_binomial": {"overdispersion", "deterministic", "actions", "reactive", "grouped", "balance"},
+    "chain_binomial": {"overdispersion", "deterministic", "actions", "grouped", "balance"},
     "gillespie": {"actions"},
     "ode": {"real", "actions", "balance"},
 }
 
 
-def refuse_unsupported(model: Model, backend: str, reactive: bool = False) -> None:
+def refuse_unsupported(model: Model, backend: str) -> None:
     if backend not in BACKENDS:
         raise Refused(f"unknown backend {backend}")
     wants = {
         "overdispersion": any(t.overdispersion for t in model.transitions), "deterministic": any(t.law == "deterministic" for t in model.transitions),
-        "actions": bool(model.actions), "grouped": any(a.kind == "grouped" for a in model.actions), "real": bool(model.real), "balance": model.balance is not None, "reactive": reactive,
+        "actions": bool(model.actions), "grouped": any(a.kind == "grouped" for a in model.actions), "real": bool(model.real), "balance": model.balance is not None,
     }
     if lost := [k for k, v in wants.items() if v and k not in BACKENDS[backend]]:
         raise Refused(f"{backend} can't run: {', '.join(lost)}")

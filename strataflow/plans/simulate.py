@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 
 from strataflow.checks import Refused
 from strataflow.functions import expr as X
-from strataflow.plans.grid import n_substeps
-from strataflow.plans.model import Model, initial_order, largest_remainder, problems, refuse_unsupported
+from strataflow.plans.grid import effect_step, n_substeps, step_end, step_length
+from strataflow.plans.model import Model, branched, initial_order, largest_remainder, problems, refuse_unsupported
 
 #: Above this chance of leaving in one step, a warning is due.
 COARSE = 0.1
 
 
-def _checked(model: Model, backend: str) -> None:
+def _checked(model: Model, backend: str) -> Model:
+    """The model in the form that backends run: one target per transition."""
     refuse_unsupported(model, backend)
     if found := problems(model):
         raise Refused("; ".join(found))
+    return branched(model)
+
+
+def whole(x):
+    """Nearest whole numbers, halves away from zero (numpy)."""
+    import numpy as np
+
+    half = np.nextafter(0.5, 0.0)
+    return np.trunc(x + np.copysign(half, x)).astype(np.int64)
 
 
 def with_initial(cells: DataFrame, model: Model) -> DataFrame:
@@ -36,8 +46,8 @@ def with_initial(cells: DataFrame, model: Model) -> DataFrame:
     return cells.withColumns({c: F.lit(0.0) for c in model.compartments if c not in model.initial})
 
 
-def _slopes(model: Model, state: Column, t: Column, dt: float) -> tuple[list[Column], list[Column]]:
-    columns = {n: F.col(n) for n in model.parameters} | {c: state[c] for c in model.compartments} | {"t": t, "dt": F.lit(dt)}
+def _slopes(model: Model, state: Column, t: Column, dt: Column) -> tuple[list[Column], list[Column]]:
+    columns = {n: F.col(n) for n in model.parameters} | {c: state[c] for c in model.compartments} | {"t": t, "dt": dt}
     for name, e in model.bindings.items():
         columns[name] = X.to_column(e, X.Scope(columns))
     rates = [X.to_column(tr.rate, X.Scope(columns)) for tr in model.transitions]
@@ -55,18 +65,19 @@ def ode(cells: DataFrame, model: Model, start: float, stop: float, dt: float, ev
     """Fourth-order Runge-Kutta with a fixed step inside Catalyst: (cell columns, time, t_start, t_stop, compartments, flow_*).
 
     One row per cell folds over its steps and keeps every ``every``-th state; flows are summed since the last kept one.
-    Effects of actions happen at the step nearest to their time.
+    The last step is shortened to end with the run.  Effects of actions happen at the end of a step that is nearest to their
+    time, then the balance is set.
     """
-    _checked(model, "ode")
+    model = _checked(model, "ode")
     steps = n_substeps(start, stop, dt)
     fields = [*model.compartments, *[f"flow_{t.name}" for t in model.transitions]]
     kind = "struct<" + ",".join(f"`{f}`:double" for f in fields) + ">"
 
-    def shifted(s: Column, k: Column, f: float) -> Column:
+    def shifted(s: Column, k: Column, f: Column) -> Column:
         return F.struct(*[(s[c] + f * k[c]).alias(c) for c in model.compartments])
 
-    def stage(s: Column, t: Column) -> Column:
-        change, rates = _slopes(model, s, t, dt)
+    def stage(s: Column, t: Column, length: Column) -> Column:
+        change, rates = _slopes(model, s, t, length)
         return F.struct(*[d.alias(c) for c, d in zip(model.compartments, change, strict=True)], *[r.alias(f"flow_{tr.name}") for tr, r in zip(model.transitions, rates, strict=True)])
 
     def let(value: Column, body) -> Column:
@@ -76,10 +87,11 @@ def ode(cells: DataFrame, model: Model, start: float, stop: float, dt: float, ev
     due: dict[int, list] = {}
     for a in model.actions:
         for t in a.at:
-            due.setdefault(round((t - start) / dt), []).append(a)
+            if (k := effect_step(t, start, stop, dt)) is not None:
+                due.setdefault(k, []).append(a)
 
-    def acted(s: Column, i: Column) -> Column:
-        if not due:
+    def acted(s: Column, i: Column, t: Column, length: Column) -> Column:
+        if not due and not model.balance:
             return s
         out = {f: s[f] for f in fields}
         for k, actions in due.items():
@@ -98,32 +110,44 @@ def ode(cells: DataFrame, model: Model, start: float, stop: float, dt: float, ev
                 out[a.source] = out[a.source] - moved
                 if a.target:
                     out[a.target] = out[a.target] + moved
+        if model.balance:
+            columns = {n: F.col(n) for n in model.parameters} | {c: out[c] for c in model.compartments} | {"t": t, "dt": length}
+            for name, e in model.bindings.items():
+                columns[name] = X.to_column(e, X.Scope(columns))
+            out[model.balance[0]] = F.when(i > 0, X.to_column(model.balance[1], X.Scope(columns))).otherwise(out[model.balance[0]])
         return F.struct(*[v.alias(f) for f, v in out.items()]).cast(kind)
 
+    def end(i: Column) -> Column:
+        return F.when(i == steps, F.lit(float(stop))).otherwise(F.lit(float(start)) + i * dt)
+
     def step(acc: Column, i: Column) -> Column:
-        s, t = acc["s"], F.lit(start) + i * dt
+        s, t = acc["s"], F.lit(float(start)) + i * dt
+        length = F.when(i == steps - 1, F.lit(float(step_length(steps - 1, start, stop, dt)))).otherwise(F.lit(float(dt)))
 
         def finish(k1: Column, k2: Column, k3: Column, k4: Column) -> Column:
-            new = F.struct(*[(s[f] + dt / 6 * (k1[f] + 2 * k2[f] + 2 * k3[f] + k4[f])).alias(f) for f in fields]).cast(kind)
-            return let(new, kept)
+            new = F.struct(*[(s[f] + length / 6 * (k1[f] + 2 * k2[f] + 2 * k3[f] + k4[f])).alias(f) for f in fields]).cast(kind)
+            return let(new, lambda n: let(acted(n, i + 1, end(i + 1), length), kept))
 
         def kept(n: Column) -> Column:
-            """At an output the state is appended and the flows start again; then come the actions of the step."""
+            """After the actions of the step, an output appends the state and lets the flows start again."""
             keep = (i + 1) % every == 0
-            row = F.struct((F.lit(start) + (i + 1) * dt).alias("time"), *[n[f].alias(f) for f in fields])
+            row = F.struct(end(i + 1).alias("time"), *[n[f].alias(f) for f in fields])
             reset = F.struct(*[(F.when(keep, 0.0).otherwise(n[f]) if f.startswith("flow_") else n[f]).alias(f) for f in fields]).cast(kind)
-            return F.struct(acted(reset, i + 1).alias("s"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
+            return F.struct(reset.alias("s"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-        return let(stage(s, t), lambda k1: let(stage(shifted(s, k1, dt / 2), t + dt / 2), lambda k2: let(stage(shifted(s, k2, dt / 2), t + dt / 2), lambda k3: let(stage(shifted(s, k3, dt), t + dt), lambda k4: finish(k1, k2, k3, k4)))))
+        half = length / 2
+        return let(stage(s, t, length), lambda k1: let(stage(shifted(s, k1, half), t + half, length), lambda k2: let(stage(shifted(s, k2, half), t + half, length), lambda k3: let(stage(shifted(s, k3, length), t + length, length), lambda k4: finish(k1, k2, k3, k4)))))
 
     rows = with_initial(cells, model)
     first = F.struct(*[F.col(c).cast("double").alias(c) for c in model.compartments], *[F.lit(0.0).alias(f"flow_{t.name}") for t in model.transitions]).cast(kind)
+    rows = rows.withColumn("_first", acted(first, F.lit(0), F.lit(float(start)), F.lit(float(dt))))
+    first = F.col("_first")
     held = F.struct(F.lit(float(start)).alias("time"), *[first[f].alias(f) for f in fields])
-    zero = F.struct(acted(first, F.lit(0)).alias("s"), F.array(held).alias("out"))
+    zero = F.struct(first.alias("s"), F.array(held).alias("out"))
     path = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), zero, step, lambda acc: acc["out"]) if steps else F.array(held)
-    out = rows.select(*cells.columns, F.explode(path).alias("p")).select(*cells.columns, "p.*")
-    span = dt * every
-    return out.withColumn("t_start", F.greatest(F.col("time") - span, F.lit(float(start)))).withColumn("t_stop", F.col("time"))
+    out = rows.select(*cells.columns, F.posexplode(path).alias("_k", "p")).select(*cells.columns, "p.*", "_k")
+    # Flows count from the output before.
+    return out.withColumn("t_start", start + F.greatest(F.col("_k") - 1, F.lit(0)) * (dt * every)).withColumn("t_stop", F.col("time")).drop("_k")
 
 
 def compile_rate(e: X.Expr):
@@ -154,7 +178,8 @@ class Kernel:
     """A step of the chain-binomial process for many particles or cells at once (arrays of one value per member)."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model = model = branched(model)
+        self.balance = (model.balance[0], compile_rate(model.balance[1])) if model.balance else None
         self.rates = [compile_rate(t.rate) for t in model.transitions]
         self.bindings = {n: compile_rate(e) for n, e in model.bindings.items()}
         self.exits = {c: [i for i, t in enumerate(model.transitions) if t.source == c] for c in model.compartments}
@@ -185,7 +210,7 @@ class Kernel:
         for c, exits in self.exits.items():
             n = state[c].astype(np.int64)
             for i in (i for i in exits if self.model.transitions[i].law == "deterministic"):
-                flows[i] = np.minimum(np.rint(rates[i] * dt).astype(np.int64), n)
+                flows[i] = np.minimum(whole(np.maximum(rates[i], 0) * dt), n)
                 n = n - flows[i]
             drawn = [i for i in exits if self.model.transitions[i].law != "deterministic"]
             if not drawn:
@@ -202,7 +227,7 @@ class Kernel:
         for i, tr in enumerate(self.model.transitions):
             if tr.source is None:
                 mean = np.maximum(rates[i], 0) * dt
-                flows[i] = np.rint(mean).astype(np.int64) if tr.law == "deterministic" else rng.poisson(mean)
+                flows[i] = whole(mean) if tr.law == "deterministic" else rng.poisson(mean)
         for f, tr in zip(flows, self.model.transitions, strict=True):
             if tr.source:
                 state[tr.source] = state[tr.source] - f
@@ -213,12 +238,11 @@ class Kernel:
                 raise ValueError(f"{c} fell below 0")
         return flows
 
-    def act(self, state: dict, step: int, start: float, dt: float) -> None:
+    def act(self, state: dict, due, parameters: Mapping, t: float, dt: float, balance: bool = True) -> None:
+        """The actions that ``due`` names, in order of declaration, then the balance."""
         import numpy as np
 
-        for a in self.model.actions:
-            if step not in {round((t - start) / dt) for t in a.at}:
-                continue
+        for a in (a for a in self.model.actions if a.name in due):
             if a.kind == "grouped":
                 held = np.stack([state[c] for c in a.sources])
                 for j in range(held.shape[1]):
@@ -228,14 +252,27 @@ class Kernel:
                             state[a.target][j] += n
                 continue
             if a.kind in ("fraction", "absolute"):
-                n = np.floor(state[a.source] * a.amount).astype(np.int64) if a.kind == "fraction" else np.minimum(round(a.amount), state[a.source])
+                n = np.floor(state[a.source] * a.amount).astype(np.int64) if a.kind == "fraction" else np.minimum(whole(a.amount), state[a.source])
                 state[a.source] = state[a.source] - n
                 if a.target:
                     state[a.target] = state[a.target] + n
             elif a.kind == "set":
-                state[a.target] = np.full_like(state[a.target], round(a.amount))
+                state[a.target] = np.full_like(state[a.target], whole(a.amount))
             else:
-                state[a.target] = np.maximum(state[a.target] + round(a.amount), 0)
+                state[a.target] = np.maximum(state[a.target] + whole(a.amount), 0)
+        if self.balance and balance:
+            target, value = self.balance
+            state[target] = np.broadcast_to(whole(np.asarray(value(self.environment(state, parameters, t, dt)), float)), state[target].shape).copy()
+
+
+def schedule(model: Model, start: float, stop: float, dt: float) -> dict[int, set[str]]:
+    """Names of the actions that are due at the end of each step (0: the start of the run)."""
+    due: dict[int, set[str]] = {}
+    for a in model.actions:
+        for t in a.at:
+            if (k := effect_step(t, start, stop, dt)) is not None:
+                due.setdefault(k, set()).add(a.name)
+    return due
 
 
 def _cells(pdf, model: Model) -> Iterator[tuple]:
@@ -264,26 +301,26 @@ def _run(cells: DataFrame, model: Model, run, partitions: int | None) -> DataFra
 
 def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt: float, every: int = 1, partitions: int | None = None) -> DataFrame:
     """Stochastic trajectories of every cell (column ``seed`` needed): compartments and flows since the last output."""
-    _checked(model, "chain_binomial")
-    steps = n_substeps(start, stop, dt)
+    model = _checked(model, "chain_binomial")
+    steps, due = n_substeps(start, stop, dt), schedule(model, start, stop, dt)
 
     def run(r, parameters):
         import numpy as np
         import pandas as pd
 
         kernel, rng = Kernel(model), np.random.default_rng([int(r.seed), 1])
-        state = {c: np.array([round(getattr(r, c))], np.int64) for c in model.compartments}
+        state = {c: whole(np.array([float(getattr(r, c))])) for c in model.compartments}
         sums, rows, before = [0] * len(model.transitions), [], start
+        kernel.act(state, due.get(0, ()), parameters, start, dt, balance=False)
         rows.append((start, start, start, *[int(state[c][0]) for c in model.compartments], *sums))
-        kernel.act(state, 0, start, dt)
         for i in range(steps):
-            flows = kernel.step(state, parameters, start + i * dt, dt, rng)
+            length, now = step_length(i, start, stop, dt), step_end(i + 1, start, stop, dt)
+            flows = kernel.step(state, parameters, step_end(i, start, stop, dt), length, rng)
             sums = [a + int(f[0]) for a, f in zip(sums, flows, strict=True)]
+            kernel.act(state, due.get(i + 1, ()), parameters, now, length)
             if (i + 1) % every == 0:
-                now = start + (i + 1) * dt
                 rows.append((now, before, now, *[int(state[c][0]) for c in model.compartments], *sums))
                 sums, before = [0] * len(sums), now
-            kernel.act(state, i + 1, start, dt)
         return pd.DataFrame(rows, columns=["time", "t_start", "t_stop", *model.compartments, *[f"flow_{t.name}" for t in model.transitions]])
 
     return _run(cells, model, run, partitions)
@@ -291,18 +328,18 @@ def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt
 
 def gillespie(cells: DataFrame, model: Model, start: float, stop: float, every: float, partitions: int | None = None) -> DataFrame:
     """Exact event-by-event trajectories; output times, actions and the end are hit exactly."""
-    _checked(model, "gillespie")
+    model = _checked(model, "gillespie")
 
     def run(r, parameters):
         import numpy as np
         import pandas as pd
 
         kernel, rng = Kernel(model), np.random.default_rng([int(r.seed), 2])
-        state = {c: np.array([round(getattr(r, c))], np.int64) for c in model.compartments}
+        state = {c: whole(np.array([float(getattr(r, c))])) for c in model.compartments}
         n_out = math.floor((stop - start) / every + 1e-9)
-        stops = sorted([(t, 0, None) for a in model.actions for t in a.at if start <= t <= stop] + [(start + i * every, 1, i) for i in range(n_out + 1)], key=lambda x: x[:2])
+        stops = sorted([(t, 0, a.name) for a in model.actions for t in a.at if start <= t <= stop] + [(start + i * every, 1, "") for i in range(n_out + 1)], key=lambda x: x[:2])
         t, before, sums, rows = start, start, np.zeros(len(model.transitions), int), []
-        for at, kind, _ in stops:
+        for at, kind, name in stops:
             while t < at:
                 rates = np.array([max(0.0, float(x[0])) for x in kernel.propensities(state, parameters, t, 0.0, 1)])
                 # A transition whose source is empty can't happen.
@@ -324,7 +361,7 @@ def gillespie(cells: DataFrame, model: Model, start: float, stop: float, every:
                 rows.append((at, before, at, *[int(state[c][0]) for c in model.compartments], *sums.tolist()))
                 sums, before = np.zeros_like(sums), at
             else:
-                kernel.act(state, 0, at, 1.0)
+                kernel.act(state, {name}, parameters, at, 0.0)
         return pd.DataFrame(rows, columns=["time", "t_start", "t_stop", *model.compartments, *[f"flow_{x.name}" for x in model.transitions]])
 
     return _run(cells, model, run, partitions)

@@ -45,6 +45,42 @@ def logistic_ode(spark, sf_dir):
     return rounded(simulate.ode(start, model, 0.0, 30.0, 0.5, every=10).select("k", "time", "x"), 8)
 
 
+@query(
+    "decay_with_a_short_last_step",
+    """WITH c AS (SELECT c_custkey AS k, (1 + c_custkey % 10) / 10.0 AS z FROM customer), p AS (SELECT k, z, i, z * CASE WHEN i < 4 THEN 0.3 ELSE 0.1 END AS h FROM c, range(1, 5) t(i)),
+    f AS (SELECT k, i, 1 - h + h * h / 2 - h * h * h / 6 + h * h * h * h / 24 AS f FROM p), g AS (SELECT k, i, 100 * exp(sum(ln(f)) OVER (PARTITION BY k ORDER BY i)) AS a FROM f),
+    s AS (SELECT k, 0 AS i, 100.0 AS a FROM c UNION ALL SELECT k, i, a FROM g)
+    SELECT k, round(least(i * 0.3, 1.0), 6) AS time, round(a, 6) AS a, round((100 - a) / 4, 6) AS b, round((100 - a) * 3 / 4, 6) AS c FROM s""",
+)
+def decay_short_step(spark, sf_dir):
+    """A decay that splits 1 : 3, in steps of 0.3 over 0..1: the last step is 0.1 long, and nothing is lost."""
+    model = Model(("A", "B", "C"), ("z",), (Transition("decay", "A", None, X.ref("z") * X.ref("A"), branches=(("B", 1.0), ("C", 3.0))),), initial={"A": X.lift(100)})
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), ((1 + F.col("c_custkey") % 10) / 10.0).alias("z"))
+    return rounded(simulate.ode(cells, model, 0.0, 1.0, 0.3).select("k", "time", F.col("A").alias("a"), F.col("B").alias("b"), F.col("C").alias("c")))
+
+
+@query(
+    "deterministic_flows_and_balance",
+    """WITH c AS (SELECT c_custkey AS k, (c_custkey % 40) * 5.0 AS r FROM customer), f AS (SELECT k, r, round(r * CAST(0.3 AS DOUBLE)) AS full_step, round(r * CAST(0.1 AS DOUBLE)) AS last_step FROM c)
+    SELECT k, CAST(3 * full_step + last_step AS BIGINT) AS inflow, CAST(1000 - (3 * full_step + last_step) AS BIGINT) AS rest FROM f""",
+)
+def deterministic_flows(spark, sf_dir):
+    """Flows of rate times step, halves rounded away from zero, with a last step that is cut short; ``rest`` closes the budget."""
+    model = Model(("A", "rest"), ("r",), (Transition("inflow", None, "A", X.ref("r"), law="deterministic"),), initial={"rest": X.lift(1000)}, balance=("rest", X.lift(1000) - X.ref("A")))
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), ((F.col("c_custkey") % 40) * 5.0).alias("r"), F.col("c_custkey").alias("seed"))
+    return simulate.chain_binomial(cells, model, 0.0, 1.0, 0.3).where("time = 1.0").select("k", F.col("A").alias("inflow"), "rest")
+
+
+@query(
+    "effects_at_half_steps",
+    """WITH x AS (SELECT o_orderkey, (o_orderkey % 21) / 4.0 AS t FROM orders) SELECT o_orderkey, CAST(CASE WHEN t > 4 AND 4.6 - t <= t - 4 + 1e-9 THEN 5 WHEN t > 4 THEN 4 ELSE floor(t + 0.5) END AS BIGINT) AS step FROM x WHERE t <= 4.6""",
+)
+def effects_at_half_steps(spark, sf_dir):
+    """Steps of length 1 over 0..4.6: ties go to the later step, and the short last one has ends of its own."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") % 21) / 4.0).alias("t"))
+    return grid.snap(x, "t", 0.0, 1.0, 4.6).select("o_orderkey", "step")
+
+
 @query("sir_ode_reductions")
 def sir_ode(spark, sf_dir):
     """Peak, final size and attack time per cell (the final size is checked against its equation in the tests)."""
@@ -62,7 +98,7 @@ def sir_stochastic(spark, sf_dir):
 
 @query("sir_event_driven")
 def sir_event_driven(spark, sf_dir):
-    return simulate.gillespie(cells(spark, sf_dir).where("point_id = 0"), sir(), 0.0, 40.0, 10.0).select("scenario", "time", "S", "I", "R")
+    return simulate.gillespie(cells(spark, sf_dir), sir(), 0.0, 40.0, 10.0).select("scenario", "point_id", "time", "S", "I", "R")
 
 
 @query("synthetic_observations")
