@@ -41,8 +41,11 @@ def resolve_prefix(runs: DataFrame, prefix: str, run_id: str = "run_id") -> str:
 
 def prefix_matches(runs: DataFrame, prefixes: DataFrame, run_id: str = "run_id") -> DataFrame:
     """(prefix, n_matches, status) for prefixes of one length each: an equi-join on the cut id."""
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().limit(100).collect()]
-    ids = runs.select(run_id).distinct().withColumn("prefix", F.explode(F.array_distinct(F.array(*[F.substring(run_id, 1, n) for n in lengths]))))
+    # As many lengths as the longest id has characters at most: a longer prefix matches nothing.
+    longest = runs.agg(F.max(F.length(run_id))).first()[0] or 0
+    lengths = [r[0] for r in prefixes.select(F.length("prefix").alias("n")).where(F.col("n") <= longest).distinct().collect()]
+    cut = F.array_distinct(F.transform(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: F.substring(F.col(run_id), F.lit(1), n)))
+    ids = runs.select(run_id).distinct().withColumn("prefix", F.explode(cut))
     out = prefixes.join(ids, "prefix", "left").groupBy("prefix").agg(F.count(run_id).alias("n_matches"))
     return out.withColumn("status", F.when(F.col("n_matches") == 0, "unknown").when(F.col("n_matches") > 1, "ambiguous").otherwise("resolved"))
 
@@ -91,8 +94,10 @@ def role_violations(parameters: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def render(df: DataFrame, form: str = "text", rows: int = 1000) -> str:
-    """A report of at most ``rows`` rows as text, md, csv or json."""
-    pdf = df.limit(rows).toPandas()
+    """A report as text, md, csv or json; a table of more than ``rows`` rows is refused."""
+    pdf = df.limit(rows + 1).toPandas()
+    if len(pdf) > rows:
+        raise Refused(f"a report has at most {rows} rows; ask for more or select some")
     if form == "json":
         return pdf.to_json(orient="records")
     if form == "csv":
