@@ -46,17 +46,23 @@ def add_years(date: Column, n: int) -> Column:
     return F.add_months(date, 12 * n)
 
 
-def date_range(start: Column, end: Column | None = None, count: int | None = None, days: int | None = None, months: int | None = None, inclusive_end: bool = False) -> Column:
-    """Array of dates; entry i is counted from the start.  ``count`` = N gives N + 1 entries."""
-    if (days is None) == (months is None) or (end is None) == (count is None):
-        raise ValueError("give days or months, and an end or a count")
+def date_range(start: Column, end: Column | None = None, count: int | None = None, days: int | None = None, months: int | None = None, years: int | None = None, inclusive_end: bool = True) -> Column:
+    """Array of dates; entry i is counted from the start.  ``count`` = N gives N + 1 entries.
+
+    An ``end`` on the cadence is an entry unless ``inclusive_end`` is off; one off the cadence never is.  An end before the
+    start gives no entry, and a null date a null array.
+    """
+    if sum(x is not None for x in (days, months, years)) != 1 or (end is None) == (count is None):
+        raise ValueError("give one of days, months and years, and an end or a count")
+    if years is not None:
+        months = 12 * years
     n = days if days is not None else months
-    if n <= 0:
-        raise ValueError("the cadence must be positive")
+    if n <= 0 or (count is not None and count < 1):
+        raise ValueError("the cadence and the count must be positive")
     step = F.make_dt_interval(days=F.lit(n)) if days is not None else F.make_ym_interval(months=F.lit(n))
     if count is not None:
         return F.transform(F.sequence(F.lit(0), F.lit(count)), lambda i: F.date_add(start, i * n) if days is not None else F.add_months(start, i * n))
-    out = F.sequence(start, end, step)
+    out = F.when(start <= end, F.sequence(start, end, step)).when(start > end, F.array().cast("array<date>"))
     return out if inclusive_end else F.filter(out, lambda d: d < end)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,12 +135,12 @@ def lagged(f, t: Column, lag: float, *args, **kwargs) -> Column:
     return f(t - lag, *args, **kwargs)
 
 
-def inside(t: Column, lo: float, hi: float, value: Column, hold: bool = False) -> tuple[Column, Column]:
-    """(value, was_held): outside [lo, hi] the value is refused, or the end value is held and flagged."""
+def inside(t: Column, lo: float, hi: float, f: Callable[[Column], Column], hold: bool = False) -> tuple[Column, Column]:
+    """(value, was_held) of a forcing: outside [lo, hi] it is refused, or held at the value of the nearer end and flagged."""
     out = (t < lo) | (t > hi)
     if hold:
-        return value, out
-    return F.when(out, F.raise_error(F.lit("evaluated outside the forcing's range")).cast("double")).otherwise(value), F.lit(False)
+        return f(F.least(F.greatest(t, F.lit(float(lo))), F.lit(float(hi)))), out
+    return F.when(out, F.raise_error(F.lit("evaluated outside the forcing's range")).cast("double")).otherwise(f(t)), F.lit(False)
 
 
 def on_ranges(t: Column, period: float, ranges: Sequence[tuple[float, float]]) -> Column:

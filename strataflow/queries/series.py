@@ -32,13 +32,13 @@ def _window_query(form: str, width: int):
 
     @query(
         f"window_{form}_sums",
-        f"""WITH {EVENTS}, labels AS (SELECT DISTINCT event_type, day AS d FROM ev WHERE day % 7 = 3),
+        f"""WITH {EVENTS}, labels AS (SELECT DISTINCT event_type, day AS d FROM ev),
         w AS (SELECT event_type, {bounds[0]} AS start, {bounds[1]} AS stop FROM labels)
         SELECT w.event_type, w.start, w.stop, count(ev.event_id) AS n, round(sum(ev.value), 4) AS total FROM w LEFT JOIN ev ON ev.event_type = w.event_type AND ev.day >= w.start AND ev.day < w.stop GROUP BY ALL""",
     )
     def run(spark, sf_dir):
         e = events(spark, sf_dir)
-        labels = e.where("day % 7 = 3").select("event_type", "day").distinct()
+        labels = e.select("event_type", "day").distinct()
         w = windows.label_window(labels, "day", form, width, 1)
         w = w.select("event_type", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
         out = windows.window_sums(e, w, ["event_type"], "day", {"n": F.count("*"), "total": F.sum("value")}, float(width))
@@ -233,13 +233,13 @@ def forcings(spark, sf_dir):
 
 @query(
     "forcing_from_table",
-    f"""WITH {DAILY}, k AS (SELECT event_type, CAST(day AS DOUBLE) AS x, v, lead(CAST(day AS DOUBLE)) OVER o AS x1, lead(v) OVER o AS v1, row_number() OVER o AS i FROM daily WHERE day % 6 = 1 WINDOW o AS (PARTITION BY event_type ORDER BY day)),
+    f"""WITH {DAILY}, k AS (SELECT event_type, CAST(day AS DOUBLE) AS x, v, lead(CAST(day AS DOUBLE)) OVER o AS x1, lead(v) OVER o AS v1, row_number() OVER o AS i FROM daily WINDOW o AS (PARTITION BY event_type ORDER BY day)),
     p AS (SELECT DISTINCT event_type, CAST(t AS DOUBLE) + 0.5 AS t FROM daily, unnest(range(0, 32)) AS u(t))
     SELECT p.event_type, p.t, round(CASE WHEN k.x IS NULL THEN f.v WHEN k.x1 IS NULL THEN k.v ELSE k.v + (p.t - k.x) * (k.v1 - k.v) / (k.x1 - k.x) END, 5) AS value FROM p ASOF LEFT JOIN k ON p.event_type = k.event_type AND p.t >= k.x LEFT JOIN k f ON f.event_type = p.event_type AND f.i = 1""",
 )
 def forcing_from_table(spark, sf_dir):
     d = daily(spark, sf_dir)
-    knots = d.where("day % 6 = 1").select("event_type", F.col("day").cast("double").alias("time"), F.col("v").alias("value"))
+    knots = d.select("event_type", F.col("day").cast("double").alias("time"), F.col("v").alias("value"))
     points = d.select("event_type").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(31)))).withColumn("t", F.col("t").cast("double") + 0.5)
     return rounded(forcing.join_series(points, knots, ["event_type"]).select("event_type", "t", "value"), 5)
 
@@ -258,13 +258,12 @@ def forcing_splines(spark, sf_dir):
     "calendar_functions",
     """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)
     SELECT CAST(d AS VARCHAR) AS d, round(date_diff('day', DATE '1992-01-01', d) / 7.0, 6) AS weeks, round(date_diff('day', DATE '1992-01-01', d) / 365.2425, 6) AS years, CAST(CAST(d + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS next_month, CAST(CAST(d + INTERVAL 12 MONTH AS DATE) AS VARCHAR) AS next_year, date_diff('day', DATE '1970-01-01', d) AS day_number,
-    CAST(DATE '1992-01-01' + CAST(floor(date_diff('day', DATE '1992-01-01', d) / 7.0) * 7 AS INTEGER) AS VARCHAR) AS week_start, (SELECT count(*) FROM unnest(range(0, 40)) u(i) WHERE d + i * INTERVAL 1 MONTH < DATE '1995-01-31') AS n_months FROM d""",
+    CAST(DATE '1992-01-01' + CAST(floor(date_diff('day', DATE '1992-01-01', d) / 7.0) * 7 AS INTEGER) AS VARCHAR) AS week_start, (SELECT count(*) FROM unnest(range(0, 60)) u(i) WHERE d + i * INTERVAL 1 MONTH <= DATE '1995-01-31') AS n_months FROM d""",
 )
 def calendar_functions(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
     weeks = calendar.to_internal(F.col("d"), "1992-01-01", "weeks")
-    # A range that starts behind its end would run backwards.
-    months = F.when(F.col("d") <= F.lit("1995-01-31").cast("date"), F.size(calendar.date_range(F.col("d"), F.lit("1995-01-31").cast("date"), months=1))).otherwise(0)
+    months = F.size(calendar.date_range(F.col("d"), F.lit("1995-01-31").cast("date"), months=1))
     text = lambda c: c.cast("string")
     return d.select(
         text(F.col("d")).alias("d"), F.round(weeks, 6).alias("weeks"), F.round(calendar.to_internal(F.col("d"), "1992-01-01", "years"), 6).alias("years"), text(calendar.add_months(F.col("d"), 1)).alias("next_month"), text(calendar.add_years(F.col("d"), 1)).alias("next_year"),
@@ -272,6 +271,26 @@ def calendar_functions(spark, sf_dir):
     )
 
 
+@query(
+    "date_ranges_on_their_cadence",
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), u AS (SELECT unnest(range(0, 200)) AS i),
+    m AS (SELECT d, count(*) FILTER (WHERE CAST(d + i * INTERVAL 3 MONTH AS DATE) <= e) AS quarters, count(*) FILTER (WHERE CAST(d + i * INTERVAL 3 MONTH AS DATE) < e) AS before_end, max(CAST(d + i * INTERVAL 3 MONTH AS DATE)) FILTER (WHERE CAST(d + i * INTERVAL 3 MONTH AS DATE) <= e) AS last_quarter
+      FROM (SELECT d, i, CAST(d + INTERVAL 9 MONTH AS DATE) AS e FROM d, u) GROUP BY d),
+    w AS (SELECT d, count(*) FILTER (WHERE d + CAST(14 * i AS INTEGER) <= DATE '1996-02-29') AS fortnights, count(*) FILTER (WHERE CAST(d + i * INTERVAL 1 YEAR AS DATE) <= DATE '1996-02-29') AS years FROM d, u GROUP BY d)
+    SELECT CAST(d AS VARCHAR) AS d, quarters, before_end, CAST(last_quarter AS VARCHAR) AS last_quarter, fortnights, years FROM m JOIN w USING (d)""",
+)
+def date_ranges_on_their_cadence(spark, sf_dir):
+    """Ranges with an end on the cadence, before the start, and off the cadence."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("d")).distinct()
+    end, leap = F.add_months("d", 9), F.lit("1996-02-29").cast("date")
+    quarters = calendar.date_range(F.col("d"), end, months=3)
+    size = lambda c: F.size(c).cast("long")
+    return d.select(
+        F.col("d").cast("string").alias("d"), size(quarters).alias("quarters"), size(calendar.date_range(F.col("d"), end, months=3, inclusive_end=False)).alias("before_end"), F.array_max(quarters).cast("string").alias("last_quarter"),
+        size(calendar.date_range(F.col("d"), leap, days=14)).alias("fortnights"), size(calendar.date_range(F.col("d"), leap, years=1)).alias("years"),
+    )
+
+
 @query("observation_anchors", f"""WITH {EVENTS} SELECT event_type, min(day) - 7.0 AS first_obs, max(day) + 14.0 AS last_obs FROM ev GROUP BY 1""")
 def observation_anchors(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.col("day").cast("double"))
