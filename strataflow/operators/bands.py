@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.checks import refuse_any
 from strataflow.functions.arithmetic import finite
+from strataflow.operators.order import interpolated, ordered_counts
 
 #: Fixed levels of a band.
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -21,35 +22,30 @@ def band(df: DataFrame, by: list[str], value: str, levels: tuple[float, ...] = L
     """Linearly interpolated quantiles; a value that is not finite is refused."""
     if check:
         refuse_any(df.where(F.col(value).isNotNull() & ~finite(F.col(value).cast("double"))), "a band needs finite values")
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in levels]))
-    out = df.groupBy(*by).agg(F.count("*").alias("n_draws"), q.alias("_q"))
-    return out.select(*by, "n_draws", *[F.col("_q")[i].alias(_name(p)) for i, p in enumerate(levels)])
+    rows = ordered_counts(df.withColumn("_v", F.col(value).cast("double")), by, "_v")
+    return rows.groupBy(*by).agg(F.sum("_all").alias("n_draws"), *[interpolated(p, "_v").alias(_name(p)) for p in levels])
 
 
 def censored_band(df: DataFrame, by: list[str], value: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """A band over the values that are there, with the number and share of the missing ones."""
-    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(p) for p in levels]))
-    n, out = F.count("*"), F.count("*") - F.count(value)
-    rows = df.groupBy(*by).agg(n.alias("n_draws"), F.count(value).alias("n_value"), out.alias("n_censored"), (out / n).alias("p_censored"), q.alias("_q"))
-    return rows.select(*by, "n_draws", "n_value", "n_censored", "p_censored", *[F.col("_q")[i].alias(_name(p)) for i, p in enumerate(levels)])
+    n, out = F.sum("_all"), F.sum("_all") - F.sum("_c")
+    rows = ordered_counts(df.withColumn("_v", F.col(value).cast("double")), by, "_v")
+    return rows.groupBy(*by).agg(n.alias("n_draws"), F.sum("_c").alias("n_value"), out.alias("n_censored"), (out / n).alias("p_censored"), *[interpolated(p, "_v").alias(_name(p)) for p in levels])
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, levels: tuple[float, ...]) -> DataFrame:
     """The smallest value whose rank reaches p * n."""
-    order = W.partitionBy(*by).orderBy(value)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(W.partitionBy(*by)))
-    pick = lambda p: F.min(F.when(F.col("_r") >= F.greatest(F.ceil(p * F.col("_n")), F.lit(1)), F.col(value)))
+    rows = ordered_counts(df.where(F.col(value).isNotNull()), by, value)
+    pick = lambda p: F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(p * F.col("_total")), F.lit(1)), F.col(value)))
     return rows.groupBy(*by).agg(*[pick(p).alias(_name(p)) for p in levels])
 
 
 def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """Weighted mean and, per level, the least value whose cumulative weight share reaches it; rows of weight 0 don't count."""
-    rows = df.where(F.col(weight) > 0)
-    upto = W.partitionBy(*by).orderBy(value).rangeBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_c", F.sum(weight).over(upto)).withColumn("_t", F.sum(weight).over(W.partitionBy(*by)))
+    rows = ordered_counts(df.where((F.col(weight) > 0) & F.col(value).isNotNull()), by, value, weight)
     # The last cumulative weight may fall short of the total by rounding.
-    picks = [F.coalesce(F.min(F.when(F.col("_c") >= p * F.col("_t") * (1 - 1e-12), F.col(value))), F.max(value)).alias(_name(p)) for p in levels]
-    return rows.groupBy(*by).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"), *picks)
+    picks = [F.coalesce(F.min(F.when(F.col("_upto") >= p * F.col("_total") * (1 - 1e-12), F.col(value))), F.max(value)).alias(_name(p)) for p in levels]
+    return rows.groupBy(*by).agg((F.sum(F.col("_c") * F.col(value)) / F.sum("_c")).alias("mean"), *picks)
 
 
 def from_log_weights(df: DataFrame, by: list[str], log_weight: str) -> DataFrame:
@@ -62,16 +58,17 @@ def from_log_weights(df: DataFrame, by: list[str], log_weight: str) -> DataFrame
 def log_mean_exp(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """log of the sum and the mean of exp(x), with the delta-method standard error of the latter.
 
-    One value has error 0; a NaN gives NaN; if all values are minus infinity, so are both, and the error is NaN.
+    One value stands for itself and has error 0, whatever it is.  Among several a NaN gives NaN; plus infinity gives plus
+    infinity, and minus infinity alone itself, both with error NaN.
     """
     top = F.max(value).over(W.partitionBy(*by))
-    low = F.lit(float("-inf"))
-    rows = df.withColumn("_top", top).withColumn("_e", F.when(F.col("_top") == low, F.lit(0.0)).otherwise(F.exp(F.col(value) - F.col("_top"))))
+    ends = [float("-inf"), float("inf")]
+    rows = df.withColumn("_top", top).withColumn("_e", F.when(F.col("_top").isin(ends), F.lit(0.0)).otherwise(F.exp(F.col(value) - F.col("_top"))))
     n, s = F.count(value), F.sum("_e")
     out = rows.groupBy(*by).agg(n.alias("n"), F.max("_top").alias("_m"), s.alias("_s"), F.stddev_samp("_e").alias("_sd"))
-    none = F.col("_m") == low
-    lse = F.when(none, low).otherwise(F.col("_m") + F.log(F.col("_s")))
-    se = F.when(none, F.lit(float("nan"))).when(F.col("n") == 1, F.lit(0.0)).otherwise(F.try_divide(F.col("_sd") * F.sqrt("n"), F.col("_s")))
+    none = F.col("_m").isin(ends)
+    lse = F.when(none | (F.col("n") == 1), F.col("_m")).otherwise(F.col("_m") + F.log(F.col("_s")))
+    se = F.when(F.col("n") == 1, F.lit(0.0)).when(none, F.lit(float("nan"))).otherwise(F.try_divide(F.col("_sd") * F.sqrt("n"), F.col("_s")))
     return out.select(*by, "n", lse.alias("log_sum"), (lse - F.log("n")).alias("log_mean"), se.alias("log_mean_se"))
 
 

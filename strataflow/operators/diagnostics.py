@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.functions.arithmetic import finite
 from strataflow.functions.special import normal_cdf, normal_quantile
+from strataflow.operators.order import interpolated, ordered_counts
 
 # Bands of R-hat, evidence steps in decibans, and their labels.
 RHAT_STEPS = (1.05, 1.1, 1.5)
@@ -28,18 +30,26 @@ def split_chains(df: DataFrame, by: list[str], chain: str, order: str) -> DataFr
     return rows.where("half is not null").drop("_i", "_n")
 
 
-def rank_scores(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFrame:
-    """Adds normal scores of pooled average ranks, (r - 3/8) / (S + 1/4)."""
-    low = F.rank().over(W.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(W.partitionBy(*by, value))
-    s = F.count("*").over(W.partitionBy(*by))
-    rank = low + (ties - 1) / 2
-    return df.withColumn(out, normal_quantile((rank - 0.375) / (s + 0.25)))
+def rank_scores(df: DataFrame, by: list[str], value: str, out: str = "z", also: Sequence[str] = ()) -> DataFrame:
+    """(by, also, value, count, score) of the distinct values: normal scores of pooled average ranks, (r - 3/8) / (S + 1/4)."""
+    rows = ordered_counts(df, by, value, also=also)
+    rank = F.col("_upto") - (F.col("_ties") - 1) / 2
+    return rows.select(*by, *also, value, F.col("_c").alias("count"), normal_quantile((rank - 0.375) / (F.col("_total") + 0.25)).alias(out))
 
 
-def basic_rhat(df: DataFrame, by: list[str], chain: list[str], value: str, out: str = "rhat") -> DataFrame:
-    """Between- and within-chain variances in two aggregations; constant chains give infinity, one constant value NaN."""
-    each = df.groupBy(*by, *chain).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.when(F.min(value) == F.max(value), 0.0).otherwise(F.var_samp(value)).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+def basic_rhat(df: DataFrame, by: list[str], chain: list[str], value: str, out: str = "rhat", count: str | None = None) -> DataFrame:
+    """Between- and within-chain variances in two aggregations; constant chains give infinity, one constant value NaN.
+
+    ``count``: a column that says for how many draws a row stands.
+    """
+    v = F.col(value)
+    if count is None:
+        n, mean, spread = F.count("*"), F.avg(value), F.var_samp(value)
+    else:
+        c = F.col(count)
+        n, mean = F.sum(c), F.sum(c * v) / F.sum(c)
+        spread = F.greatest(F.sum(c * v * v) - n * mean * mean, F.lit(0.0)) / (n - 1)
+    each = df.groupBy(*by, *chain).agg(n.alias("n"), mean.alias("m"), F.when(F.min(value) == F.max(value), 0.0).otherwise(spread).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     total = each.groupBy(*by).agg(F.count("*").alias("k"), F.min("n").alias("n"), F.var_samp("m").alias("b"), F.avg("v").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     r = F.sqrt((F.try_divide(F.col("b") * F.col("n"), F.col("w")) + F.col("n") - 1) / F.col("n"))
     none = (F.col("k") < 2) | (F.col("n") < 2) | (F.col("lo") == F.col("hi"))
@@ -49,11 +59,12 @@ def basic_rhat(df: DataFrame, by: list[str], chain: list[str], value: str, out:
 def rank_rhat(df: DataFrame, by: list[str], chain: str, order: str, value: str) -> DataFrame:
     """rhat_bulk, rhat_folded and their maximum from split chains."""
     split = split_chains(df, by, chain, order)
-    bulk = basic_rhat(rank_scores(split, by, value), by, [chain, "half"], "z", "rhat_bulk")
+    sides = [chain, "half"]
+    bulk = basic_rhat(rank_scores(split, by, value, also=sides), by, sides, "z", "rhat_bulk", "count")
     # Folding looks at all draws, the middle ones too.
-    centre = df.groupBy(*by).agg(F.percentile(value, 0.5).alias("_med"))
+    centre = ordered_counts(df, by, value).groupBy(*by).agg(interpolated(0.5, value).alias("_med"))
     folded = split.join(centre, by).withColumn("_f", F.abs(F.col(value) - F.col("_med")))
-    folded = basic_rhat(rank_scores(folded, by, "_f"), by, [chain, "half"], "z", "rhat_folded")
+    folded = basic_rhat(rank_scores(folded, by, "_f", also=sides), by, sides, "z", "rhat_folded", "count")
     both = bulk.join(folded, by)
     worse = F.when(F.isnan("rhat_bulk") | F.isnan("rhat_folded"), float("nan")).otherwise(F.greatest("rhat_bulk", "rhat_folded"))
     return both.withColumn("rhat", worse)
@@ -148,11 +159,14 @@ def rhat_band(rhat: Column) -> Column:
     return out.when(rhat < RHAT_STEPS[1], "not_converged").when(rhat < RHAT_STEPS[2], "high").otherwise("severe")
 
 
-def newey_west(df: DataFrame, by: list[str], order: str, value: str, max_lag: int = 32) -> DataFrame:
+def newey_west(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """n, total, se of the sum with Bartlett weights, lag-1 autocorrelation and the small-sample factor of a series.
 
-    The lag is floor(4 (n / 100)^(2/9)); the products of each lag come from one window and one aggregation.
+    The lag is floor(4 (n / 100)^(2/9)); the products of each lag come from one window and one aggregation, for as many lags
+    as the longest series needs (143 for a billion rows).
     """
+    longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    max_lag = max(1, math.floor(4 * (longest / 100) ** (2 / 9)) + 1)
     place = W.partitionBy(*by).orderBy(order)
     whole = W.partitionBy(*by)
     rows = df.withColumn("_c", F.col(value) - F.avg(value).over(whole))

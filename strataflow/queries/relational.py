@@ -29,21 +29,22 @@ def dense_grid(spark, sf_dir):
 
 @query(
     "missing_cells",
-    """SELECT n_name, s.seg AS segment FROM nation, (SELECT DISTINCT c_mktsegment AS seg FROM customer) s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n_nationkey AND c.c_mktsegment = s.seg AND c.c_acctbal < -900)""",
+    """SELECT c_custkey, p.o_orderpriority FROM customer, (SELECT DISTINCT o_orderpriority FROM orders) p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderpriority = p.o_orderpriority)""",
 )
 def missing_cells(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    cells = joins.grid(n, c.select(F.col("c_mktsegment").alias("segment")).distinct())
-    rows = c.where("c_acctbal < -900").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment"))
-    return joins.missing_cells(cells, rows, ["n_nationkey", "segment"]).select("n_name", "segment")
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    cells = joins.grid(table(spark, sf_dir, "customer").select("c_custkey"), o.select("o_orderpriority").distinct())
+    return joins.missing_cells(cells, o, ["c_custkey", "o_orderpriority"])
 
 
-@query("unknown_levels", "SELECT DISTINCT event_type FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id < 3)")
+@query("unknown_levels", "SELECT DISTINCT l_partkey, l_suppkey, p_brand || s_name AS level FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_brand || s_name NOT IN (SELECT p_brand || s_name FROM part JOIN supplier ON p_partkey = s_suppkey)")
 def unknown_levels(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    dim = joins.levels(e.where("event_id < 3"), "event_type", "event_id")
-    return joins.unknown_levels(e.select("event_type").distinct(), dim, "event_type").select("event_type")
+    """Pairs of brand and supplier that are sold, but aren't among the pairs with equal keys."""
+    p, s, l = (table(spark, sf_dir, t) for t in ("part", "supplier", "lineitem"))
+    level = F.concat("p_brand", "s_name")
+    dim = joins.levels(p.join(s, p.p_partkey == s.s_suppkey).select(level.alias("level"), "p_partkey"), "level", "p_partkey")
+    rows = l.join(p, l.l_partkey == p.p_partkey).join(s, l.l_suppkey == s.s_suppkey).select("l_partkey", "l_suppkey", level.alias("level")).distinct()
+    return joins.unknown_levels(rows, dim, "level").select("l_partkey", "l_suppkey", "level")
 
 
 @query(
@@ -64,11 +65,12 @@ def consecutive_levels(spark, sf_dir):
 
 @query(
     "shared_axis",
-    f"""WITH {DAILY} SELECT day, max(v) FILTER (WHERE event_type = 'click' AND day % 2 = 0) AS click, max(v) FILTER (WHERE event_type = 'error' AND day % 3 = 0) AS error FROM daily WHERE (event_type = 'click' AND day % 2 = 0) OR (event_type = 'error' AND day % 3 = 0) GROUP BY day""",
+    f"""WITH {EVENTS} SELECT user_id, day, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'error') AS error FROM ev WHERE event_type IN ('click', 'error') GROUP BY user_id, day""",
 )
 def shared_axis(spark, sf_dir):
-    d = daily(spark, sf_dir)
-    return joins.shared_axis({"click": d.where("event_type = 'click' and day % 2 = 0"), "error": d.where("event_type = 'error' and day % 3 = 0")}, [], "day", "v")
+    """Two of the streams of every user on the days of both."""
+    e = events(spark, sf_dir)
+    return joins.shared_axis({t: e.where(F.col("event_type") == t) for t in ("click", "error")}, ["user_id"], "day", "value")
 
 
 @query(
@@ -83,12 +85,12 @@ def paired_scenarios(spark, sf_dir):
 
 @query(
     "full_outer_pairing",
-    f"""WITH {EVENTS}, a AS (SELECT user_id, count(*) AS n FROM ev WHERE event_type = 'purchase' AND day < 5 GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM ev WHERE event_type = 'error' AND day < 5 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, CAST(a.n AS DOUBLE) AS a, CAST(b.n AS DOUBLE) AS b FROM a FULL JOIN b ON a.user_id = b.user_id""",
+    f"""WITH {EVENTS}, a AS (SELECT user_id, day, count(*) AS n FROM ev WHERE event_type = 'purchase' GROUP BY 1, 2), b AS (SELECT user_id, day, count(*) AS n FROM ev WHERE event_type = 'error' GROUP BY 1, 2) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.day, b.day) AS day, CAST(a.n AS DOUBLE) AS a, CAST(b.n AS DOUBLE) AS b FROM a FULL JOIN b ON a.user_id = b.user_id AND a.day = b.day""",
 )
 def full_outer_pairing(spark, sf_dir):
-    e = events(spark, sf_dir).where("day < 5")
-    side = lambda t: e.where(F.col("event_type") == t).groupBy("user_id").agg(F.count("*").cast("double").alias("n"))
-    return joins.paired_outer(side("purchase"), side("error"), ["user_id"], "n")
+    e = events(spark, sf_dir)
+    side = lambda t: e.where(F.col("event_type") == t).groupBy("user_id", "day").agg(F.count("*").cast("double").alias("n"))
+    return joins.paired_outer(side("purchase"), side("error"), ["user_id", "day"], "n")
 
 
 @query("chain_selection", "SELECT c_nationkey, count(*) AS n FROM customer WHERE c_nationkey NOT IN (3, 4) GROUP BY 1")
@@ -189,13 +191,14 @@ def prefix_resolution(spark, sf_dir):
 
 @query(
     "model_diff",
-    """WITH l AS (SELECT p_brand, p_type, round(avg(p_retailprice), 2) AS v FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2), r AS (SELECT p_brand, p_type, round(avg(p_retailprice), 2) AS v FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1, 2)
-    SELECT coalesce(l.p_brand, r.p_brand) AS p_brand, coalesce(l.p_type, r.p_type) AS p_type, CASE WHEN r.p_brand IS NULL THEN 'only_left' WHEN l.p_brand IS NULL THEN 'only_right' WHEN l.v = r.v THEN 'same' ELSE 'changed' END AS status FROM l FULL JOIN r ON l.p_brand = r.p_brand AND l.p_type = r.p_type""",
+    """WITH x AS (SELECT DISTINCT o_orderpriority AS p_brand, o_orderdate AS p_type, o_orderstatus AS s FROM orders), l AS (SELECT p_brand, p_type, min(s) AS v FROM x GROUP BY 1, 2), r AS (SELECT o_orderpriority AS p_brand, l_shipdate AS p_type, min(o_orderstatus) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+    SELECT coalesce(l.p_brand, r.p_brand) AS priority, strftime(coalesce(l.p_type, r.p_type), '%Y-%m-%d') AS day, CASE WHEN r.p_brand IS NULL THEN 'only_left' WHEN l.p_brand IS NULL THEN 'only_right' WHEN l.v = r.v THEN 'same' ELSE 'changed' END AS status FROM l FULL JOIN r ON l.p_brand = r.p_brand AND l.p_type = r.p_type""",
 )
 def model_diff(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    side = lambda c: p.where(c).groupBy("p_brand", "p_type").agg(F.round(F.avg("p_retailprice"), 2).alias("v"))
-    return catalog.diff(side("p_partkey % 3 <> 0"), side("p_partkey % 3 <> 1"), ["p_brand", "p_type"], "v").select("p_brand", "p_type", "status")
+    """Statuses by priority and day, once by the day of the order and once by that of its lines."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    side = lambda df, day: df.groupBy(F.col("o_orderpriority").alias("priority"), F.date_format(day, "yyyy-MM-dd").alias("day")).agg(F.min("o_orderstatus").alias("v"))
+    return catalog.diff(side(o, "o_orderdate"), side(o.join(l, o.o_orderkey == l.l_orderkey), "l_shipdate"), ["priority", "day"], "v").select("priority", "day", "status")
 
 
 @query(
@@ -210,10 +213,11 @@ def affected_by(spark, sf_dir):
 
 @query(
     "role_partition",
-    """WITH r AS (SELECT c_nationkey AS name, count(*) AS n FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9900) GROUP BY 1) SELECT CAST(coalesce(n_nationkey, name) AS INTEGER) AS name, CASE WHEN n_nationkey IS NULL THEN 'unknown parameter' WHEN coalesce(n, 0) = 0 THEN 'no role' ELSE 'several roles' END AS problem FROM nation FULL JOIN r ON name = n_nationkey WHERE n_nationkey IS NULL OR coalesce(n, 0) <> 1""",
+    """WITH r AS (SELECT CASE WHEN s_acctbal < 0 THEN s_nationkey + 20 ELSE s_nationkey END AS name, count(*) AS n FROM supplier GROUP BY 1) SELECT CAST(coalesce(n_nationkey, name) AS INTEGER) AS name, CASE WHEN n_nationkey IS NULL THEN 'unknown parameter' WHEN coalesce(n, 0) = 0 THEN 'no role' ELSE 'several roles' END AS problem FROM nation FULL JOIN r ON name = n_nationkey WHERE n_nationkey IS NULL OR coalesce(n, 0) <> 1""",
 )
 def role_partition(spark, sf_dir):
-    roles = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").cast("int").alias("name"), "c_mktsegment").distinct()
+    key = F.when(F.col("s_acctbal") < 0, F.col("s_nationkey") + 20).otherwise(F.col("s_nationkey"))
+    roles = table(spark, sf_dir, "supplier").select(key.cast("int").alias("name"), "s_suppkey")
     return catalog.role_violations(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("name")), roles)
 
 

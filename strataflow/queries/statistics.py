@@ -51,6 +51,21 @@ def log_mean_exp(spark, sf_dir):
     return rounded(bands.log_mean_exp(l, ["l_suppkey"], "x"))
 
 
+@query(
+    "log_mean_exp_of_infinities",
+    """WITH x AS (SELECT o_custkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 1 WHEN o_orderpriority = '2-HIGH' AND o_orderstatus = 'P' THEN 2 WHEN o_orderstatus = 'O' THEN -1 ELSE 0 END AS kind FROM orders),
+    g AS (SELECT o_custkey, count(*) AS n, max(kind) AS top, min(kind) AS low FROM x GROUP BY 1)
+    SELECT o_custkey, n, CASE WHEN top = 2 THEN 'NaN' WHEN top = 1 THEN 'Infinity' WHEN top = -1 THEN '-Infinity' ELSE 'finite' END AS log_mean, CASE WHEN n = 1 THEN 'finite' WHEN top <> 0 THEN 'NaN' ELSE 'finite' END AS error FROM g""",
+)
+def log_mean_exp_of_infinities(spark, sf_dir):
+    """What infinities and NaN among log values give: one value stands for itself, plus infinity wins over minus infinity."""
+    o, p = F.col("o_orderstatus"), F.col("o_orderpriority")
+    x = F.when((p == "1-URGENT") & (o == "F"), float("inf")).when((p == "2-HIGH") & (o == "P"), float("nan")).when(o == "O", float("-inf")).otherwise(F.col("o_totalprice") / 1e6)
+    got = bands.log_mean_exp(table(spark, sf_dir, "orders").select("o_custkey", x.alias("x")), ["o_custkey"], "x")
+    kind = lambda c: F.when(F.isnan(c), "NaN").when(F.abs(c) == float("inf"), F.when(F.col(c) > 0, "Infinity").otherwise("-Infinity")).otherwise("finite")
+    return got.select("o_custkey", "n", kind("log_mean").alias("log_mean"), kind("log_mean_se").alias("error"))
+
+
 @query("replicate_totals", "WITH t AS (SELECT l_returnflag, l_linenumber, sum(l_tax) AS total FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, count(*) AS n_replicates, round(avg(total), 4) AS mean_total, round(stddev_samp(total) / sqrt(count(*)), 4) AS mc_se FROM t GROUP BY 1")
 def replicate_totals(spark, sf_dir):
     return rounded(bands.replicate_totals(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linenumber", "l_tax"), 4)
@@ -118,7 +133,7 @@ def _rhat_sql(source: str, out: str) -> str:
     {out} AS (SELECT g, sqrt((var_samp(m) * min(n) / avg(v) + min(n) - 1) / min(n)) AS rhat FROM {out}_c GROUP BY 1)"""
 
 
-CHAINS = "d AS (SELECT l_returnflag AS g, l_linenumber AS chain, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 4), h AS (SELECT g, chain, x, CASE WHEN i <= n // 2 THEN 0 ELSE 1 END AS half FROM d WHERE i <= n // 2 OR i > n - n // 2)"
+CHAINS = "d AS (SELECT l_returnflag AS g, l_linenumber AS chain, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag, l_linenumber ORDER BY l_orderkey, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_returnflag, l_linenumber) AS n FROM lineitem), h AS (SELECT g, chain, x, CASE WHEN i <= n // 2 THEN 0 ELSE 1 END AS half FROM d WHERE i <= n // 2 OR i > n - n // 2)"
 
 
 @query(
@@ -128,7 +143,7 @@ CHAINS = "d AS (SELECT l_returnflag AS g, l_linenumber AS chain, l_extendedprice
 )
 def rank_rhat(spark, sf_dir):
     """Line numbers as chains, order keys as draws."""
-    l = _ordered(spark, sf_dir).where("l_linenumber <= 4")
+    l = _ordered(spark, sf_dir)
     out = diagnostics.rank_rhat(l, ["l_returnflag"], "l_linenumber", "at", "l_extendedprice")
     return rounded(out.withColumn("band", diagnostics.rhat_band(F.col("rhat"))))
 
@@ -136,7 +151,7 @@ def rank_rhat(spark, sf_dir):
 @query("chain_ess")
 def chain_ess(spark, sf_dir):
     """Bulk and tail effective sample size (checked against an independent version in the tests)."""
-    l = _ordered(spark, sf_dir).where("l_linenumber <= 2")
+    l = _ordered(spark, sf_dir)
     l = bands.common_length(l, ["l_returnflag"], "l_linenumber", "at")
     return rounded(diagnostics.chain_ess(l, ["l_returnflag"], "l_linenumber", "i", "l_extendedprice"), 4)
 
@@ -150,22 +165,20 @@ def convergence_status(spark, sf_dir):
     return diagnostics.convergence_status(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_linenumber", "l_tax")
 
 
-_LAGS = 8
-
-
 @query(
     "newey_west_evidence",
     f"""WITH {DAILY}, d AS (SELECT a.event_type, a.day, b.n - a.n AS d FROM daily a JOIN daily b ON a.day = b.day AND b.event_type = 'view' WHERE a.event_type <> 'view'),
-    c AS (SELECT *, d - avg(d) OVER (PARTITION BY event_type) AS c FROM d), p AS (SELECT *, {", ".join(f"c * lag(c, {k}) OVER (PARTITION BY event_type ORDER BY day) AS p{k}" for k in range(1, _LAGS + 1))} FROM c),
-    g AS (SELECT event_type, count(*) AS n, sum(d) AS total, sum(c * c) AS g0, {", ".join(f"sum(p{k}) AS g{k}" for k in range(1, _LAGS + 1))}, least(floor(4 * pow(count(*) / 100.0, 2.0 / 9)), count(*) - 1) AS l FROM p GROUP BY 1),
-    s AS (SELECT *, sqrt(greatest(g0 + {" + ".join(f"CASE WHEN l >= {k} THEN 2 * (1 - {k} / (l + 1)) * coalesce(g{k}, 0) ELSE 0 END" for k in range(1, _LAGS + 1))}, 0)) AS se FROM g)
-    SELECT event_type, n, CAST(total AS DOUBLE) AS total, CAST(l AS INTEGER) AS nw_lag, round(se, 6) AS nw_se, round(g1 / g0, 6) AS lag1, round(sqrt((n - 1) / n), 6) AS small_sample FROM s""",
+    c AS (SELECT *, d - avg(d) OVER (PARTITION BY event_type) AS c, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM d),
+    t AS (SELECT event_type, count(*) AS n, sum(d) AS total, sum(c * c) AS g0, least(floor(4 * pow(count(*) / 100.0, 2.0 / 9)), count(*) - 1) AS l FROM c GROUP BY 1),
+    g AS (SELECT a.event_type, b.i - a.i AS k, sum(a.c * b.c) AS g FROM c a JOIN c b ON a.event_type = b.event_type JOIN t ON t.event_type = a.event_type WHERE b.i - a.i BETWEEN 1 AND greatest(l, 1) GROUP BY 1, 2),
+    s AS (SELECT t.event_type, n, total, l, max(g0) AS g0, sum(CASE WHEN k <= l THEN 2 * (1 - k / (l + 1)) * g ELSE 0 END) AS w, sum(CASE WHEN k = 1 THEN g END) AS g1 FROM t LEFT JOIN g ON g.event_type = t.event_type GROUP BY 1, 2, 3, 4)
+    SELECT event_type, n, CAST(total AS DOUBLE) AS total, CAST(l AS INTEGER) AS nw_lag, round(sqrt(greatest(g0 + w, 0)), 6) AS nw_se, round(g1 / g0, 6) AS lag1, round(sqrt((n - 1) / n), 6) AS small_sample FROM s""",
 )
 def newey_west_evidence(spark, sf_dir):
     d = daily(spark, sf_dir)
     base = d.where("event_type = 'view'").select("day", F.col("n").alias("nb"))
     paired = d.where("event_type <> 'view'").join(base, "day").withColumn("d", (F.col("nb") - F.col("n")).cast("double"))
-    return rounded(diagnostics.newey_west(paired, ["event_type"], "day", "d", _LAGS))
+    return rounded(diagnostics.newey_west(paired, ["event_type"], "day", "d"))
 
 
 @query(
@@ -226,12 +239,12 @@ def ess_profile(spark, sf_dir):
 
 @query(
     "step_audit",
-    """WITH l AS (SELECT l_suppkey, l_linenumber, avg(l_extendedprice) / 1000 AS ll, stddev_samp(l_extendedprice) / 1000 / sqrt(count(*)) AS se, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS i FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2),
+    """WITH l AS (SELECT l_suppkey, l_linenumber, avg(l_extendedprice) / 1000 AS ll, stddev_samp(l_extendedprice) / 1000 / sqrt(count(*)) AS se, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber) AS i FROM lineitem GROUP BY 1, 2),
     g AS (SELECT l_suppkey, max(ll) FILTER (WHERE i = 1) AS l1, max(ll) FILTER (WHERE i = 2) AS l2, arg_max(ll, i) AS ln, greatest(2.0, 4 * max(se)) AS tau, coalesce(max(se) FILTER (WHERE i > 1) > 2 * max(se) FILTER (WHERE i = 1), false) AS inflated FROM l GROUP BY 1)
     SELECT l_suppkey, round(l1 - l2, 6) AS leg1, round(l1 - ln, 6) AS leg2, round(tau, 6) AS tau, inflated AS se_inflation, CASE WHEN abs(l1 - l2) < tau AND abs(l1 - ln) < tau THEN 'pass' WHEN abs(l1 - l2) < tau AND abs(l1 - ln) < 2 * tau THEN 'marginal' ELSE 'fail' END AS verdict FROM g""",
 )
 def step_audit(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4").groupBy("l_suppkey", "l_linenumber").agg((F.avg("l_extendedprice") / 1000).alias("ll"), (F.stddev_samp("l_extendedprice") / 1000 / F.sqrt(F.count("*"))).alias("se"))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg((F.avg("l_extendedprice") / 1000).alias("ll"), (F.stddev_samp("l_extendedprice") / 1000 / F.sqrt(F.count("*"))).alias("se"))
     return rounded(diagnostics.step_audit(l, ["l_suppkey"], "l_linenumber", "ll", "se", 2.0))
 
 
