@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ SPACE_CLASS = r"[\x09-\x0D\x20]"
 SPACE_CHARS = "\t\n\x0b\x0c\r "
 #: Bytes of text that one vectorised step inside a task works on.
 SLICE_BYTES = 8 << 20
+#: Rows of a written table are numbered by task and, below these bits, by place.
+ROW_BITS = 33
 
 _own_dirs: dict[str, str] = {}
 
@@ -39,14 +43,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
-_written: dict[str, list[str]] = {}
+_recorders: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recorders", default=())
+
+
+@contextlib.contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Every path that :func:`scratch_path` gives inside the block is added to ``paths``, so that its maker can drop it."""
+    token = _recorders.set((*_recorders.get(), paths))
+    try:
+        yield
+    finally:
+        _recorders.reset(token)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     app = spark.sparkContext.applicationId
     path = f"{scratch_root(spark)}/strataflow-{app}/{label}-{uuid.uuid4().hex[:12]}"
-    _written.setdefault(app, []).append(path)
+    for paths in _recorders.get():
+        paths.append(path)
     return path
 
 
@@ -57,25 +72,87 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table so far.  Only for when all results built on them have been written."""
-    for path in _written.pop(spark.sparkContext.applicationId, []):
-        drop_path(spark, path)
-
-
 class Scratch:
     """A written table that cuts lineage and survives the loss of executors; ``drop`` deletes it once superseded."""
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, label)
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         drop_path(self.spark, self.path)
 
 
+def numbered(df: DataFrame, label: str) -> Scratch:
+    """``df`` written with a number ``_row`` for every row: its task's number, shifted by ``ROW_BITS``, and its place in the task's file."""
+    return Scratch(df.withColumn("_row", F.monotonically_increasing_id()), label)
+
+
+def visit_rows(table: Scratch, asks: DataFrame, columns: list[str], visit: Callable, schema: str) -> DataFrame:
+    """Bring ``asks``, which have a ``_row``, to the rows of a table that :func:`numbered` wrote, without moving these.
+
+    The asks of a file meet in one task in order of ``_row`` and their other columns, and that task streams the file from the
+    shared folder: ``visit(batches, asks)`` gets iterators over the file's record batches (``_row`` and ``columns``) and over the
+    asks' batches, and yields record batches of ``schema``.  Every file is visited, whether it has asks or not.
+    """
+    names = asks.columns
+    heads = table.df.select((F.col("_row").bitwiseAND(F.lit(-1 << ROW_BITS))).alias("_file"), F.col("_metadata.file_path").alias("_path"))
+    heads = heads.groupBy("_file").agg(F.min("_path").alias("_path"))
+    rest = asks.withColumn("_file", F.col("_row").bitwiseAND(F.lit(-1 << ROW_BITS)))
+    both = rest.unionByName(heads, allowMissingColumns=True)
+    files = max(1, len(table.df.inputFiles()))
+    both = both.repartitionById(files, F.shiftright("_file", ROW_BITS).cast("int")).sortWithinPartitions("_file", F.col("_path").asc_nulls_last(), *names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        for path, own in _by_file(batches):
+            fs, where = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(where) as f, pq.ParquetFile(f) as file:
+                yield from visit(file.iter_batches(batch_size=512, columns=["_row", *columns]), (b.select(names) for b in own))
+                for _ in own:  # asks that the visitor left
+                    pass
+
+    def _by_file(batches):
+        """(path, iterator of asks) of each file; the first row of a file is the one with its path."""
+        held: list[pa.RecordBatch] = []
+        source = iter(batches)
+
+        def more() -> bool:
+            for b in source:
+                if b.num_rows:
+                    held.append(b)
+                    return True
+            return False
+
+        while held or more():
+            head = held.pop(0)
+            number, path = head.column("_file")[0], head.column("_path")[0].as_py()
+            if head.num_rows > 1:
+                held.insert(0, head.slice(1))
+
+            def own():
+                import numpy as np
+
+                while held or more():
+                    b = held[0]
+                    ends = int(np.searchsorted(b.column("_file").to_numpy(), number.as_py(), side="right"))
+                    held.pop(0)
+                    if ends < b.num_rows:
+                        held.insert(0, b.slice(ends))
+                    if ends:
+                        yield b.slice(0, ends)
+                    if ends < b.num_rows:
+                        return
+
+            yield path, own()
+
+    return both.mapInArrow(run, schema)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df``, written to the shared folder and read back."""
     return Scratch(df, label).df
@@ -100,21 +177,27 @@ def n_words_of(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, SPACE_CLASS + "+"))).cast("long")
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], slot: str, value: str, out: str) -> DataFrame:
+def never_null(column: Column) -> Column:
+    """A text key with a value of its own for null, so that joins and windows on it share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
+
+
+def running_sum(df: DataFrame, group: list[str], order: list, slot: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before, in order of (slot, order).
 
-    ``slot`` must be a function of the first order column that never decreases with it.  Sums per (group, slot) are
-    made map-side first, so that a group with a third of all rows is spread over its slots.
+    ``slot`` must be a function of the first order column that never decreases with it; groups and slots are never null.
+    Sums per (group, slot) are made map-side first, so that a group with a third of all rows is spread over its slots.
     """
-    sums = df.groupBy(*group, slot).agg(F.sum(value).alias("_slot_sum"))
+    joined = df.join(slot_bases(df, group, slot, value, "_base"), [*group, slot])
+    inside = W.partitionBy(*group, slot).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_base")
+
+
+def slot_bases(df: DataFrame, group: list[str], slot: str, value: str, out: str) -> DataFrame:
+    """(group, slot, out): the sum of ``value`` over the earlier slots of the group."""
+    sums = df.groupBy(*group, slot).agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(*group).orderBy(slot).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(*group, slot, F.coalesce(F.sum("_slot_sum").over(before), F.lit(0)).alias("_slot_base"))
-    keys = [*group, slot]
-    sums = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_slot_base")
-    on = [df[k].eqNullSafe(sums[f"_k_{k}"]) for k in keys]
-    inside = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    joined = df.join(sums, on, "inner").drop(*[f"_k_{k}" for k in keys])
-    return joined.withColumn(out, F.col("_slot_base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_slot_base")
+    return sums.select(*group, slot, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias(out))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -12,31 +12,40 @@ are open.  Two linked sets share one of the first quarter of their elements in a
 those, rarest first: a node with enough elements of its own then meets nobody.  Keys with equal members count once, and
 within a key the nodes outside its largest group meet the nodes of other groups.  The join's condition holds parity bitmaps
 of the sets against each other: sets differ in at least as many elements as their bitmaps in bits, so a pair with too many
-is no link and is never made.  What passes is compared in full, so no link between groups of open nodes is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.
+is no link and is never made; nodes only meet others of about their size.  What passes is compared in full, so no link
+between groups of open nodes is lost.  32 bands of 4 slots miss a pair of similarity 0.75 with probability 5e-6.  A set that
+is compared with many others is sent once for each slice of them.
+
+Texts are written once with a number for each row; nodes go by that number, and what later steps need of a text is made by
+the task that reads its file, so whole texts are never shuffled.
 
 Edge cases: a null or blank text has no shingles, is linked with nothing and is its own component; texts under ``k``
 words have their whole word sequence as one shingle; equal sets fall together before banding, whatever their number; rows
-that repeat a doc_id share its component; a row with a null id gets a null component only if it is linked to no row that
-has an id, and is never kept in place of one; an empty table gives no rows; other columns are ignored.
+that repeat a doc_id are rows of their own: all of a group's rows with the least id count as kept in ``near_duplicates``,
+while ``distinct_documents`` keeps one; rows with a null id are linked like others, but their group is named by an id if it
+has one, and has a null component if it has none; an empty table gives no rows; other columns are ignored, and
+``distinct_documents`` passes them on.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from strataflow.llm.common import large_text, mix64, slices, written
+from strataflow.llm.common import Scratch, large_text, mix64, numbered, slices, visit_rows, written
 from strataflow.llm.components import connected_components
 
 SHINGLE = 5
 BANDS = 32
 ROWS = 4
 PERCENT = 75
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, parity array<long>"
+SKETCH = "_row long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, parity array<long>"
 #: Longs in the parity bitmap of a set.
 PARITY = 16
 
@@ -143,24 +152,63 @@ def _sketches(k: int, bands: int, rows: int):
             values = pa.array(band[full].reshape(-1).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-            columns = [batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * PARITY), parity)]
+            columns = [batch.column("_row"), batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * PARITY), parity)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(batch: pa.RecordBatch, asks: Iterator[pa.RecordBatch], held: list) -> list[int]:
+    """Places in a batch of the asked rows; ``held`` keeps asks for later batches."""
+    import numpy as np
+
+    rows = batch.column("_row").to_numpy()
+    while not held or held[-1][-1] < rows[-1]:
+        more = next(asks, None)
+        if more is None:
+            break
+        held.append(more.column(0).to_numpy())
+    if not held:
+        return []
+    wanted = np.unique(np.concatenate(held))
+    n = int(np.searchsorted(wanted, rows[-1], side="right"))
+    held[:] = [wanted[n:]] if n < len(wanted) else []
+    return np.searchsorted(rows, wanted[:n]).tolist()
+
+
+def _sets(k: int, text_col: str):
+    """The shingle sets of the asked rows of a file."""
+
+    def visit(batches: Iterator[pa.RecordBatch], asks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in (s for b in batches for s in slices(b, "text")):
-            with np.errstate(over="ignore"):
-                hashes, counts = shingle_hashes(batch.column("text"), k)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            raw = hashes.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["node", "hashes"])
+        held: list = []
+        for whole in batches:
+            if not (at := _asked(whole, asks, held)):
+                continue
+            for batch in slices(whole.take(pa.array(at)), text_col):
+                with np.errstate(over="ignore"):
+                    hashes, counts = shingle_hashes(batch.column(text_col), k)
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                raw = hashes.tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["node", "hashes"])
 
-    return run
+    return visit
+
+
+def _others(schema: pa.Schema):
+    """The rows of a file that were not asked for."""
+
+    def visit(batches: Iterator[pa.RecordBatch], asks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list = []
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[_asked(batch, asks, held)] = False
+            yield from pa.Table.from_batches([batch]).select(schema.names).filter(pa.array(keep)).cast(schema).to_batches()
+
+    return visit
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,26 +254,32 @@ def _open_keys(level: DataFrame) -> DataFrame:
     return level.join(keys, "key").select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"))
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
-) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable) and kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = written(docs.mapInArrow(_sketches(k, bands, rows), SKETCH), "sketches")
-    # Documents with equal sets are one node, named by its least doc_id.
-    known = sketches.where("n_shingles > 0 and doc_id is not null")
-    nodes = written(known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parity")).alias("r")).select("f1", "f2", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.parity").alias("parity")), "nodes")
+#: Members that one copy of a star's centre is compared with.
+SLICE = 2000
+
+
+def _groups(table: Scratch, id_col: str, text_col: str, k: int, bands: int, rows: int, percent: int) -> DataFrame:
+    """(_row, doc_id, n_shingles, component_id, keeper) of a numbered table; keeper: the row with the least id of the group."""
+    texts = table.df.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketches = written(texts.mapInArrow(_sketches(k, bands, rows), SKETCH), "sketches")
+    # Documents with equal sets are one node, named by its first row.
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("_row").alias("row"))
+    known = sketches.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min(F.struct("_row", "n_shingles", "bands", "parity")).alias("r"), F.min(first).alias("first"))
+    nodes = written(known.select("f1", "f2", F.col("r._row").alias("node"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.parity").alias("parity"), "first"), "nodes")
     buckets = nodes.select(F.explode("bands").alias("band"), "node", "n")
     centres = buckets.groupBy("band").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("m"), F.count("*").alias("members")).where("members > 1").drop("members")
     shared = written(buckets.join(centres, "band"), "buckets")
     # The sets of all nodes that share a band with another one, made once.
-    wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates()
-    sets = written(texts.mapInArrow(_sets(k), "node long, hashes binary"), "sets")
+    wanted = shared.select(F.col("node").alias("_row")).distinct()
+    sets = written(visit_rows(table, wanted, [text_col], _sets(k, text_col), "node long, hashes binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(k), F.col("hashes").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        both = pairs.toDF("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+        pairs = written(pairs.toDF("a", "b").distinct(), "pairs")
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("parts"))
+        left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        sliced = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+        right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        both = sliced.join(right, "b").join(left, ["a", "part"]).select("a", "b", "x", "y")
         return written(both.mapInArrow(_linked(percent), LINKS), "links")
 
     def grouped(rows: DataFrame, merged: DataFrame) -> DataFrame:
@@ -246,15 +300,39 @@ def near_duplicates(
     begin = begin.join(open_nodes, "node").where(F.col("i") + F.col("n") - F.col("c") <= F.floor((100 - percent) * F.col("n") / 100) + 1)
     level = _open_keys(begin.select(F.col("token").alias("key"), "node", "component"))
     bits = nodes.join(open_nodes.select("node"), "node", "left_semi").select("node", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)])
-    level = written(level.join(bits, "node"), "keys")
-    asked = level.where("outside").select(*[F.col(c).alias(f"_{c}") for c in level.columns])
+    # Sizes of linked sets lie less than one step apart, so only neighbouring steps meet.
+    step = F.floor(F.log("n") / (math.log(100 / percent) * 1.001)).cast("int") if percent < 100 else F.col("n").cast("int")
+    level = written(level.join(bits, "node").withColumn("step", step), "keys")
+    asked = level.where("outside").withColumn("step", F.explode(F.array(*[F.col("step") + i for i in (-1, 0, 1)])))
+    asked = asked.select(*[F.col(c).alias(f"_{c}") for c in asked.columns])
     differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"_p{i}"))) for i in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("_p0"))))
     # Similarity of percent or more: 100 * (sum - d) >= percent * (sum + d) for a symmetric difference of d elements.
     able = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("_n"))
-    pairs = asked.join(level, (F.col("_key") == F.col("key")) & (F.col("_component") != F.col("component")) & close("_n", "n") & able)
+    pairs = asked.join(level, (F.col("_key") == F.col("key")) & (F.col("_step") == F.col("step")) & (F.col("_component") != F.col("component")) & close("_n", "n") & able)
     links = confirmed(pairs.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")))
     merged = written(connected_components(links.unionByName(merged.toDF("a", "b"))), "groups")
-    named = nodes.join(merged, "node", "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "node").alias("component"))
+    members = nodes.join(merged, "node", "left").select("f1", "f2", "first", F.coalesce("component", "node").alias("component"))
+    named = members.groupBy("component").agg(F.min("first").alias("least"))
+    named = members.drop("first").join(named, "component").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "least")
     out = sketches.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).when(~F.col("least.no_id"), F.col("least.id"))
+    return out.select("_row", "doc_id", "n_shingles", component.alias("component_id"), F.coalesce("least.row", "_row").alias("keeper"))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
+) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable) and kept."""
+    table = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "texts")
+    out = _groups(table, "doc_id", "text", k, bands, rows, percent)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def distinct_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` without the near copies of others: of each group one row stays, that with the least id."""
+    table = numbered(docs, "texts")
+    groups = _groups(table, id_col, text_col, k, bands, rows, percent)
+    return visit_rows(table, groups.where("keeper <> _row").select("_row"), docs.columns, _others(to_arrow_schema(docs.schema)), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strataflow.llm.common import n_words_of, running_sum, written
+from strataflow.llm.common import n_words_of, never_null, slot_bases, written
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = (3, 2)  # 150 percent
@@ -73,8 +73,9 @@ def position_at(share: Column, knots: tuple[tuple[float, float], ...]) -> Column
     return out
 
 
-def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[int, int] = EPOCHS, cap: int = CAP, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies and place.
+def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[int, int] = EPOCHS, cap: int = CAP, schedules=SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, copies and place; with ``carry`` also
+    ``row``, a struct of all columns of ``docs``.
 
     ``copies`` has the words and the training position of each pass that takes the document; ``place`` is where its first
     pass would lie, whether it is taken or not.
@@ -83,15 +84,19 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[
     before any shuffle of rows, so that a source with a third of all documents is spread over all tasks.
     """
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), digest.alias("digest"))
-    rows = rows.withColumn("slot", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * slots / 2**32).cast("int"))
-    rows = written(rows, "sizes")
-    targets = written(source_targets(rows, weights, epochs, cap), "targets")
-    placed = running_sum(rows, ["source"], ["digest", F.col("doc_id").asc_nulls_last(), "size"], "slot", "size", "before")
-    # Each (source, slot) knows its source's target, so the rows need no join on the source alone.
-    by_slot = rows.select("source", "slot").distinct().join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    by_slot = by_slot.withColumnRenamed("source", "s").withColumnRenamed("slot", "k")
-    placed = placed.join(by_slot, placed.source.eqNullSafe(by_slot.s) & (placed.slot == by_slot.k)).drop("s", "k")
+    carried = [F.struct("*").alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words_of(F.col(text_col)).alias("size"), digest.alias("digest"), F.xxhash64(text_col).alias("th"), *carried)
+    rows = rows.withColumn("slot", (F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * slots / 2**32).cast("int")).withColumn("key", never_null(F.col("source")))
+    sizes = written(rows.drop("row"), "sizes")
+    if not carry:
+        rows = sizes
+    targets = written(source_targets(sizes, weights, epochs, cap), "targets")
+    # Each (source, slot) knows what its source's earlier slots hold, and the source's target: rows meet both in one join,
+    # whose partitioning also serves the order inside the slot.
+    by_slot = slot_bases(sizes, ["key"], "slot", "size", "base")
+    by_slot = by_slot.join(targets.select(never_null(F.col("source")).alias("key"), "rank", "source_size", "target"), "key")
+    inside = W.partitionBy("key", "slot").orderBy("digest", F.col("doc_id").asc_nulls_last(), "size", "th").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.join(by_slot, ["key", "slot"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal = F.floor("target").cast("long")
 
     def within(passes: int) -> Column:
@@ -111,7 +116,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: tuple[
 
     copies = [F.when(within(p) > 0, F.struct(within(p).cast("long").alias("words"), position(F.col("before") + p * F.col("source_size") + within(p) / 2).alias("position"))) for p in range(cap)]
     place = position(F.col("before") + F.col("size") / 2)
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.array_compact(F.array(*copies)).alias("copies"), place.alias("place"))
+    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), F.array_compact(F.array(*copies)).alias("copies"), place.alias("place"), *(["row"] if carry else []))
 
 
 def mixture(docs: DataFrame, *args, **options) -> DataFrame:

@@ -7,13 +7,18 @@ grain's end in its queue, which only needs the queue's running sum: rounds can b
 pass across windows and partitions without any state.  Grains in order of (round, source, place in the queue) follow one
 another without gaps; windows cut that sequence at every multiple of the window size, so only the last window is padded.
 
-With training positions, documents queue in that order, and credits change over time: training is divided into ``KNOTS``
-spans, and in the rounds of a span a queue is credited with an even part of the tokens that it holds there.  Summed credit
-then reaches a grain's end at a time that follows from the sums of the span alone.
+Weights: a queue that has run dry leaves its share to the others, in proportion to their weights.  When every queue has been
+credited with v times its weight, all have sent the sum of min(v * weight, tokens), which is the round times the window
+size; the rounds at the ends of each queue's slots come from prefix sums over that sum, and credit is even inside a slot.
 
-Edge cases: a null position sorts last; a null text is an empty one and has the end token alone; rows that repeat an id are documents of their own; a
-null source is a queue of its own; null ids stay null; an empty table gives no pieces; texts of any length are cut into
-grains; other columns are ignored.
+With training positions instead, documents queue in that order, and credits change over time: training is divided into
+``KNOTS`` spans, and in the rounds of a span a queue is credited with an even part of the tokens that it holds there.
+
+A document's ids stay in the file of the task that made them: placements go to them, not they to the placements.
+
+Edge cases: a null position sorts last; a null text is an empty one and has the end token alone; rows that repeat an id are
+documents of their own; a null source is a queue of its own; null ids stay null; an empty table gives no pieces; texts of any
+length are cut into grains; weights of 0 or less are refused; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from strataflow.llm.common import large_text, running_sum, slices, written
+from strataflow.llm.common import ROW_BITS, Scratch, large_text, never_null, running_sum, slices, visit_rows, written
 
 WINDOW = 1024
 GRAIN = 256
@@ -34,7 +40,7 @@ END = 0
 SLOTS = 1024
 KNOTS = 64
 TABLE_SIZE = 400_000
-TOKENS = "row long, doc_id long, source string, slot int, tie long, n_tokens long, ids binary"
+TOKENS = "_row long, doc_id long, source string, slot int, tie long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # White space as Unicode has it, without the four separators that only Python counts.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -46,30 +52,21 @@ class WordTokens:
     A byte-level tokenizer of this kind never joins what stands before a single space with what stands after, and takes
     the space to the word that follows.  So the ids of a text are those of its first word and of each ' word' after it,
     each of which is encoded once.  Texts in which a space has white space beside it, or with a special string, are
-    encoded whole.
+    encoded whole.  ``ranked``: whether :func:`ranks_agree` holds for the file.
     """
 
-    def __init__(self, path: str, table_size: int = TABLE_SIZE):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
+    def __init__(self, path: str, table_size: int = TABLE_SIZE, ranked: bool = False):
+        self.whole = _tokenizer(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = _ranked(self.whole)
+        self.fast = _ranked(self.whole) if ranked else None
+        self.kind = id_type(self.whole)
         self.odd = re.compile(f"[{_SPACE}][ ]|[ ][{_SPACE}]" + "".join("|" + re.escape(s) for s in self.special))
         self.table_size = table_size
         self.clear()
 
     def clear(self) -> None:
-        import numpy as np
-
         self.table: dict[str, int] = {}
         self.lengths, self.flat = [], []
-        self.cached = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def _encode(self, text: str) -> list[int]:
         if self.fast is not None and not any(s in text for s in self.special):
@@ -92,7 +89,7 @@ class WordTokens:
         return out
 
     def of(self, texts: pa.Array) -> list:
-        """A uint16 array of ids, without an end token, for each text."""
+        """An array of ids, without an end token, for each text."""
         import numpy as np
         import pyarrow.compute as pc
 
@@ -102,11 +99,11 @@ class WordTokens:
         plain = []
         for i, t in enumerate(texts.to_pylist()):
             if self.odd.search(t):
-                out[i] = np.array(self._encode(t), np.uint16)
+                out[i] = np.array(self._encode(t), self.kind)
             elif t:
                 plain.append(i)
             else:
-                out[i] = np.zeros(0, np.uint16)
+                out[i] = np.zeros(0, self.kind)
         if plain:
             lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
             sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
@@ -118,7 +115,7 @@ class WordTokens:
                 coded = words.filter(pa.array(mask)).dictionary_encode()
                 codes[mask] = self._codes(coded.dictionary.to_pylist(), lead)[coded.indices.to_numpy(zero_copy_only=False)]
             lengths = np.array(self.lengths, np.int64)
-            flat = np.array(self.flat, np.uint16)
+            flat = np.array(self.flat, self.kind)
             begins = np.cumsum(lengths) - lengths
             n = lengths[codes]
             ends = np.cumsum(n)
@@ -129,35 +126,79 @@ class WordTokens:
         return out
 
 
-def _ranked(tokenizer):
-    """The same vocabulary for the faster library, if the file is a byte-level BPE whose merges are in rank order."""
-    import json
+def _tokenizer(path: str):
+    import os
 
-    import tiktoken
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    whole.no_padding()
+    return whole
 
-    spec = json.loads(tokenizer.to_str())
-    pre = spec.get("pre_tokenizer") or {}
-    if spec["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
-        return None
-    import public_tokenizers
 
+def id_type(tokenizer) -> str:
+    """The least unsigned type that holds every id of the vocabulary."""
+    return "<u2" if max(END, *tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+
+
+def _byte_names() -> dict[str, int]:
+    """The character that byte-level tokenizers write for each byte."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranked(tokenizer):
+    """The same vocabulary for a library that merges by rank."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    spec, byte_of = json.loads(tokenizer.to_str()), _byte_names()
     added = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokenize(path: str, slots: int, table_size: int, ordered: bool):
+def ranks_agree(path: str) -> bool:
+    """Whether merging by rank gives the file's ids: a byte-level BPE without a normaliser or exceptions, whose merges stand in
+    the order of their ids and make every token that is no byte, and whose tokens both libraries encode alike."""
+    import json
+
+    whole = _tokenizer(path)
+    spec = json.loads(whole.to_str())
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space"):
+        return False
+    if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return False
+    vocab, byte_of = model["vocab"], _byte_names()
+    made = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    plain = {t for t in vocab if t not in added}
+    if any(vocab[a] >= vocab[b] for a, b in zip(made, made[1:], strict=False)) or {t for t in plain if len(t) > 1} != set(made) or any(c not in byte_of for t in plain for c in t):
+        return False
+    fast, texts = _ranked(whole), []
+    for token in plain:
+        try:
+            texts.append(bytes(byte_of[c] for c in token).decode())
+        except UnicodeDecodeError:  # a part of a character is no text
+            continue
+    return all(a.ids == fast.encode_ordinary(t) for a, t in zip(whole.encode_batch(texts, add_special_tokens=False), texts, strict=True))
+
+
+def _tokenize(path: str, slots: int, table_size: int, ordered: bool, ranked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import xxhash
         from pyspark import TaskContext
 
-        encoder, row = WordTokens(path, table_size), TaskContext.get().partitionId() << 33
+        encoder, row = WordTokens(path, table_size, ranked), TaskContext.get().partitionId() << ROW_BITS
         names = [x.split()[0] for x in TOKENS.split(", ")]
-        end = np.array([END], np.uint16)
+        end = np.array([END], encoder.kind)
         for batch in (s for b in batches for s in slices(b, "text")):
             ids = [np.concatenate((x, end)) for x in encoder.of(large_text(batch.column("text")))]
             if ordered:
@@ -167,36 +208,66 @@ def _tokenize(path: str, slots: int, table_size: int, ordered: bool):
                 ties = np.array([xxhash.xxh64_intdigest(str(x)) >> 1 for x in batch.column("doc_id").to_pylist()], np.int64)
             rows = np.arange(row, row + len(ids))
             row += len(ids)
-            columns = [pa.array(rows), batch.column("doc_id"), batch.column("source"), pa.array((ties >> 32) * slots >> 31, pa.int64()).cast(pa.int32()), pa.array(ties), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
+            columns = [pa.array(rows), batch.column("doc_id"), batch.column("source"), pa.array((ties >> 32) * slots >> 31, pa.int64()).cast(pa.int32()), pa.array(ties), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(encoder.kind).tobytes() for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _cut(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(window: int, kind: str):
+    """Pieces of the placed grains (_row, start, len, at) of a file's documents."""
+
+    def visit(batches: Iterator[pa.RecordBatch], asks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        names = [x.split()[0] for x in PIECES.split(", ")]
+        ahead = np.zeros((0, 4), np.int64)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, n, ids, grains in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids"), batch.column("grains").to_pylist(), strict=True):
-                data = np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes()
-                # Grains that follow one another in the document and in the sequence are one run.
-                runs: list[list[int]] = []
-                for g in sorted((x["start"], x["at"], x["len"]) for x in grains):
-                    if runs and runs[-1][1] + runs[-1][2] == g[1]:
-                        runs[-1][2] += g[2]
-                    else:
-                        runs.append(list(g))
-                for start, at, length in runs:
-                    while length:
-                        part = min(length, window - at % window)
-                        out.append((doc_id, start, part, zlib.crc32(data[4 * start : 4 * (start + part)]), n, at // window, at % window))
-                        start, at, length = start + part, at + part, length - part
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * len(names), names=names)
-
-    return run
+            rows = batch.column("_row").to_numpy()
+            while not len(ahead) or ahead[-1, 0] <= rows[-1]:
+                more = next(asks, None)
+                if more is None:
+                    break
+                ahead = np.concatenate((ahead, np.stack([c.to_numpy() for c in more.columns], axis=1)))
+            n = int(np.searchsorted(ahead[:, 0], rows[-1], side="right"))
+            (row, start, length, at), ahead = ahead[:n].T, ahead[n:]
+            if not n:
+                continue
+            # Grains that follow one another in the document and in the sequence are one run; runs are cut at windows.
+            first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + length[:-1]))))
+            length = np.add.reduceat(length, first)
+            row, start, at = row[first], start[first], at[first]
+            parts = (at + length - 1) // window - at // window + 1
+            run = np.repeat(np.arange(len(row)), parts)
+            turn = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = np.maximum(at[run], (at[run] // window + turn) * window)
+            end = np.minimum(at[run] + length[run], (at[run] // window + turn + 1) * window)
+            place = start[run] + begin - at[run]
+            doc = np.searchsorted(rows, row[run])
+            ids = batch.column("ids")
+            bounds = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+            flat = np.frombuffer(ids.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(kind).astype("<u4").view(np.uint8).data
+            base = 4 * ((bounds[:-1] - bounds[0]) // np.dtype(kind).itemsize).astype(np.int64)[doc] + 4 * place
+            crc = [zlib.crc32(flat[a:b]) for a, b in zip(base.tolist(), (base + 4 * (end - begin)).tolist(), strict=True)]
+            index = pa.array(doc)
+            columns = [batch.column("doc_id").take(index), pa.array(place), pa.array(end - begin), pa.array(crc, pa.int64()), batch.column("n_tokens").take(index), pa.array(begin // window), pa.array(begin % window)]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")])
+
+    return visit
+
+
+def _by_weight(sums: DataFrame, queues: DataFrame, window: int) -> DataFrame:
+    """(key, slot, r1): the round in which the queue's slot has been sent, from (key, slot, n, base) and (key, total, weight)."""
+    if queues.where(~(F.col("weight") > 0)).limit(1).count():
+        raise ValueError("weights must be above 0")
+    most = queues.agg(F.max(F.col("total") / F.col("weight")).alias("v"), F.sum("weight").alias("w")).first()
+    points = sums.join(queues, "key").select("key", "slot", ((F.col("base") + F.col("n")) / F.col("weight")).alias("v"), F.lit(0).cast("double").alias("n"), F.lit(0.0).alias("w"))
+    dry = queues.select("key", F.lit(None).cast("int").alias("slot"), (F.col("total") / F.col("weight")).alias("v"), F.col("total").cast("double").alias("n"), F.col("weight").alias("w"))
+    points = points.unionByName(dry).withColumn("one", F.lit(0)).withColumn("bin", F.floor(F.col("v") / (most["v"] or 1.0) * 4096).cast("int"))
+    points = written(points, "points")
+    for value in ("n", "w"):
+        points = running_sum(points, ["one"], ["v"], "bin", value, f"dry_{value}")
+    sent = F.col("dry_n") + F.col("v") * F.greatest((most["w"] or 0.0) - F.col("dry_w"), F.lit(0.0))
+    return points.where(F.col("slot").isNotNull()).select("key", "slot", (sent / window).alias("r1"))
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, table_size: int = TABLE_SIZE, position_col: str | None = None) -> DataFrame:
@@ -211,41 +282,38 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRA
     if window < 1 or not 0 < grain <= window:
         raise ValueError("0 < grain <= window is needed")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), *([F.col(position_col).cast("double").alias("position")] if position_col else []))
-    tokens = written(rows.mapInArrow(_tokenize(tokenizer, slots, table_size, position_col is not None), TOKENS), "tokens")
-    meta = tokens.select("row", "source", "slot", "tie", "n_tokens")
-    # The credit of a round and the rank of each queue, known to every (source, slot).
-    sums = meta.groupBy("source", "slot").agg(F.sum("n_tokens").alias("n"))
-    shares = sums.groupBy("source").agg(F.sum("n").cast("double").alias("weight"))
+    tokens = Scratch(rows.mapInArrow(_tokenize(tokenizer, slots, table_size, position_col is not None, ranks_agree(tokenizer)), TOKENS), "tokens")
+    meta = tokens.df.select("_row", never_null(F.col("source")).alias("key"), "slot", "tie", "n_tokens")
+    sums = meta.groupBy("key", "slot").agg(F.sum("n_tokens").alias("n"))
+    sums = written(sums.withColumn("base", F.sum("n").over(W.partitionBy("key").orderBy("slot")) - F.col("n")), "slots")
+    queues = sums.groupBy("key").agg(F.sum("n").alias("total"))
+    share = F.col("total").cast("double")
     if weights:
-        known = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in weights.items()], F.lit(float(min(weights.values()))))
-        shares = shares.withColumn("weight", known)
-    from pyspark.sql.window import Window as W
-
-    everything = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    queues = shares.select("source", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("queue"), (window * F.col("weight") / F.sum("weight").over(everything)).alias("credit"))
-    queues = queues.select(F.col("source").alias("s"), "queue", "credit")
-    by_slot = sums.join(queues, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("slot").alias("k"), "queue", "credit", "n")
+        share = F.coalesce(*[F.when(F.col("key") == ("null" if k is None else f"={k}"), F.lit(float(v))) for k, v in weights.items()], F.lit(float(min(weights.values()))))
+    queues = written(queues.select("key", "total", share.alias("weight"), F.row_number().over(W.orderBy("key")).alias("queue")), "queues")
+    # The rounds between which each slot of a queue is sent.
     if position_col:
-        # Each span's tokens of a queue, and those before it; the rounds of all spans together.
-        by_slot = by_slot.withColumn("span", F.floor(F.col("k") * KNOTS / slots).cast("long"))
-        spans = by_slot.groupBy(F.col("queue").alias("q"), F.col("span").alias("p")).agg(F.sum("n").alias("held"))
-        spans = spans.withColumn("passed", F.sum("held").over(W.partitionBy("q").orderBy("p")) - F.col("held"))
-        spans = spans.withColumn("rounds", F.ceil(F.sum("held").over(W.partitionBy(F.lit(0))) / window))
-        by_slot = by_slot.join(spans, (F.col("queue") == F.col("q")) & (F.col("span") == F.col("p"))).drop("q", "p")
-    by_slot = by_slot.drop("n")
-    placed = running_sum(meta, ["source"], ["tie", "row"], "slot", "n_tokens", "before")
-    placed = placed.join(by_slot, placed.source.eqNullSafe(by_slot.s) & (placed.slot == by_slot.k)).drop("source", "slot", "tie", "s", "k")
+        rounds = (queues.agg(F.sum("total")).first()[0] or 0) / window
+        own = W.partitionBy("key", "span")
+        by_slot = sums.withColumn("span", F.floor(F.col("slot") * KNOTS / slots))
+        by_slot = by_slot.withColumn("held", F.sum("n").over(own)).withColumn("passed", F.min("base").over(own))
+        by_slot = by_slot.select("key", "slot", "n", "base", *[(rounds * (F.col("span") + (F.col("base") + x - F.col("passed")) / F.col("held")) / KNOTS).alias(r) for r, x in (("r0", F.lit(0)), ("r1", F.col("n")))])
+    else:
+        by_slot = sums.join(_by_weight(sums, queues.drop("queue"), window), ["key", "slot"])
+        # A queue's rounds never fall, however the sums were rounded: grains of a round must follow one another.
+        by_slot = by_slot.withColumn("r1", F.max("r1").over(W.partitionBy("key").orderBy("slot")))
+        by_slot = by_slot.withColumn("r0", F.coalesce(F.lag("r1").over(W.partitionBy("key").orderBy("slot")), F.lit(0.0)))
+    by_slot = by_slot.join(queues.select("key", "queue"), "key")
+    inside = W.partitionBy("key", "slot").orderBy("tie", "_row").rowsBetween(W.unboundedPreceding, -1)
+    placed = meta.join(by_slot, ["key", "slot"]).withColumn("past", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     grains = placed.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(grain).cast("long"))))
-    grains = grains.withColumn("len", F.least(F.lit(grain).cast("long"), F.col("n_tokens") - F.col("start"))).withColumn("from", F.col("before") + F.col("start"))
-    end = F.col("from") + F.col("len")
-    sent = F.col("rounds") * (F.col("span") + (end - F.col("passed")) / F.col("held")) / KNOTS if position_col else end / F.col("credit")
-    grains = grains.withColumn("round", F.ceil(sent).cast("long"))
-    grains = written(grains.select("row", "queue", "start", "len", "from", "round"), "grains")
+    grains = grains.withColumn("len", F.least(F.lit(grain).cast("long"), F.col("n_tokens") - F.col("start"))).withColumn("inside", F.col("past") + F.col("start"))
+    sent = F.col("r0") + (F.col("inside") + F.col("len")) / F.col("n") * (F.col("r1") - F.col("r0"))
+    grains = written(grains.select("_row", "queue", "start", "len", (F.col("base") + F.col("inside")).alias("from"), F.ceil(F.least(sent, "r1")).cast("long").alias("round")), "grains")
     # Where each queue's part of each round begins in the sequence.
     turns = grains.groupBy("round", "queue").agg(F.min("from").alias("first"), F.sum("len").alias("sent"))
     last = grains.agg(F.max("round")).first()[0] or 0
     turns = turns.withColumn("block", F.floor(F.col("round") / max(64, -(-last // 4096))).cast("long")).withColumn("one", F.lit(0))
-    turns = running_sum(turns, ["one"], ["round", "queue"], "block", "sent", "base").select(F.col("round").alias("r"), F.col("queue").alias("q"), (F.col("base") - F.col("first")).alias("shift"))
-    laid = grains.join(turns, (grains["round"] == turns.r) & (grains.queue == turns.q)).select("row", "start", "len", (F.col("from") + F.col("shift")).alias("at"))
-    laid = laid.groupBy("row").agg(F.collect_list(F.struct("start", "at", "len")).alias("grains"))
-    return tokens.select("row", "doc_id", "n_tokens", "ids").join(laid, "row").select("doc_id", "n_tokens", "ids", "grains").mapInArrow(_cut(window), PIECES)
+    turns = running_sum(turns, ["one"], ["round", "queue"], "block", "sent", "begin").select("round", "queue", (F.col("begin") - F.col("first")).alias("shift"))
+    laid = grains.join(turns, ["round", "queue"]).select("_row", "start", "len", (F.col("from") + F.col("shift")).alias("at"))
+    return visit_rows(tokens, laid, ["doc_id", "n_tokens", "ids"], _cut(window, id_type(_tokenizer(tokenizer))), PIECES)

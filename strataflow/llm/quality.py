@@ -60,12 +60,14 @@ def _with_pairs(df: DataFrame, of: str, gap: int, out: str) -> DataFrame:
     return df.withColumn(out, F.zip_with(F.slice(of, F.lit(1), n), F.slice(of, F.lit(gap + 1), n), lambda a, b: F.xxhash64(a, b)))
 
 
-def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts per document: id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, commons."""
+def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """Counts per document: id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, commons; with
+    ``carry`` also ``row``, a struct of all columns of ``docs``."""
     if rules.window != 8:
         raise ValueError("windows are built by doubling to 8 words")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("t"), words_of(F.col(text_col)).alias("words"))
+    carried = ["row"] if carry else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("t"), words_of(F.col(text_col)).alias("words"), *([F.struct("*").alias("row")] if carry else []))
     # Each step takes one class of characters away, so that later steps read ever shorter strings.
     base = base.withColumn("t1", F.regexp_replace("t", "[a-z]+", ""))
     base = base.withColumn("t2", F.regexp_replace("t1", SPACE_CLASS + "+", ""))
@@ -85,7 +87,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_
         lines.alias("lines"),
         F.array(n[0] - n[1], n[1] - n[2], n[2] - n[3], n[3] - n[4], n[4] - n[5], n[5] - n[6], n[6]).alias("classes"),
         F.filter("words", lambda w: w.isin(vocabulary)).alias("known"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("one"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("one"), *carried,
     )
     base = _with_pairs(base.drop("words"), "one", 1, "two")
     base = _with_pairs(base.drop("one"), "two", 2, "four")
@@ -98,7 +100,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_
         "classes",
         F.array(*counts, F.col("n_words") - known).alias("commons"),
         # Only texts in which some window repeats go on to the sort.
-        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"),
+        F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"), *carried,
     )
     m = F.size("s")
     nil = F.lit(None).cast("bigint")
@@ -159,9 +161,8 @@ def _bare_distance(reference: list[float]) -> float:
     return math.sqrt(max(total / 2, 0.0))
 
 
-def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: its counts, ``base_failed``, both distances (null under the guards) and ``kept``."""
-    features = written(document_features(docs, rules, id_col, text_col, lang_col), "quality")
+def _judged(features: DataFrame, rules: QualityRules) -> DataFrame:
+    """Adds ``base_failed``, both distances (null under the guards) and ``kept`` to written features."""
     references = language_references(features, rules)
 
     def distances(counts: str, k: int) -> Column:
@@ -179,8 +180,19 @@ def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), id_c
     out = out.withColumn("word_distance", F.array_min("words_away")).withColumn("word_share", F.array_min(F.zip_with("words_away", bare, lambda d, b: d / b)))
     far = F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     far = far | F.coalesce(F.col("word_share") > rules.max_word_share, F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def quality_verdicts(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: its counts, ``base_failed``, both distances and ``kept``."""
+    out = _judged(written(document_features(docs, rules, id_col, text_col, lang_col), "quality"), rules)
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
-        (~F.col("base_failed") & ~far).alias("kept"),
+        F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), "kept",
     )
+
+
+def good_documents(docs: DataFrame, rules: QualityRules = QualityRules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep.  Rows go with their counts, so that each is judged by itself whatever its id."""
+    features = written(document_features(docs, rules, id_col, text_col, lang_col, carry=True), "quality")
+    return _judged(features, rules).where("kept").select("row.*")
