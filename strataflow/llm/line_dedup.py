@@ -4,7 +4,8 @@ Lines that occur once can't be part of a repeated run, so only suffixes that beg
 them every other line, and every end of a document, is a symbol of its own.  Prefix doubling ranks the suffixes by
 their first 1, 2, 4, ... lines: each round looks up the rank of the suffix h lines further on, sorts the pairs by range
 over all tasks (ties broken by place, so that a line with a third of all rows is split) and numbers them from per-task
-counts.  Rounds end when no suffix needs a longer prefix.
+counts.  Rounds end when no suffix needs a longer prefix.  Which lines repeat, and which place of an interval is the first,
+is read off the same kind of sort.
 
 A suffix's depth is the least number of lines that hold ``min_words`` words.  The LCP interval of that depth around a
 suffix is the set of suffixes with the same ranks for the two overlapping blocks of 2^k lines that cover it.  The first
@@ -24,6 +25,7 @@ repeats comes back as it is; columns other than the text are passed on as they a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,43 +52,66 @@ def _key(id_col: str):
     return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
 
 
-def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to sorted rows their number within the task, and the number at which their run of equal keys began."""
-    import numpy as np
+def _runs(keys: list[str]):
+    """Adds to sorted rows their ``number`` within the task, the number ``start`` at which their run of equal keys began, and
+    whether the row after them begins a run (``ends``; null for the last row of the task)."""
 
-    seen, begun, last = 0, 0, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("r1", "r2"))
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        fresh[0] = last is None or last != (a[0], b[0])
-        number = np.arange(seen, seen + len(a))
-        start = np.maximum.accumulate(np.where(fresh, number, begun))
-        seen, begun, last = seen + len(a), int(start[-1]), (a[-1], b[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(start)], names=[*batch.schema.names, "number", "start"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
+        seen, begun, last, held = 0, 0, None, None
 
-def _ranked(rows: DataFrame) -> Scratch:
-    """Replaces (r1, r2) by ``rank``: the number of rows with a smaller pair."""
+        def emitted(begins: bool | None) -> pa.RecordBatch:
+            batch, number, start, fresh = held
+            ends = pa.concat_arrays([pa.array(fresh[1:]), pa.array([begins], pa.bool_())])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(start), ends], names=[*batch.schema.names, "number", "start", "ends"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            fresh = np.ones(batch.num_rows, bool)
+            fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            fresh[0] = last is None or last != [c[0] for c in columns]
+            if held:
+                yield emitted(bool(fresh[0]))
+            number = np.arange(seen, seen + batch.num_rows)
+            start = np.maximum.accumulate(np.where(fresh, number, begun))
+            held = batch, number, start, fresh
+            seen, begun, last = seen + batch.num_rows, int(start[-1]), [c[-1] for c in columns]
+        if held:
+            yield emitted(None)
+
+    return run
+
+
+def _sorted_runs(rows: DataFrame, keys: list[str]) -> Scratch:
+    """Rows in runs of equal keys, with ``rank`` (the number of rows with a smaller key), ``is_first`` (in order of place) and
+    ``is_single``.  Rows are sorted by range over all tasks, ties by place, so that a key with a third of all rows is split."""
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
-    ordered = rows.repartitionByRange(n, "r1", "r2", *_DOC, "pos").sortWithinPartitions("r1", "r2", *_DOC, "pos").withColumn("task", F.spark_partition_id())
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema] + ["number long", "start long"])
-    numbered = Scratch(ordered.mapInArrow(_run_starts, schema), "numbered")
-    # One row per task: how many rows come before it, and where the run began that its first rows continue.
-    parts = numbered.df.groupBy("task").agg(F.count("*").alias("n"), F.max("start").alias("last_start"), F.min_by(F.struct("r1", "r2"), "number").alias("first"), F.max_by(F.struct("r1", "r2"), "number").alias("last")).orderBy("task").collect()
+    ordered = rows.repartitionByRange(n, *keys, *_DOC, "pos").sortWithinPartitions(*keys, *_DOC, "pos").withColumn("task", F.spark_partition_id())
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema] + ["number long", "start long", "ends boolean"])
+    numbered = Scratch(ordered.mapInArrow(_runs(keys), schema), "numbered")
+    # One row per task: how many rows come before it, where the run began that its first rows continue, and whether its
+    # first and last runs go on in its neighbours.
+    key = F.struct(*keys)
+    parts = numbered.df.groupBy("task").agg(F.count("*").alias("n"), F.max("start").alias("last_start"), F.min_by(key, "number").alias("first"), F.max_by(key, "number").alias("last")).orderBy("task").collect()
     table, base, open_key, open_rank = [], 0, None, 0
-    for p in parts:
-        carried = open_rank if p["first"] == open_key else base
-        table.append((p["task"], base, carried))
+    for i, p in enumerate(parts):
+        after = parts[i + 1] if i + 1 < len(parts) else None
+        goes_on = p["first"] == open_key
+        carried = open_rank if goes_on else base
+        table.append((p["task"], base, carried, goes_on, after is not None and after["first"] == p["last"]))
         if p["last"] != open_key or p["last_start"] > 0:
             open_rank = carried if p["last_start"] == 0 else base + p["last_start"]
         open_key, base = p["last"], base + p["n"]
-    offsets = spark.createDataFrame(table, "t int, base long, carried long")  # as many rows as tasks
+    offsets = spark.createDataFrame(table, "t int, base long, carried long, goes_on boolean, stays boolean")  # as many rows as tasks
     rank = F.when(F.col("start") == 0, F.col("carried")).otherwise(F.col("base") + F.col("start"))
-    out = Scratch(numbered.df.join(F.broadcast(offsets), F.col("task") == F.col("t")).withColumn("rank", rank).drop("task", "t", "base", "carried", "number", "start", "r1", "r2"), "ranks")
+    is_first = (F.col("number") == F.col("start")) & ~((F.col("number") == 0) & F.col("goes_on"))
+    is_single = is_first & F.coalesce("ends", ~F.col("stays"))
+    joined = numbered.df.join(F.broadcast(offsets), F.col("task") == F.col("t")).withColumns({"rank": rank, "is_first": is_first, "is_single": is_single})
+    out = Scratch(joined.drop("task", "t", "base", "carried", "goes_on", "stays", "number", "start", "ends", *keys), "ranks")
     numbered.drop()
     return out
 
@@ -94,8 +119,8 @@ def _ranked(rows: DataFrame) -> Scratch:
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", maximal: bool = False) -> DataFrame:
     """(d, th, pos) of every line that is to be deleted: of blocks that begin with a word or, if ``maximal``, of whole runs."""
     lines = written(_lines(docs, id_col, text_col), "lines")
-    several = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    active = lines.join(several, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).drop("g1", "g2")
+    first_ranks = _sorted_runs(lines, ["h1", "h2"])
+    active = first_ranks.df.where("not is_single").drop("is_first", "is_single")
     # Depth: the least number of lines, all of them repeated ones, that hold min_words words.  A run of places without
     # a gap is looked at through the running sum of its words.
     place = W.partitionBy(*_DOC).orderBy("pos")
@@ -119,8 +144,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         first, last = F.when(F.col("end") == 0, first).otherwise(F.col("since.pos")), F.when(F.col("end") == 0, last).otherwise(F.col("pos"))
     blocks = written(blocks.where(wanted).select(*_DOC, first.alias("pos"), (last - first + 1).alias("depth")), "blocks")
     deepest = blocks.agg(F.max("depth")).first()[0] or 0
-    active = active.drop("sofar", "stretch", "words")
-    level = _ranked(active.withColumnsRenamed({"h1": "r1", "h2": "r2"}))
+    level = Scratch(active.drop("sofar", "stretch", "words"), "ranks")
     found, h = [], 1
     while True:
         # Depths in h .. 2h - 1 are covered by two blocks of h lines.
@@ -128,25 +152,22 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         due = blocks.where(f"depth >= {h} and depth < {2 * h}").join(now, [*_DOC, "pos"])
         second = now.select(F.col("d").alias("d2"), F.col("th").alias("th2"), F.col("pos").alias("pos2"), F.col("rank").alias("rank2"))
         due = due.join(second, (F.col("d") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") + F.col("depth") - h == F.col("pos2")))
-        found.append(written(due.select(*_DOC, "pos", "depth", "rank", "rank2"), "due"))
+        # The first place of each interval stays; all later ones are marked.
+        found.append(_sorted_runs(due.select(*_DOC, "pos", "depth", F.col("rank").alias("k1"), F.col("rank2").alias("k2"), F.col("depth").alias("k3")), ["k1", "k2", "k3"]).df.where("not is_first"))
         if deepest < 2 * h:
             break
         ahead = now.select(F.col("d").alias("d2"), F.col("th").alias("th2"), (F.col("pos") - h).alias("pos2"), F.col("rank").alias("r2"))
         paired = now.withColumnRenamed("rank", "r1").join(ahead, (F.col("d") == F.col("d2")) & (F.col("th") == F.col("th2")) & (F.col("pos") == F.col("pos2")), "left").drop("d2", "th2", "pos2")
         # What follows may be the end or a line of its own: then no other suffix shares the longer prefix.
-        nxt = _ranked(paired.withColumn("r2", F.coalesce("r2", _OWN - F.xxhash64(*_DOC, "pos").bitwiseAND(F.lit(2**62 - 1)))))
+        nxt = _sorted_runs(paired.withColumn("r2", F.coalesce("r2", _OWN - F.xxhash64(*_DOC, "pos").bitwiseAND(F.lit(2**62 - 1)))), ["r1", "r2"])
         level.drop()
         level, h = nxt, 2 * h
     level.drop()
-    marks = None
-    for due in found:
-        # The first place of each interval, by partial aggregation; only intervals of two or more go on.
-        first = due.groupBy("rank", "rank2", "depth").agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").withColumnsRenamed({"rank": "k1", "rank2": "k2", "depth": "k3"})
-        later = due.join(first, (F.col("rank") == F.col("k1")) & (F.col("rank2") == F.col("k2")) & (F.col("depth") == F.col("k3"))).where(F.struct(*_DOC, "pos") != F.col("first"))
-        later = later.select(*_DOC, "pos", "depth")
-        marks = later if marks is None else marks.unionByName(later)
-    covered = marks.select(*_DOC, F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1)).alias("pos"))
-    return covered.distinct()
+    marks = functools.reduce(DataFrame.unionByName, found).withColumn("stop", F.col("pos") + F.col("depth") - 1)
+    # Of marks that overlap, each adds the lines that those before it don't have.
+    before = F.max("stop").over(W.partitionBy(*_DOC).orderBy("pos", "stop").rowsBetween(W.unboundedPreceding, -1))
+    marks = marks.withColumn("from", F.greatest("pos", F.coalesce(before + 1, "pos"))).where(F.col("from") <= F.col("stop"))
+    return marks.select(*_DOC, F.explode(F.sequence("from", "stop")).alias("pos"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", maximal: bool = False) -> DataFrame:
@@ -156,7 +177,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     gone = written(repeated_lines(docs, min_words, id_col, text_col, maximal), "repeated")
     gone = gone.groupBy("d", "th").agg(F.collect_list("pos").alias("_gone")).withColumnsRenamed({"d": "_d", "th": "_th"})
-    joined = docs.join(gone, (_key(id_col) == F.col("_d")) & (F.xxhash64(text_col) == F.col("_th")), "left")
+    # What is deleted grows with the corpus, so it is never broadcast.
+    joined = docs.join(gone.hint("merge"), (_key(id_col) == F.col("_d")) & (F.xxhash64(text_col) == F.col("_th")), "left")
     joined = joined.withColumn("_lines", F.split(text_col, "\n"))
     n = F.when(F.col(text_col).isNotNull(), F.size("_lines")).otherwise(F.lit(0))
     # The difference of the line numbers keeps their order.
