@@ -1,11 +1,14 @@
 """Media columns: 8-bit WAV members in ZIP archives, and a data source that reads them back by byte range.
 
 ``write_media`` turns texts into media: the UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are stored
-as 8-bit PCM samples of a WAV member.  Each task writes its own archives of bounded size into a shared folder.
+as 8-bit PCM samples of a WAV member.  Each task writes its own archives of bounded size into a shared folder, under names
+that no other attempt uses; which archives count stands in a manifest, a table that Spark commits.
 
-``ZipMediaSource`` is a Spark data source over such a folder.  It reads the archives' central directories, plans
-partitions as byte ranges over the members, and streams the members' payloads as Arrow batches of bounded size.  A member
-that can't be read is retried on its own, from its own offset; one that never can be read becomes a row with an error.
+``ZipMediaSource`` is a Spark data source over such a folder, or over any folder of ZIP archives.  It plans partitions as byte
+ranges of archives from their names and sizes alone; a task reads its archive's central directory, takes the members that
+begin in its range, and streams their payloads as Arrow batches of bounded size.  A member that can't be read, or whose length
+or CRC-32 is not the one in the directory, is retried on its own, from its own offset; one that never can be read becomes
+a row with an error, and so does a member that holds no sound WAV data.  An archive whose directory can't be read gives one such row.
 
 Edge cases: a null text is an empty one (64 zero bytes); a row with a null id is stored and comes back with a null id;
 repeated rows are members of their own; a text that ends in zero
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import time
 import uuid
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -38,6 +43,10 @@ RATE = 8000
 ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+#: Folder of the table (archive, size) of the archives that count.
+MANIFEST = "_manifest"
+#: Members that write_media makes: the row's id, its place in the task, and its bytes without padding.
+NAMED = re.compile(r"(-?\d+|null)/\d+-(\d+)\.wav")
 MEMBER_SCHEMA = "member string, archive string, offset long, media binary, error string"
 
 
@@ -65,16 +74,16 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _ArchiveWriter:
-    """Archives of one task: written under a name of this attempt, renamed when whole."""
+    """Archives of one attempt of a task; ``done`` has the names and sizes of the whole ones."""
 
     def __init__(self, folder: str, partition: int):
         self.fs, self.folder = _filesystem(folder)
-        self.partition, self.number, self.zip = partition, 0, None
+        self.base, self.zip, self.done = f"part-{partition:06d}-{uuid.uuid4().hex}", None, []
 
     def add(self, name: str, data: bytes) -> None:
         if self.zip is None:
-            self.temporary = f"{self.folder}/_{uuid.uuid4().hex}.tmp"
-            self.stream = self.fs.open_output_stream(self.temporary, compression=None)
+            self.current = f"{self.base}-{len(self.done):04d}.zip"
+            self.stream = self.fs.open_output_stream(f"{self.folder}/{self.current}", compression=None)
             self.zip = zipfile.ZipFile(self.stream, "w", zipfile.ZIP_DEFLATED, compresslevel=3)
             self.size = 0
         self.zip.writestr(zipfile.ZipInfo(name), data, zipfile.ZIP_DEFLATED)
@@ -86,9 +95,8 @@ class _ArchiveWriter:
         if self.zip is not None:
             self.zip.close()
             self.stream.close()
-            # A second attempt of the same task replaces the first one's archive by an equal one.
-            self.fs.move(self.temporary, f"{self.folder}/part-{self.partition:06d}-{self.number:04d}.zip")
-            self.zip, self.number = None, self.number + 1
+            self.done.append((self.current, self.fs.get_file_info(f"{self.folder}/{self.current}").size))
+            self.zip = None
 
 
 def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -107,15 +115,18 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                 out.add(f"{key}/{row}-{len(data)}.wav", to_wav(padded(data)))
                 row += 1
         out.close()
-        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64())], names=["n"])
+        names, sizes = ([x[i] for x in out.done] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["archive", "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows.mapInArrow(store, "n long").agg(F.sum("n")).collect()
+    rows.mapInArrow(store, "archive string, size long").write.parquet(f"{folder}/{MANIFEST}")
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, members: list[tuple[str, int, int, int]]):
-        self.archive, self.members = archive, members
+    """Members of an archive that begin in [start, stop)."""
+
+    def __init__(self, archive: str, start: int, stop: int):
+        self.archive, self.start, self.stop = archive, start, stop
 
 
 class ZipMediaReader(DataSourceReader):
@@ -126,36 +137,46 @@ class ZipMediaReader(DataSourceReader):
         self.wait = float(options.get("retrywait", 0.2))
 
     def partitions(self) -> list[ByteRange]:
-        """Byte ranges from the archives' directories; only directories are read here, no member."""
+        """Byte ranges from the archives' names and sizes; no archive is opened here."""
         fs, path = _filesystem(self.folder)
-        plan: list[ByteRange] = []
-        for info in sorted(fs.get_file_info(pafs.FileSelector(path)), key=lambda x: x.path):
-            if not info.path.endswith(".zip"):
-                continue
-            with fs.open_input_file(info.path) as f, zipfile.ZipFile(f) as z:
-                members, size = [], 0
-                for m in sorted(z.infolist(), key=lambda x: x.header_offset):
-                    members.append((m.filename, m.header_offset, m.compress_size, m.compress_type))
-                    size += m.compress_size
-                    if size >= self.range_bytes:
-                        plan.append(ByteRange(info.path, members))
-                        members, size = [], 0
-                if members:
-                    plan.append(ByteRange(info.path, members))
-        return plan
-
-    def _member(self, fs: pafs.FileSystem, archive: str, offset: int, size: int, kind: int) -> bytes:
+        if fs.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.Directory:
+            table = pq.read_table(f"{path}/{MANIFEST}", filesystem=fs)
+            archives = [(f"{path}/{a}", n) for a, n in zip(table.column("archive").to_pylist(), table.column("size").to_pylist(), strict=True)]
+        else:
+            archives = [(x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".zip")]
+        return [ByteRange(a, start, min(start + self.range_bytes, n)) for a, n in sorted(archives) for start in range(0, n, self.range_bytes)]
+
+    def _member(self, fs: pafs.FileSystem, archive: str, info: zipfile.ZipInfo) -> bytes:
         with fs.open_input_file(archive) as f:
-            f.seek(offset)
+            f.seek(info.header_offset)
             head = f.read(30)
             if head[:4] != b"PK\x03\x04":
                 raise ValueError("no member starts at this offset")
             name, extra = struct.unpack("<HH", head[26:30])
-            f.seek(offset + 30 + name + extra)
-            data = f.read(size)
-        if len(data) != size:
+            f.seek(info.header_offset + 30 + name + extra)
+            data = f.read(info.compress_size)
+        if len(data) != info.compress_size:
             raise ValueError("the member is cut short")
-        return data if kind == zipfile.ZIP_STORED else zlib.decompress(data, -15)
+        if info.compress_type != zipfile.ZIP_STORED:
+            data = zlib.decompress(data, -15)
+        if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
+            raise ValueError("the member's data is not what the directory says")
+        return data
+
+    def _directory(self, fs: pafs.FileSystem, archive: str) -> list[zipfile.ZipInfo]:
+        with fs.open_input_file(archive) as f, zipfile.ZipFile(f) as z:
+            return sorted(z.infolist(), key=lambda x: x.header_offset)
+
+    def _retried(self, get) -> tuple:
+        """(result, error) of a read that is tried several times."""
+        error = None
+        for attempt in range(self.retries + 1):
+            try:
+                return get(), None
+            except (OSError, ValueError, zlib.error, zipfile.BadZipFile, NotImplementedError) as e:
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(self.wait * attempt)
+        return None, error
 
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark passes where no range was planned
@@ -163,16 +184,14 @@ class ZipMediaReader(DataSourceReader):
         fs, _ = _filesystem(self.folder)
         rows, held = [], 0
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
-        for name, offset, size, kind in partition.members:
-            media, error = None, None
-            for attempt in range(self.retries + 1):
-                try:
-                    media, error = self._member(fs, partition.archive, offset, size, kind), None
-                    break
-                except (OSError, ValueError, zlib.error) as e:
-                    error = f"{type(e).__name__}: {e}"
-                    time.sleep(self.wait * attempt)
-            rows.append((name, partition.archive, offset, media, error))
+        members, error = self._retried(lambda: self._directory(fs, partition.archive))
+        if error and partition.start == 0:
+            rows.append((None, partition.archive, None, None, error))
+        for info in members or []:
+            if not partition.start <= info.header_offset < partition.stop or info.is_dir():
+                continue
+            media, error = self._retried(lambda m=info: self._member(fs, partition.archive, m))
+            rows.append((info.filename, partition.archive, info.header_offset, media, error))
             held += len(media or b"")
             if held >= BATCH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -212,24 +231,25 @@ def _features(samples: bytes, n_bytes: int) -> str:
 
 
 def media_features(members: DataFrame) -> DataFrame:
-    """Digests and features of media members.  A member that couldn't be read has nulls and its error."""
+    """Digests and features of media members.  A member that couldn't be read, or holds no sound WAV data, has nulls and its error."""
+
+    def row(member: str | None, media: bytes | None, error: str | None) -> tuple:
+        named = NAMED.fullmatch(member or "")
+        doc_id = int(named[1]) if named and named[1] != "null" else None
+        if media is None:
+            return (doc_id, *(None,) * 7, error)
+        try:
+            payload = from_wav(media)
+        except (wave.Error, EOFError, struct.error) as e:
+            return (doc_id, *(None,) * 7, f"{type(e).__name__}: {e}")
+        n = min(int(named[2]), len(payload)) if named else len(payload)
+        return (doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), _features(payload, n), None)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for member, media in zip(batch.column("member").to_pylist(), batch.column("media"), strict=True):
-                key, rest = member.split("/")
-                doc_id = None if key == "null" else int(key)
-                if not media.is_valid:
-                    out.append((doc_id, *(None,) * 7))
-                    continue
-                stored = media.as_buffer().to_pybytes()
-                payload = from_wav(stored)
-                n = int(rest.removesuffix(".wav").split("-")[1])
-                out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), _features(payload, n)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("error")], names=FEATURE_NAMES)
+            out = [row(member, media.as_buffer().to_pybytes() if media.is_valid else None, error) for member, media, error in zip(batch.column("member").to_pylist(), batch.column("media"), batch.column("error").to_pylist(), strict=True)]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=FEATURE_NAMES)
 
     return members.select("member", "media", "error").mapInArrow(compute, FEATURE_SCHEMA)
 
