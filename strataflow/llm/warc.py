@@ -1,18 +1,23 @@
 """WARC archives with revisit resolution.
 
-``write_archives`` writes one gzip-compressed record per row.  ``read_archives`` parses archives record by record into
-headers and, if asked, payload digests.  ``resolve_revisits`` shuffles headers only: it groups them by payload digest,
-takes the row with the smallest id of each digest as the original and joins the others to it.  ``write_deduplicated``
-then streams each archive once more and writes it anew: originals with their payload, the others as revisit records with
-fresh headers that name the original.  Payloads never cross a shuffle.
+``write_archives`` writes one gzip-compressed response record per row: an HTTP head and the payload.  ``read_archives`` parses
+archives record by record into headers and, of responses, length and digest of the payload.  ``resolve_revisits`` shuffles
+headers only: it groups the responses by payload digest, takes the row with the smallest id of each digest as the original and
+joins to it the other responses and the revisit records that the archives already hold.  ``write_deduplicated`` then streams
+each archive once more and writes it anew: originals with their payload, the others as revisit records with fresh headers that
+name the original's record, address and date; records of other kinds as they are.  Payloads never cross a shuffle.
+
+A digest that many headers share is spread over ``SALTS`` salts in each join; Spark's adaptive join splits what is larger still.
 
 Edge cases: a null payload is an empty one; payloads under ``min_bytes`` are always responses; rows with a null id never
 become an original of others (where all rows of a digest have null ids, each stays a response); rows that repeat an id
-and a payload: one of them stays the response; an empty table gives no rows; other columns are ignored.
+and a payload: one of them stays the response; a revisit whose payload no archive holds stays a revisit of what it named; very
+long payloads are held one at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import uuid
@@ -29,16 +34,27 @@ from strataflow.llm.common import scratch_path, written
 MIN_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
 SALTS = 16
-HEADER_SCHEMA = "page_id long, archive string, offset long, record_type string, refers_to long, payload_bytes long, payload_digest string, header_digest string"
+HEADER_SCHEMA = "page_id long, archive string, offset long, record_id string, target_uri string, date string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "application/http;msgtype=response"
+
+
+def _record_id(folder: str, archive: str, place: int) -> str:
+    """A record's name follows from its place, so that a repeated task gives the same one and others can work it out."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{folder}/{archive}/{place}')}>"
 
 
-def _record_id(page_id: int | None, archive: str, number: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}/{number}/{page_id}')}>"
+def _record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *[f"{k}: {v}" for k, v in headers], f"Content-Length: {len(block)}", "", ""]
+    return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n", compresslevel=2, mtime=0)
 
 
-def _record(kind: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", *[f"{k}: {v}" for k, v in headers], f"Content-Length: {len(payload)}", "", ""]
-    return gzip.compress("\r\n".join(lines).encode() + payload + b"\r\n\r\n", compresslevel=2, mtime=0)
+def _http(payload: bytes) -> bytes:
+    return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+
+
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").replace(" ", "").startswith("application/http") else block
 
 
 class _Writer:
@@ -74,8 +90,9 @@ def _new_folder(spark: SparkSession, label: str) -> str:
     return folder
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> int:
-    """One response record per row; returns the number of records."""
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None) -> int:
+    """One response record per row; returns the number of records.  ``date``: when the pages were fetched, by default now."""
+    when = date or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -84,10 +101,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for batch in batches:
             for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-                headers = [("WARC-Record-ID", _record_id(page_id, out.current(), n)), ("WARC-Target-URI", target)]
-                headers += [("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()), ("X-Row-Id", "" if page_id is None else str(page_id))]
-                out.add(_record("response", headers, payload))
+                target = (url or "").replace("\r", "%0D").replace("\n", "%0A") or "about:blank"
+                headers = [("WARC-Record-ID", _record_id(folder, out.current(), n)), ("WARC-Date", when), ("WARC-Target-URI", target)]
+                headers += [("WARC-Payload-Digest", "sha256:" + hashlib.sha256(payload).hexdigest()), ("Content-Type", HTTP), ("X-Row-Id", "" if page_id is None else str(page_id))]
+                out.add(_record("response", headers, _http(payload)))
                 n += 1
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
@@ -97,7 +114,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 
 def _records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, payload) of each gzip member; holds one record at a time."""
+    """(offset, headers by lower-case name, block) of each gzip member; holds one record at a time."""
     held, offset, start, done = b"", 0, 0, False
     while not done:
         inflate, parts = zlib.decompressobj(31), []
@@ -114,8 +131,9 @@ def _records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
             held = inflate.unused_data
         data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
-        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-        yield start, headers, rest[: int(headers["Content-Length"])]
+        fields = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+        headers = {k.strip().lower(): v.strip() for k, _, v in fields}
+        yield start, headers, rest[: int(headers["content-length"])]
 
 
 def _archives(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,15 +148,24 @@ def _long(text: str) -> int | None:
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per record: its headers, and length and digest of the payload as read."""
+    """One row per record: its headers and, of all but revisits, length and digest of the payload as read.
+
+    A revisit has the digest that its header says, the record that it names in ``refers_to``, and no length.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         for name in (n for b in batches for n in b.column(0).to_pylist()):
             rows = []
             with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
-                for offset, h, payload in _records(f):
-                    rows.append((_long(h["X-Row-Id"]), name, offset, h["WARC-Type"], _long(h.get("X-Refers-To-Row", "")), len(payload), hashlib.sha256(payload).hexdigest(), h["WARC-Payload-Digest"].removeprefix("sha256:")))
+                for offset, h, block in _records(f):
+                    kind = h["warc-type"]
+                    if kind == "revisit":
+                        size, digest = None, h.get("warc-payload-digest", "").removeprefix("sha256:")
+                    else:
+                        payload = _payload(h, block)
+                        size, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                    rows.append((_long(h.get("x-row-id", "")), name, offset, h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), kind, h.get("warc-refers-to"), size, digest))
                     if len(rows) >= 5000:
                         yield _batch(rows)
                         rows = []
@@ -149,31 +176,33 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in HEADER_SCHEMA.split(", ")])
 
 
 def resolve_revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """Adds ``original`` (null: the record is a response) to headers of responses.
+    """Adds ``original`` (null: the record stays what it is) to headers: page_id, archive, offset, target_uri and date of the
+    response that the record is to revisit.  Revisits that were there get theirs whatever the size of the payload.
 
-    Originals are picked by partial aggregation.  The headers, of which one digest may hold a large part, are spread over
-    salts for the join; only digests that occur more than once are repeated for every salt.
+    Originals are picked by partial aggregation; only digests that occur more than once are repeated for every salt.
     """
-    large = F.col("payload_bytes") >= min_bytes
-    first = F.min(F.struct("page_id", "archive", "offset")).alias("first")
-    known = headers.where(large & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(first, F.count("*").alias("n"))
-    orphans = headers.where(large & F.col("page_id").isNull()).select("payload_digest").distinct()
-    several = known.join(orphans.withColumn("o", F.lit(True)), "payload_digest", "left").where((F.col("n") > 1) | F.col("o"))
+    is_response, is_revisit = F.col("record_type") == "response", F.col("record_type") == "revisit"
+    large = is_response & (F.col("payload_bytes") >= min_bytes)
+    # Rows with an id come first; the others only stand for revisits that have no better one.
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "archive", "offset", "target_uri", "date")).alias("first")
+    known = headers.where(is_response).groupBy("payload_digest").agg(first, F.count("*").alias("n"), F.max("payload_bytes").alias("bytes"))
+    wanted = headers.where(is_revisit).select("payload_digest").distinct()
+    several = known.join(wanted.withColumn("o", F.lit(True)), "payload_digest", "left").where(((F.col("n") > 1) & (F.col("bytes") >= min_bytes)) | F.col("o"))
     several = several.select(F.col("payload_digest").alias("_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt2"))
     salted = headers.withColumn("_salt", F.pmod(F.xxhash64("archive", "offset"), F.lit(SALTS)).cast("int"))
     joined = salted.join(several, (salted.payload_digest == several["_digest"]) & (salted["_salt"] == several["_salt2"]), "left")
     is_first = F.struct("archive", "offset") == F.struct("first.archive", "first.offset")
-    original = F.when(large & F.col("first").isNotNull() & ~is_first, F.col("first.page_id"))
+    original = F.when(is_revisit | (large & ~F.col("first.none") & ~is_first), F.col("first"))
     return joined.withColumn("original", original).drop("_salt", "_salt2", "_digest", "first")
 
 
 def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, target: str) -> int:
-    """Write the archives of ``source`` anew: revisits lose their payload and get fresh headers."""
+    """Write the archives of ``source`` anew: what has an original loses its payload and becomes its revisit, with fresh headers."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(source)
@@ -186,15 +215,20 @@ def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, ta
                         stream.close()
                     stream = fs.open_input_stream(f"{path}/{name}", compression=None)
                     records, out, current = _records(stream), _Writer(target, name.removesuffix(".warc.gz")), name
-                at, h, payload = next(records)
+                at, h, block = next(records)
                 if at != offset:
                     raise ValueError(f"{name} has a record at {at} where its headers say {offset}")
-                fresh = [("WARC-Record-ID", _record_id(_long(h["X-Row-Id"]), out.current(), n)), ("WARC-Target-URI", h["WARC-Target-URI"]), ("WARC-Payload-Digest", h["WARC-Payload-Digest"]), ("X-Row-Id", h["X-Row-Id"])]
-                if original is None:
-                    out.add(_record("response", fresh, payload))
+                kind = h["warc-type"]
+                fresh = [("WARC-Record-ID", _record_id(target, name, offset)), ("WARC-Date", h.get("warc-date", "")), ("WARC-Target-URI", h.get("warc-target-uri", ""))]
+                row = [("X-Row-Id", h["x-row-id"])] if "x-row-id" in h else []
+                if original is not None:
+                    named = [("WARC-Refers-To", _record_id(target, original["archive"], original["offset"])), ("WARC-Refers-To-Target-URI", original["target_uri"] or ""), ("WARC-Refers-To-Date", original["date"] or "")]
+                    out.add(_record("revisit", [*fresh, ("WARC-Payload-Digest", h.get("warc-payload-digest", "")), ("WARC-Profile", PROFILE), *named, *row], b""))
+                elif kind == "response":
+                    digest = "sha256:" + hashlib.sha256(_payload(h, block)).hexdigest()
+                    out.add(_record(kind, [*fresh, ("WARC-Payload-Digest", digest), ("Content-Type", h.get("content-type", HTTP)), *row], block))
                 else:
-                    fresh += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Row", str(original))]
-                    out.add(_record("revisit", fresh, b""))
+                    out.add(_record(kind, [(k, v) for k, v in h.items() if k not in ("warc-type", "content-length")], block))
                 n += 1
         if out:
             out.close()
@@ -207,6 +241,22 @@ def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, ta
     return rows.mapInArrow(rewrite, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def described(headers: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to (a page_id) of responses and revisits.
+
+    A revisit has no payload of its own: length and digest come from the record that it names; both are null in case no archive
+    holds that.
+    """
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses, revisits = headers.where(F.col("record_type") == "response"), headers.where(F.col("record_type") == "revisit")
+    named = revisits.select(F.col("refers_to").alias("record_id")).distinct()
+    full = responses.join(named, "record_id").select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt2"))
+    salted = revisits.withColumn("_salt", F.pmod(F.xxhash64("archive", "offset"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(full, (F.col("refers_to") == F.col("_id")) & (F.col("_salt") == F.col("_salt2")), "left")
+    found = joined.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", F.col("_page").alias("refers_to"))
+    return responses.select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(found)
+
+
 def deduplicated_pages(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write, resolve, write deduplicated, read back: one row per page."""
     spark = pages.sparkSession
@@ -214,13 +264,4 @@ def deduplicated_pages(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str
     write_archives(pages, raw, id_col, url_col, payload_col)
     resolved = written(resolve_revisits(read_archives(spark, raw), min_bytes), "warc-resolved")
     write_deduplicated(spark, raw, resolved, target)
-    back = written(read_archives(spark, target), "warc-back")
-    responses = back.where(F.col("record_type") == "response").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    # A revisit has no payload of its own: length and digest come from the response that has its digest.
-    revisits = back.where(F.col("record_type") == "revisit")
-    revisits = revisits.withColumn("_salt", F.pmod(F.xxhash64("archive", "offset"), F.lit(SALTS)).cast("int"))
-    wanted = revisits.select(F.col("header_digest").alias("payload_digest")).distinct()
-    full = responses.join(wanted, "payload_digest").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
-    full = full.select(F.col("payload_digest").alias("_digest"), "_bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt2"))
-    joined = revisits.join(full, (revisits.header_digest == full["_digest"]) & (revisits["_salt"] == full["_salt2"]), "left")
-    return responses.unionByName(joined.select("page_id", F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", "refers_to"))
+    return described(written(read_archives(spark, target), "warc-back"))
