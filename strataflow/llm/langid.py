@@ -5,9 +5,10 @@ into phrases: the longest string that continues to occur, then the next.  The la
 letter position wins.  The automata are laid out as one transition table, whose missing moves start a new phrase, and many
 stretches of text walk through it at once.
 
-Training: rows whose crc32(id) mod 5 is not 0, with text and language.  Of each language a bounded sample
-(``sample_chars`` characters of the rows with the least hash) makes the automaton; of the languages, the
-``max_languages`` with the most rows are learned.  Both bounds are parameters.
+Training: rows whose crc32(id) mod 5 is not 0, with text and language.  Every language is learned.  A bounded sample makes its
+automaton: the first ``sample_chars`` characters of its rows in order of a hash of their id or, where there are many
+languages, an equal share of ``total_chars``.  Both bounds are parameters; they bound what reaches the driver, and with it the
+table of all automata in a worker, whatever the corpus.
 
 Edge cases: a null text or one without a letter gives ``und`` and score 0; with nothing to learn from, every text does;
 ties go to the language that sorts first; repeated rows are judged alike; language, source and id never enter a
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strataflow.llm.common import large_text, slices
 
 SAMPLE_CHARS = 40_000
-MAX_LANGUAGES = 64
+TOTAL_CHARS = 640_000
 FOLDS = 5
 STRETCH = 1024
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -35,24 +37,32 @@ def fold(id_col):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
 
 
-def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> dict[str, str]:
-    """A bounded sample of labelled text per language; at most max_languages * sample_chars characters reach the driver.
+def training_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> dict[str, str]:
+    """A bounded sample of labelled text per language; at most ``total_chars`` characters reach the driver.
 
-    Rows are taken in order of a hash of their id.  A threshold on the hash, set from the number of rows and the mean
-    length of each language, lets through about three times the sample; only those rows are sorted.
+    Rows are taken in order of a hash of their id.  A threshold on the hash, set from the number of rows and the mean length of
+    each language, lets through about three times the sample; of all languages at once only those rows are sorted.  A
+    language whose rows below its threshold hold too little is asked for again with a wider one.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.coalesce(fold(id_col), F.lit(1)) != 0))
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    out = {}
-    for r in sorted(found, key=lambda x: x["lang"]):
-        share = min(1.0, 3 * sample_chars / max(1, r["chars"]) + 20 / r["n"])
-        bound = int(-(2**63) + share * (2**64 - 1))
-        some = rows.where((F.col("lang") == r["lang"]) & (F.col("h") <= min(bound, 2**63 - 1)))
-        # The first rows by hash until the sample is full: each is cut at the sample's size before it travels.
-        texts = some.select("h", F.substring("text", 1, sample_chars).alias("t")).orderBy("h", "t").limit(400).collect()
-        out[r["lang"]] = "\n".join(x["t"] for x in texts)[:sample_chars]
-    return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
+    left = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    size = min(sample_chars, max(1, total_chars // max(1, len(left))))
+    out, wider = {}, 1
+    while left:
+        shares = {k: min(1.0, wider * (3 * size / max(1, r["chars"]) + 20 / r["n"])) for k, r in left.items()}
+        bounds = rows.sparkSession.createDataFrame([(k, min(int(-(2**63) + x * (2**64 - 1)), 2**63 - 1)) for k, x in shares.items()], "lang string, bound long")
+        some = rows.join(F.broadcast(bounds), "lang").where(F.col("h") <= F.col("bound")).select("lang", "h", F.substring("text", 1, size).alias("t"))
+        before = F.sum(F.length("t")).over(W.partitionBy("lang").orderBy("h", "t").rowsBetween(W.unboundedPreceding, -1))
+        texts: dict[str, list[str]] = {}
+        for r in some.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("lang", "h", "t", F.substring("t", F.lit(1), (size - F.col("before")).cast("int")).alias("cut")).orderBy("lang", "h", "t").collect():
+            texts.setdefault(r["lang"], []).append(r["cut"])
+        for k in list(left):
+            if shares[k] == 1.0 or sum(map(len, texts.get(k, []))) >= size:
+                out[k] = "\n".join(texts.get(k, []))[:size]
+                del left[k]
+        wider *= 8
+    return {k: v for k, v in sorted(out.items()) if any(c.isalpha() for c in v)}
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -200,9 +210,9 @@ def predict(texts: pa.Array, parser: CrossParser) -> tuple[list[str], list[float
     return [parser.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], [float(s) if ok else 0.0 for s, ok in zip(score, letters, strict=True)]
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> DataFrame:
     """doc_id, held_out, lang_pred and score (how far the winner's phrase rate lies below the second's) of every row."""
-    learned = docs.sparkSession.sparkContext.broadcast(training_texts(docs, id_col, text_col, lang_col, sample_chars, max_languages))
+    learned = docs.sparkSession.sparkContext.broadcast(training_texts(docs, id_col, text_col, lang_col, sample_chars, total_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from strataflow.llm import langid
