@@ -72,16 +72,35 @@ def test_media_round_trip_and_retries(spark, odd, tmp_path):
         want[(r["doc_id"], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), None)] += 1
     assert got == want
     assert media.media_column(empty(spark)).count() == 0
+
+
+def test_damaged_media_become_rows_with_errors(spark, tmp_path):
+    import zipfile
+
     folder = f"file://{tmp_path}/broken"
     media.write_media(docs(spark, [(i, f"text {i} " * 50, "en", "s") for i in range(20)]).coalesce(1), folder)
     archive = next((tmp_path / "broken").glob("*.zip"))
+    # What a lost attempt leaves behind does not count.
+    (tmp_path / "broken" / "part-000000-lost-0000.zip").write_bytes(archive.read_bytes())
     data = bytearray(archive.read_bytes())
     second = data.index(b"PK\x03\x04", 4)
     data[second : second + 4] = b"????"
+    entry = data.index(b"PK\x01\x02")
+    data[entry + 16] ^= 1  # the CRC-32 of the first member
     archive.write_bytes(bytes(data))
     rows = media.media_features(media.read_media(spark, folder, rangebytes=200, retries=1, retrywait=0)).collect()
-    assert len(rows) == 20 and sum(r["error"] is not None for r in rows) == 1
+    assert len(rows) == 20 and {r["doc_id"] for r in rows if r["error"]} == {0, 1}
     assert media.read_media(spark, folder, rangebytes=200, retries=0).rdd.getNumPartitions() > 1
+    # Archives from elsewhere: bad WAV data, a name of another kind, and no archive at all.
+    other = tmp_path / "other"
+    other.mkdir()
+    with zipfile.ZipFile(other / "a.zip", "w") as z:
+        z.writestr("7/0-64.wav", b"RIFF, but no more")
+        z.writestr("sound.wav", media.to_wav(b"y" * 64))
+        z.writestr("folder/", b"")
+    (other / "b.zip").write_bytes(b"nothing")
+    got = {(r["doc_id"], r["n_bytes"], r["error"] is None) for r in media.media_features(media.read_media(spark, f"file://{other}", retries=0)).collect()}
+    assert got == {(7, None, False), (None, 64, True), (None, None, False)}
 
 
 def test_warc(spark):
@@ -98,6 +117,33 @@ def test_warc(spark):
     assert warc.deduplicated_pages(pages.limit(0)).count() == 0
 
 
+def test_warc_records_are_valid_and_old_revisits_are_resolved(spark, tmp_path):
+    import gzip
+
+    big, small = "<p>" + "x" * 200, "<p>"
+    rows = [(2, "http://a", big), (5, "http://b", big), (3, "http://c", small), (9, "http://d", "<p>" + "z" * 300)]
+    folders = [f"file://{tmp_path}/{k}" for k in "abc"]
+    for k in "abc":
+        (tmp_path / k).mkdir()
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folders[0], date="2024-05-06T07:08:09Z")
+    # Archives from elsewhere: a revisit of the small page, and one of a payload that no archive holds.
+    digest = hashlib.sha256(small.encode()).hexdigest()
+    old = [("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", "http://e"), ("WARC-Refers-To", "<urn:uuid:0>")]
+    (tmp_path / "a" / "old.warc.gz").write_bytes(warc._record("warcinfo", [("WARC-Record-ID", "<urn:uuid:7>")], b"software: x\r\n") + warc._record("revisit", [*old, ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Row-Id", "1")], b"") + warc._record("revisit", [*old, ("WARC-Payload-Digest", "sha256:00"), ("X-Row-Id", "8")], b""))
+    results = []
+    for source, target in zip(folders, folders[1:]):
+        assert warc.write_deduplicated(spark, source, warc.resolve_revisits(warc.read_archives(spark, source)).cache(), target) == 7
+        results.append({(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.described(warc.read_archives(spark, target)).collect()})
+    # A second pass over its own archives changes nothing.
+    assert results[0] == results[1] == {(2, 203, "response", None), (5, 203, "revisit", 2), (3, 3, "response", None), (9, 303, "response", None), (1, 3, "revisit", 3), (8, None, "revisit", None)}
+    text = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "c").glob("*.warc.gz"))).decode()
+    records = [dict(x.split(": ", 1) for x in head.split("\r\n")[1:] if ": " in x) for head in re.findall(r"WARC/1\.1\r\n.*?\r\n\r\n", text, re.S)]
+    names = {r["WARC-Record-ID"]: r for r in records if r.get("WARC-Type") == "response"}
+    revisit = next(r for r in records if r.get("X-Row-Id") == "5")
+    assert names[revisit["WARC-Refers-To"]]["X-Row-Id"] == "2" and revisit["WARC-Refers-To-Target-URI"] == "http://a" and revisit["WARC-Refers-To-Date"] == "2024-05-06T07:08:09Z"
+    assert all(r["WARC-Date"] == "2024-05-06T07:08:09Z" and r["Content-Type"].startswith("application/http") for r in names.values()) and len(names) == 3
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -181,7 +227,7 @@ def test_components(spark):
 
 
 def test_licenses(spark):
-    notice = license_scan.TEMPLATES["Apache-2.0"]
+    notice = license_scan.TEMPLATES["Apache-2.0"][1]
     rows = [
         (1, "a/LICENSE", notice), (2, "a/b/c/x.py", "print(1)"), (3, "a/b/LICENSE", "Released under the MIT License."), (4, "z/y.py", "x"), (5, None, "x"), (6, "a/b/c/q.py", "code\n" * 30 + "# Licensed under CC BY-NC 4.0.\ncode"), (7, "top.txt", None),
         (8, "a/w.py", "no licence is given here, and the word alone says nothing of any text that one could know " * 3), (9, "a/b2/v.py", ""), (2, "a/b/c/x.py", "print(1)"),
@@ -195,6 +241,47 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(files.limit(0), "id", "path", "text").count() == 0
 
 
+def wrapped(text, mark="", width=68):
+    import textwrap
+
+    return "\n".join(mark + x for x in textwrap.wrap(text, width))
+
+
+def test_licenses_in_headers_and_files(spark):
+    from pathlib import Path
+
+    t = license_scan.TEMPLATES
+    code = "\nimport os\nprint(os.name)\n" * 5
+    cases = {f"{name}/LICENSE": (name, "Copyright (c) 2020 Some One\n\n" + wrapped(t[name][0])) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "0BSD")}
+    cases |= {f"{name}/h.c": (name, wrapped(t[name][1], " * ") + code) for name in ("GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0")}
+    cases |= {"m/h.py": ("MPL-2.0", wrapped(t["MPL-2.0"][0], "# ", 40) + code), "gpl/short.py": ("GPL-3.0", wrapped(t["GPL-3.0"][0], "# ") + code), "s/a.py": ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-or-later" + code), "s/b.py": ("MIT", "// SPDX-License-Identifier: (MIT)" + code), "s/c.py": (None, "# SPDX-License-Identifier: Unknown-1.0" + code)}
+    whole = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}
+    shared = Path("/usr/share/common-licenses")
+    cases |= {f"full/{k}/COPYING": (v, (shared / k).read_text()) for k, v in whole.items() if (shared / k).exists()}
+    cases["plain.txt"] = (None, "the terms of the house are subject to the general garden\n" * 20)
+    files = spark.createDataFrame([(None, k, text) for k, (_, text) in cases.items()], "id long, path string, text string")
+    got = {r["path"]: r["own_license"] for r in license_scan.scan_licenses(files, "id", "path", "text").collect()}
+    assert got == {k: name for k, (name, _) in cases.items()}
+
+
+def test_license_cosines_against_brute_force(spark):
+    import math
+
+    templates = {"A": ["alpha beta gamma delta alpha"], "B": ["beta gamma omega"]}
+    texts = ["alpha beta gamma delta", "beta gamma omega other", "alpha other words here", "beta beta gamma gamma omega omega"]
+    found = spark.createDataFrame([(i, f"l{i}", t, len(t.split())) for i, t in enumerate(texts)], "file long, passage string, text string, words long")
+    got = {r["file"]: (r["license"], r["cosine"]) for r in license_scan.template_cosines(found, templates, 0.0).collect()}
+    every = [collections.Counter(t.split()) for t in [*texts, templates["A"][0], templates["B"][0]]]
+    idf = {w: math.log((len(every) + 1) / (sum(w in c for c in every) + 1)) + 1 for c in every for w in c}
+    vector = lambda c: {w: (1 + math.log(n)) * idf[w] for w, n in c.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for i in range(len(texts)):
+        v = vector(every[i])
+        cosines = {k: sum(v.get(w, 0) * x for w, x in u.items()) / norm(v) / norm(u) for k, u in zip("AB", map(vector, every[-2:]))}
+        best = max(cosines, key=lambda k: (cosines[k], -ord(k)))
+        assert got[i][0] == best and abs(got[i][1] - cosines[best]) < 2e-6
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(spark, odd, name):
     path = token_counts.tokenizer_path(name)
@@ -211,8 +298,12 @@ def test_token_counts(spark, odd, name):
     more = docs(spark, [(30, "It's THE don't <|startoftext|>x<|ENDOFTEXT|> a\u001cb   će İstanbul", "en", "s"), (31, "x" * 5000, "en", "s")])
     every = odd.unionByName(more)
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), size(r["text"] or "")) for r in every.collect())
-    got = token_counts.token_counts(every, path, table_size=50).collect()
-    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+    # With a head of all pre-tokens, and with one of a few: the others are joined by a shuffle.
+    for head in (token_counts.HEAD, 3):
+        got = token_counts.token_counts(every, path, table_size=50, head=head).collect()
+        assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+    tokens = [r["token"] for r in token_counts.piece_counts(every, path, table_size=50).collect()]
+    assert len(tokens) == len(set(tokens)) > 1000
     assert all(r["over_limit"] == (r["n_tokens"] > 2048) for r in got)
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
