@@ -7,7 +7,7 @@ numbers of a cell come from its seed alone, so results don't depend on partition
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,14 +275,114 @@ def schedule(model: Model, start: float, stop: float, dt: float) -> dict[int, se
     return due
 
 
-def _cells(pdf, model: Model) -> Iterator[tuple]:
-    for r in pdf.itertuples(index=False):
-        yield r, {p: float(getattr(r, p)) for p in model.parameters}
+def scalar_source(e: X.Expr) -> str:
+    """Python source of a rate for single numbers; it gives the values of :func:`compile_rate`."""
+    a = [scalar_source(x) for x in e.args]
+    infix = {"add": "+", "sub": "-", "mul": "*"}
+    tests = {"lt": "<", "le": "<=", "gt": ">", "ge": ">=", "eq": "==", "ne": "!="}
+    if e.op == "const":
+        return repr(float(e.value))
+    if e.op == "ref":
+        return f"v_{e.value}"
+    if e.op in infix:
+        return f"({a[0]} {infix[e.op]} {a[1]})"
+    if e.op in tests:
+        return f"(1.0 if {a[0]} {tests[e.op]} {a[1]} else 0.0)"
+    if e.op == "neg":
+        return f"(-{a[0]})"
+    if e.op == "unchecked":
+        return a[0]
+    if e.op == "sum":
+        return "(" + " + ".join(a or ["0.0"]) + ")"
+    if e.op == "cond":
+        return f"({a[1]} if {a[0]} > 0 else {a[2]})"
+    # The rest has its edges in NumPy.
+    names = {"div": "divide", "pow": "power", "min": "minimum", "max": "maximum", "abs": "absolute"}
+    if e.op == "mod":
+        return f"float(np.mod({a[0]}, abs({a[1]})))"
+    if e.op == "div":
+        return f"({a[0]} / {a[1]} if {a[1]} else float(np.divide({a[0]}, {a[1]})))"
+    if e.op in ("pow", "min", "max", "exp", "log", "sqrt", "abs", "floor", "ceil", "sin", "cos", "tanh"):
+        return f"float(np.{names.get(e.op, e.op)}({', '.join(a)}))"
+    raise Refused(f"{e.op} can't run in a kernel")
+
+
+class CellKernel:
+    """The chain-binomial step of one cell, on plain numbers: arrays of length one cost more than the work in them.
+
+    The model's rates become one Python function.  Draws are those of :class:`Kernel` for one member.
+    """
+
+    def __init__(self, model: Model):
+        import numpy as np
+
+        self.model = model = branched(model)
+        at = {c: i for i, c in enumerate(model.compartments)}
+        self.ends = [(at.get(t.source), at.get(t.target)) for t in model.transitions]
+        self.exits = [(at[c], [i for i, t in enumerate(model.transitions) if t.source == c and t.law == "deterministic"], [i for i, t in enumerate(model.transitions) if t.source == c and t.law != "deterministic"]) for c in model.compartments if any(t.source == c for t in model.transitions)]
+        self.inflows = [(i, t.law == "deterministic") for i, t in enumerate(model.transitions) if t.source is None]
+        self.spread = [(i, t.overdispersion) for i, t in enumerate(model.transitions) if t.overdispersion]
+        lines = ["def rates(state, p, t, dt):", *[f"    v_{c} = float(state[{i}])" for c, i in at.items()], *[f"    v_{n} = p[{n!r}]" for n in model.parameters], "    v_t, v_dt = t, dt"]
+        lines += [f"    v_{n} = {scalar_source(e)}" for n, e in model.bindings.items()]
+        balance = [f"    return {scalar_source(model.balance[1])}"] if model.balance else ["    return None"]
+        space: dict = {"np": np}
+        exec("\n".join([*lines, "    return [" + ", ".join(scalar_source(t.rate) for t in model.transitions) + "]"]), space)
+        self.rates = space["rates"]
+        exec("\n".join([*lines, *balance]), space)
+        self.balance = (at[model.balance[0]], space["rates"]) if model.balance else None
+        self.array = Kernel(model)
+
+    def step(self, state: list, p: dict, t: float, dt: float, rng) -> list:
+        """Draw all flows from the state at the start of the step, then apply them; returns the flows."""
+        rates = self.rates(state, p, t, dt)
+        for i, sigma in self.spread:
+            rates[i] *= rng.gamma(dt / sigma, sigma / dt)
+        flows = [0] * len(rates)
+        for c, fixed, drawn in self.exits:
+            n = state[c]
+            for i in fixed:
+                flows[i] = min(_whole(max(rates[i], 0.0) * dt), n)
+                n -= flows[i]
+            if not drawn or n <= 0:
+                continue
+            each = [max(rates[i], 0.0) / max(state[c], 1) for i in drawn]
+            total = sum(each)
+            gone = int(rng.binomial(n, -math.expm1(-total * dt))) if total > 0 else 0
+            for i, r in zip(drawn[:-1], each[:-1], strict=True):
+                flows[i] = int(rng.binomial(gone, min(max(r / total, 0.0), 1.0))) if gone and total > 0 else 0
+                gone, total = gone - flows[i], total - r
+            flows[drawn[-1]] = gone
+        for i, fixed in self.inflows:
+            mean = max(rates[i], 0.0) * dt
+            flows[i] = _whole(mean) if fixed else int(rng.poisson(mean))
+        for f, (a, b) in zip(flows, self.ends, strict=True):
+            if a is not None:
+                state[a] -= f
+            if b is not None:
+                state[b] += f
+        if min(state) < 0:
+            raise ValueError(f"{self.model.compartments[state.index(min(state))]} fell below 0")
+        return flows
+
+    def act(self, state: list, due, p: dict, t: float, dt: float, balance: bool = True) -> None:
+        if due:
+            import numpy as np
+
+            arrays = {c: np.array([n], np.int64) for c, n in zip(self.model.compartments, state, strict=True)}
+            self.array.act(arrays, due, p, t, dt, balance=False)
+            state[:] = [int(arrays[c][0]) for c in self.model.compartments]
+        if self.balance and balance:
+            state[self.balance[0]] = _whole(self.balance[1](state, p, t, dt))
+
+
+def _whole(x: float) -> int:
+    """:func:`whole` for one number."""
+    return int(math.copysign(math.floor(abs(x) + math.nextafter(0.5, 0.0)), x))
 
 
 def _run(cells: DataFrame, model: Model, run, partitions: int | None) -> DataFrame:
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema]
-    out = [*kinds, "time double", "t_start double", "t_stop double", *[f"`{c}` long" for c in model.compartments], *[f"`flow_{t.name}` long" for t in model.transitions]]
+    paths = ["time double", "t_start double", "t_stop double", *[f"`{c}` long" for c in model.compartments], *[f"`flow_{t.name}` long" for t in model.transitions]]
     rows = with_initial(cells, model)
     rows = rows.repartition(partitions, "cell") if partitions else rows
     names = cells.columns
@@ -291,37 +391,43 @@ def _run(cells: DataFrame, model: Model, run, partitions: int | None) -> DataFra
         import pandas as pd
 
         for pdf in it:
-            for r, p in _cells(pdf, model):
-                found = run(r, p)
-                head = pd.DataFrame([[getattr(r, n) for n in names]] * len(found), columns=names)
-                yield pd.concat([head, found.reset_index(drop=True)], axis=1)
+            # One frame for all cells of a batch.
+            own, found = [], []
+            for k, r in enumerate(pdf.itertuples(index=False)):
+                path = run(r, {p: float(getattr(r, p)) for p in model.parameters})
+                own += [k] * len(path)
+                found += path
+            head = pdf[names].iloc[own].reset_index(drop=True)
+            yield pd.concat([head, pd.DataFrame(found, columns=[x.split()[0].strip("`") for x in paths])], axis=1)
 
-    return rows.mapInPandas(batches, ", ".join(out))
+    return rows.mapInPandas(batches, ", ".join([*kinds, *paths]))
 
 
 def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt: float, every: int = 1, partitions: int | None = None) -> DataFrame:
     """Stochastic trajectories of every cell (column ``seed`` needed): compartments and flows since the last output."""
     model = _checked(model, "chain_binomial")
     steps, due = n_substeps(start, stop, dt), schedule(model, start, stop, dt)
+    clock = [(step_end(i, start, stop, dt), step_length(i, start, stop, dt), step_end(i + 1, start, stop, dt)) for i in range(steps)]
+    kernels: list[CellKernel] = []
 
     def run(r, parameters):
         import numpy as np
-        import pandas as pd
 
-        kernel, rng = Kernel(model), np.random.default_rng([int(r.seed), 1])
-        state = {c: whole(np.array([float(getattr(r, c))])) for c in model.compartments}
+        if not kernels:
+            kernels.append(CellKernel(model))
+        kernel, rng = kernels[0], np.random.default_rng([int(r.seed), 1])
+        state = [_whole(float(getattr(r, c))) for c in model.compartments]
         sums, rows, before = [0] * len(model.transitions), [], start
         kernel.act(state, due.get(0, ()), parameters, start, dt, balance=False)
-        rows.append((start, start, start, *[int(state[c][0]) for c in model.compartments], *sums))
-        for i in range(steps):
-            length, now = step_length(i, start, stop, dt), step_end(i + 1, start, stop, dt)
-            flows = kernel.step(state, parameters, step_end(i, start, stop, dt), length, rng)
-            sums = [a + int(f[0]) for a, f in zip(sums, flows, strict=True)]
+        rows.append((start, start, start, *state, *sums))
+        for i, (begin, length, now) in enumerate(clock):
+            flows = kernel.step(state, parameters, begin, length, rng)
+            sums = [a + f for a, f in zip(sums, flows, strict=True)]
             kernel.act(state, due.get(i + 1, ()), parameters, now, length)
             if (i + 1) % every == 0:
-                rows.append((now, before, now, *[int(state[c][0]) for c in model.compartments], *sums))
+                rows.append((now, before, now, *state, *sums))
                 sums, before = [0] * len(sums), now
-        return pd.DataFrame(rows, columns=["time", "t_start", "t_stop", *model.compartments, *[f"flow_{t.name}" for t in model.transitions]])
+        return rows
 
     return _run(cells, model, run, partitions)
 
@@ -329,40 +435,44 @@ def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt
 def gillespie(cells: DataFrame, model: Model, start: float, stop: float, every: float, partitions: int | None = None) -> DataFrame:
     """Exact event-by-event trajectories; output times, actions and the end are hit exactly."""
     model = _checked(model, "gillespie")
+    n_out = math.floor((stop - start) / every + 1e-9)
+    stops = sorted([(t, 0, a.name) for a in model.actions for t in a.at if start <= t <= stop] + [(start + i * every, 1, "") for i in range(n_out + 1)], key=lambda x: x[:2])
+    kernels: list[CellKernel] = []
 
     def run(r, parameters):
         import numpy as np
-        import pandas as pd
 
-        kernel, rng = Kernel(model), np.random.default_rng([int(r.seed), 2])
-        state = {c: whole(np.array([float(getattr(r, c))])) for c in model.compartments}
-        n_out = math.floor((stop - start) / every + 1e-9)
-        stops = sorted([(t, 0, a.name) for a in model.actions for t in a.at if start <= t <= stop] + [(start + i * every, 1, "") for i in range(n_out + 1)], key=lambda x: x[:2])
-        t, before, sums, rows = start, start, np.zeros(len(model.transitions), int), []
+        if not kernels:
+            kernels.append(CellKernel(model))
+        kernel, rng = kernels[0], np.random.default_rng([int(r.seed), 2])
+        state = [_whole(float(getattr(r, c))) for c in model.compartments]
+        t, before, sums, rows = start, start, [0] * len(model.transitions), []
         for at, kind, name in stops:
             while t < at:
-                rates = np.array([max(0.0, float(x[0])) for x in kernel.propensities(state, parameters, t, 0.0, 1)])
                 # A transition whose source is empty can't happen.
-                rates = np.where([tr.source is None or state[tr.source][0] > 0 for tr in model.transitions], rates, 0.0)
-                total = rates.sum()
-                wait = rng.exponential(1 / total) if total > 0 else np.inf
+                rates = [x if x > 0 and (a is None or state[a] > 0) else 0.0 for x, (a, _) in zip(kernel.rates(state, parameters, t, 0.0), kernel.ends, strict=True)]
+                total = sum(rates)
+                wait = rng.exponential(1 / total) if total > 0 else math.inf
                 if t + wait > at:
                     break
                 t += wait
-                i = min(int(np.searchsorted(np.cumsum(rates), rng.random() * total, side="right")), len(rates) - 1)
-                tr = model.transitions[i]
+                u, i = rng.random() * total, 0
+                while i < len(rates) - 1 and u >= rates[i]:
+                    u -= rates[i]
+                    i += 1
                 sums[i] += 1
-                if tr.source:
-                    state[tr.source][0] -= 1
-                if tr.target:
-                    state[tr.target][0] += 1
+                a, b = kernel.ends[i]
+                if a is not None:
+                    state[a] -= 1
+                if b is not None:
+                    state[b] += 1
             t = at
             if kind:
-                rows.append((at, before, at, *[int(state[c][0]) for c in model.compartments], *sums.tolist()))
-                sums, before = np.zeros_like(sums), at
+                rows.append((at, before, at, *state, *sums))
+                sums, before = [0] * len(sums), at
             else:
                 kernel.act(state, {name}, parameters, at, 0.0)
-        return pd.DataFrame(rows, columns=["time", "t_start", "t_stop", *model.compartments, *[f"flow_{x.name}" for x in model.transitions]])
+        return rows
 
     return _run(cells, model, run, partitions)
 
