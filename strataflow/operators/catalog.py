@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataflow.checks import Refused
+from strataflow.operators.scratch import cut
 
 
 def glob(column: Column, pattern: str) -> Column:
@@ -16,9 +17,21 @@ def glob(column: Column, pattern: str) -> Column:
     return column.rlike("^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$")
 
 
-def list_runs(runs: DataFrame, kind: str | None = None, label: str | None = None, since=None, limit: int | None = None, group: str | None = None) -> DataFrame:
-    """Newest runs first; with ``group``, one row per group with its count and newest run.  The limit counts rows."""
+def list_runs(runs: DataFrame, kind: str | None = None, label: str | None = None, since=None, limit: int | None = None, group: str | None = None, model: str | None = None, prefix: str | None = None, method: str | None = None, converged: bool | None = None) -> DataFrame:
+    """Newest runs first; with ``group``, one row per group with its count and newest run.  The limit counts rows.
+
+    ``model`` and ``prefix`` are beginnings of a model's name and a run's id; ``converged`` asks for runs whose verdict is so,
+    and False takes those without a verdict too.
+    """
     rows = runs
+    if model is not None:
+        rows = rows.where(F.col("model").startswith(model))
+    if prefix is not None:
+        rows = rows.where(F.col("run_id").startswith(prefix))
+    if method is not None:
+        rows = rows.where(F.col("method") == method)
+    if converged is not None:
+        rows = rows.where(F.coalesce(F.col("converged"), F.lit(False)) == converged)
     if kind is not None:
         rows = rows.where(F.col("kind") == kind)
     if label is not None:
@@ -76,10 +89,8 @@ def affected_by(changed: DataFrame, uses: DataFrame, rounds: int = 1000) -> Data
     seen = changed.select("name").distinct().withColumn("distance", F.lit(0))
     front = seen
     for d in range(1, rounds):
-        front = uses.join(front.select(F.col("name").alias("used")), "used").select("name").distinct().join(seen.select("name"), "name", "left_anti").withColumn("distance", F.lit(d))
-        if front.sparkSession.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
-        if not front.limit(1).count():
+        front = cut(uses.join(front.select(F.col("name").alias("used")), "used").select("name").distinct().join(seen.select("name"), "name", "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
     raise ValueError("names use each other too deeply")

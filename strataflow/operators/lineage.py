@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.checks import refuse_any
 from strataflow.operators.joins import parent_edges
+from strataflow.operators.scratch import cut
 from strataflow.operators.windows import cohort_bins
 
 
@@ -23,27 +24,23 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.join(edges.where("parent is not null").select(F.col("parent").alias("child")).distinct(), "child", "left_anti").select("child", "time")
 
 
-def with_root(edges: DataFrame, checkpoint=None, rounds: int = 64) -> DataFrame:
-    """(child, root, depth) by pointer doubling: the number of joins is the logarithm of the deepest chain.
-
-    ``checkpoint`` cuts the plan after each round (a function from DataFrame to DataFrame, such as writing to a shared
-    folder); by default the reliable checkpoint of Spark is used if a folder is set.
-    """
+def with_root(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(child, root, depth) by pointer doubling: the number of joins is the logarithm of the deepest chain.  Each round is
+    written to the shared folder, so that plans stay short."""
     now = edges.select("child", F.coalesce("parent", "child").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    cut = checkpoint or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
     for _ in range(rounds):
         above = now.select(F.col("child").alias("_c"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         nxt = cut(now.join(above, now.up == above["_c"], "left").select("child", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.coalesce("_d", F.lit(0)) > 0).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
+        moved = not nxt.where("moved").isEmpty()
         now = nxt.drop("moved")
         if not moved:
             return now.select("child", F.col("up").alias("root"), "depth")
     raise ValueError("the parent links have a cycle or are too deep")
 
 
-def tree_shape(edges: DataFrame, checkpoint=None) -> DataFrame:
+def tree_shape(edges: DataFrame) -> DataFrame:
     """Per root: nodes, tips, Sackin index (sum of the tips' depths) and branch length (sum of child minus parent times)."""
-    rooted = with_root(edges, checkpoint)
+    rooted = with_root(edges)
     tips = leaves(edges).select("child", F.lit(True).alias("tip"))
     times = edges.select(F.col("child").alias("parent"), F.col("time").alias("_pt"))
     lengths = edges.join(times, "parent", "left").select("child", F.coalesce(F.col("time") - F.col("_pt"), F.lit(0.0)).alias("branch"))
@@ -52,14 +49,13 @@ def tree_shape(edges: DataFrame, checkpoint=None) -> DataFrame:
     return rows.groupBy("root").agg(F.count("*").alias("n_nodes"), F.count_if(tip).alias("n_tips"), F.sum(F.when(tip, F.col("depth")).otherwise(0)).alias("sackin"), F.sum("branch").alias("branch_length"))
 
 
-def pruned(edges: DataFrame, sampled: DataFrame, checkpoint=None, rounds: int = 100_000) -> DataFrame:
+def pruned(edges: DataFrame, sampled: DataFrame, rounds: int = 100_000) -> DataFrame:
     """Edges that lead to a sampled individual, level by level from the tips up; each level joins only new nodes."""
-    cut = checkpoint or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df)
     kept = cut(edges.join(sampled.select("child").distinct(), "child", "left_semi"))
     front = kept
     for _ in range(rounds):
         front = cut(edges.join(front.where("parent is not null").select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(kept.select("child"), "child", "left_anti"))
-        if not front.limit(1).count():
+        if front.isEmpty():
             return kept
         kept = cut(kept.unionByName(front))
     raise ValueError("the forest is too deep")
@@ -72,6 +68,42 @@ def compressed(edges: DataFrame, sampled: DataFrame) -> DataFrame:
     return rows.withColumn("keep", F.coalesce("sampled", F.lit(False)) | F.col("parent").isNull() | (F.coalesce("kids", F.lit(0)) != 1)).withColumn("pendant", F.coalesce("sampled", F.lit(False)) & (F.coalesce("kids", F.lit(0)) > 0))
 
 
+def merged(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(node, parent, time, branch, is_tip, individual) of the trees that lead to sampled individuals.
+
+    ``sampled`` has (child, sampled_at).  Nodes that were not sampled and have one child on such a path are passed through, and
+    their branch is added to the child's.  A sampled individual without children on a path is a tip at its sampling time; one
+    with children stays a node at its own time and gets a pendant tip, a node of its own with a negative number.  A branch
+    is missing above the first node of a tree that stays.
+    """
+    paths = pruned(edges, sampled)
+    kids = paths.where("parent is not null").groupBy(F.col("parent").alias("child")).agg(F.count("*").alias("kids"))
+    rows = paths.join(kids, "child", "left").join(sampled.select("child", F.lit(True).alias("own")).distinct(), "child", "left")
+    own, several = F.coalesce("own", F.lit(False)), F.coalesce("kids", F.lit(0))
+    kept = cut(rows.select("child", "parent", "time", (own | (several != 1)).alias("keep"), (own & (several > 0)).alias("pendant")))
+    # The nearest ancestor that stays: chains of passed nodes are cut short by pointer doubling.
+    now = kept.select("child", F.col("parent").alias("up"))
+    passed = cut(kept.where("not keep").select(F.col("child").alias("_c"), F.col("parent").alias("_up")))
+    for _ in range(64):
+        nxt = cut(now.join(passed, now.up == passed["_c"], "left").select("child", F.when(F.col("_c").isNotNull(), F.col("_up")).otherwise(F.col("up")).alias("up"), F.col("_c").isNotNull().alias("moved")))
+        now = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            break
+        hop = passed.select(F.col("_c").alias("_c2"), F.col("_up").alias("_up2"))
+        passed = cut(passed.join(hop, passed["_up"] == hop["_c2"], "left").select("_c", F.when(F.col("_c2").isNotNull(), F.col("_up2")).otherwise(F.col("_up")).alias("_up")))
+    else:
+        raise ValueError("the forest is too deep")
+    times = edges.select(F.col("child").alias("_p"), F.col("time").alias("_pt"))
+    # A branch begins at the parent of the first node that was passed: the nearest ancestor that stays, or above the root nothing.
+    rows = kept.where("keep").join(now, "child").join(sampled.select("child", "sampled_at").distinct(), "child", "left")
+    rows = rows.join(times, F.col("up") == F.col("_p"), "left")
+    tip = F.col("sampled_at").isNotNull() & ~F.col("pendant")
+    at = F.when(tip, F.col("sampled_at")).otherwise(F.col("time"))
+    nodes = rows.select(F.col("child").alias("node"), F.col("up").alias("parent"), at.alias("time"), (at - F.col("_pt")).alias("branch"), tip.alias("is_tip"), F.col("child").alias("individual"))
+    hanging = rows.where("pendant").select((-F.col("child") - 1).alias("node"), F.col("child").alias("parent"), F.col("sampled_at").alias("time"), (F.col("sampled_at") - F.col("time")).alias("branch"), F.lit(True).alias("is_tip"), F.col("child").alias("individual"))
+    return nodes.unionByName(hanging)
+
+
 def newick(edges: DataFrame, rooted: DataFrame) -> DataFrame:
     """(root, newick): one tree's edges per group go through a small renderer with an explicit stack."""
     rows = edges.join(rooted.select("child", "root"), "child").groupBy("root").agg(F.collect_list(F.struct("child", "parent", "time")).alias("e"))

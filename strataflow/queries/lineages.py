@@ -34,15 +34,33 @@ def forest_shape(spark, sf_dir):
 
 @query(
     "pruned_forest",
-    f"""WITH RECURSIVE {FOREST}, s AS (SELECT child FROM f WHERE child % 97 = 0), a AS (SELECT f.child, f.parent FROM f JOIN s ON f.child = s.child UNION SELECT f.child, f.parent FROM f JOIN a ON f.child = a.parent), k AS (SELECT parent AS child, count(*) AS kids FROM (SELECT DISTINCT * FROM a) WHERE parent IS NOT NULL GROUP BY 1)
-    SELECT a.child, a.parent IS NULL OR a.child % 97 = 0 OR coalesce(kids, 0) <> 1 AS keep, a.child % 97 = 0 AND coalesce(kids, 0) > 0 AS pendant FROM (SELECT DISTINCT * FROM a) a LEFT JOIN k ON k.child = a.child""",
+    f"""WITH RECURSIVE {FOREST}, s AS (SELECT child FROM f SEMI JOIN orders ON o_custkey = child AND o_orderpriority = '1-URGENT'), a AS (SELECT f.child, f.parent FROM f JOIN s ON f.child = s.child UNION SELECT f.child, f.parent FROM f JOIN a ON f.child = a.parent), k AS (SELECT parent AS child, count(*) AS kids FROM (SELECT DISTINCT * FROM a) WHERE parent IS NOT NULL GROUP BY 1)
+    SELECT a.child, a.parent IS NULL OR s.child IS NOT NULL OR coalesce(kids, 0) <> 1 AS keep, s.child IS NOT NULL AND coalesce(kids, 0) > 0 AS pendant FROM (SELECT DISTINCT * FROM a) a LEFT JOIN k ON k.child = a.child LEFT JOIN s ON s.child = a.child""",
 )
 def pruned_forest(spark, sf_dir):
     f = _forest(spark, sf_dir)
-    s = f.where("child % 97 = 0").select("child")
+    s = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("child")).distinct()
     return lineage.compressed(lineage.pruned(f, s), s).select("child", "keep", "pendant")
 
 
+@query(
+    "merged_trees",
+    f"""WITH RECURSIVE {FOREST}, s AS (SELECT c_custkey AS child, c_custkey + c_acctbal AS seen FROM customer JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey),
+    a AS (SELECT f.child, f.parent, f.time FROM f JOIN s ON f.child = s.child UNION SELECT f.child, f.parent, f.time FROM f JOIN a ON f.child = a.parent),
+    k AS (SELECT parent AS child, count(*) AS kids FROM a WHERE parent IS NOT NULL GROUP BY 1),
+    n AS (SELECT a.*, s.seen, coalesce(kids, 0) AS kids, s.child IS NOT NULL OR coalesce(kids, 0) <> 1 AS keep FROM a LEFT JOIN k ON k.child = a.child LEFT JOIN s ON s.child = a.child),
+    w AS (SELECT n.child, n.parent AS up FROM n WHERE keep UNION ALL SELECT w.child, n.parent FROM w JOIN n ON n.child = w.up WHERE NOT n.keep),
+    u AS (SELECT w.child, w.up FROM w LEFT JOIN n ON n.child = w.up WHERE w.up IS NULL OR n.keep)
+    SELECT n.child AS node, u.up AS parent, round(CASE WHEN seen IS NOT NULL AND kids = 0 THEN seen ELSE n.time END, 4) AS time, round(CASE WHEN seen IS NOT NULL AND kids = 0 THEN seen ELSE n.time END - p.time, 4) AS branch, seen IS NOT NULL AND kids = 0 AS is_tip, n.child AS individual FROM n JOIN u ON u.child = n.child LEFT JOIN f p ON p.child = u.up WHERE n.keep
+    UNION ALL SELECT -child - 1, child, round(seen, 4), round(seen - time, 4), true, child FROM n WHERE seen IS NOT NULL AND kids > 0""",
+)
+def merged_trees(spark, sf_dir):
+    """Trees of the customers with an urgent order, without the nodes in between that only pass a line on."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    s = table(spark, sf_dir, "customer").join(urgent, "c_custkey").select(F.col("c_custkey").alias("child"), (F.col("c_custkey") + F.col("c_acctbal")).alias("sampled_at"))
+    return rounded(lineage.merged(_forest(spark, sf_dir), s), 4)
+
+
 @query("newick_trees")
 def newick_trees(spark, sf_dir):
     f = _forest(spark, sf_dir)
