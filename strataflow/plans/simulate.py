@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.checks import Refused
+from strataflow.checks import Refused, refuse_any
 from strataflow.functions import expr as X
 from strataflow.plans.grid import effect_step, n_substeps, step_end, step_length
 from strataflow.plans.model import Model, branched, initial_order, largest_remainder, problems, refuse_unsupported
@@ -477,6 +478,29 @@ def gillespie(cells: DataFrame, model: Model, start: float, stop: float, every:
     return _run(cells, model, run, partitions)
 
 
+def event_log(paths: DataFrame, model: Model, keys: list[str], start: float, dt: float) -> DataFrame:
+    """The counted events of trajectories that keep every step: keys, time, transition (its number), multiplicity, batched and step.
+
+    Events of one step are a batch: they were drawn together from the state before it.
+    """
+    names = [t.name for t in branched(model).transitions]
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (f"flow_{n}", i)])
+    rows = paths.where(F.col("time") > start).unpivot([*keys, "time", "t_start"], [f"flow_{n}" for n in names], "flow", "multiplicity").where(F.col("multiplicity") > 0)
+    step = F.round((F.col("t_start") - start) / dt).cast("long")
+    return rows.select(*keys, "time", number[F.col("flow")].alias("transition"), F.col("multiplicity").cast("long").alias("multiplicity"), F.lit(True).alias("batched"), step.alias("step"), F.lit(None).cast("array<double>").alias("lineage_weights"))
+
+
+def resume(cells: DataFrame, states: DataFrame, keys: list[str], model: Model, at: float) -> tuple[DataFrame, Model]:
+    """Cells that go on from stored states (keys, time, compartments) instead of the model's initial values.
+
+    A cell without a state, or with one of another time than ``at``, is refused.
+    """
+    both = cells.join(states.select(*keys, F.col("time").alias("_time"), *[F.col(c).cast("double").alias(f"from_{c}") for c in model.compartments]), keys, "left")
+    refuse_any(both.where(F.col("_time").isNull() | (F.abs(F.col("_time") - at) > 1e-9)), "a cell has no state at the time of the restart")
+    go_on = replace(model, parameters=(*model.parameters, *[f"from_{c}" for c in model.compartments]), initial={c: X.ref(f"from_{c}") for c in model.compartments})
+    return both.drop("_time"), go_on
+
+
 def coarse_steps(paths: DataFrame, model: Model, dt: float, keys: list[str]) -> DataFrame:
     """Largest rate times dt per source and cell where it passes the warning level."""
     scope = X.Scope({n: F.col(n) for n in (*model.parameters, *model.compartments)} | {"t": F.col("time"), "dt": F.lit(dt)}, mode="zero")

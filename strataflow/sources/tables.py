@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 from strataflow.checks import Refused, refuse_any
 from strataflow.functions.arithmetic import finite
 from strataflow.functions.calendar import parse_iso
+from strataflow.operators.scratch import cut
 
 MISSING = "NA"
 
@@ -39,9 +40,9 @@ def split_values(df: DataFrame, keys: list[str], values: list[str]) -> dict[str,
 
 def bind_cells(cells: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exactly one finite number for each cell; missing, repeated or unknown cells are refused."""
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max(value).alias(value))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.max(value).alias(value))
     both = cells.withColumn("_c", F.lit(True)).join(counted, keys, "full_outer")
-    bad = both.where(F.col("_c").isNull() | F.col("n").isNull() | (F.col("n") > 1) | ~finite(F.col(value).cast("double")))
+    bad = both.where(F.col("_c").isNull() | F.col("_n").isNull() | (F.col("_n") > 1) | ~finite(F.col(value).cast("double")))
     refuse_any(bad, "a table needs one number for each cell")
     return both.select(*keys, F.col(value).cast("double").alias(value))
 
@@ -63,7 +64,7 @@ def wide_to_long(df: DataFrame, time: str, streams: list[str]) -> DataFrame:
 def route(rows: DataFrame, strata: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with their stratum; rows of unknown strata are refused."""
     refuse_any(rows.join(strata, keys, "left_anti"), "a row names an unknown stratum")
-    return rows.join(F.broadcast(strata), keys)
+    return rows.join(strata, keys)
 
 
 def time_axis(df: DataFrame, column: str, origin: str | None, unit: str = "days") -> DataFrame:
@@ -83,11 +84,22 @@ def design_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("y", F.lit(None).cast("double"))
 
 
+def numbered_rows(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds the place of each row in an order, from 0: rows are sorted by range and numbered from the sizes of the tasks."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    task = F.shiftright("_id", 33)
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_task", before.alias("_before"))  # as many rows as tasks
+    rows = placed.withColumn("_task", task).join(F.broadcast(sizes), "_task")
+    return rows.withColumn(out, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_task", "_before")
+
+
 def sweep_points(df: DataFrame, parameters: list[str]) -> DataFrame:
     """Design points with an id; repeated points, repeated ids and values that are not numbers are refused."""
     points = df
     if "point_id" not in df.columns:
-        points = df.withColumn("point_id", F.row_number().over(W.orderBy(*parameters)) - 1)
+        points = numbered_rows(df, parameters, "point_id")
     refuse_any(points.groupBy(*parameters).count().where("count > 1"), "a point occurs twice")
     refuse_any(points.groupBy("point_id").count().where("count > 1"), "a point id occurs twice")
     wrong = F.lit(False)
@@ -116,6 +128,15 @@ def terminal_states(paths: DataFrame, columns: list[str]) -> DataFrame:
     return paths.groupBy(*KEYS).agg(last).select(*KEYS, "s.*")
 
 
+def read_final_states(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """(chain, draw, time, columns) of stored final states; a column that the file lacks, or two states of one path, are refused."""
+    rows = spark.read.parquet(path)
+    if lost := [c for c in (*KEYS, "time", *columns) if c not in rows.columns]:
+        raise Refused(f"{path} has no column {', '.join(lost)}")
+    refuse_any(rows.groupBy(*KEYS).count().where("count > 1"), "a path has two final states")
+    return rows.select(*KEYS, "time", *columns)
+
+
 def snapshot_times(paths: DataFrame, chain: int, draw: int) -> DataFrame:
     return paths.where((F.col("chain") == chain) & (F.col("draw") == draw)).select("time").orderBy("time")
 
