@@ -194,3 +194,18 @@ def inverse_transform(z: Column, support: str, lo: float | None = None, hi: floa
         x = lo * F.exp(span * u)
         return x, F.log(x) + math.log(span) + F.log(u) + F.log(1 - u)
     raise ValueError(f"unknown support {support}")
+
+
+def to_log_barycentric(shares: list[Column], floor: float = 1e-300) -> list[Column]:
+    """Logs of shares scaled to sum to 1; shares below the floor count as the floor."""
+    held = [F.greatest(x, F.lit(floor)) for x in shares]
+    total = sum(held[1:], held[0])
+    return [F.log(F.greatest(x / total, F.lit(floor))) for x in held]
+
+
+def from_log_barycentric(z: list[Column]) -> list[Column]:
+    """Shares from log ratios by a softmax that can't overflow; they sum to 1."""
+    top = F.greatest(*z)
+    e = [F.exp(x - top) for x in z]
+    total = sum(e[1:], e[0])
+    return [x / total for x in e]

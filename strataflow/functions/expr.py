@@ -10,7 +10,7 @@ import functools
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataflow.functions import arithmetic as A
@@ -303,3 +303,28 @@ def dimension(e: Expr, known: Mapping[str, Dim]) -> Dim | None:
     if e.op in ("exp", "log", "sin", "cos", "tanh") and d[0] not in (None, Dim()):
         raise ValueError(f"{e.op} needs an argument without dimension")
     return Dim() if e.op in ("exp", "log", "sin", "cos", "tanh", "table") else d[0]
+
+
+def over_compartments(compartments: list[str] | tuple[str, ...], body) -> Expr:
+    """The sum of ``body(ref)`` over all whole-number compartments of a model."""
+    return call("sum", *[body(ref(c)) for c in compartments])
+
+
+def indexed(name: str, dims: tuple[str, ...], **levels: str) -> Expr:
+    """A stratified value by the names of its dimensions, in any order; all of them must be given."""
+    if lost := [d for d in dims if d not in levels]:
+        raise ValueError(f"{name} needs {', '.join(lost)} too")
+    if more := sorted(set(levels) - set(dims)):
+        raise ValueError(f"{name} has no dimension {', '.join(more)}")
+    return ref("_".join([name, *[levels[d] for d in dims]]))
+
+
+def on_grid(points: DataFrame, bindings: Mapping[str, Expr], start: float, stop: float, step: float) -> DataFrame:
+    """Named expressions of parameters and time on a time grid: every row of ``points`` at every time, one column per name."""
+    n = int((stop - start) / step + 1e-9)
+    rows = points.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: start + i * step)))
+    columns = {c: F.col(c) for c in rows.columns}
+    for name, e in bindings.items():
+        rows = rows.withColumn(name, to_column(e, Scope(columns)))
+        columns[name] = F.col(name)
+    return rows

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataflow.checks import Refused
+from strataflow.operators import joins
 from strataflow.operators.scratch import cut
 
 
@@ -84,6 +85,26 @@ def diff(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> Data
     return both.select(*keys, "left_value", "right_value", status.alias("status"))
 
 
+def order_rows(left: DataFrame, right: DataFrame, category: str, name: str, place: str) -> DataFrame:
+    """Names of both models that stand in another order among the names that both have: (category, name, left_place, right_place)."""
+    both = left.select(category, name, F.col(place).alias("_l")).join(right.select(category, name, F.col(place).alias("_r")), [category, name])
+    rank = lambda c: F.row_number().over(W.partitionBy(category).orderBy(c, name))
+    rows = both.select(category, name, rank("_l").alias("left_place"), rank("_r").alias("right_place"))
+    return rows.where("left_place <> right_place")
+
+
+def not_compared(rows: DataFrame, categories: list[str], category: str = "category") -> DataFrame:
+    """A diff whose rows of some categories only say that they were not compared."""
+    skipped = F.col(category).isin(categories)
+    return rows.withColumn("status", F.when(skipped & F.col("status").isin("same", "changed"), "not_compared").otherwise(F.col("status")))
+
+
+def chain_rows(df: DataFrame, keep: list[int] | None = None, drop: list[int] | None = None, chain: str = "chain") -> DataFrame:
+    """Each chain of a table with its rows and whether the selection keeps it: what a filtered file says of itself."""
+    kept = joins.select_chains(df, keep, drop, chain).select(chain).distinct().withColumn("kept", F.lit(True))
+    return df.groupBy(chain).agg(F.count("*").alias("n_rows")).join(kept, chain, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def affected_by(changed: DataFrame, uses: DataFrame, rounds: int = 1000) -> DataFrame:
     """(name, distance): names that use a changed name, directly or through others; uses(name, used)."""
     seen = changed.select("name").distinct().withColumn("distance", F.lit(0))

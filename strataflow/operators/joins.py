@@ -45,6 +45,12 @@ def pairs_where(dim: DataFrame, column: str, where: Column | None = None) -> Dat
     return a.crossJoin(F.broadcast(b)).where(F.col("a") != F.col("b") if where is None else where)
 
 
+def linked_pairs(dim: DataFrame, column: str, by: str) -> DataFrame:
+    """Ordered pairs (``a``, ``b``) of different levels that agree in another column."""
+    a, b = dim.select(F.col(column).alias("a"), F.col(by).alias("_by")), dim.select(F.col(column).alias("b"), F.col(by).alias("_by"))
+    return a.join(b, "_by").where("a <> b").select("a", "b")
+
+
 def consecutive(dim: DataFrame) -> DataFrame:
     """(level, next_level) along a dimension's order."""
     return dim.select("level", F.lead("level").over(W.orderBy("ord")).alias("next_level")).where("next_level is not null")

@@ -110,6 +110,37 @@ def joint_forecast_score(draws: DataFrame, by: list[str], draw: list[str], log_d
     return log_mean_exp(draws.groupBy(*by, *draw).agg(F.sum(log_density).alias("_l")), by, "_l").select(*by, F.col("log_mean").alias("log_score"), F.col("log_mean_se").alias("se"))
 
 
+def overlapping_targets(targets: DataFrame) -> DataFrame:
+    """Targets of a stream that begin before the one before them has ended."""
+    before = F.max("t_stop").over(W.partitionBy("stream").orderBy("t_start", "t_stop").rowsBetween(W.unboundedPreceding, -1))
+    return targets.withColumn("_b", before).where(F.col("_b") > F.col("t_start")).drop("_b")
+
+
+def refuse_held_out_overlap(training: DataFrame, held_out: DataFrame) -> None:
+    """Held-out periods (stream, t_start, t_stop) must not begin before the training data of their stream end."""
+    ends = training.groupBy("stream").agg(F.max("t_stop").alias("_end"))
+    refuse_any(held_out.join(ends, "stream").where(F.col("t_start") < F.col("_end")), "a held-out period overlaps the training data")
+
+
+def arm_contrasts(samples: DataFrame, arm: str, base: str, draw: list[str], target: list[str], value: str) -> DataFrame:
+    """(arm, target, n_draws, mean, quantiles) of each arm less the base arm, paired within draws."""
+    from strataflow.operators.bands import band
+
+    b = samples.where(F.col(arm) == base).select(*draw, *target, F.col(value).alias("_base"))
+    delta = samples.where(F.col(arm) != base).join(b, [*draw, *target]).withColumn("delta", F.col(value) - F.col("_base"))
+    mean = delta.groupBy(arm, *target).agg(F.avg("delta").alias("mean"))
+    return band(delta, [arm, *target], "delta").join(mean, [arm, *target])
+
+
+def run_arithmetic(runs: DataFrame, scenario: str, keys: list[str], value: str, terms: dict[str, dict[str, float]]) -> DataFrame:
+    """Named sums over runs, e.g. {"averted": {"base": 1, "campaign": -1}}: one column each, missing where an operand is."""
+    names = sorted({s for t in terms.values() for s in t})
+    sides = {s: F.max(F.when(F.col(scenario) == s, F.col(value))) for s in names}
+    out = runs.where(F.col(scenario).isin(names)).groupBy(*keys).agg(*[c.alias(f"_r_{s}") for s, c in sides.items()])
+    total = lambda t: sum((F.col(f"_r_{s}") * k for s, k in t.items()), F.lit(0.0))
+    return out.select(*keys, *[total(t).alias(n) for n, t in terms.items()])
+
+
 def scenario_contrast(runs: DataFrame, scenario: str, left: str, right: str, keys: list[str], time: str, value: str, fork: float | None = None) -> DataFrame:
     """right - left of the final value per shared key, and the shared value at the last snapshot before the fork."""
     side = lambda s, c: F.max_by(F.when(F.col(scenario) == s, F.col(value)), F.when((F.col(scenario) == s) & c, F.col(time)))
