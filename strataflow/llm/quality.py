@@ -1,15 +1,16 @@
 """Quality rules: distribution divergence of a document from language references (DataFrame functions only).
 
 Every document gets a histogram of character classes and one of common words.  The references are the same two
-histograms, summed over all documents of each configured language that pass the base rules and are plain prose (few
-symbols and capitals, and as long as the word guard).  A document is rejected
+histograms, summed over all documents of each language that pass the base rules and are plain prose (few
+symbols and capitals, and as long as the word guard).  Every language with ``min_reference`` documents has its common words:
+those of a fixed list, or its most frequent words where there is none.  A document is rejected
 when the smallest Jensen-Shannon distance to any reference is too large; short documents are guarded, because their
-histograms are noise.  Common words are a small share of prose, so a text without any of them is not far from a reference:
+histograms are noise, and a document whose language has no reference is not judged by them.  Common words are a small share of prose, so a text without any of them is not far from a reference:
 its distance follows from the reference's share, and word distances are also held against that one.
 
 Edge cases: a null text counts as an empty one; an empty table gives an empty result; documents below the length guards
-are never rejected for their distance; where no reference exists (no document of a configured language) only the base
-rules decide; repeated rows are judged alike; columns other than the id, text and language are ignored.
+are never rejected for their distance; where no reference exists only the base rules decide; a null language is judged by the
+nearest reference of all; very long texts are read as a whole; repeated rows are judged alike; columns other than the id, text and language are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strataflow.llm.common import SPACE_CLASS, words_of, written
 
@@ -47,11 +49,29 @@ class QualityRules:
     max_word_distance: float = 0.45
     #: Word distances as shares of the distance that a text without any common word has from the same reference.
     max_word_share: float = 0.9
-    languages: tuple[str, ...] = ("de", "en", "es", "fr")
+    #: Languages that get references; None: every language that is found.
+    languages: tuple[str, ...] | None = None
+    #: Plain documents that a reference is made from at least, and common words of a language without a fixed list.
+    min_reference: int = 20
+    n_common: int = 10
 
-    @property
-    def vocabulary(self) -> list[str]:
-        return sorted({w for lang in self.languages for w in COMMON_WORDS.get(lang, [])})
+
+def common_words(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang") -> list[str]:
+    """The common words of all languages: of a language without a fixed list, its most frequent words.
+
+    One count per language comes to the driver, and ``n_common`` words of each that has no list; the words are counted over all of
+    its documents.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull())
+    if rules.languages is not None:
+        rows = rows.where(F.col(lang_col).isin(*rules.languages))
+    found = [r["lang"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().where(F.col("count") >= rules.min_reference).collect()]
+    words = {w for lang in found for w in COMMON_WORDS.get(lang, [])}
+    if new := [lang for lang in found if lang not in COMMON_WORDS]:
+        each = rows.where(F.col(lang_col).isin(*new)).select(F.col(lang_col).alias("lang"), F.explode(words_of(F.col(text_col))).alias("word")).groupBy("lang", "word").count()
+        place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))
+        words |= {r["word"] for r in each.withColumn("place", place).where(F.col("place") <= rules.n_common).collect()}
+    return sorted(words)
 
 
 def _with_pairs(df: DataFrame, of: str, gap: int, out: str) -> DataFrame:
@@ -78,7 +98,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_
     base = base.withColumn("t7", F.regexp_replace("t6", "[#*$%&|<>]+", ""))
     n = [F.length(c).cast("long") for c in ("t", "t1", "t2", "t3", "t4", "t5", "t6")]
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x09-\x0D\x20]"))
-    vocabulary = rules.vocabulary
+    vocabulary = common_words(docs, rules, text_col, lang_col)
     base = base.select(
         "doc_id", "lang", "words",
         F.size("words").cast("long").alias("n_words"),
@@ -93,7 +113,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_
     base = _with_pairs(base.drop("one"), "two", 2, "four")
     base = _with_pairs(base.drop("two"), "four", 4, "windows").drop("four")
     known = F.size("known").cast("long")
-    counts = [known - F.size(F.array_remove("known", w)) for w in vocabulary]
+    counts = [known - F.size(F.array_remove("known", F.lit(w))) for w in vocabulary]
     base = base.select(
         "doc_id", "lang", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -124,18 +144,20 @@ def _shares(counts: list[float]) -> list[float] | None:
 
 
 def language_references(features: DataFrame, rules: QualityRules = QualityRules()) -> dict[str, tuple[list[float], list[float]]]:
-    """Shares of the character classes and common words of all documents of each configured language.
+    """Shares of the character classes and common words of all plain documents of each language.
 
-    One row of counts for each configured language comes to the driver, whatever the size of the corpus.
+    One row of counts for each language comes to the driver, whatever the size of the corpus.
     """
     chars, c = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x), F.col("classes")
     plain = (100 * F.col("n_symbols") <= chars) & (5 * c[2] <= c[0]) & (F.col("n_words") >= rules.guard_words)
-    good = features.where(F.col("lang").isin(*rules.languages) & plain & ~_failed(rules))
+    asked = F.col("lang").isin(*rules.languages) if rules.languages is not None else F.col("lang").isNotNull()
+    good = features.where(asked & plain & ~_failed(rules))
+    n_words = (features.select(F.size("commons")).first() or [1])[0]
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(len(rules.vocabulary) + 1)]
+    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(n_words)]
     found = {}
-    for row in good.groupBy("lang").agg(*sums).collect():
-        shares = [_shares([row[f"{k}{i}"] for i in range(n)]) for k, n in (("c", len(CLASSES)), ("w", len(rules.vocabulary) + 1))]
+    for row in good.groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= rules.min_reference).collect():
+        shares = [_shares([row[f"{k}{i}"] for i in range(n)]) for k, n in (("c", len(CLASSES)), ("w", n_words))]
         if shares[0] and shares[1]:
             found[row["lang"]] = (shares[0], shares[1])
     return dict(sorted(found.items()))
@@ -180,6 +202,8 @@ def _judged(features: DataFrame, rules: QualityRules) -> DataFrame:
     out = out.withColumn("word_distance", F.array_min("words_away")).withColumn("word_share", F.array_min(F.zip_with("words_away", bare, lambda d, b: d / b)))
     far = F.coalesce(F.col("char_distance") > rules.max_char_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > rules.max_word_distance, F.lit(False))
     far = far | F.coalesce(F.col("word_share") > rules.max_word_share, F.lit(False))
+    # A language without a reference is not measured against those of others.
+    far = far & (F.col("lang").isNull() | F.col("lang").isin(*references)) if references else F.lit(False)
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 

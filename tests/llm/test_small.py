@@ -63,6 +63,55 @@ def test_quality_rejects_what_no_language_has(spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
 
 
+def js(p, q):
+    import math
+
+    half = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    part = lambda x: sum(a * math.log2(a / h) for a, h in zip(x, half, strict=True) if a > 0)
+    return math.sqrt(max((part(p) + part(q)) / 2, 0.0))
+
+
+def test_quality_distances_against_brute_force(spark):
+    """Three languages, one of them without a fixed list of words, and one with too few documents for a reference."""
+    import random
+
+    rng = random.Random(11)
+    own = {"en": quality.COMMON_WORDS["en"], "ru": ["и", "в", "не", "на", "что", "он", "как", "это", "но", "по"]}
+    rest = {"en": ["house", "garden", "window", "yellow", "river"], "ru": ["дом", "окно", "сад", "река", "улица"]}
+    text = lambda k: " ".join(rng.choice(own[k] if rng.random() < 0.4 else rest[k]) for _ in range(rng.randrange(30, 200)))
+    rows = [(i, text(k), k, "s") for i, k in enumerate(["en", "ru"] * 40)]
+    rows += [(500, "語 " * 300, "zh", "s"), (501, "# $ % " * 100 + text("en"), "en", "s"), (502, text("ru"), None, "s"), (503, text("en"), "ru", "s"), (504, "42 17 99 " * 1 + " ".join(str(rng.randrange(10**9)) for _ in range(90)), "ru", "s")]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs(spark, rows)).collect()}
+    words = {k: collections.Counter(w for _, t, lang, _ in rows if lang == k for w in WORD.findall(t)) for k in ("en", "ru")}
+    learned = sorted(words["ru"], key=lambda w: (-words["ru"][w], w))[:10]
+    vocabulary = sorted({*quality.COMMON_WORDS["en"], *learned})
+
+    def counts(t):
+        n = [0] * 7
+        for c in t:
+            n[0 if "a" <= c <= "z" else 1 if c in "\t\n\x0b\x0c\r " else 2 if "A" <= c <= "Z" else 3 if c.isalpha() else 4 if "0" <= c <= "9" else 5 if c in ".,;:!?'\"()-" else 6] += 1
+        w = collections.Counter(WORD.findall(t))
+        return n, [w[x] for x in vocabulary] + [sum(w.values()) - sum(w[x] for x in vocabulary)]
+
+    shares = lambda n: [x / sum(n) for x in n]
+    total = {}
+    for i, t, lang, _ in rows:
+        base, (c, w) = base_counts(t), counts(t)
+        if lang in own and not got[i]["base_failed"] and 100 * base[2] <= len(t) and 5 * c[2] <= c[0] and base[0] >= 60:
+            for k, x in enumerate((c, w)):
+                held = total.setdefault(lang, [[0] * 7, [0] * (len(vocabulary) + 1)])[k]
+                held[:] = [a + b for a, b in zip(held, x, strict=True)]
+    for i, t, lang, _ in rows:
+        c, w = counts(t)
+        near = [min(js(shares(x), shares(total[k][j])) for k in total) for j, x in ((0, c), (1, w))]
+        assert got[i]["char_distance"] == (pytest.approx(near[0], abs=2e-6) if len(t) >= 200 else None), i
+        assert got[i]["word_distance"] == (pytest.approx(near[1], abs=2e-6) if sum(w) >= 60 else None), i
+    kept = {i: r["kept"] for i, r in got.items()}
+    # A language without a reference passes, also where its letters are like nothing else; so does a text of another language.
+    assert kept[502] and kept[503] and not kept[501] and not kept[504]
+    assert kept[500] == (not got[500]["base_failed"]) and sum(kept[i] for i in range(80)) > 70
+
+
 def test_media_round_trip_and_retries(spark, odd, tmp_path):
     got = collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["error"]) for r in media.media_column(odd).collect())
     want = collections.Counter()
@@ -335,6 +384,37 @@ def test_cross_parsing_counts_phrases():
             assert n + 1 == brute_phrases(sample, texts[lang]) or abs(n + 1 - brute_phrases(sample, texts[lang])) <= sample.count("z")
 
 
+def test_languages_of_held_out_documents(spark):
+    got = langid.identify_languages(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "lang").collect()}
+    known = [r for r in got if r["doc_id"] in lang and r["lang_pred"] != "und"]
+    assert len(known) > 100 and sum(r["lang_pred"] == lang[r["doc_id"]] for r in known) >= 0.97 * len(known)
+
+
+def test_every_language_is_learned_from_short_rows(spark):
+    import random
+
+    rng = random.Random(2)
+    names = [f"l{i:02d}" for i in range(80)]
+    letters = {k: rng.sample("abcdefghijklmnopqrstuvwxyz", 5) for k in names}
+    rows = [(1000 * i + j, " ".join("".join(rng.choice(letters[k]) for _ in range(4)) for _ in range(6)), k, "s") for i, k in enumerate(names) for j in range(12)]
+    learned = langid.training_texts(docs(spark, rows), sample_chars=150)
+    assert sorted(learned) == names and all(len(t) >= 140 for t in learned.values())
+    small = langid.training_texts(docs(spark, rows), sample_chars=1000, total_chars=800)
+    assert sorted(small) == names and all(len(t) <= 10 for t in small.values())
+
+
+def test_a_text_over_one_stretch_counts_whole(spark):
+    texts = {"en": "the house is on the hill and the dog sleeps", "fr": "la maison est sur la colline et le chien dort"}
+    import pyarrow as pa
+
+    parser = langid.CrossParser(texts)
+    long = "la maison est sur la colline et " * 200
+    mixed = "the house is on the hill and " * 30 + long
+    langs, scores = langid.predict(pa.array([long, mixed, None, "123"]), parser)
+    assert langs == ["fr", "fr", "und", "und"] and scores[0] > scores[1] > 0 and scores[2:] == [0.0, 0.0]
+
+
 def test_languages_odd(spark, odd):
     got = collections.defaultdict(list)
     for r in langid.identify_languages(odd).collect():
