@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strataflow.functions.arithmetic import finite
-from strataflow.functions.special import lgamma, normal_cdf
+from strataflow.functions.special import lgamma, normal_cdf, normal_mass
 
 NEVER = float("-inf")
 TOLERANCE = 1e-18
@@ -71,8 +71,8 @@ def discretised_normal(y: Column, mean: Column, variance: Column, tolerance: flo
     bad, (y, m, v) = _args(y, mean, variance)
     s = F.sqrt(F.when(v > 0, v).otherwise(1.0))
     k = F.rint(y)
-    up = normal_cdf((k + 0.5 - m) / s)
-    mass = F.when(k > 0, up - normal_cdf((k - 0.5 - m) / s)).otherwise(up)
+    up = (k + 0.5 - m) / s
+    mass = F.when(k > 0, normal_mass((k - 0.5 - m) / s, up)).otherwise(normal_cdf(up))
     return F.when(bad | (k < 0), NEVER).otherwise(F.log(F.greatest(mass, F.lit(0.0)) + tolerance))
 
 

@@ -61,18 +61,32 @@ def normal_quantile(p: Column) -> Column:
     return F.when(p <= 0, F.lit(float("-inf"))).when(p >= 1, F.lit(float("inf"))).otherwise(out)
 
 
-def erfc_positive(x: Column) -> Column:
-    """Complementary error function for x >= 0, relative error below 1.2e-7 (Chebyshev fit from Numerical Recipes)."""
-    t = 1 / (1 + 0.5 * x)
-    c = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
-    return t * F.exp(-x * x + _poly(c, t))
+# Coefficients of the rational form of the normal tail (West 2005, after Hart), highest power first.
+TAIL_ABOVE = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+TAIL_BELOW = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+TAIL_SPLIT = 7.07106781186547
+
+
+def normal_tail(x: Column) -> Column:
+    """Mass of a standard normal above x >= 0: a rational form, and beyond ``TAIL_SPLIT`` a continued fraction."""
+    e = F.exp(-x * x / 2)
+    far = x + 0.65
+    for k in (4, 3, 2, 1):
+        far = x + k / far
+    return F.when(x < TAIL_SPLIT, e * _poly(TAIL_ABOVE, x) / _poly(TAIL_BELOW, x)).otherwise(e / far / math.sqrt(2 * math.pi))
 
 
 def normal_cdf(x: Column) -> Column:
-    tail = 0.5 * erfc_positive(F.abs(x) / math.sqrt(2))
+    tail = normal_tail(F.abs(x))
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
+def normal_mass(lo: Column, hi: Column) -> Column:
+    """Mass of a standard normal in [lo, hi]: above 0 as a difference of upper tails, which keeps its digits."""
+    upper = normal_tail(F.abs(lo)) - normal_tail(F.abs(hi))
+    return F.when(lo > 0, upper).when(hi < 0, -upper).otherwise(normal_cdf(hi) - normal_cdf(lo))
+
+
 def gamma_p(a: Column, x: Column, terms: int = 200) -> Column:
     """Regularised lower incomplete gamma by its series; for x up to about a + 30."""
     series = F.aggregate(

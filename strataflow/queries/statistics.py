@@ -192,7 +192,7 @@ def evidence_labels(spark, sf_dir):
 
 @query(
     "model_comparison",
-    f"""WITH {DAILY}, s AS (SELECT event_type, day, -abs(n - avg(n) OVER (PARTITION BY event_type)) / 10 AS a, -abs(n - median(n) OVER (PARTITION BY event_type)) / 10 AS b FROM daily) SELECT event_type, count(*) AS n, round(sum(a), 6) AS elpd_base, round(sum(b), 6) AS elpd, round(sum(b - a), 6) AS delta_elpd, round(sum(b - a) * {diagnostics.DECIBANS!r}, 5) AS decibans FROM s GROUP BY 1""",
+    f"""WITH {DAILY}, s AS (SELECT event_type, day, -abs(n - avg(n) OVER (PARTITION BY event_type)) / 10 AS a, -abs(n - median(n) OVER (PARTITION BY event_type)) / 10 AS b FROM daily) SELECT event_type, count(*) AS n, round(sum(a), 6) AS elpd_base, round(sum(b), 6) AS elpd, round(sum(b - a), 6) AS delta_elpd, round(sum(b - a) * 10 / ln(10), 5) AS decibans, count(*) FILTER (WHERE b > a) AS better FROM s GROUP BY 1""",
 )
 def model_comparison(spark, sf_dir):
     """Score differences of two predictors per stream, paired on time."""
@@ -203,7 +203,8 @@ def model_comparison(spark, sf_dir):
     a = d.select("event_type", "day", (-F.abs(F.col("n") - F.avg("n").over(w)) / 10).alias("s"))
     b = d.select("event_type", "day", (-F.abs(F.col("n") - F.median("n").over(w)) / 10).alias("s"))
     out = scores.compare(a, b, ["event_type"], "day", "s").select("event_type", "n", "elpd_base", "elpd", "delta_elpd", "decibans")
-    return rounded(out).withColumn("decibans", F.round("decibans", 5))
+    wins = a.withColumnRenamed("s", "a").join(b.withColumnRenamed("s", "b"), ["event_type", "day"]).groupBy("event_type").agg(F.count_if(F.col("b") > F.col("a")).alias("better"))
+    return rounded(out).withColumn("decibans", F.round("decibans", 5)).join(wins, "event_type")
 
 
 @query(
@@ -323,24 +324,78 @@ def _lgamma_sql(x: str) -> str:
     return f"({0.5 * math.log(2 * math.pi)!r}::DOUBLE + ({y} + 0.5) * ln({y} + 7.5) - ({y} + 7.5) + ln({series}))"
 
 
+_CHOOSE = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+
+
 @query(
     "log_densities",
-    f"""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS y, p_retailprice / 60 AS m FROM part) SELECT p_partkey, round(y * ln(m) - m - {_lgamma_sql("y + 1")}, 6) AS poisson, round({_lgamma_sql("y + 3")} - {_lgamma_sql("y + 1")} - {_lgamma_sql("3.0::DOUBLE")} + 3 * ln(3 / (3 + m)) + y * ln(m / (3 + m)), 6) AS negbin,
-    round(-0.5 * ((y - m) / 4) ** 2 - ln(4) - 0.5 * ln(2 * pi()), 6) AS normal, round({_lgamma_sql("61.0::DOUBLE")} - {_lgamma_sql("y + 1")} - {_lgamma_sql("61 - y")} + y * ln(0.4) + (60 - y) * ln(0.6), 6) AS binomial FROM x""",
+    f"""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS y, CAST(p_retailprice AS DOUBLE) / 60 AS m FROM part), n AS (SELECT *, lgamma(y + 3) - lgamma(y + 1) - lgamma(3.0) + 3 * ln(3 / (3 + m)) + y * ln(m / (3 + m)) AS negbin FROM x)
+    SELECT p_partkey, round(y * ln(m) - m - lgamma(y + 1), 6) AS poisson, round(negbin, 6) AS negbin, round(ln(0.7) + negbin, 6) AS zero_inflated, round(-0.5 * ((y - m) / 4) ** 2 - ln(4) - 0.5 * ln(2 * pi()), 6) AS normal,
+    round({_CHOOSE.format(n="60.0", k="y")} + y * ln(0.4) + (60 - y) * ln(0.6), 6) AS binomial, round(ln(CASE WHEN y > 25 THEN 0.3 ELSE 0.7 END), 6) AS bernoulli,
+    round({_CHOOSE.format(n="60.0", k="y")} + lgamma(y + 2) + lgamma(60 - y + 5) - lgamma(67.0) - (lgamma(2.0) + lgamma(5.0) - lgamma(7.0)), 6) AS beta_binomial, round((0.3 * 8 - 1) * ln(y / 60) + (0.7 * 8 - 1) * ln(1 - y / 60) + lgamma(8.0) - lgamma(0.3 * 8) - lgamma(0.7 * 8), 6) AS beta FROM n""",
 )
 def log_densities(spark, sf_dir):
+    """Eight observation families; DuckDB's own lgamma is the witness (the ninth has discretised_normal_mass)."""
     y, m = F.col("p_size").cast("double"), F.col("p_retailprice") / 60
+    hit = F.when(y > 25, 1.0).otherwise(0.0)
     return rounded(
         table(spark, sf_dir, "part").select(
-            "p_partkey", density.poisson(y, m).alias("poisson"), density.negative_binomial(y, m, F.lit(3.0)).alias("negbin"), density.normal(y, m, F.lit(4.0)).alias("normal"), density.binomial(y, F.lit(60.0), F.lit(0.4)).alias("binomial")
+            "p_partkey", density.poisson(y, m).alias("poisson"), density.negative_binomial(y, m, F.lit(3.0)).alias("negbin"), density.zero_inflated_negative_binomial(y, m, F.lit(3.0), F.lit(0.3)).alias("zero_inflated"), density.normal(y, m, F.lit(4.0)).alias("normal"),
+            density.binomial(y, F.lit(60.0), F.lit(0.4)).alias("binomial"), density.bernoulli(hit, F.lit(0.3)).alias("bernoulli"), density.beta_binomial(y, F.lit(60.0), F.lit(2.0), F.lit(5.0)).alias("beta_binomial"), density.beta(y / 60, F.lit(0.3), F.lit(8.0)).alias("beta"),
         )
-    )
+    )
+
 
+@query(
+    "discretised_normal_mass",
+    """WITH RECURSIVE k AS (SELECT 1 AS i UNION ALL SELECT i + 1 FROM k WHERE i < 2000), x AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS y FROM part), s AS (SELECT y, (y - 0.5 - 20) / 6 AS a, 1.0 / 6 AS w FROM x)
+    SELECT y, round(ln(sum(exp(-0.5 * (a + w * (i - 0.5) / 2000) ** 2) / sqrt(2 * pi()) * w / 2000)), 4) AS log_mass FROM s, k GROUP BY y""",
+)
+def discretised_normal_mass(spark, sf_dir):
+    """Normal mass of whole numbers, against a sum of 2000 thin slices in SQL."""
+    y = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("y")).distinct()
+    return rounded(y.select("y", density.discretised_normal(F.col("y"), F.lit(20.0), F.lit(36.0)).alias("log_mass")), 4)
+
+
+@query(
+    "log_priors",
+    """WITH x AS (SELECT p_partkey, p_size / 60.0 AS x FROM part) SELECT p_partkey, CAST(0 AS DOUBLE) AS flat, round(CASE WHEN x BETWEEN 0.1 AND 0.9 THEN -ln(x) - ln(ln(9.0)) END, 6) AS log_uniform, round(-0.5 * ((x - 0.3) / 0.2) ** 2 - ln(0.2) - 0.5 * ln(2 * pi()), 6) AS normal,
+    round(-0.5 * (x / 0.5) ** 2 - ln(0.5) - 0.5 * ln(2 * pi()) + ln(2), 6) AS half_normal, round(-0.5 * ((ln(x) + 1) / 0.7) ** 2 - ln(0.7) - 0.5 * ln(2 * pi()) - ln(x), 6) AS log_normal, round(2 * ln(5.0) - lgamma(2.0) + ln(x) - 5 * x, 6) AS gamma,
+    round(lgamma(5.0) - lgamma(2.0) - lgamma(3.0) + ln(x) + 2 * ln(1 - x), 6) AS beta FROM x""",
+)
+def log_priors(spark, sf_dir):
+    """Priors besides those of prior_and_transform; outside its support a prior is minus infinity, here shown as missing."""
+    x, p = F.col("p_size") / 60.0, density.prior
+    seen = lambda c: F.when(c != float("-inf"), c)
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", p(x, "flat").alias("flat"), seen(p(x, "log_uniform", 0.1, 0.9)).alias("log_uniform"), p(x, "normal", 0.3, 0.2).alias("normal"), p(x, "half_normal", 0.5).alias("half_normal"), p(x, "log_normal", -1.0, 0.7).alias("log_normal"), p(x, "gamma", 2.0, 5.0).alias("gamma"), p(x, "beta", 2.0, 3.0).alias("beta")))
 
-@query("support_checks", "SELECT violation, count(*) AS n FROM (SELECT CASE WHEN l_quantity > 45 THEN 'more successes than trials' WHEN l_discount > 0 THEN 'x' END AS violation FROM lineitem) WHERE violation = 'more successes than trials' GROUP BY 1")
+
+@query(
+    "transforms_and_back",
+    """WITH x AS (SELECT p_partkey, p_size / 60.0 AS x FROM part) SELECT p_partkey, round(x, 6) AS identity, round(ln(x + 1), 6) AS lower, round(-ln(2 - x), 6) AS upper, round(ln((ln(x) - ln(0.001)) / (ln(1.5) - ln(x))), 6) AS log_interval,
+    round(x, 6) AS lower_back, round(x, 6) AS upper_back, round(x, 6) AS log_interval_back, round(ln(x + 1), 6) AS lower_jacobian, round(ln(2 - x), 6) AS upper_jacobian FROM x""",
+)
+def transforms_and_back(spark, sf_dir):
+    x, there, back = F.col("p_size") / 60.0, density.transform, density.inverse_transform
+    z = {"lower": there(x, "lower", -1.0), "upper": there(x, "upper", None, 2.0), "log_interval": there(x, "log_interval", 0.001, 1.5)}
+    bounds = {"lower": (-1.0, None), "upper": (None, 2.0), "log_interval": (0.001, 1.5)}
+    columns = [c.alias(k) for k, c in z.items()] + [back(c, k, *bounds[k])[0].alias(f"{k}_back") for k, c in z.items()] + [back(z[k], k, *bounds[k])[1].alias(f"{k}_jacobian") for k in ("lower", "upper")]
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", there(x, "identity").alias("identity"), *columns))
+
+
+@query(
+    "support_checks",
+    """WITH x AS (SELECT l_quantity AS k, l_discount AS d, CASE WHEN l_tax = 0.08 THEN 'Infinity'::DOUBLE ELSE l_tax END AS t FROM lineitem), v AS (SELECT 'binomial' AS family, CASE WHEN k > 45 THEN 'more successes than trials' END AS violation FROM x UNION ALL SELECT 'poisson', CASE WHEN d <> floor(d) THEN 'not a count' END FROM x
+      UNION ALL SELECT 'bernoulli', CASE WHEN k NOT IN (0, 1) THEN 'neither 0 nor 1' END FROM x UNION ALL SELECT 'normal', CASE WHEN isinf(t) THEN 'not finite' END FROM x)
+    SELECT family, violation, count(*) AS n FROM v WHERE violation IS NOT NULL GROUP BY 1, 2""",
+)
 def support_checks(spark, sf_dir):
-    v = density.support_violation(F.col("l_quantity"), "binomial", F.lit(45))
-    return table(spark, sf_dir, "lineitem").select(v.alias("violation")).where("violation is not null").groupBy("violation").agg(F.count("*").alias("n"))
+    """All four reasons why a value can't come from a family."""
+    l = table(spark, sf_dir, "lineitem")
+    tax = F.when(F.col("l_tax") == 0.08, float("inf")).otherwise(F.col("l_tax"))
+    checks = {"binomial": density.support_violation(F.col("l_quantity"), "binomial", F.lit(45)), "poisson": density.support_violation(F.col("l_discount"), "poisson"), "bernoulli": density.support_violation(F.col("l_quantity"), "bernoulli"), "normal": density.support_violation(tax, "normal")}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("family"), v.alias("violation")) for k, v in checks.items()])).alias("c")
+    return l.select(each).select("c.*").where("violation is not null").groupBy("family", "violation").agg(F.count("*").alias("n"))
 
 
 @query(
