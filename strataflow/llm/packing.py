@@ -270,11 +270,12 @@ def _by_weight(sums: DataFrame, queues: DataFrame, window: int) -> DataFrame:
     return points.where(F.col("slot").isNotNull()).select("key", "slot", (sent / window).alias("r1"))
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, table_size: int = TABLE_SIZE, position_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRAIN, weights: dict[str | None, float] | tuple[float, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slots: int = SLOTS, table_size: int = TABLE_SIZE, position_col: str | None = None) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
-    ``weights``: share of each source in a window; by default a source's share of all tokens, so that all queues last to
-    the end.  Sources without a weight get the least of the weights.  ``position_col``: training positions in 0..1 that
+    ``weights``: share of each source in a window, by source, where sources without a weight get the least of the weights, or as
+    a tuple that sources in order of their names take in turn; by default a source's share of all tokens, so that all queues
+    last to the end.  ``position_col``: training positions in 0..1 that
     order the documents and set the shares over time, instead of weights.
     """
     if weights and position_col:
@@ -287,10 +288,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, grain: int = GRA
     sums = meta.groupBy("key", "slot").agg(F.sum("n_tokens").alias("n"))
     sums = written(sums.withColumn("base", F.sum("n").over(W.partitionBy("key").orderBy("slot")) - F.col("n")), "slots")
     queues = sums.groupBy("key").agg(F.sum("n").alias("total"))
+    queues = queues.withColumn("queue", F.row_number().over(W.orderBy("key")))
     share = F.col("total").cast("double")
-    if weights:
+    if isinstance(weights, tuple):
+        share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("queue") - 1) % len(weights) + 1).cast("int"))
+    elif weights:
         share = F.coalesce(*[F.when(F.col("key") == ("null" if k is None else f"={k}"), F.lit(float(v))) for k, v in weights.items()], F.lit(float(min(weights.values()))))
-    queues = written(queues.select("key", "total", share.alias("weight"), F.row_number().over(W.orderBy("key")).alias("queue")), "queues")
+    queues = written(queues.select("key", "total", share.alias("weight"), "queue"), "queues")
     # The rounds between which each slot of a queue is sent.
     if position_col:
         rounds = (queues.agg(F.sum("total")).first()[0] or 0) / window

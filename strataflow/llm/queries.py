@@ -44,7 +44,8 @@ def op8_curriculum_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_deficit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(load(spark, sf_dir, "documents"), token_counts.tokenizer_path("byte_bpe_50k.json"))
+    """Windows with the proportions of the mixture's weights, as long as the sources last."""
+    return packing.pack(load(spark, sf_dir, "documents"), token_counts.tokenizer_path("byte_bpe_50k.json"), weights=mixing.WEIGHTS)
 
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
