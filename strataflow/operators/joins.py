@@ -19,7 +19,7 @@ def levels(df: DataFrame, column: str, row_id: str) -> DataFrame:
 
 def grid(*dims: DataFrame) -> DataFrame:
     """All combinations of small level tables."""
-    return functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), dims)
+    return functools.reduce(lambda a, b: a.crossJoin(b), dims)
 
 
 def with_default(cells: DataFrame, rows: DataFrame, keys: list[str], value: str, default: float | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def unknown_levels(rows: DataFrame, dim: DataFrame, column: str) -> DataFrame:
 def pairs_where(dim: DataFrame, column: str, where: Column | None = None) -> DataFrame:
     """All ordered pairs of levels (``a``, ``b``), by default without self-loops."""
     a, b = dim.select(F.col(column).alias("a")), dim.select(F.col(column).alias("b"))
-    return a.crossJoin(F.broadcast(b)).where(F.col("a") != F.col("b") if where is None else where)
+    return a.crossJoin(b).where(F.col("a") != F.col("b") if where is None else where)
 
 
 def linked_pairs(dim: DataFrame, column: str, by: str) -> DataFrame:

@@ -165,7 +165,7 @@ def sample(rows: DataFrame, individual: str, seed: int, rate: float | None = Non
     u = rows.withColumn("_u", uniform(F.col(individual), seed))
     if rates is None:
         return u.where(F.col("_u") < rate).drop("_u")
-    return u.join(F.broadcast(rates), deme).where(F.col("_u") < F.col("rate")).drop("_u", "rate")
+    return u.join(rates, deme).where(F.col("_u") < F.col("rate")).drop("_u", "rate")
 
 
 def sojourns(rows: DataFrame, individual: str, time: str, kind: Column) -> DataFrame:

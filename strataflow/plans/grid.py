@@ -36,7 +36,7 @@ def sweep(spark: SparkSession, axes: Mapping[str, Sequence[float] | str]) -> Dat
         frames = [spark.createDataFrame(list(enumerate(v)), f"_i{k} long, `{n}` double") for k, (n, v) in enumerate(zip(names, values, strict=True))]
         out = frames[0]
         for f in frames[1:]:
-            out = out.crossJoin(F.broadcast(f))
+            out = out.crossJoin(f)
         number = F.lit(0).cast("long")
         for k, v in enumerate(values):
             number = number * len(v) + F.col(f"_i{k}")
@@ -64,7 +64,7 @@ def run_grid(scenarios: DataFrame, points: DataFrame, replicates: int, base_seed
     only, so a design sweep compares points under the same numbers.
     """
     reps = points.sparkSession.range(replicates).select(F.col("id").cast("int").alias("replicate"))
-    grid = scenarios.select("scenario").crossJoin(F.broadcast(points)).crossJoin(F.broadcast(reps))
+    grid = scenarios.select("scenario").crossJoin(points).crossJoin(reps)
     source = [F.lit(base_seed), F.col("replicate"), *([F.col("point_id")] if draws else [])]
     return grid.withColumn("seed", F.pmod(F.xxhash64(*source), F.lit(2**53))).withColumn("cell", F.xxhash64("scenario", "point_id", "replicate"))
 
@@ -76,7 +76,7 @@ def in_order(grid: DataFrame) -> DataFrame:
 
 def scenario_parameters(base: DataFrame, changes: DataFrame) -> DataFrame:
     """(scenario, name, value) from base (name, value) and changes (scenario, name, set_value, scale)."""
-    names = changes.select("scenario").distinct().crossJoin(F.broadcast(base))
+    names = changes.select("scenario").distinct().crossJoin(base)
     joined = names.join(changes, ["scenario", "name"], "left")
     return joined.select("scenario", "name", F.coalesce("set_value", F.col("value") * F.coalesce("scale", F.lit(1.0))).alias("value"))
 

@@ -54,7 +54,7 @@ def unknown_levels(spark, sf_dir):
 def gravity_sum(spark, sf_dir):
     """sum(b in dim where b <> a, body) over pairs of a small dimension."""
     p = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.sum("c_acctbal"), 2).alias("pop"))
-    pairs = joins.pairs_where(p.select("k"), "k").join(F.broadcast(p.withColumnRenamed("k", "b")), "b")
+    pairs = joins.pairs_where(p.select("k"), "k").join(p.withColumnRenamed("k", "b"), "b")
     return rounded(pairs.groupBy(F.col("a").alias("k")).agg(F.sum(F.col("pop") / (1 + F.abs(F.col("a") - F.col("b")))).alias("pull")), 4)
 
 

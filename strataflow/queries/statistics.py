@@ -263,7 +263,7 @@ def step_log_scores(spark, sf_dir):
 def fair_crps(spark, sf_dir):
     e = events(spark, sf_dir)
     y = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("y"))
-    return rounded(scores.fair_crps(e.join(F.broadcast(y), "event_type"), ["event_type", "day"], "value", "y"))
+    return rounded(scores.fair_crps(e.join(y, "event_type"), ["event_type", "day"], "value", "y"))
 
 
 @query(

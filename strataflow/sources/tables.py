@@ -112,7 +112,8 @@ def sweep_points(df: DataFrame, parameters: list[str]) -> DataFrame:
 def completed_draws(draws: DataFrame, runs: DataFrame, run: str) -> DataFrame:
     """Posterior draws of a completed run."""
     refuse_any(runs.where((F.col("run_id") == run) & (F.col("status") != "completed")), "the run is not complete")
-    return draws.where(F.col("run_id") == run).join(F.broadcast(runs.where((F.col("run_id") == run) & (F.col("status") == "completed")).select("run_id")), "run_id", "left_semi")
+    done = runs.where((F.col("run_id") == run) & (F.col("status") == "completed")).select("run_id")
+    return draws.where(F.col("run_id") == run).join(done, "run_id", "left_semi")
 
 
 KEYS = ["chain", "draw"]
