@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strataflow.checks import Refused
+from strataflow.functions import density
 from strataflow.plans.model import Model
-from strataflow.plans.simulate import Kernel, compile_rate, whole
+from strataflow.plans.simulate import Kernel, compile_rate, ode, whole
 
 Series = Sequence[tuple[float, float | None]]
 
@@ -65,6 +68,100 @@ def trace_paths(ancestors, last: Sequence[int]):
     return np.stack(out[::-1])
 
 
+@dataclass(frozen=True)
+class Stream:
+    """Observations of one flow at their own times; ``reporting`` and ``size`` name parameters (no size: Poisson)."""
+
+    flow: str
+    series: tuple[tuple[float, float | None], ...]
+    reporting: str
+    size: str | None = None
+
+
+class StreamsFilter:
+    """Bootstrap filter over several streams.
+
+    Particles stop at the union of the streams' times.  Every stream sums its flow since its own last time, also over the times
+    of others; at a stop the log densities of the streams that have an observation there are added.  A hole closes its stream's
+    window and scores nothing; a stop with holes only weighs nothing.
+    """
+
+    def __init__(self, model: Model, streams: dict[str, Stream], start: float, dt: float):
+        self.model, self.start, self.dt = model, start, dt
+        self.kernel = Kernel(model)
+        names = [t.name for t in self.kernel.model.transitions]
+        self.streams = {k: (names.index(s.flow), dict(s.series), s) for k, s in streams.items()}
+        self.axis = sorted({t for s in streams.values() for t, _ in s.series})
+        self.initial = {c: compile_rate(e) for c, e in model.initial.items()}
+
+    def run(self, parameters: dict, particles: int, rng) -> list[tuple]:
+        """(time, stream, y, log score of the stream, joint log score, ESS) of every observation; a dead filter ends with -inf."""
+        import numpy as np
+
+        state = {c: np.full(particles, whole(np.float64(self.initial[c](parameters))) if c in self.initial else 0, np.int64) for c in self.model.compartments}
+        sums = {k: np.zeros(particles) for k in self.streams}
+        t, out = self.start, []
+        mean_of = lambda w: float(w.max() + math.log(np.exp(w - w.max()).mean())) if np.isfinite(w.max()) else -math.inf
+        for stop in self.axis:
+            while t < stop - 1e-9:
+                h = min(self.dt, stop - t)
+                flows = self.kernel.step(state, parameters, t, h, rng)
+                for k, (i, _, _) in self.streams.items():
+                    sums[k] += flows[i]
+                t += h
+            due = {k: series[stop] for k, (_, series, _) in self.streams.items() if stop in series}
+            each = {}
+            for k, y in due.items():
+                if y is not None:
+                    s = self.streams[k][2]
+                    mean = parameters[s.reporting] * sums[k]
+                    each[k] = log_poisson(y, mean) if s.size is None else log_negative_binomial(y, mean, float(parameters[s.size]))
+                sums[k] = np.zeros(particles)
+            if not each:
+                continue
+            logw = sum(each.values())
+            joint = mean_of(logw)
+            if not math.isfinite(joint):
+                return [*out, *[(stop, k, due[k], mean_of(w), -math.inf, 0.0) for k, w in each.items()]]
+            w = np.exp(logw - logw.max())
+            w /= w.sum()
+            out += [(stop, k, due[k], mean_of(v), joint, 1 / float((w * w).sum())) for k, v in each.items()]
+            if np.ptp(logw):
+                pick = systematic(w, rng.random())
+                state = {c: v[pick] for c, v in state.items()}
+                sums = {k: v[pick] for k, v in sums.items()}
+        return out
+
+
+def stream_scores(points: DataFrame, filt: StreamsFilter, particles: int, key: str = "point_id") -> DataFrame:
+    """One row per point, time and stream: its log score, the joint score of that time and the ESS.  Streams are never summed."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(getattr(r, key), *x) for r in pdf.itertuples(index=False) for x in filt.run(_parameters(r, filt.model), particles, _seeded(r.seed, 7))]
+            yield pd.DataFrame(rows, columns=[key, "t", "stream", "y_obs", "log_score", "joint", "ess"])
+
+    return points.mapInPandas(run, f"`{key}` long, t double, stream string, y_obs double, log_score double, joint double, ess double")
+
+
+def ode_prequential(cells: DataFrame, model: Model, observations: DataFrame, flow: str, start: float, stop: float, dt: float, reporting: str, size: str | None = None) -> DataFrame:
+    """(cell columns, t, y_obs, predicted, log_score) of observations (t, y) under the deterministic path, by columns alone.
+
+    A window's flow is what the path has sent since the observation before; observation times must be ends of steps.
+    """
+    path = ode(cells, model, start, stop, dt)
+    at = F.round((F.col("time") - start) / dt).cast("long")
+    order = W.partitionBy(*cells.columns).orderBy("_at")
+    path = path.withColumn("_at", at).withColumn("_sent", F.sum(f"flow_{flow}").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    seen = observations.select(F.col("t"), F.col("y").cast("double").alias("y_obs"), F.round((F.col("t") - start) / dt).cast("long").alias("_at"))
+    rows = path.join(seen, "_at").withColumn("_before", F.coalesce(F.lag("_sent").over(order), F.lit(0.0)))
+    mean = F.col(reporting) * (F.col("_sent") - F.col("_before"))
+    score = density.poisson(F.col("y_obs"), mean) if size is None else density.negative_binomial(F.col("y_obs"), mean, F.col(size))
+    return rows.select(*cells.columns, "t", "y_obs", mean.alias("predicted"), score.alias("log_score")).where("y_obs is not null")
+
+
 class Filter:
     """Bootstrap filter: propagate, sum the observed flow, weigh, resample.  Dead particles get weight 0."""
 
@@ -376,6 +473,47 @@ def starts_within(spark, bounds: dict[str, tuple[float, float]], fixed: dict[str
     return rows.withColumns({k: F.lit(float(v)) for k, v in fixed.items()}).withColumn("seed", F.pmod(F.xxhash64(F.lit(seed), "chain"), F.lit(2**53)))
 
 
+def _chains(spark, n: int, seed: int, fixed: dict[str, float]) -> DataFrame:
+    rows = spark.range(n).select(F.col("id").alias("chain"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**53)).alias("seed"))
+    return rows.withColumns({k: F.lit(float(v)) for k, v in fixed.items()})
+
+
+def _uniform(seed: int, k: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("chain")), F.lit(2**52)) / 2.0**52
+
+
+def starts_uniform(spark, bounds: dict[str, tuple[float, float]], fixed: dict[str, float], n: int, seed: int, log: tuple[str, ...] = ()) -> DataFrame:
+    """Chains with starts spread evenly over the bounds, on a log scale for the parameters named in ``log``."""
+    rows = _chains(spark, n, seed, fixed)
+    for k, (name, (lo, hi)) in enumerate(sorted(bounds.items())):
+        u = _uniform(seed, k)
+        rows = rows.withColumn(name, F.exp(math.log(lo) + math.log(hi / lo) * u) if name in log else lo + (hi - lo) * u)
+    return rows
+
+
+def starts_unconstrained(spark, bounds: dict[str, tuple[float, float]], fixed: dict[str, float], n: int, seed: int, reach: float = 2.0) -> DataFrame:
+    """Chains whose starts are even on the unconstrained scale of each interval, within ``reach`` of its middle."""
+    rows = _chains(spark, n, seed, fixed)
+    for k, (name, (lo, hi)) in enumerate(sorted(bounds.items())):
+        z = (2 * _uniform(seed, k) - 1) * reach
+        rows = rows.withColumn(name, lo + (hi - lo) / (1 + F.exp(-z)))
+    return rows
+
+
+def starts_at(spark, point: dict[str, float], n: int, seed: int) -> DataFrame:
+    """Chains that all start at one point, with seeds of their own."""
+    return _chains(spark, n, seed, point)
+
+
+def starts_from(draws: DataFrame, names: list[str], n: int, seed: int, best: str | None = None) -> DataFrame:
+    """Chains that start at n draws picked by a hash, or at the n draws with the largest ``best`` (a log likelihood)."""
+    order = [F.desc(best)] if best else []
+    rows = draws.orderBy(*order, F.xxhash64(F.lit(seed), *[F.col(c) for c in draws.columns])).limit(n)  # n is the number of chains
+    chain = F.row_number().over(W.orderBy(*([F.desc("_b")] if best else []), *names)) - 1
+    rows = rows.select(*names, *([F.col(best).alias("_b")] if best else [])).withColumn("chain", chain.cast("long")).select("chain", *names)
+    return rows.withColumn("seed", F.pmod(F.xxhash64(F.lit(seed), "chain"), F.lit(2**53)))
+
+
 def refuse_degenerate(evaluated: DataFrame, particles: int, share: float = 0.01) -> None:
     """Refuse a result in which a filter died or its least ESS is below a share of the particles."""
     bad = evaluated.where(F.col("failed_at").isNotNull() | (F.col("min_ess") < share * particles)).limit(1).collect()

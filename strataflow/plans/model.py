@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -26,9 +27,32 @@ class Transition:
     branches: tuple[tuple[str, float], ...] = ()
 
 
+@dataclass(frozen=True)
+class Trigger:
+    """Fires when what is observed of a flow reaches a threshold.
+
+    Every ``every`` time units the flow since the last look, times ``reporting``, is one observed value.  ``fold`` (sum, mean, max or
+    latest) takes the values of (now - window, now]; none of them gives 0.  The action follows ``delay`` later; with ``once``
+    it comes a single time, else not before ``cooldown`` has passed since it last fired.
+    """
+
+    flow: str
+    every: float
+    threshold: float
+    reporting: float = 1.0
+    fold: str = "sum"
+    window: float = math.inf
+    delay: float = 0.0
+    once: bool = False
+    cooldown: float = 0.0
+
+
 @dataclass(frozen=True)
 class Action:
-    """fraction, absolute, set or add on compartments at given times, or grouped: a total shared by largest remainders."""
+    """fraction, absolute, set or add on compartments at given times, or grouped: a total shared by largest remainders.
+
+    With a trigger the action has no times of its own.
+    """
 
     name: str
     kind: str
@@ -37,6 +61,7 @@ class Action:
     source: str | None = None
     target: str | None = None
     sources: tuple[str, ...] = ()
+    trigger: Trigger | None = None
 
 
 @dataclass(frozen=True)
@@ -132,6 +157,10 @@ def problems(model: Model) -> list[str]:
     for a in model.actions:
         if a.kind not in ("fraction", "absolute", "set", "add", "grouped"):
             out.append(f"{a.name}: unknown action {a.kind}")
+        if a.trigger and (a.at or a.trigger.fold not in ("sum", "mean", "max", "latest") or a.trigger.every <= 0):
+            out.append(f"{a.name}: a trigger needs a fold, a time between looks above 0, and no times beside it")
+        if a.trigger and a.trigger.flow not in {t.name for t in branched(model).transitions}:
+            out.append(f"{a.name}: no flow {a.trigger.flow}")
     return out
 
 
@@ -149,7 +178,7 @@ def lint(model: Model) -> list[str]:
 
 # Which features each backend can run.
 BACKENDS = {
-    "chain_binomial": {"overdispersion", "deterministic", "actions", "grouped", "balance"},
+    "chain_binomial": {"overdispersion", "deterministic", "actions", "reactive", "grouped", "balance"},
     "gillespie": {"actions"},
     "ode": {"real", "actions", "balance"},
 }
@@ -161,6 +190,7 @@ def refuse_unsupported(model: Model, backend: str) -> None:
     wants = {
         "overdispersion": any(t.overdispersion for t in model.transitions), "deterministic": any(t.law == "deterministic" for t in model.transitions),
         "actions": bool(model.actions), "grouped": any(a.kind == "grouped" for a in model.actions), "real": bool(model.real), "balance": model.balance is not None,
+        "reactive": any(a.trigger for a in model.actions),
     }
     if lost := [k for k, v in wants.items() if v and k not in BACKENDS[backend]]:
         raise Refused(f"{backend} can't run: {', '.join(lost)}")

@@ -376,6 +376,39 @@ class CellKernel:
             state[self.balance[0]] = _whole(self.balance[1](state, p, t, dt))
 
 
+class _Watch:
+    """The triggers of one cell's run: what they have seen, and which actions are due at the end of a step."""
+
+    def __init__(self, model: Model, start: float, stop: float, dt: float):
+        names = [t.name for t in model.transitions]
+        self.span = start, stop, dt
+        self.rules = [(a.name, a.trigger, names.index(a.trigger.flow)) for a in model.actions if a.trigger]
+        self.sums = [0.0] * len(self.rules)
+        self.seen: list[list[tuple[float, float]]] = [[] for _ in self.rules]
+        self.next = [start + r[1].every for r in self.rules]
+        self.last: dict[str, float] = {}
+        self.waiting: dict[int, list[str]] = {}
+        self.fired: list[str] = []
+
+    def due(self, step: int, now: float, flows: list) -> list[str]:
+        for k, (name, rule, flow) in enumerate(self.rules):
+            self.sums[k] += flows[flow]
+            if now < self.next[k] - 1e-9:
+                continue
+            self.seen[k].append((now, rule.reporting * self.sums[k]))
+            self.sums[k], self.next[k] = 0.0, self.next[k] + rule.every
+            values = [y for t, y in self.seen[k] if now - rule.window < t <= now + 1e-9]
+            value = self.seen[k][-1][1] if rule.fold == "latest" else 0.0 if not values else sum(values) if rule.fold == "sum" else max(values) if rule.fold == "max" else sum(values) / len(values)
+            ready = name not in self.last or (not rule.once and now - self.last[name] >= rule.cooldown - 1e-9)
+            if value >= rule.threshold and ready:
+                self.last[name] = now
+                at = effect_step(now + rule.delay, *self.span)
+                if at is not None:
+                    self.waiting.setdefault(max(at, step), []).append(name)
+        self.fired = self.waiting.pop(step, [])
+        return self.fired
+
+
 def _whole(x: float) -> int:
     """:func:`whole` for one number."""
     return int(math.copysign(math.floor(abs(x) + math.nextafter(0.5, 0.0)), x))
@@ -404,14 +437,17 @@ def _run(cells: DataFrame, model: Model, run, partitions: int | None) -> DataFra
     return rows.mapInPandas(batches, ", ".join([*kinds, *paths]))
 
 
-def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt: float, every: int = 1, partitions: int | None = None) -> DataFrame:
-    """Stochastic trajectories of every cell (column ``seed`` needed): compartments and flows since the last output."""
+def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt: float, every: int = 1, partitions: int | None = None, firings: bool = False) -> DataFrame:
+    """Stochastic trajectories of every cell (column ``seed`` needed): compartments and flows since the last output.
+
+    With ``firings`` the same runs give the log of their reactive actions instead.
+    """
     model = _checked(model, "chain_binomial")
     steps, due = n_substeps(start, stop, dt), schedule(model, start, stop, dt)
     clock = [(step_end(i, start, stop, dt), step_length(i, start, stop, dt), step_end(i + 1, start, stop, dt)) for i in range(steps)]
     kernels: list[CellKernel] = []
 
-    def run(r, parameters):
+    def run(r, parameters, fired=None):
         import numpy as np
 
         if not kernels:
@@ -419,20 +455,45 @@ def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt
         kernel, rng = kernels[0], np.random.default_rng([int(r.seed), 1])
         state = [_whole(float(getattr(r, c))) for c in model.compartments]
         sums, rows, before = [0] * len(model.transitions), [], start
+        watch = _Watch(model, start, stop, dt)
         kernel.act(state, due.get(0, ()), parameters, start, dt, balance=False)
         rows.append((start, start, start, *state, *sums))
         for i, (begin, length, now) in enumerate(clock):
             flows = kernel.step(state, parameters, begin, length, rng)
             sums = [a + f for a, f in zip(sums, flows, strict=True)]
-            kernel.act(state, due.get(i + 1, ()), parameters, now, length)
+            kernel.act(state, {*due.get(i + 1, ()), *watch.due(i + 1, now, flows)}, parameters, now, length)
+            if fired is not None:
+                fired.extend((name, now, i + 1) for name in watch.fired)
             if (i + 1) % every == 0:
                 rows.append((now, before, now, *state, *sums))
                 sums, before = [0] * len(sums), now
         return rows
 
+    if firings:
+        return _firings(cells, model, run)
     return _run(cells, model, run, partitions)
 
 
+def _firings(cells: DataFrame, model: Model, run) -> DataFrame:
+    """(cell columns, name, time, step) of the reactive actions of every cell."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema]
+    names = cells.columns
+
+    def batches(it):
+        import pandas as pd
+
+        for pdf in it:
+            own, found = [], []
+            for k, r in enumerate(pdf.itertuples(index=False)):
+                fired: list = []
+                run(r, {p: float(getattr(r, p)) for p in model.parameters}, fired)
+                own += [k] * len(fired)
+                found += fired
+            yield pd.concat([pdf[names].iloc[own].reset_index(drop=True), pd.DataFrame(found, columns=["name", "time", "step"])], axis=1)
+
+    return with_initial(cells, model).mapInPandas(batches, ", ".join([*kinds, "name string, time double, step long"]))
+
+
 def gillespie(cells: DataFrame, model: Model, start: float, stop: float, every: float, partitions: int | None = None) -> DataFrame:
     """Exact event-by-event trajectories; output times, actions and the end are hit exactly."""
     model = _checked(model, "gillespie")

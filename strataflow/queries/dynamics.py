@@ -81,6 +81,72 @@ def effects_at_half_steps(spark, sf_dir):
     return grid.snap(x, "t", 0.0, 1.0, 4.6).select("o_orderkey", "step")
 
 
+@query(
+    "reactive_firings",
+    """WITH c AS (SELECT c_custkey AS k, 1 + c_custkey % 9 AS r FROM customer), t AS (SELECT k, r, i FROM c, range(1, 21) g(i)), w AS (SELECT k, min(i) AS i FROM t WHERE r * least(i, 3) >= 12 GROUP BY k),
+    e AS (SELECT k, 'once' AS name, i + 2 AS time FROM w WHERE i + 2 <= 20 UNION ALL SELECT k, 'again', w.i + 5 * n FROM w, range(0, 5) g(n) WHERE w.i + 5 * n <= 20)
+    SELECT k, name, CAST(time AS DOUBLE) AS time, CAST(time AS BIGINT) AS step FROM e""",
+)
+def reactive_firings(spark, sf_dir):
+    """Two actions on the flow of the last three days: one fires once, two days late, the other at once and every five days."""
+    from strataflow.plans.model import Action, Trigger
+
+    watch = dict(flow="inflow", every=1.0, threshold=12.0, window=3.0)
+    actions = (Action("once", "add", (), 50, target="A", trigger=Trigger(**watch, delay=2.0, once=True)), Action("again", "add", (), 1, target="A", trigger=Trigger(**watch, cooldown=5.0)))
+    model = Model(("A",), ("r",), (Transition("inflow", None, "A", X.ref("r"), law="deterministic"),), actions=actions)
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (1.0 + F.col("c_custkey") % 9).alias("r"), F.col("c_custkey").alias("seed"))
+    return simulate.chain_binomial(cells, model, 0.0, 20.0, 1.0, firings=True).select("k", "name", "time", "step")
+
+
+_TWO = {"a": [(1.0, 3.0), (2.0, None), (3.0, 9.0), (4.0, 2.0), (6.0, 7.0)], "b": [(2.0, 5.0), (4.0, 6.0), (5.0, None), (6.0, 1.0)]}
+
+
+@query(
+    "two_stream_scores",
+    f"""WITH c AS (SELECT s_suppkey AS point_id, 2.0 + s_suppkey % 7 AS r FROM supplier), o AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {t}, {'NULL' if y is None else y})" for k, s in _TWO.items() for t, y in s)}) v(stream, t, y)),
+    w AS (SELECT stream, t, y, t - coalesce(lag(t) OVER (PARTITION BY stream ORDER BY t), 0) AS width FROM o), s AS (SELECT point_id, stream, t, y, CASE WHEN stream = 'a' THEN 0.5 * r ELSE 0.5 * (r + 1) END * width AS m FROM c, w WHERE y IS NOT NULL), d AS (SELECT *, y * ln(m) - m - lgamma(y + 1) AS log_score FROM s)
+    SELECT point_id, CAST(t AS DOUBLE) AS t, stream, CAST(y AS DOUBLE) AS y_obs, round(log_score, 6) AS log_score, round(sum(log_score) OVER (PARTITION BY point_id, t), 6) AS joint FROM d""",
+)
+def two_stream_scores(spark, sf_dir):
+    """Two streams with their own times and holes over fixed flows, where every particle is alike and scores are exact."""
+    r = X.ref("r")
+    model = Model(("A",), ("r", "rho"), (Transition("one", None, "A", r, law="deterministic"), Transition("two", None, "A", r + 1, law="deterministic")))
+    streams = {k: infer.Stream(flow, tuple(_TWO[k]), "rho") for k, flow in (("a", "one"), ("b", "two"))}
+    points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (2.0 + F.col("s_suppkey") % 7).alias("r"), F.lit(0.5).alias("rho"), F.col("s_suppkey").alias("seed"))
+    return rounded(infer.stream_scores(points, infer.StreamsFilter(model, streams, 0.0, 1.0), 20).drop("ess"))
+
+
+@query(
+    "ode_prequential_scores",
+    """WITH c AS (SELECT c_custkey AS k, (1 + c_custkey % 10) / 20.0 AS z FROM customer), f AS (SELECT k, z, 1 - z * 0.5 + (z * 0.5) ** 2 / 2 - (z * 0.5) ** 3 / 6 + (z * 0.5) ** 4 / 24 AS f FROM c), o AS (SELECT * FROM (VALUES (1.0, 12.0), (2.5, 20.0), (4.0, 3.0)) v(t, y)), w AS (SELECT t, y, coalesce(lag(t) OVER (ORDER BY t), 0) AS b FROM o),
+    m AS (SELECT k, t, y, 0.5 * 200 * (pow(f, 2 * b) - pow(f, 2 * t)) AS m FROM f, w)
+    SELECT k, CAST(t AS DOUBLE) AS t, CAST(y AS DOUBLE) AS y_obs, round(m, 5) AS predicted, round(y * ln(m) - m - lgamma(y + 1), 5) AS log_score FROM m""",
+)
+def ode_prequential_scores(spark, sf_dir):
+    """Scores of three observations under an exponential decay, window by window."""
+    model = Model(("A", "B"), ("z", "rho"), (Transition("decay", "A", "B", X.ref("z") * X.ref("A")),), initial={"A": X.lift(200)})
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), ((1 + F.col("c_custkey") % 10) / 20.0).alias("z"), F.lit(0.5).alias("rho"))
+    seen = spark.createDataFrame([(1.0, 12.0), (2.5, 20.0), (4.0, 3.0)], "t double, y double")
+    return rounded(infer.ode_prequential(cells, model, seen, "decay", 0.0, 4.0, 0.5, "rho").select("k", "t", "y_obs", "predicted", "log_score"), 5)
+
+
+@query("start_rules", "SELECT * FROM (VALUES ('uniform', 64, true), ('unconstrained', 64, true), ('one point', 64, true), ('from draws', 5, true), ('best draws', 5, true)) v(rule, n, legal)")
+def start_rules(spark, sf_dir):
+    """Every rule gives as many chains as asked for, inside the bounds, with seeds of their own."""
+    bounds, fixed = {"beta": (0.2, 0.7), "N": (100.0, 10000.0)}, {"gamma": 0.2}
+    draws = table(spark, sf_dir, "part").select((F.col("p_size") / 100 + 0.2).alias("beta"), F.col("p_retailprice").alias("N"), F.col("p_retailprice").alias("ll"))
+    found = {
+        "uniform": infer.starts_uniform(spark, bounds, fixed, 64, 3, log=("N",)), "unconstrained": infer.starts_unconstrained(spark, bounds, fixed, 64, 3), "one point": infer.starts_at(spark, {"beta": 0.4, "N": 500.0}, 64, 3),
+        "from draws": infer.starts_from(draws, ["beta", "N"], 5, 3), "best draws": infer.starts_from(draws, ["beta", "N"], 5, 3, best="ll"),
+    }
+    rows = None
+    for rule, df in found.items():
+        inside = F.col("beta").between(0.2, 0.7) & F.col("N").between(100, 10000)
+        one = df.agg(F.count("*").cast("int").alias("n"), (F.bool_and(inside) & (F.countDistinct("seed") == F.count("*"))).alias("legal")).select(F.lit(rule).alias("rule"), "n", "legal")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 @query("sir_ode_reductions")
 def sir_ode(spark, sf_dir):
     """Peak, final size and attack time per cell (the final size is checked against its equation in the tests)."""
