@@ -167,6 +167,41 @@ def sir_event_driven(spark, sf_dir):
     return simulate.gillespie(cells(spark, sf_dir), sir(), 0.0, 40.0, 10.0).select("scenario", "point_id", "time", "S", "I", "R")
 
 
+@query(
+    "event_driven_totals",
+    "SELECT r_name AS scenario, p AS point_id, CAST(10 * k AS DOUBLE) AS time, 10000 AS total, true AS susceptible_never_rise FROM region, range(0, 2) a(p), range(0, 5) b(k)",
+)
+def event_driven_totals(spark, sf_dir):
+    """A closed population stays as large as it was, and nobody becomes susceptible again."""
+    from pyspark.sql.window import Window as W
+
+    paths = simulate.gillespie(cells(spark, sf_dir), sir(), 0.0, 40.0, 10.0)
+    before = F.lag("S").over(W.partitionBy("scenario", "point_id").orderBy("time"))
+    return paths.select("scenario", "point_id", "time", (F.col("S") + F.col("I") + F.col("R")).cast("int").alias("total"), F.coalesce(F.col("S") <= before, F.lit(True)).alias("susceptible_never_rise"))
+
+
+@query("stochastic_means_are_near", "SELECT n_name, CAST(5 * k AS DOUBLE) AS time, true AS near FROM nation, range(0, 5) t(k)")
+def stochastic_means(spark, sf_dir):
+    """A pure death process, 100 replicates for each nation's rate: means lie within five errors of the exact ones."""
+    model = Model(("A", "B"), ("z",), (Transition("death", "A", "B", X.ref("z") * X.ref("A")),), initial={"A": X.lift(1000)})
+    n = table(spark, sf_dir, "nation").select("n_name", (0.02 + F.col("n_nationkey") / 200).alias("z"), F.explode(F.sequence(F.lit(1), F.lit(100))).alias("replicate"))
+    runs = simulate.chain_binomial(n.withColumn("seed", F.xxhash64("n_name", "replicate").bitwiseAND(F.lit(2**50 - 1))), model, 0.0, 20.0, 0.5, every=10)
+    p = F.exp(-F.col("z") * F.col("time"))
+    mean = runs.groupBy("n_name", "time", "z").agg(F.avg("A").alias("m"))
+    return mean.select("n_name", "time", (F.abs(F.col("m") - 1000 * p) <= 5 * F.sqrt(1000 * p * (1 - p) / 100) + 1e-9).alias("near"))
+
+
+@query("latin_hypercube_strata", "SELECT name, CAST(i AS BIGINT) AS stratum, 1 AS n FROM (VALUES ('beta'), ('size')) v(name), range(0, 500) t(i)")
+def latin_hypercube_strata(spark, sf_dir):
+    """Every one of 500 strata of each parameter holds one point, on the log scale for the second."""
+    import math
+
+    points = grid.latin_hypercube(spark, {"beta": (0.2, 0.7), "size": (1.0, 1000.0)}, 500, 11, log=("size",))
+    part = {"beta": (F.col("beta") - 0.2) / 0.5 * 500, "size": F.log("size") / math.log(1000) * 500}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.floor(v).alias("stratum")) for k, v in part.items()])).alias("x")
+    return points.select(each).groupBy("x.name", "x.stratum").agg(F.count("*").cast("int").alias("n"))
+
+
 @query("synthetic_observations")
 def synthetic_observations(spark, sf_dir):
     paths = simulate.chain_binomial(cells(spark, sf_dir), sir(), 0.0, 60.0, 0.5, every=20)

@@ -138,3 +138,29 @@ def realized_line_list(spark, sf_dir):
     e = events(spark, sf_dir).select((F.col("user_id") % 16).alias("run"), F.col("event_id").alias("step"), F.col("day").cast("double").alias("time"), (F.pmod(F.xxhash64("event_type"), F.lit(3))).cast("long").alias("deme"))
     births = e.withColumn("kind", F.lit("birth")).withColumn("to_deme", F.lit(None).cast("long")).withColumn("weights", F.create_map(F.lit(0).cast("long"), F.lit(1.0), F.lit(1).cast("long"), F.lit(2.0), F.lit(2).cast("long"), F.lit(0.5)))
     return lineage.realize(births, "run", 5)
+
+
+@query(
+    "realized_structure",
+    f"""WITH {EVENTS} SELECT user_id % 16 AS run, count(*) AS births, count(*) FILTER (WHERE event_type = 'purchase') AS moves, count(*) FILTER (WHERE event_type = 'error') AS ends, true AS parents_are_older, true AS nobody_acts_after_the_end, true AS demes_follow FROM ev GROUP BY 1""",
+)
+def realized_structure(spark, sf_dir):
+    """Births, moves and ends of a replayed run: as many of each as were counted, parents born before, and pools that add up."""
+    from pyspark.sql.window import Window as W
+
+    # Every event is a birth, a purchase also a move and an error also an end; births come first, all into one pool, so that
+    # every later event finds somebody.
+    also = F.when(F.col("event_type") == "purchase", "move").when(F.col("event_type") == "error", "end")
+    e = events(spark, sf_dir).select((F.col("user_id") % 16).alias("run"), F.explode(F.array_compact(F.array(F.lit("birth"), also))).alias("kind"), F.col("event_id"))
+    step = F.col("event_id") + F.when(F.col("kind") == "birth", 0).otherwise(10**9)
+    weights = F.create_map(F.lit(0).cast("long"), F.lit(1.0))
+    e = e.select("run", step.cast("long").alias("step"), step.cast("double").alias("time"), "kind", F.lit(0).cast("long").alias("deme"), F.when(F.col("kind") == "move", F.lit(1).cast("long")).alias("to_deme"), weights.alias("weights"))
+    lines = lineage.realize(e, "run", 5)
+    born = lines.where("kind = 'birth'").select("run", F.col("individual").alias("parent"), F.col("step").alias("born"))
+    own = W.partitionBy("run", "individual").orderBy("step")
+    rows = lines.withColumn("_next", F.lead("kind").over(own)).join(born, ["run", "parent"], "left")
+    return rows.groupBy("run").agg(
+        F.count_if(F.col("kind") == "birth").alias("births"), F.count_if(F.col("kind") == "move").alias("moves"), F.count_if(F.col("kind") == "end").alias("ends"),
+        F.bool_and(F.col("parent").isNull() | (F.col("born") < F.col("step"))).alias("parents_are_older"), F.bool_and((F.col("kind") != "end") | F.col("_next").isNull()).alias("nobody_acts_after_the_end"),
+        F.bool_and(F.col("deme") == F.when(F.col("kind") == "move", 1).otherwise(0)).alias("demes_follow"),
+    )
