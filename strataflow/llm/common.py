@@ -65,6 +65,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def filesystem(uri: str):
+    """(file system, path) of a URI of the shared folder, for tasks that read or write files of their own."""
+    import pyarrow.fs as pafs
+
+    # Hadoop's name for S3 is not pyarrow's.
+    return pafs.FileSystem.from_uri("s3" + uri.removeprefix("s3a") if uri.startswith("s3a://") else uri)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path that :func:`scratch_path` gave."""
     jvm = spark.sparkContext._jvm
@@ -106,11 +114,10 @@ def visit_rows(table: Scratch, asks: DataFrame, columns: list[str], visit: Calla
     both = both.repartitionById(files, F.shiftright("_file", ROW_BITS).cast("int")).sortWithinPartitions("_file", F.col("_path").asc_nulls_last(), *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for path, own in _by_file(batches):
-            fs, where = pafs.FileSystem.from_uri(path)
+            fs, where = filesystem(path)
             with fs.open_input_file(where) as f, pq.ParquetFile(f) as file:
                 yield from visit(file.iter_batches(batch_size=512, columns=["_row", *columns]), (b.select(names) for b in own))
                 for _ in own:  # asks that the visitor left

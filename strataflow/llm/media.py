@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from strataflow.llm.common import scratch_path
+from strataflow.llm.common import filesystem, scratch_path
 
 UNIT = 64
 RATE = 8000
@@ -69,15 +69,11 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
-
-
 class _ArchiveWriter:
     """Archives of one attempt of a task; ``done`` has the names and sizes of the whole ones."""
 
     def __init__(self, folder: str, partition: int):
-        self.fs, self.folder = _filesystem(folder)
+        self.fs, self.folder = filesystem(folder)
         self.base, self.zip, self.done = f"part-{partition:06d}-{uuid.uuid4().hex}", None, []
 
     def add(self, name: str, data: bytes) -> None:
@@ -101,7 +97,7 @@ class _ArchiveWriter:
 
 def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Store every row's text as a WAV member of an archive in ``folder``."""
-    fs, path = _filesystem(folder)
+    fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +134,7 @@ class ZipMediaReader(DataSourceReader):
 
     def partitions(self) -> list[ByteRange]:
         """Byte ranges from the archives' names and sizes; no archive is opened here."""
-        fs, path = _filesystem(self.folder)
+        fs, path = filesystem(self.folder)
         if fs.get_file_info(f"{path}/{MANIFEST}").type == pafs.FileType.Directory:
             table = pq.read_table(f"{path}/{MANIFEST}", filesystem=fs)
             archives = [(f"{path}/{a}", n) for a, n in zip(table.column("archive").to_pylist(), table.column("size").to_pylist(), strict=True)]
@@ -181,7 +177,7 @@ class ZipMediaReader(DataSourceReader):
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # what Spark passes where no range was planned
             return
-        fs, _ = _filesystem(self.folder)
+        fs, _ = filesystem(self.folder)
         rows, held = [], 0
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])
         members, error = self._retried(lambda: self._directory(fs, partition.archive))

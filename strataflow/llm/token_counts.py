@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import ROW_BITS, Scratch, large_text, slices, written
+from strataflow.llm.common import ROW_BITS, Scratch, filesystem, large_text, slices, written
 
 #: Pre-tokens of the head, and the bytes of the longest one: the head holds less than HEAD * HEAD_BYTES bytes.
 HEAD = 300_000
@@ -133,11 +133,10 @@ def _summed(path: str, head: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
         from pyspark import TaskContext
 
-        fs, folder = pafs.FileSystem.from_uri(head)
+        fs, folder = filesystem(head)
         table = pq.read_table(folder, filesystem=fs, columns=["token", "pieces"])
         known = table.column("token").cast(pa.large_string()).combine_chunks()
         size = np.append(table.column("pieces").to_numpy(), 0)

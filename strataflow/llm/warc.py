@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm.common import scratch_path, written
+from strataflow.llm.common import filesystem, scratch_path, written
 
 MIN_BYTES = 100
 ARCHIVE_BYTES = 64 << 20
@@ -61,7 +61,7 @@ class _Writer:
     """Archives of one task; each gets its final name when it is whole, and a repeated task replaces it by an equal one."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, self.folder = pafs.FileSystem.from_uri(folder)
+        self.fs, self.folder = filesystem(folder)
         self.name, self.number, self.stream = name, 0, None
 
     def current(self) -> str:
@@ -85,7 +85,7 @@ class _Writer:
 
 def _new_folder(spark: SparkSession, label: str) -> str:
     folder = scratch_path(spark, label)
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     return folder
 
@@ -138,7 +138,7 @@ def _records(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def _archives(spark: SparkSession, folder: str) -> DataFrame:
     """The names of the archives, one partition for each."""
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = filesystem(folder)
     names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".warc.gz"))
     return spark.createDataFrame([(x,) for x in names], "archive string").repartitionByRange(max(1, len(names)), "archive")
 
@@ -154,7 +154,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = filesystem(folder)
         for name in (n for b in batches for n in b.column(0).to_pylist()):
             rows = []
             with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
@@ -205,7 +205,7 @@ def write_deduplicated(spark: SparkSession, source: str, resolved: DataFrame, ta
     """Write the archives of ``source`` anew: what has an original loses its payload and becomes its revisit, with fresh headers."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(source)
+        fs, path = filesystem(source)
         stream, records, out, current, n = None, None, None, None, 0
         for batch in batches:
             for name, offset, original in zip(*[c.to_pylist() for c in batch.columns], strict=True):
