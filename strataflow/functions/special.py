@@ -64,14 +64,14 @@ def normal_quantile(p: Column) -> Column:
 # Coefficients of the rational form of the normal tail (West 2005, after Hart), highest power first.
 TAIL_ABOVE = [3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
 TAIL_BELOW = [8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
-TAIL_SPLIT = 7.07106781186547
+TAIL_SPLIT = 5.0
 
 
 def normal_tail(x: Column) -> Column:
     """Mass of a standard normal above x >= 0: a rational form, and beyond ``TAIL_SPLIT`` a continued fraction."""
     e = F.exp(-x * x / 2)
     far = x + 0.65
-    for k in (4, 3, 2, 1):
+    for k in range(24, 0, -1):
         far = x + k / far
     return F.when(x < TAIL_SPLIT, e * _poly(TAIL_ABOVE, x) / _poly(TAIL_BELOW, x)).otherwise(e / far / math.sqrt(2 * math.pi))
 

@@ -9,6 +9,7 @@ from strataflow.checks import Refused
 from strataflow.functions import arithmetic, calendar, density, expr, forcing, special
 from strataflow.operators import bands, catalog, diagnostics, joins, lineage, reduce, scores, windows
 from strataflow.plans import grid
+from strataflow.sources import sinks
 
 
 def series(spark, values, times=None):
@@ -223,3 +224,65 @@ def test_ess_of_independent_and_sticky_chains(spark):
 def test_newick(spark):
     edges = spark.createDataFrame([(1, None, 0.0), (2, 1, 1.0), (3, 1, 2.0), (4, 2, 3.5)], "child long, parent long, time double")
     assert one(lineage.newick(edges, lineage.with_root(edges)))["newick"] == "((4:2.5)2:1,3:2)1;"
+
+
+def test_more_chains_prefixes_and_rows_than_old_bounds(spark):
+    chains = spark.range(12_000).selectExpr("CAST(id AS INT) AS chain", "id AS x")
+    assert joins.select_chains(chains, drop=[3]).count() == 11_999
+    assert joins.select_chains(chains.unionByName(spark.createDataFrame([(None, 5)], "chain int, x long")), drop=[3]).count() == 12_000
+    assert [r["chain"] for r in joins.select_chains(chains, keep=[11_999]).collect()] == [11_999]
+    with pytest.raises(Refused):
+        joins.select_chains(chains, keep=[12_000])
+    name = "a" * 150
+    prefixes = spark.createDataFrame([(name[:n],) for n in range(1, 151)] + [(name + "b",)], "prefix string")
+    got = catalog.prefix_matches(spark.createDataFrame([(name,)], "run_id string"), prefixes).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"resolved": 150, "unknown": 1}
+    with pytest.raises(Refused):
+        catalog.render(spark.range(11), rows=10)
+    assert len(catalog.render(spark.range(10), "csv", rows=10).split()) == 11
+
+
+def test_newey_west_takes_every_lag(spark):
+    # At 1,330,586 rows the lag passes 32; a series that repeats every 34 steps has products there.
+    n = 1_400_000
+    out = diagnostics.newey_west(spark.range(n).selectExpr("1 AS k", "id AS t", "CAST(IF(id % 34 = 0, 33.0, -1.0) AS DOUBLE) AS v"), ["k"], "t", "v").first()
+    lag = int(4 * (n / 100) ** (2 / 9))
+    assert out["nw_lag"] == lag == 33
+
+    import numpy as np
+
+    v = np.where(np.arange(n) % 34 == 0, 33.0, -1.0)
+    c = v - v.mean()
+    var = (c * c).sum() + sum(2 * (1 - k / (lag + 1)) * (c[k:] * c[:-k]).sum() for k in range(1, lag + 1))
+    assert abs(out["nw_se"] - np.sqrt(max(var, 0.0))) < 1e-6 * np.sqrt((c * c).sum())
+
+
+def test_leaves_are_claimed_by_one_writer(spark, tmp_path):
+    root, df = f"file://{tmp_path}/store", spark.range(3)
+
+    def inner():
+        with pytest.raises(Refused):
+            sinks.content_leaf(spark, root, "sim", {"a": 1}, lambda: df)
+        return df
+
+    assert sinks.content_leaf(spark, root, "sim", {"a": 1}, inner).count() == 3
+    with pytest.raises(ZeroDivisionError):
+        sinks.content_leaf(spark, root, "sim", {"a": 2}, lambda: 1 / 0)
+    # A failed run gives its claim up; one that died leaves it, and another may take over.
+    leaf = f"{tmp_path}/store/kind=sim/{sinks.content_id({'a': 2})}"
+    assert sinks.leaf_state(spark, f"file://{leaf}") == "free"
+    (tmp_path / "store" / "kind=sim" / sinks.content_id({"a": 2}) / "claim").touch()
+    with pytest.raises(Refused):
+        sinks.content_leaf(spark, root, "sim", {"a": 2}, lambda: df)
+    assert sinks.content_leaf(spark, root, "sim", {"a": 2}, lambda: df, take_over=True).count() == 3
+
+
+def test_normal_tails_keep_their_digits(spark):
+    from statistics import NormalDist
+
+    xs = [-9.0, -7.2, -3.3, -0.4, 0.0, 0.7, 2.5, 6.9, 7.5]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", special.normal_cdf(F.col("x")).alias("p"), special.normal_mass(F.col("x"), F.col("x") + 1).alias("m")).collect()
+    for r in got:
+        assert abs(r["p"] - NormalDist().cdf(r["x"])) < 1e-14 + 1e-12 * r["p"]
+        exact = 0.5 * (math.erfc(r["x"] / math.sqrt(2)) - math.erfc((r["x"] + 1) / math.sqrt(2)))
+        assert abs(r["m"] - exact) <= 1e-9 * exact if r["x"] > 0 else abs(r["m"] - exact) < 1e-12
