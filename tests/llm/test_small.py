@@ -560,3 +560,24 @@ def test_line_dedup_odd(spark, odd):
     twice = docs(spark, [(1, PROSE * 4, "en", "s"), (1, PROSE * 4, "en", "s"), (None, PROSE * 4, "en", "s")])
     assert sorted((r["doc_id"] is None, r["n_deleted"]) for r in line_dedup.dedup_lines(twice).collect()) == [(False, 0), (False, 0), (True, 1)]
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_packing_with_more_than_16_bits_of_ids(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    path = f"{tmp_path}/wide.json"
+    made.save(path)
+    assert packing.id_type(made) == "<u4" and not packing.ranks_agree(path)
+    ids = [[69_990 + (i + j) % 10 for j in range(7 + i)] for i in range(20)]
+    rows = [(i, " ".join(f"w{x}" for x in own), "en", "s") for i, own in enumerate(ids)]
+    for r in packing.pack(docs(spark, rows), path, window=16, grain=8).collect():
+        part = [*ids[r["doc_id"]], 0][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part))
+        assert r["doc_tokens"] == len(ids[r["doc_id"]]) + 1
+
+
+def test_ranks_are_used_only_where_both_libraries_agree():
+    assert packing.ranks_agree(token_counts.tokenizer_path("byte_bpe_50k.json"))
+    assert not packing.ranks_agree(token_counts.tokenizer_path("word_bpe_49k.json"))
