@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataflow.llm import langid, license_scan, line_dedup, media, minhash, mixing, packing, quality, token_counts, warc
+from strataflow.llm import infill, langid, license_scan, line_dedup, media, merge_tokens, minhash, mixing, packing, quality, token_counts, vector_codes, warc
 from strataflow.llm.common import load
 
 
@@ -53,6 +53,18 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.col("text").alias("kept_text"))
 
 
+def op11_prefix_table_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_tokens.round_trips(load(spark, sf_dir, "documents"), token_counts.tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_segment_mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed_vectors(load(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infilled_documents(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_media_columns": op2_media_columns,
@@ -64,7 +76,13 @@ QUERIES = {
     "op8_curriculum_mixture": op8_curriculum_mixture,
     "op9_deficit_packing": op9_deficit_packing,
     "op10_line_runs": op10_line_runs,
+    "op11_prefix_table_tokens": op11_prefix_table_tokens,
+    "op12_segment_mean_codes": op12_segment_mean_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_segment_mean_codes": vector_codes.oracle(),
+    "op13_fill_in_middle": infill.ORACLE,
+}
