@@ -3,8 +3,9 @@
 Merging a text and merging any stretch of its result give the same tokens, so every prefix of a text has one encoding, and that
 ends in one token: the only piece ending there that is *compatible* with the last token of the prefix before it, which means
 that merging the two pieces' characters gives these two pieces again.  The table of last tokens is filled in one pass: an
-Aho-Corasick automaton lists the pieces that end at each character, longest first, and the first compatible one is entered.
-Reading the table backwards from the end gives the tokens.  Characters without a piece become the pieces of their bytes.
+Aho-Corasick automaton lists the pieces of several characters that end at each character, longest first, and the first
+compatible one is entered; where none is, the character itself is the token.  Reading the table backwards from the end gives
+the tokens.  Characters without a piece become the pieces of their bytes.
 
 Compatibility is tested by the model's own rule (best score first, then leftmost) on the few characters of the two pieces,
 and remembered.  Where no piece holds a space after another character, nothing merges across the beginning of a word, so the
@@ -60,6 +61,13 @@ class _Fits(dict):
         return fit
 
 
+class _Lone(dict):
+    """The entry of a character by itself: (token, length)."""
+
+    def __missing__(self, char: str) -> tuple[int, int]:
+        return -1 - ord(char), 1
+
+
 class PrefixTable:
     """The encoder; texts are given with their spaces written as ``▁``."""
 
@@ -80,7 +88,9 @@ class PrefixTable:
         self.word = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
         for i, name in self.names.items():
-            self.automaton.add_word(name, (i, len(name)))
+            if len(name) > 1:
+                self.automaton.add_word(name, (i, len(name)))
+        self.lone = _Lone({name: (i, 1) for i, name in self.names.items() if len(name) == 1})
         self.automaton.make_automaton()
         #: What stands before the first token: a number that no token has.
         self.start = (len(ids), 0)
@@ -113,20 +123,13 @@ class PrefixTable:
         return symbols
 
     def ids(self, word: str) -> list[int]:
-        last: list = [self.start, *[None] * len(word)]
+        last: list = [self.start, *map(self.lone.__getitem__, word)]
         fits, base, filled = self.fits, self.start[0], 0
         for end, entry in self.automaton.iter(word):
-            if filled > end:
-                continue
-            while filled < end:  # characters at which no piece ends
-                filled += 1
-                last[filled] = (-1 - ord(word[filled - 1]), 1)
-            if fits[last[end + 1 - entry[1]][0] * base + entry[0]]:
-                filled += 1
+            # The first fit at a character is the only one; where no longer piece fits, its own entry stands there already.
+            if filled <= end and fits[last[end + 1 - entry[1]][0] * base + entry[0]]:
+                filled = end + 1
                 last[filled] = entry
-        while filled < len(word):
-            filled += 1
-            last[filled] = (-1 - ord(word[filled - 1]), 1)
         out, at = [], len(word)
         while at:
             token, length = last[at]
@@ -202,11 +205,17 @@ def decode_ids(encoded: DataFrame, model: str, ids_col: str = "ids", out_col: st
     schema = _with(encoded, out_col, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow.compute as pc
+
         sp = _table(model).sp
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [sp.decode(row) if row else "" for row in part.column(ids_col).to_pylist()]
+                ids = part.column(ids_col)
+                flat, size = ids.flatten().to_numpy().tolist(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+                ends = np.cumsum(size)
+                texts = [sp.decode(flat[a:b]) if b > a else "" for a, b in zip(ends - size, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
