@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def sinusoid(t: Column, base: float, amplitude: float, period: float, phase: float = 0.0) -> Column:
@@ -155,19 +154,23 @@ def on_ranges(t: Column, period: float, ranges: Sequence[tuple[float, float]]) -
 def join_series(points: DataFrame, knots: DataFrame, by: list[str], kind: str = "linear") -> DataFrame:
     """Adds ``value`` at each point's ``t`` from rows (by, time, value) of knots: one series per stratum.
 
-    Knots become half-open spans by a window, points and knots are merged in time order, and each point takes the span
-    that is open there: one shuffle by stratum, whatever the number of knots.
+    Knots become half-open spans, points and knots are merged in time order, and each point takes the span that is open there,
+    by scans in which one stratum may hold most of the rows.  A stratum without knots fails the job.
     """
-    after = W.partitionBy(*by).orderBy("time")
-    spans = knots.select(*by, F.col("time").alias("t"), F.struct(F.col("time").alias("t0"), F.col("value").alias("v0"), F.lead("time").over(after).alias("t1"), F.lead("value").over(after).alias("v1"), (F.row_number().over(after) == 1).alias("first")).alias("span"))
-    extra = [c for c in points.columns if c not in (*by, "t")]
-    rows = points.withColumn("span", F.lit(None).cast(spans.schema["span"].dataType)).withColumn("_k", F.lit(1))
-    marks = spans.select(*by, "t", *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra], "span", F.lit(0).alias("_k"))
-    order = W.partitionBy(*by).orderBy("t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    merged = rows.select(*by, "t", *extra, "span", "_k").unionByName(marks)
-    merged = merged.withColumn("open", F.last("span", ignorenulls=True).over(order)).withColumn("low", F.max(F.when(F.col("span.first"), F.col("span"))).over(whole))
-    s = F.coalesce("open", "low")
-    along = s["v0"] + (F.col("t") - s["t0"]) * F.try_divide(s["v1"] - s["v0"], s["t1"] - s["t0"])
-    value = F.when((F.col("t") <= s["t0"]) | s["t1"].isNull(), s["v0"]).otherwise(along) if kind == "linear" else s["v0"]
-    return merged.where("_k = 1").withColumn("value", value).drop("span", "_k", "open", "low")
+    from strataflow.operators.scan import scanned
+
+    known = scanned(knots.select(*by, "time", F.col("value").cast("double").alias("value"), F.struct("time", "value").alias("_at")), by, [F.col("time").desc()], {"_next": ("before", "_at")})
+    span = F.struct(F.col("time").alias("t0"), F.col("value").alias("v0"), F.col("_next.time").alias("t1"), F.col("_next.value").cast("double").alias("v1"))
+    marks = known.select(*by, F.col("time").alias("t"), F.lit(0).alias("_k"), span.alias("_span"))
+    # Before its first knot, a series has that knot's value.
+    first = known.groupBy(*by).agg(F.min("time").alias("t0"), F.min_by("value", "time").alias("v0"))
+    held = F.struct("t0", "v0", F.lit(None).cast(marks.schema["_span"].dataType["t1"].dataType).alias("t1"), F.lit(None).cast("double").alias("v1"))
+    low = first.select(*by, F.lit(None).cast(marks.schema["t"].dataType).alias("t"), F.lit(-1).alias("_k"), held.alias("_span"))
+    asked = points.select(*by, "t", F.lit(1).alias("_k"), F.lit(None).cast(marks.schema["_span"].dataType).alias("_span"), F.struct(*points.columns).alias("_row"))
+    both = marks.unionByName(low).withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).unionByName(asked)
+    both = scanned(both, by, [F.col("t").asc_nulls_first(), F.col("_k").asc()], {"_open": ("last", "_span")}).where(F.col("_row").isNotNull())
+    s, t = F.col("_open"), F.col("_row.t")
+    along = s["v0"] + (t - s["t0"]) * F.try_divide(s["v1"] - s["v0"], s["t1"] - s["t0"])
+    value = F.when((t <= s["t0"]) | s["t1"].isNull(), s["v0"]).otherwise(along) if kind == "linear" else s["v0"]
+    lost = F.raise_error(F.concat(F.lit("a stratum without knots: "), F.to_json(F.struct(*by) if by else F.struct(F.lit(0))))).cast("double")
+    return both.select("_row.*", F.when(s.isNull(), lost).when(t.isNotNull(), value).alias("value"))

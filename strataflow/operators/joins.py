@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataflow.checks import Refused, refuse_any
+from strataflow.operators.scan import scanned
 
 
 def levels(df: DataFrame, column: str, row_id: str) -> DataFrame:
@@ -59,33 +60,37 @@ def consecutive(dim: DataFrame) -> DataFrame:
 def as_of(points: DataFrame, series: DataFrame, by: list[str], at: str, time: str, value: str, censor_after_end: bool = True) -> DataFrame:
     """Adds ``value`` of the last series row at or before each point; missing before the first row and after the last.
 
-    Both sides are merged and one window carries the last value on, so there is one shuffle and no range join.
+    Both sides are merged and one scan carries the last value on, so there is no range join, and one key may hold most of the
+    rows.  Of rows of one time the greatest value counts; a point without a time has none.
     """
-    extra = [c for c in points.columns if c not in by and c != at]
-    known = series.groupBy(*by, F.col(time).alias("_t")).agg(F.max(value).alias("_v"))
-    marks = known.select(*by, F.col("_t"), F.lit(0).alias("_k"), F.struct("_v").alias("_s"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
-    asked = points.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), *extra)
-    upto = W.partitionBy(*by).orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    out = marks.unionByName(asked).withColumn("_v", F.last("_s", ignorenulls=True).over(upto)["_v"])
-    out = out.withColumn("_end", F.max(F.when(F.col("_k") == 0, F.col("_t"))).over(whole))
-    kept = F.when(F.col("_t") <= F.col("_end"), F.col("_v")) if censor_after_end else F.col("_v")
-    return out.where("_k = 1").select(*by, F.col("_t").alias(at), *extra, kept.alias(value))
+    known = series.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.max(value).alias("_v"))
+    marks = known.select(*by, "_t", F.lit(0).alias("_k"), F.struct("_v", F.lit(False).alias("over")).alias("_s"))
+    if censor_after_end:
+        # What comes after the points of the last time ends the series.
+        ends = known.groupBy(*by).agg(F.max("_t").alias("_t"))
+        marks = marks.unionByName(ends.select(*by, "_t", F.lit(2).alias("_k"), F.struct(F.lit(None).cast(known.schema["_v"].dataType).alias("_v"), F.lit(True).alias("over")).alias("_s")))
+    return _read(points, marks, by, F.col(at), lambda s: F.when(~s["over"], s["_v"]), value)
 
 
 def nearest(points: DataFrame, series: DataFrame, by: list[str], at: str, time: str, value: str) -> DataFrame:
-    """Adds ``value`` of the nearest series row; of two as near, the earlier one."""
-    known = series.groupBy(*by, F.col(time).alias("_t")).agg(F.max(value).alias("_v"))
-    extra = [c for c in points.columns if c not in by and c != at]
-    marks = known.select(*by, "_t", F.struct("_t", "_v").alias("_s"), F.lit(0).alias("_k"), *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in extra])
-    asked = points.select(*by, F.col(at).alias("_t"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_k"), *extra)
-    order = W.partitionBy(*by).orderBy("_t", "_k")
-    both = marks.unionByName(asked)
-    both = both.withColumn("_before", F.last("_s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_s", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing)))
-    b, a = F.col("_before"), F.col("_after")
-    take_before = a.isNull() | (F.col("_t") - b["_t"] <= a["_t"] - F.col("_t"))
-    return both.where("_k = 1").select(*by, F.col("_t").alias(at), *extra, F.when(b.isNotNull() & take_before, b["_v"]).otherwise(a["_v"]).alias(value))
+    """Adds ``value`` of the nearest series row; of two as near, the earlier one.
+
+    A row is the nearest one after the middle between it and the row before it.  Times are doubled, so that middles of whole
+    numbers are whole numbers.
+    """
+    known = series.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.max(value).alias("_v"))
+    known = scanned(known, by, [F.col("_t").asc()], {"_prev": ("before", "_t")})
+    marks = known.select(*by, (F.col("_prev") + F.col("_t")).alias("_t"), F.lit(1).alias("_k"), F.struct("_v").alias("_s"))
+    return _read(points, marks, by, 2 * F.col(at), lambda s: s["_v"], value, point=0)
+
+
+def _read(points: DataFrame, marks: DataFrame, by: list[str], at: Column, value, out: str, point: int = 1) -> DataFrame:
+    """Points with what the last mark (by, _t, _k, _s) before them says; marks without a time are the first."""
+    row = F.struct(*points.columns)
+    asked = points.select(*by, at.alias("_t"), F.lit(point).alias("_k"), F.lit(None).cast(marks.schema["_s"].dataType).alias("_s"), row.alias("_row"))
+    both = marks.withColumn("_row", F.lit(None).cast(asked.schema["_row"].dataType)).select(asked.columns).unionByName(asked)
+    both = scanned(both, by, [F.col("_t").asc_nulls_first(), F.col("_k").asc()], {"_open": ("last", "_s")}).where(F.col("_row").isNotNull())
+    return both.select("_row.*", F.when(F.col("_t").isNotNull(), value(F.col("_open"))).alias(out))
 
 
 def at_same_time(left: DataFrame, right: DataFrame, by: list[str], time: str, tolerance: float = 1e-9) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.checks import refuse_any
 from strataflow.operators.joins import parent_edges
+from strataflow.operators.scan import scanned
 from strataflow.operators.scratch import cut
 from strataflow.operators.windows import cohort_bins
 
@@ -142,8 +143,9 @@ def cross_deme_fraction(rows: DataFrame, deme: str, parent_deme: str) -> DataFra
 
 def migrations(rows: DataFrame, individual: str, time: str, deme: str) -> DataFrame:
     """One row per change of deme, with the deme before it."""
-    order = W.partitionBy(individual).orderBy(time)
-    return rows.withColumn("from_deme", F.lag(deme).over(order)).where(F.col("from_deme") != F.col(deme)).select(individual, time, "from_deme", F.col(deme).alias("to_deme"))
+    moved = scanned(rows.select(individual, time, F.struct(deme).alias("_d")), [individual], [F.col(time).asc()], {"_from": ("before", "_d")})
+    before, now = F.col("_from").getField(deme), F.col("_d").getField(deme)
+    return moved.where(before != now).select(individual, time, before.alias("from_deme"), now.alias("to_deme"))
 
 
 def deme_at(rows: DataFrame, individual: str, time: str, deme: str, at: float) -> DataFrame:
@@ -171,12 +173,13 @@ def sample(rows: DataFrame, individual: str, seed: int, rate: float | None = Non
 def sojourns(rows: DataFrame, individual: str, time: str, kind: Column) -> DataFrame:
     """Stays: each first unmatched entry is paired with the next exit; a stay without exit is right-censored.
 
-    ``kind`` is 1 for an entry, -1 for an exit, else 0 or null.  Exits without an entry are ignored.
+    ``kind`` is 1 for an entry, -1 for an exit, else 0 or null.  Exits without an entry are ignored.  One individual may have
+    most of the rows.
     """
-    order = W.partitionBy(individual).orderBy(time)
-    seen = rows.withColumn("_k", kind).where("_k in (1, -1)").withColumn("_prev", F.lag("_k").over(order))
+    seen = scanned(rows.select(individual, time, kind.alias("_k")).where("_k in (1, -1)"), [individual], [F.col(time).asc()], {"_prev": ("before", "_k")})
     # Entries that follow an entry and exits that follow no entry change nothing.
-    turns = seen.where("(_k = 1 and coalesce(_prev, -1) = -1) or (_k = -1 and _prev = 1)").withColumn("out_time", F.lead(time).over(order))
+    turns = seen.where("(_k = 1 and coalesce(_prev, -1) = -1) or (_k = -1 and _prev = 1)")
+    turns = scanned(turns, [individual], [F.col(time).desc()], {"out_time": ("before", time)})
     stays = turns.where("_k = 1").select(individual, F.col(time).alias("in_time"), "out_time")
     return stays.withColumn("dwell", F.col("out_time") - F.col("in_time")).withColumn("censored", F.col("out_time").isNull())
 

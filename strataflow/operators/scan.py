@@ -1,8 +1,8 @@
 """Segmented scans over groups of any size: the last value, the value before, and running sums, in an order.
 
 Rows are sorted by range of (group, order) over all tasks, so a group with most of the rows spans many of them.  Each task
-streams its rows once and scans them by itself; one row per task tells what its last group ends with, the driver carries these
-few rows over the tasks' borders, and rows of a task's first group take on what came before.  Memory of a task does not grow
+streams its rows once and scans them by itself; one more row per task tells what its last group ends with, the driver carries
+these few rows over the tasks' borders, and rows of a task's first group take on what came before.  Memory of a task does not grow
 with its groups, unlike a window's.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from strataflow.operators.scratch import cut
 
@@ -29,7 +29,7 @@ def _scan(plan: list[tuple[str, str, str]], names: list[str]):
         import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        task, seen, key, alone, state = TaskContext.get().partitionId(), 0, None, True, {}
+        task, key, first, alone, state, kinds = TaskContext.get().partitionId(), None, None, True, {}, []
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -39,6 +39,7 @@ def _scan(plan: list[tuple[str, str, str]], names: list[str]):
             fresh[1:] = (g[0][1:] != g[0][:-1]) | (g[1][1:] != g[1][:-1])
             # The task's first row may go on with the group of the task before.
             fresh[0] = key is not None and key != (g[0][0], g[1][0])
+            first = first or (g[0][0], g[1][0])
             place = np.arange(n)
             begun = np.maximum.accumulate(np.where(fresh, place, -1))  # -1: before this batch
             head = (begun < 0) & alone
@@ -64,9 +65,15 @@ def _scan(plan: list[tuple[str, str, str]], names: list[str]):
                 state[out] = values.slice(end, 1) if end >= 0 else (pa.nulls(1, values.type) if begun[-1] >= 0 else source.slice(0, 1))
             alone = alone and begun[-1] < 0
             key = (g[0][-1], g[1][-1])
-            own = [pa.array(np.full(n, task, np.int32)), pa.array(place + seen), pa.array(head)]
-            seen += n
+            kinds = [c.type for c in batch.columns]
+            own = [pa.array(np.full(n, task, np.int32)), pa.array(head), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found, *own], names=names)
+        if key is not None:
+            # The task's last row is no row of the table: it tells the first group, the last one, and what that ends with.
+            ends = [pa.array([state[out]], values) if kind == "sum" else state[out] for (out, kind, column), values in zip(plan, [kinds[names.index(c)] for _, _, c in plan], strict=True)]
+            empty = [pa.array([key[_OWN.index(c)]], t) if c in _OWN else pa.nulls(1, t) for c, t in zip(names, kinds, strict=False)]
+            own = [pa.array([task], pa.int32()), pa.array([alone]), pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, *ends, *own], names=names)
 
     return run
 
@@ -89,31 +96,28 @@ def scanned(df: DataFrame, by: Sequence[str], order: Sequence[Column], scans: di
     for _, column in scans.values():
         if ranged.schema[column].dataType.simpleString() in ("int", "smallint", "tinyint"):
             ranged = ranged.withColumn(column, F.col(column).cast("long")) if any(k == "sum" and c == column for k, c in scans.values()) else ranged
-    schema = StructType([*ranged.schema.fields])
+    schema = StructType([StructField(f.name, f.dataType) for f in ranged.schema])
     for out, (kind, column) in scans.items():
         if kind == "sum" and not isinstance(ranged.schema[column].dataType, LongType | DoubleType):
             raise ValueError(f"{column} must hold whole numbers or doubles to be summed")
         schema = schema.add(out, ranged.schema[column].dataType)
-    schema = schema.add("_task", IntegerType()).add("_n", LongType()).add("_head", BooleanType())
+    schema = schema.add("_task", IntegerType()).add("_head", BooleanType()).add("_f1", LongType()).add("_f2", LongType())
     plan = [(out, kind, column) for out, (kind, column) in scans.items()]
     table = cut(ranged.mapInArrow(_scan(plan, schema.names), schema))
-    # What each task's last group ends with, the last row's own value included.
-    ends = [F.coalesce(F.col(column), F.col(out)).alias(out) if kind == "before" else F.col(out) for out, kind, column in plan]
-    key = F.struct(*_OWN)
-    found = table.groupBy("_task").agg(F.min_by(key, "_n").alias("first"), F.max_by(F.struct(key.alias("key"), "_head", *ends), "_n").alias("end")).orderBy("_task").collect()
+    found = table.where(F.col("_f1").isNotNull()).select("_task", "_head", *_OWN, "_f1", "_f2", *scans).collect()  # a row per task
     carried, open_key, state = [], None, {}
-    for r in found:
-        now = state if r["first"] == open_key else {}
+    for r in sorted(found, key=lambda r: r["_task"]):
+        now = state if (r["_f1"], r["_f2"]) == open_key else {}
         carried.append((r["_task"], *[now.get(out) for out, _, _ in plan]))
         state = {}
         for out, kind, _ in plan:
-            end, before = r["end"][out], now.get(out) if r["end"]["_head"] else None
+            end, before = r[out], now.get(out) if r["_head"] else None
             state[out] = (end + (before or 0)) if kind == "sum" else before if end is None else end
-        open_key = r["end"]["key"]
+        open_key = (r["_g1"], r["_g2"])
     kinds = StructType().add("_task", IntegerType())
     for out, _, column in plan:
         kinds = kinds.add(f"_c_{out}", schema[out].dataType)
-    joined = table.join(F.broadcast(spark.createDataFrame(carried, kinds)), "_task")  # a row per task
+    joined = table.where(F.col("_f1").isNull()).join(F.broadcast(spark.createDataFrame(carried, kinds)), "_task")  # a row per task
     for out, kind, _ in plan:
         add = F.when(F.col("_head"), F.col(f"_c_{out}"))
         joined = joined.withColumn(out, F.col(out) + F.coalesce(add, F.lit(0).cast(schema[out].dataType)) if kind == "sum" else F.coalesce(F.col(out), add))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strataflow.operators.scan import scanned
+
 FORMS = ("day", "starting_on", "ending_on", "closing_at")
 
 
@@ -46,6 +50,29 @@ def window_sums(flows: DataFrame, windows: DataFrame, by: list[str], time: str,
     return rows.join(found, on, "left").select(*[rows[c] for c in by], "start", "stop", *sums)
 
 
+def interval_sums(flows: DataFrame, windows: DataFrame, by: list[str], time: str, values: dict[str, str], count: str = "n") -> DataFrame:
+    """Number of flows and sums of their values over each window, by two reads of running sums, whatever a window's width.
+
+    Flows are summed per time first; then flows and window bounds are merged in time order, and one scan gives the sum of all
+    flows before each bound.  Windows without flows have the count 0, and a sum without values is null.  Sums of whole numbers
+    are exact; those of doubles are off by rounding of the running sum.
+    """
+    names = list(values)
+    kind = {out: "long" if flows.schema[column].dataType.typeName() in ("byte", "short", "integer", "long") else "double" for out, column in values.items()}
+    sums = [x for out in names for x in (F.sum(F.col(values[out]).cast(kind[out])).alias(f"_v_{out}"), F.count(values[out]).alias(f"_c_{out}"))]
+    cells = flows.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_t")).agg(F.count("*").alias("_c"), *sums)
+    added = [c for c in cells.columns if c.startswith(("_v_", "_c_"))] + ["_c"]
+    rows = windows.select(*by, "start", "stop").distinct()
+    bound = F.explode(F.array(F.struct(F.col("start").alias("_t"), F.lit(-1).alias("_sign")), F.struct(F.col("stop").alias("_t"), F.lit(1).alias("_sign"))))
+    bounds = rows.select(*by, "start", "stop", bound.alias("_b")).select(*by, "start", "stop", "_b._t", "_b._sign", *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in added])
+    cells = cells.select(*by, *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("start", "stop")], "_t", F.lit(None).cast("int").alias("_sign"), *added)
+    # At one time, bounds come before flows: a window holds its start and not its stop.
+    order = [F.col("_t").asc(), F.col("_sign").isNull().asc()]
+    upto = scanned(bounds.unionByName(cells), by, order, {f"_s{c}": ("sum", c) for c in added}).where(F.col("_sign").isNotNull())
+    found = upto.groupBy(*by, "start", "stop").agg(*[F.sum(F.col("_sign") * F.col(f"_s{c}")).alias(c) for c in added])
+    return found.select(*by, "start", "stop", F.col("_c").alias(count), *[F.when(F.col(f"_c_{out}") > 0, F.col(f"_v_{out}")).alias(out) for out in names])
+
+
 def ratio(a: Column, b: Column) -> Column:
     """Ratio of two sums; missing where the denominator is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -82,17 +109,25 @@ def cohort_bins(df: DataFrame, by: list[str], time: str, width: float, from_zero
 
 
 def trailing(df: DataFrame, by: list[str], tick: str, width: int, value: str) -> DataFrame:
-    """Sum, mean, max and latest over (now - width, now]; ``tick`` is a whole number.  A window without values gives 0."""
-    w = W.partitionBy(*by).orderBy(tick).rangeBetween(-width + 1, 0)
+    """Sum, mean, max and latest over (now - width, now]; ``tick`` is a whole number.  A window without values gives 0.
+
+    Series are cut into blocks of ``width`` ticks, and every row goes to its own block and, for the windows that reach back, to
+    the next one.  So one long series is spread over its blocks.
+    """
+    block = F.floor(F.col(tick) / width)
+    both = df.withColumn("_block", F.explode(F.array(block, block + 1)))
+    w = W.partitionBy(*by, "_block").orderBy(tick).rangeBetween(-width + 1, 0)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return df.withColumns({"w_sum": zero(F.sum(value).over(w)), "w_mean": zero(F.avg(value).over(w)), "w_max": zero(F.max(value).over(w)), "w_latest": zero(F.last(value, ignorenulls=True).over(w))})
+    out = both.withColumns({"w_sum": zero(F.sum(value).over(w)), "w_mean": zero(F.avg(value).over(w)), "w_max": zero(F.max(value).over(w)), "w_latest": zero(F.last(value, ignorenulls=True).over(w))})
+    return out.where(F.col("_block") == block).drop("_block")
 
 
 def tenths(df: DataFrame, by: list[str], order: str, parts: int = 10) -> DataFrame:
     """Adds ``part``: the tenth of its series that a row lies in, by position."""
-    n = F.count("*").over(W.partitionBy(*by))
-    i = F.row_number().over(W.partitionBy(*by).orderBy(order)) - 1
-    return df.withColumn("part", F.floor(parts * i / n).cast("int"))
+    n = df.groupBy(*by).agg(F.count("*").alias("_all"))
+    placed = scanned(df.withColumn("_one", F.lit(1).cast("long")), by, [F.col(order).asc()], {"_i": ("sum", "_one")})
+    same = functools.reduce(lambda a, b: a & b, [placed[c].eqNullSafe(n[c]) for c in by], F.lit(True))
+    return placed.join(n, same).select(*[placed[c] for c in df.columns], F.floor(parts * (F.col("_i") - 1) / F.col("_all")).cast("int").alias("part"))
 
 
 def emission_times(cells: DataFrame, start: str, stop: str, every: float) -> DataFrame:

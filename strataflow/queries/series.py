@@ -41,8 +41,7 @@ def _window_query(form: str, width: int):
         labels = e.select("event_type", "day").distinct()
         w = windows.label_window(labels, "day", form, width, 1)
         w = w.select("event_type", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
-        out = windows.window_sums(e, w, ["event_type"], "day", {"n": F.count("*"), "total": F.sum("value")}, float(width))
-        return rounded(out.withColumn("n", F.coalesce("n", F.lit(0))), 4)
+        return rounded(windows.interval_sums(e, w, ["event_type"], "day", {"total": "value"}), 4)
 
 
 for _form in windows.FORMS:
