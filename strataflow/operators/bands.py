@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.checks import refuse_any
 from strataflow.functions.arithmetic import finite
-from strataflow.operators.order import interpolated, ordered_counts
+from strataflow.operators.order import interpolated, joined_by, ordered_counts
 
 #: Fixed levels of a band.
 LEVELS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -50,9 +50,9 @@ def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, le
 
 def from_log_weights(df: DataFrame, by: list[str], log_weight: str) -> DataFrame:
     """Adds ``weight``: weights scaled to sum to 1 within the group, without overflow."""
-    top = F.max(log_weight).over(W.partitionBy(*by))
-    raw = df.withColumn("_w", F.exp(F.col(log_weight) - top))
-    return raw.withColumn("weight", F.try_divide(F.col("_w"), F.sum("_w").over(W.partitionBy(*by)))).drop("_w")
+    top = df.groupBy(*by).agg(F.max(log_weight).alias("_top"))
+    raw = joined_by(df, top, by).withColumn("_w", F.exp(F.col(log_weight) - F.col("_top")))
+    return joined_by(raw, raw.groupBy(*by).agg(F.sum("_w").alias("_all")), by).withColumn("weight", F.try_divide(F.col("_w"), F.col("_all"))).drop("_w", "_top", "_all")
 
 
 def log_mean_exp(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -61,9 +61,8 @@ def log_mean_exp(df: DataFrame, by: list[str], value: str) -> DataFrame:
     One value stands for itself and has error 0, whatever it is.  Among several a NaN gives NaN; plus infinity gives plus
     infinity, and minus infinity alone itself, both with error NaN.
     """
-    top = F.max(value).over(W.partitionBy(*by))
     ends = [float("-inf"), float("inf")]
-    rows = df.withColumn("_top", top).withColumn("_e", F.when(F.col("_top").isin(ends), F.lit(0.0)).otherwise(F.exp(F.col(value) - F.col("_top"))))
+    rows = joined_by(df, df.groupBy(*by).agg(F.max(value).alias("_top")), by).withColumn("_e", F.when(F.col("_top").isin(ends), F.lit(0.0)).otherwise(F.exp(F.col(value) - F.col("_top"))))
     n, s = F.count(value), F.sum("_e")
     out = rows.groupBy(*by).agg(n.alias("n"), F.max("_top").alias("_m"), s.alias("_s"), F.stddev_samp("_e").alias("_sd"))
     none = F.col("_m").isin(ends)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.functions.arithmetic import finite
 from strataflow.functions.special import normal_cdf, normal_quantile
-from strataflow.operators.order import interpolated, ordered_counts
+from strataflow.operators.order import interpolated, joined_by, numbered_within, ordered_counts
 
 # Bands of R-hat, evidence steps in decibans, and their labels.
 RHAT_STEPS = (1.05, 1.1, 1.5)
@@ -20,21 +20,26 @@ EVIDENCE_TOP = "overwhelming"
 DECIBANS = 10 / math.log(10)
 
 
+def chain_halves(df: DataFrame, by: list[str], chain: str, order: str) -> DataFrame:
+    """Adds ``half`` (0 or 1); null for the middle draw of a chain of odd length."""
+    h = F.floor(F.col("_n") / 2)
+    rows = numbered_within(df, [*by, chain], order, "_i", "_n")
+    return rows.withColumn("half", F.when(F.col("_i") <= h, 0).when(F.col("_i") > F.col("_n") - h, 1)).drop("_i", "_n")
+
+
 def split_chains(df: DataFrame, by: list[str], chain: str, order: str) -> DataFrame:
     """Adds ``half`` (0 or 1); the middle draw of a chain of odd length goes."""
-    i = F.row_number().over(W.partitionBy(*by, chain).orderBy(order))
-    n = F.count("*").over(W.partitionBy(*by, chain))
-    h = F.floor(F.col("_n") / 2)
-    rows = df.withColumn("_i", i).withColumn("_n", n)
-    rows = rows.withColumn("half", F.when(F.col("_i") <= h, 0).when(F.col("_i") > F.col("_n") - h, 1))
-    return rows.where("half is not null").drop("_i", "_n")
+    return chain_halves(df, by, chain, order).where("half is not null")
+
+
+def _scored(counts: DataFrame, out: str):
+    rank = F.col("_upto") - (F.col("_ties") - 1) / 2
+    return counts.where("_c > 0").withColumn(out, normal_quantile((rank - 0.375) / (F.col("_total") + 0.25))).withColumnRenamed("_c", "count")
 
 
 def rank_scores(df: DataFrame, by: list[str], value: str, out: str = "z", also: Sequence[str] = ()) -> DataFrame:
     """(by, also, value, count, score) of the distinct values: normal scores of pooled average ranks, (r - 3/8) / (S + 1/4)."""
-    rows = ordered_counts(df, by, value, also=also)
-    rank = F.col("_upto") - (F.col("_ties") - 1) / 2
-    return rows.select(*by, *also, value, F.col("_c").alias("count"), normal_quantile((rank - 0.375) / (F.col("_total") + 0.25)).alias(out))
+    return _scored(ordered_counts(df, by, value, also=also), out).select(*by, *also, value, "count", out)
 
 
 def basic_rhat(df: DataFrame, by: list[str], chain: list[str], value: str, out: str = "rhat", count: str | None = None) -> DataFrame:
@@ -58,14 +63,15 @@ def basic_rhat(df: DataFrame, by: list[str], chain: list[str], value: str, out:
 
 def rank_rhat(df: DataFrame, by: list[str], chain: str, order: str, value: str) -> DataFrame:
     """rhat_bulk, rhat_folded and their maximum from split chains."""
-    split = split_chains(df, by, chain, order)
+    draws = chain_halves(df.select(*by, chain, order, value), by, chain, order)
     sides = [chain, "half"]
-    bulk = basic_rhat(rank_scores(split, by, value, also=sides), by, sides, "z", "rhat_bulk", "count")
+    counts = ordered_counts(draws, by, value, also=sides, kept=F.col("half").isNotNull())
+    bulk = basic_rhat(_scored(counts, "z"), by, sides, "z", "rhat_bulk", "count")
     # Folding looks at all draws, the middle ones too.
-    centre = ordered_counts(df, by, value).groupBy(*by).agg(interpolated(0.5, value).alias("_med"))
-    folded = split.join(centre, by).withColumn("_f", F.abs(F.col(value) - F.col("_med")))
+    centre = counts.groupBy(*by).agg(interpolated(0.5, value, "_all").alias("_med"))
+    folded = joined_by(draws.where("half is not null"), centre, by).withColumn("_f", F.abs(F.col(value) - F.col("_med")))
     folded = basic_rhat(rank_scores(folded, by, "_f", also=sides), by, sides, "z", "rhat_folded", "count")
-    both = bulk.join(folded, by)
+    both = joined_by(bulk, folded, by)
     worse = F.when(F.isnan("rhat_bulk") | F.isnan("rhat_folded"), float("nan")).otherwise(F.greatest("rhat_bulk", "rhat_folded"))
     return both.withColumn("rhat", worse)
 

@@ -1,46 +1,69 @@
 """Order statistics of groups of any size.
 
-Values are counted first, so that equal ones travel once.  The distinct values of a group are dealt into slots by approximate
-quantiles, sums per slot give what lies below each slot, and only the values of one slot are sorted together.  A group with
-most of the rows is so spread over ``SLOTS`` tasks.
+Values are counted first, so that equal ones travel once.  One scan by range sums the counts in order of the value, so a group
+with most of the rows is spread over many tasks, and its written result serves all that is read off it.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SLOTS = 64
+from strataflow.operators.scan import scanned
 
 
-def ordered_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, also: Sequence[str] = ()) -> DataFrame:
+def joined_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys in which null equals null; the right side's other columns are added."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True))
+    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+
+
+def numbered_within(df: DataFrame, by: Sequence[str], order: str, number: str, size: str) -> DataFrame:
+    """Adds each row's ``number`` in its group, from 1, and the group's ``size``."""
+    placed = scanned(df.withColumn("_one", F.lit(1).cast("long")), by, [F.col(order).asc()], {number: ("sum", "_one")}).drop("_one")
+    return joined_by(placed, placed.groupBy(*by).agg(F.count("*").alias(size)), by)
+
+
+def ordered_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, also: Sequence[str] = (), kept: Column | None = None) -> DataFrame:
     """One row per distinct (by, also, value), with sums over the whole group ``by``:
 
     ``_c``: its rows (or weight), ``_all``: its rows with nulls counted, ``_upto``: what is at or below the value, ``_ties``:
-    what has the value, ``_total``: all of the group.  A null value counts in ``_all`` alone.
+    what has the value, ``_total``: all of the group.  A null value counts in ``_all`` alone, and so do rows that are not
+    ``kept``; with ``kept``, ``_upto_all`` and ``_total_all`` are the sums over all rows with a value.  A value has as many
+    rows as there are different ``also``.
     """
-    c = F.count(value) if weight is None else F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col(weight))), F.lit(0.0))
+    live = F.col(value).isNotNull() if kept is None else F.col(value).isNotNull() & kept
+    c = F.count(F.when(live, 1)) if weight is None else F.coalesce(F.sum(F.when(live, F.col(weight).cast("double"))), F.lit(0.0))
     rows = df.groupBy(*by, *also, value).agg(c.alias("_c"), F.count("*").alias("_all"))
-    # Groups by a text key that is never null, so that joins and windows share their partitioning.
-    rows = rows.withColumn("_k", F.to_json(F.struct(*by)) if by else F.lit(""))
-    cuts = F.array(*[F.lit(i / SLOTS) for i in range(1, SLOTS)])
-    bounds = rows.groupBy("_k").agg(F.percentile_approx(value, cuts, F.lit(1000)).alias("_bounds"))
-    slot = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(value))), F.lit(0))
-    rows = rows.join(bounds, "_k").withColumn("_slot", slot).drop("_bounds")
-    sums = rows.groupBy("_k", "_slot").agg(F.sum("_c").alias("_s"))
-    sums = sums.withColumn("_below", F.sum("_s").over(W.partitionBy("_k").orderBy("_slot")) - F.col("_s")).withColumn("_total", F.sum("_s").over(W.partitionBy("_k"))).drop("_s")
-    order = W.partitionBy("_k", "_slot").orderBy(value)
-    rows = rows.join(sums, ["_k", "_slot"])
-    rows = rows.withColumn("_upto", F.col("_below") + F.sum("_c").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))).withColumn("_ties", F.sum("_c").over(order.rangeBetween(W.currentRow, W.currentRow)))
-    return rows.drop("_k", "_slot", "_below")
-
-
-def interpolated(p: float, value: str):
-    """Aggregate over :func:`ordered_counts`: the quantile between the two values around the place (n - 1) p."""
-    at = (F.col("_total") - 1) * p
-    pick = lambda k: F.min(F.when(F.col("_upto") > k, F.col(value)))
+    sums = {"": "_c"}
+    if kept is not None:
+        rows, sums = rows.withColumn("_every", F.when(F.col(value).isNotNull(), F.col("_all")).otherwise(F.lit(0).cast("long"))), sums | {"_all": "_every"}
+    sides = [F.col(c).asc_nulls_first() for c in also]
+    # Within a value, rows stand in order of ``also``: what of the value comes after a row is added to the running sum.
+    tied = W.partitionBy(*by, value).orderBy(*sides)
+    after = {f"_after{end}": F.sum(c).over(tied.rowsBetween(W.currentRow, W.unboundedFollowing)) - F.col(c) for end, c in sums.items()}
+    if also:
+        rows = rows.withColumns(after | {"_ties": F.sum("_c").over(tied.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    rows = scanned(rows, by, [F.col(value).asc_nulls_first(), *sides], {f"_upto{end}": ("sum", c) for end, c in sums.items()})
+    totals = rows.groupBy(*by).agg(*[F.max(f"_upto{end}").alias(f"_total{end}") for end in sums])
+    if also:
+        rows = rows.withColumns({f"_upto{end}": F.col(f"_upto{end}") + F.col(f"_after{end}") for end in sums}).drop(*after)
+    else:
+        rows = rows.withColumn("_ties", F.col("_c"))
+    return joined_by(rows.drop("_every"), totals, by)
+
+
+def interpolated(p: float, value: str, of: str = ""):
+    """Aggregate over :func:`ordered_counts`: the quantile between the two values around the place (n - 1) p.
+
+    ``of`` is ``_all`` for the quantile over all rows instead of those kept.
+    """
+    at = (F.col(f"_total{of}") - 1) * p
+    pick = lambda k: F.min(F.when(F.col(f"_upto{of}") > k, F.col(value)))
     low, high, part = pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))
     return low + (high - low) * part

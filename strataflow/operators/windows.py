@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strataflow.operators.order import numbered_within
 from strataflow.operators.scan import scanned
 
 FORMS = ("day", "starting_on", "ending_on", "closing_at")
@@ -124,10 +123,8 @@ def trailing(df: DataFrame, by: list[str], tick: str, width: int, value: str) ->
 
 def tenths(df: DataFrame, by: list[str], order: str, parts: int = 10) -> DataFrame:
     """Adds ``part``: the tenth of its series that a row lies in, by position."""
-    n = df.groupBy(*by).agg(F.count("*").alias("_all"))
-    placed = scanned(df.withColumn("_one", F.lit(1).cast("long")), by, [F.col(order).asc()], {"_i": ("sum", "_one")})
-    same = functools.reduce(lambda a, b: a & b, [placed[c].eqNullSafe(n[c]) for c in by], F.lit(True))
-    return placed.join(n, same).select(*[placed[c] for c in df.columns], F.floor(parts * (F.col("_i") - 1) / F.col("_all")).cast("int").alias("part"))
+    placed = numbered_within(df, by, order, "_i", "_all")
+    return placed.select(*df.columns, F.floor(parts * (F.col("_i") - 1) / F.col("_all")).cast("int").alias("part"))
 
 
 def emission_times(cells: DataFrame, start: str, stop: str, every: float) -> DataFrame:
