@@ -38,6 +38,11 @@ def whole(x):
     return np.trunc(x + np.copysign(half, x)).astype(np.int64)
 
 
+#: Longest step of the deterministic integrator where a model has real compartments, and what rounding may leave of a compartment.
+REAL_STEP = 0.5
+BELOW_ZERO = -1e-6
+
+
 def with_initial(cells: DataFrame, model: Model) -> DataFrame:
     """Adds one column per compartment: initial values in order of dependence, 0 where none is given."""
     names = [*model.parameters]
@@ -66,16 +71,30 @@ def ode(cells: DataFrame, model: Model, start: float, stop: float, dt: float, ev
     """Fourth-order Runge-Kutta with a fixed step inside Catalyst: (cell columns, time, t_start, t_stop, compartments, flow_*).
 
     One row per cell folds over its steps and keeps every ``every``-th state; flows are summed since the last kept one.
-    The last step is shortened to end with the run.  Effects of actions happen at the end of a step that is nearest to their
-    time, then the balance is set.
+    The last step is shortened to end with the run, and the end is kept whatever ``every`` is.  Effects of actions happen at the
+    end of a step that is nearest to their time, then the balance is set.
+
+    Real compartments are never below 0: each stage looks at them from 0 on, and so does the end of a step.  Where a model has
+    some, steps are cut into parts of at most ``REAL_STEP``.  Any other compartment below 0 fails the job.
     """
     model = _checked(model, "ode")
+    if model.real and dt > REAL_STEP:
+        parts = math.ceil(dt / REAL_STEP)
+        dt, every = dt / parts, every * parts
     steps = n_substeps(start, stop, dt)
     fields = [*model.compartments, *[f"flow_{t.name}" for t in model.transitions]]
     kind = "struct<" + ",".join(f"`{f}`:double" for f in fields) + ">"
 
+    def held_up(name: str, v: Column) -> Column:
+        return F.greatest(v, F.lit(0.0)) if name in model.real else v
+
+    def ended(name: str, v: Column) -> Column:
+        if name.startswith("flow_") or name in model.real or (model.balance and name == model.balance[0]):
+            return held_up(name, v)
+        return F.when(v < BELOW_ZERO, F.raise_error(F.concat(F.lit(f"compartment {name} fell below 0: "), v.cast("string"))).cast("double")).otherwise(v)
+
     def shifted(s: Column, k: Column, f: Column) -> Column:
-        return F.struct(*[(s[c] + f * k[c]).alias(c) for c in model.compartments])
+        return F.struct(*[held_up(c, s[c] + f * k[c]).alias(c) for c in model.compartments])
 
     def stage(s: Column, t: Column, length: Column) -> Column:
         change, rates = _slopes(model, s, t, length)
@@ -126,12 +145,12 @@ def ode(cells: DataFrame, model: Model, start: float, stop: float, dt: float, ev
         length = F.when(i == steps - 1, F.lit(float(step_length(steps - 1, start, stop, dt)))).otherwise(F.lit(float(dt)))
 
         def finish(k1: Column, k2: Column, k3: Column, k4: Column) -> Column:
-            new = F.struct(*[(s[f] + length / 6 * (k1[f] + 2 * k2[f] + 2 * k3[f] + k4[f])).alias(f) for f in fields]).cast(kind)
+            new = F.struct(*[ended(f, s[f] + length / 6 * (k1[f] + 2 * k2[f] + 2 * k3[f] + k4[f])).alias(f) for f in fields]).cast(kind)
             return let(new, lambda n: let(acted(n, i + 1, end(i + 1), length), kept))
 
         def kept(n: Column) -> Column:
             """After the actions of the step, an output appends the state and lets the flows start again."""
-            keep = (i + 1) % every == 0
+            keep = ((i + 1) % every == 0) | (i == steps - 1)
             row = F.struct(end(i + 1).alias("time"), *[n[f].alias(f) for f in fields])
             reset = F.struct(*[(F.when(keep, 0.0).otherwise(n[f]) if f.startswith("flow_") else n[f]).alias(f) for f in fields]).cast(kind)
             return F.struct(reset.alias("s"), F.when(keep, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
@@ -464,7 +483,7 @@ def chain_binomial(cells: DataFrame, model: Model, start: float, stop: float, dt
             kernel.act(state, {*due.get(i + 1, ()), *watch.due(i + 1, now, flows)}, parameters, now, length)
             if fired is not None:
                 fired.extend((name, now, i + 1) for name in watch.fired)
-            if (i + 1) % every == 0:
+            if (i + 1) % every == 0 or i + 1 == steps:
                 rows.append((now, before, now, *state, *sums))
                 sums, before = [0] * len(sums), now
         return rows

@@ -262,3 +262,15 @@ def streaming_tumbling(spark, sf_dir):
     q = streams.tumbling_counts(rows, "ts", "7 days", ["event_type"], "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(600)
     return rounded(spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", "total"), 3)
+
+
+@query(
+    "reservoirs_run_dry",
+    """WITH c AS (SELECT c_custkey AS k, greatest(c_acctbal, 0) / 100 AS v, 1.0 + c_custkey % 7 AS o FROM customer), t AS (SELECT unnest([0, 2, 4, 6, 8, 9]) AS time)
+    SELECT k, CAST(time AS DOUBLE) AS time, round(greatest(v - o * time, 0), 6) AS v FROM c, t""",
+)
+def reservoirs_run_dry(spark, sf_dir):
+    """A real compartment under a constant outflow stops at 0; the end is an output although it is off the cadence."""
+    model = Model(("V",), ("o", "v0"), (Transition("out", "V", None, X.ref("o")),), initial={"V": X.ref("v0")}, real=("V",))
+    cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (1.0 + F.col("c_custkey") % 7).alias("o"), (F.greatest("c_acctbal", F.lit(0.0)) / 100).alias("v0"))
+    return rounded(simulate.ode(cells, model, 0.0, 9.0, 1.0, every=2).select("k", "time", F.col("V").alias("v")))

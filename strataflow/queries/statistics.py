@@ -407,3 +407,31 @@ def prior_and_transform(spark, sf_dir):
     z = density.transform(x, "interval", 0.0, 1.0)
     _, jac = density.inverse_transform(z, "interval", 0.0, 1.0)
     return rounded(table(spark, sf_dir, "part").select("p_partkey", density.prior(x, "exponential", 2.0).alias("exponential"), density.prior(x, "uniform", 0.1, 0.5).alias("uniform"), z.alias("z"), jac.alias("log_jacobian")))
+
+
+@query(
+    "incomplete_gamma",
+    """WITH p AS (SELECT p_size AS a, round(p_retailprice / 50) AS x, count(*) AS n FROM part GROUP BY ALL),
+    q AS (SELECT a, x, n, list_sum(list_transform(range(a), lambda k: exp(k * ln(x) - x - lgamma(k + 1.0)))) AS q FROM p)
+    SELECT a, x, n, round(1 - q, 9) AS lower, round(q, 9) AS upper FROM q""",
+)
+def incomplete_gamma(spark, sf_dir):
+    """Both parts at whole shapes, where the upper one is a sum of Poisson terms."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("a"), F.round(F.col("p_retailprice") / 50).alias("x")).agg(F.count("*").alias("n"))
+    return p.select("a", "x", "n", F.round(special.gamma_p(F.col("a"), F.col("x")), 9).alias("lower"), F.round(special.gamma_q(F.col("a"), F.col("x")), 9).alias("upper"))
+
+
+@query(
+    "gamma_quantiles_of_sizes",
+    """WITH RECURSIVE s AS (SELECT p_size AS a, count(*) AS n FROM part GROUP BY 1), c AS (SELECT a, n, CAST(sum(n) OVER (ORDER BY a) AS DOUBLE) / CAST(sum(n) OVER () + 1 AS DOUBLE) AS p FROM s),
+    b AS (SELECT a, n, p, 0.0::DOUBLE AS lo, 400.0::DOUBLE AS hi, 0 AS i FROM c UNION ALL
+      SELECT a, n, p, CASE WHEN 1 - q < p THEN m ELSE lo END, CASE WHEN 1 - q < p THEN hi ELSE m END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS m, list_sum(list_transform(range(a), lambda k: exp(k * ln((lo + hi) / 2) - (lo + hi) / 2 - lgamma(k + 1.0)))) AS q FROM b WHERE i < 60))
+    SELECT a, n, round(p, 6) AS p, round(lo, 5) AS quantile FROM b WHERE i = 60""",
+)
+def gamma_quantiles_of_sizes(spark, sf_dir):
+    """The gamma quantile of each part size at the share of parts up to it, against bisection."""
+    sizes = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("a")).agg(F.count("*").alias("n"))
+    counts = sizes.join(sizes.select(F.col("a").alias("b"), F.col("n").alias("m")), F.col("b") <= F.col("a")).groupBy("a", "n").agg(F.sum("m").alias("upto"))
+    total = sizes.agg((F.sum("n") + 1.0).alias("total"))
+    rows = counts.crossJoin(total).select("a", "n", (F.col("upto") / F.col("total")).alias("share"))
+    return rows.select("a", "n", F.round("share", 6).alias("p"), F.round(special.gamma_p_inverse(F.col("a"), F.col("share")), 5).alias("quantile"))
