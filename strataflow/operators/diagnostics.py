@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.functions.arithmetic import finite
 from strataflow.functions.special import normal_cdf, normal_quantile
+from strataflow.operators.lags import centred, lag_products
 from strataflow.operators.order import interpolated, joined_by, numbered_within, ordered_counts
 
 # Bands of R-hat, evidence steps in decibans, and their labels.
@@ -168,17 +169,12 @@ def rhat_band(rhat: Column) -> Column:
 def newey_west(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """n, total, se of the sum with Bartlett weights, lag-1 autocorrelation and the small-sample factor of a series.
 
-    The lag is floor(4 (n / 100)^(2/9)); the products of each lag come from one window and one aggregation, for as many lags
-    as the longest series needs (143 for a billion rows).
+    The lag is floor(4 (n / 100)^(2/9)); the products of each lag come from blocks with halos, for as many lags as the
+    longest series needs (143 for a billion rows), so one series may have most of the rows.
     """
     longest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     max_lag = max(1, math.floor(4 * (longest / 100) ** (2 / 9)) + 1)
-    place = W.partitionBy(*by).orderBy(order)
-    whole = W.partitionBy(*by)
-    rows = df.withColumn("_c", F.col(value) - F.avg(value).over(whole))
-    products = [F.sum(F.col(f"_p{k}")).alias(f"g{k}") for k in range(1, max_lag + 1)]
-    rows = rows.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(place) for k in range(1, max_lag + 1)})
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col("_c") * F.col("_c")).alias("g0"), *products)
+    out = lag_products(centred(df, by, order, value), by, value, max_lag)
     lag = F.least(F.floor(4 * F.pow(F.col("n") / 100, F.lit(2 / 9))), F.col("n") - 1)
     var = F.col("g0")
     for k in range(1, max_lag + 1):

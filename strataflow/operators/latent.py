@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataflow.operators.diagnostics import convergence_status, rank_rhat, rhat_band
+from strataflow.operators.lags import centred, lag_products
 
 #: Parts of a series, and the leading ones whose mean is the prefix.
 PARTS = 10
@@ -69,15 +70,13 @@ def renewal_profile(shares: DataFrame) -> DataFrame:
 def chain_length_ess(draws: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """(by, n, ess) of single chains: n / (1 + 2 sum of autocorrelations), summed over pairs of lags while a pair's sum is positive.
 
-    Lag products come from one window and one aggregation.  If some chain's pairs are all positive so far, twice as many lags are
+    Lag products come from blocks with halos, so one chain may have most of the rows.  If some chain's pairs are all positive so far, twice as many lags are
     taken, so no chain is cut off.  Under four draws the size is n; a constant chain counts as one draw.
     """
-    place, whole = W.partitionBy(*by).orderBy(order), W.partitionBy(*by)
-    rows = draws.withColumn("_c", F.col(value) - F.avg(value).over(whole))
+    rows = centred(draws, by, order, value)
     pairs = 4
     while True:
-        lagged = rows.withColumns({f"_p{k}": F.col("_c") * F.lag("_c", k).over(place) for k in range(1, 2 * pairs + 1)})
-        sums = lagged.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("g"), *[F.coalesce(F.sum(f"_p{k}"), F.lit(0.0)).alias(f"g{k}") for k in range(1, 2 * pairs + 1)])
+        sums = lag_products(rows, by, value, 2 * pairs).withColumnRenamed("g0", "g").fillna(0.0, [f"g{k}" for k in range(1, 2 * pairs + 1)])
         # Whether all pairs up to this one are positive and inside the chain.
         on, total = F.lit(True), F.lit(0.0)
         for j in range(1, pairs + 1):
