@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from strataflow.checks import refuse_any
 from strataflow.operators.joins import parent_edges
 from strataflow.operators.scan import scanned
 from strataflow.operators.scratch import cut
+from strataflow.operators.tours import newick_pieces, tours
 from strataflow.operators.windows import cohort_bins
 
 
@@ -50,16 +50,11 @@ def tree_shape(edges: DataFrame) -> DataFrame:
     return rows.groupBy("root").agg(F.count("*").alias("n_nodes"), F.count_if(tip).alias("n_tips"), F.sum(F.when(tip, F.col("depth")).otherwise(0)).alias("sackin"), F.sum("branch").alias("branch_length"))
 
 
-def pruned(edges: DataFrame, sampled: DataFrame, rounds: int = 100_000) -> DataFrame:
-    """Edges that lead to a sampled individual, level by level from the tips up; each level joins only new nodes."""
-    kept = cut(edges.join(sampled.select("child").distinct(), "child", "left_semi"))
-    front = kept
-    for _ in range(rounds):
-        front = cut(edges.join(front.where("parent is not null").select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(kept.select("child"), "child", "left_anti"))
-        if front.isEmpty():
-            return kept
-        kept = cut(kept.unionByName(front))
-    raise ValueError("the forest is too deep")
+def pruned(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Edges that lead to a sampled individual: those with one in their subtree, counted along the trees' tours."""
+    marked = edges.join(sampled.select("child").distinct().withColumn("_hit", F.lit(1)), "child", "left")
+    hit = tours(marked, {"hits": F.col("_hit")}).where("hits > 0 and known").select("child")
+    return cut(edges.join(hit, "child", "left_semi"))
 
 
 def compressed(edges: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -105,35 +100,15 @@ def merged(edges: DataFrame, sampled: DataFrame) -> DataFrame:
     return nodes.unionByName(hanging)
 
 
-def newick(edges: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(root, newick): one tree's edges per group go through a small renderer with an explicit stack."""
-    rows = edges.join(rooted.select("child", "root"), "child").groupBy("root").agg(F.collect_list(F.struct("child", "parent", "time")).alias("e"))
-
-    def run(batches: Iterator):
-        import pandas as pd
+def newick(edges: DataFrame, rooted: DataFrame | None = None) -> DataFrame:
+    """(root, newick): the pieces of each tree's tour in order; of the trees in ``rooted`` alone, where it is given.
 
-        for pdf in batches:
-            yield pd.DataFrame({"root": pdf["root"], "newick": [_newick(root, e) for root, e in zip(pdf["root"], pdf["e"], strict=True)]})
-
-    return rows.mapInPandas(run, f"root {edges.schema['child'].dataType.simpleString()}, newick string")
-
-
-def _newick(root, edges) -> str:
-    kids, time = {}, {}
-    for e in edges:
-        time[e["child"]] = e["time"]
-        if e["parent"] is not None and e["parent"] == e["parent"]:
-            kids.setdefault(e["parent"], []).append(e["child"])
-    out, stack = {}, [(root, False)]
-    while stack:
-        node, done = stack.pop()
-        below = sorted(kids.get(node, []))
-        if below and not done:
-            stack += [(node, True), *[(k, False) for k in below]]
-            continue
-        inner = f"({','.join(f'{out.pop(k)}:{time[k] - time[node]:g}' for k in below)})" if below else ""
-        out[node] = f"{inner}{node}"
-    return out[root] + ";"
+    A tree's text is one value here; :func:`newick_pieces` leaves it in pieces.
+    """
+    pieces = newick_pieces(tours(edges))
+    if rooted is not None:
+        pieces = pieces.join(rooted.select("root").distinct(), "root", "left_semi")
+    return pieces.groupBy("root").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda s: s["text"]), "").alias("newick"))
 
 
 def cross_deme_fraction(rows: DataFrame, deme: str, parent_deme: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataflow.operators import lineage
+from strataflow.operators.tours import tours
 from strataflow.queries import query
 from strataflow.queries.base import EVENTS, events, rounded, table
 
@@ -61,10 +62,32 @@ def merged_trees(spark, sf_dir):
     return rounded(lineage.merged(_forest(spark, sf_dir), s), 4)
 
 
-@query("newick_trees")
+# The tour's order is that of the paths: a node opens at its path, and closes after all paths that begin with it.
+TOURED = f"""{FOREST}, r AS (SELECT child, child AS root, parent, time, 0 AS depth, [child] AS path FROM f WHERE parent IS NULL UNION ALL SELECT f.child, r.root, f.parent, f.time, r.depth + 1, list_append(r.path, f.child) FROM f JOIN r ON f.parent = r.child),
+    k AS (SELECT parent AS child, min(child) AS eldest FROM f WHERE parent IS NOT NULL GROUP BY 1)"""
+NUMBER = r"regexp_replace(CAST(CAST(round(r.time - p.time, 6) AS DECIMAL(38, 6)) AS VARCHAR), '\.?0+$', '')"
+
+
+@query(
+    "newick_trees",
+    f"""WITH RECURSIVE {TOURED}, a AS (
+      SELECT r.root, path AS place, CASE WHEN e.eldest < r.child THEN ',' ELSE '' END || CASE WHEN k.eldest IS NULL THEN '' ELSE '(' END AS text FROM r LEFT JOIN k ON k.child = r.child LEFT JOIN k e ON e.child = r.parent
+      UNION ALL SELECT r.root, list_append(path, 9000000000000000000), CASE WHEN k.eldest IS NULL THEN '' ELSE ')' END || r.child || CASE WHEN r.parent IS NULL THEN ';' ELSE ':' || {NUMBER} END FROM r LEFT JOIN k ON k.child = r.child LEFT JOIN f p ON p.child = r.parent)
+    SELECT root, string_agg(text, '' ORDER BY place) AS newick FROM a GROUP BY root""",
+)
 def newick_trees(spark, sf_dir):
-    f = _forest(spark, sf_dir)
-    return lineage.newick(f, lineage.with_root(f))
+    return lineage.newick(_forest(spark, sf_dir))
+
+
+@query(
+    "subtree_sums",
+    f"""WITH RECURSIVE {TOURED}, u AS (SELECT child, unnest(path) AS above FROM r)
+    SELECT r.child, r.root, CAST(r.depth AS BIGINT) AS depth, count(*) AS size, round(sum(c_acctbal), 2) AS balance FROM r JOIN u ON u.above = r.child JOIN customer ON c_custkey = u.child GROUP BY ALL""",
+)
+def subtree_sums(spark, sf_dir):
+    """Size and account balance of every customer's subtree, off the tours."""
+    f = _forest(spark, sf_dir).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("child"), "c_acctbal"), "child")
+    return tours(f, {"balance": F.col("c_acctbal")}).select("child", "root", "depth", "size", F.round("balance", 2).alias("balance"))
 
 
 MOVES = f"{EVENTS}, m AS (SELECT user_id, event_id AS t, event_type AS deme, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM ev)"
