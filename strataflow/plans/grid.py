@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strataflow.checks import Refused, refuse_any
+from strataflow.operators.order import numbered_within
 
 
 def axis(spec: Sequence[float] | str) -> list[float]:
@@ -192,8 +193,9 @@ def latin_hypercube(spark: SparkSession, bounds: Mapping[str, tuple[float, float
     rows = spark.range(n).select(F.col("id").alias("point_id"))
     for k, (name, (lo, hi)) in enumerate(sorted(bounds.items())):
         h = F.xxhash64(F.lit(seed), F.lit(k), F.col("point_id"))
-        stratum = F.row_number().over(W.orderBy(h, "point_id")) - 1
+        rows = numbered_within(rows.withColumn("_h", h), [], "_h", "_i", "_all").drop("_h", "_all")
+        stratum = F.col("_i") - 1
         jitter = F.pmod(F.xxhash64(F.lit(seed), F.lit(k + 1000), F.col("point_id")), F.lit(2**31)) / 2.0**31
         u = (stratum + jitter) / n
-        rows = rows.withColumn(name, lo * F.pow(F.lit(hi / lo), u) if name in log else lo + (hi - lo) * u)
+        rows = rows.withColumn(name, lo * F.pow(F.lit(hi / lo), u) if name in log else lo + (hi - lo) * u).drop("_i")
     return rows
