@@ -11,16 +11,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from strataflow.operators.scan import scanned
 
 
-def joined_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys in which null equals null; the right side's other columns are added."""
+def joined_by(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys in which null equals null; the right side's other columns are added."""
     other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], F.lit(True))
-    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def numbered_within(df: DataFrame, by: Sequence[str], order: str, number: str, size: str) -> DataFrame:
@@ -43,18 +42,15 @@ def ordered_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | N
     sums = {"": "_c"}
     if kept is not None:
         rows, sums = rows.withColumn("_every", F.when(F.col(value).isNotNull(), F.col("_all")).otherwise(F.lit(0).cast("long"))), sums | {"_all": "_every"}
-    sides = [F.col(c).asc_nulls_first() for c in also]
-    # Within a value, rows stand in order of ``also``: what of the value comes after a row is added to the running sum.
-    tied = W.partitionBy(*by, value).orderBy(*sides)
-    after = {f"_after{end}": F.sum(c).over(tied.rowsBetween(W.currentRow, W.unboundedFollowing)) - F.col(c) for end, c in sums.items()}
-    if also:
-        rows = rows.withColumns(after | {"_ties": F.sum("_c").over(tied.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
-    rows = scanned(rows, by, [F.col(value).asc_nulls_first(), *sides], {f"_upto{end}": ("sum", c) for end, c in sums.items()})
+    rows = scanned(rows, by, [F.col(value).asc_nulls_first()], {f"_upto{end}": ("sum", c) for end, c in sums.items()})
     totals = rows.groupBy(*by).agg(*[F.max(f"_upto{end}").alias(f"_total{end}") for end in sums])
+    rows = rows.withColumn("_ties", F.col("_c"))
     if also:
-        rows = rows.withColumns({f"_upto{end}": F.col(f"_upto{end}") + F.col(f"_after{end}") for end in sums}).drop(*after)
-    else:
-        rows = rows.withColumn("_ties", F.col("_c"))
+        # Rows of one value stand in any order; the last of them has all.  Values with one row, mostly the most, need no second look.
+        ends = {f"_upto{end}": F.max(f"_upto{end}").alias(f"_last{end}") for end in sums}
+        shared = rows.groupBy(*by, value).agg(*ends.values(), F.sum("_c").alias("_sum"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+        rows = joined_by(rows, shared, [*by, value], "left")
+        rows = rows.withColumns({f"_upto{end}": F.coalesce(f"_last{end}", f"_upto{end}") for end in sums} | {"_ties": F.coalesce("_sum", "_ties")}).drop("_sum", *[f"_last{end}" for end in sums])
     return joined_by(rows.drop("_every"), totals, by)
 
 
