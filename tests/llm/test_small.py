@@ -193,6 +193,75 @@ def test_warc_records_are_valid_and_old_revisits_are_resolved(spark, tmp_path):
     assert all(r["WARC-Date"] == "2024-05-06T07:08:09Z" and r["Content-Type"].startswith("application/http") for r in names.values()) and len(names) == 3
 
 
+def test_warc_archives_from_elsewhere(spark, tmp_path):
+    import base64
+    import gzip
+
+    for k in "abc":
+        (tmp_path / k).mkdir()
+    folders = [f"file://{tmp_path}/{k}" for k in "abc"]
+    big, other = b"<p>" + b"x" * 200, b"<p>" + b"y" * 200
+    sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    def record(kind, number, block=b"", **more):
+        headers = [("WARC-Record-ID", f"<urn:uuid:{number}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", f"http://e/{number}")]
+        return warc._record(kind, [*headers, *((k.replace("_", "-"), v) for k, v in more.items())], block)
+
+    def response(number, payload, **more):
+        return record("response", number, warc._http(payload), Content_Type=warc.HTTP, X_Row_Id=str(number), **more)
+
+    reply = b"HTTP/1.1 304 Not Modified\r\n\r\n"
+    parts = [
+        record("warcinfo", 1, b"software: x\r\n"),
+        response(2, big, WARC_Payload_Digest="sha1:ABC", WARC_Warcinfo_ID="<urn:uuid:1>"),
+        record("request", 3, b"GET / HTTP/1.1\r\n\r\n", WARC_Concurrent_To="<urn:uuid:2>"),
+        # By the record that it names; by its label alone; by a digest that no response's header says; by none.
+        record("revisit", 4, reply, WARC_Refers_To="<urn:uuid:2>", X_Row_Id="4", Content_Type=warc.HTTP, WARC_Payload_Digest="sha1:ABC"),
+        record("revisit", 5, WARC_Payload_Digest="sha1:ABC", X_Row_Id="5"),
+        record("revisit", 6, WARC_Payload_Digest=sha1(other), X_Row_Id="6"),
+        record("revisit", 7, WARC_Payload_Digest=sha1(b"else"), WARC_Refers_To="<urn:uuid:99>", X_Row_Id="7"),
+        response(8, other),
+        response(9, big, WARC_Payload_Digest=sha1(big)),
+    ]
+    (tmp_path / "a" / "one.warc.gz").write_bytes(b"".join(parts))
+    # A damaged member, a sound one, bytes that are no member, one without a length, and one that is cut short.
+    broken = bytearray(response(10, b"q" * 5000))
+    broken[40:60] = b"\xff" * 20
+    (tmp_path / "a" / "two.warc.gz").write_bytes(bytes(broken) + response(11, other) + b"noise" + gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n") + response(12, b"w") + response(13, big)[:-30])
+    (tmp_path / "a" / "empty.warc.gz").write_bytes(b"")
+    results = []
+    for source, target, damaged in zip(folders, folders[1:], (3, 0), strict=False):
+        headers = warc.read_archives(spark, source).cache()
+        assert headers.where("record_type = 'damaged'").count() == damaged
+        assert warc.write_deduplicated(spark, source, warc.resolve_revisits(headers).cache(), target) == 11
+        results.append({(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.described(warc.read_archives(spark, target)).collect()})
+    x, y, w = (hashlib.sha256(t).hexdigest() for t in (big, other, b"w"))
+    assert results[0] == results[1] == {
+        (2, 203, x, "response", None), (4, 203, x, "revisit", 2), (5, 203, x, "revisit", 2), (9, 203, x, "revisit", 2), (6, 203, y, "revisit", 8),
+        (7, None, None, "revisit", None), (8, 203, y, "response", None), (11, 203, y, "revisit", 8), (12, 1, w, "response", None),
+    }
+    found = {}
+    for f in sorted((tmp_path / "b").glob("*.warc.gz")):
+        with open(f, "rb", buffering=0) as raw:
+            found |= {dict(fields)["warc-record-id"]: (dict(fields), block) for _, fields, block in warc._records(raw)}
+    # Every record has a fresh id, and what named a record of the archives names its new one.
+    assert len(found) == 11 and not any(re.fullmatch(r"<urn:uuid:\d+>", i) for i in found)
+    kinds = {h["warc-type"] + h.get("x-row-id", ""): (i, h, block) for i, (h, block) in found.items()}
+    assert kinds["request"][1]["warc-concurrent-to"] == kinds["response2"][0] and kinds["response2"][1]["warc-warcinfo-id"] == kinds["warcinfo"][0]
+    assert kinds["revisit4"][1]["warc-refers-to"] == kinds["response2"][0] and kinds["revisit4"][2] == reply
+    assert kinds["revisit7"][1]["warc-refers-to"] == "<urn:uuid:99>" and kinds["revisit7"][1]["warc-payload-digest"] == sha1(b"else")
+
+
+@pytest.mark.parametrize("label", ["sha1:TKMUYRPUHRW6RO5RB3DXZBNJWFMBXPVF", "SHA-1: 9a994c45f43c6de8bbb10ec77c85a9b1581bbea5", "sha1:9A994C45F43C6DE8BBB10EC77C85A9B1581BBEA5"])
+def test_digests_are_compared_in_one_form(label):
+    import base64
+
+    value = label.replace("SHA-1: ", "sha1:").split(":")[1]
+    bare = base64.b32decode(value).hex() if len(value) == 32 else value.lower()
+    assert warc.canonical_digest(label) == "sha1:" + bare
+    assert warc.canonical_digest("sha1:ABC") == "sha1:ABC" and warc.canonical_digest("xyz") == "xyz" and warc.canonical_digest("sha256:00") == "sha256:00"
+
+
 def shingles(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
