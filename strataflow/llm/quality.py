@@ -3,7 +3,9 @@
 Every document gets a histogram of character classes and one of common words.  The references are the same two
 histograms, summed over all documents of each language that pass the base rules and are plain prose (few
 symbols and capitals, and as long as the word guard).  Every language with ``min_reference`` documents has its common words:
-those of a fixed list, or its most frequent words where there is none.  A document is rejected
+those of a fixed list, or its most frequent words where there is none.  Words are compared in lower case without the
+punctuation around them, and distances take capitals and small letters for one class, so that a text is judged alike in small
+letters, in title case and in capitals; capitals are counted only to leave such texts out of the references.  A document is rejected
 when the smallest Jensen-Shannon distance to any reference is too large; short documents are guarded, because their
 histograms are noise, and a document whose language has no reference is not judged by them.  Common words are a small share of prose, so a text without any of them is not far from a reference:
 its distance follows from the reference's share, and word distances are also held against that one.
@@ -32,6 +34,8 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "que", "pour"],
 }
 CLASSES = ["lower", "space", "upper", "letter", "digit", "point", "other"]
+#: What may stand around a word.
+EDGES = ".,;:!?'\"()[]{}-\u00ab\u00bb\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u00bf\u00a1\u2013\u2014"
 
 
 @dataclass(frozen=True)
@@ -56,6 +60,16 @@ class QualityRules:
     n_common: int = 10
 
 
+def _folded(word: Column) -> Column:
+    return F.btrim(F.lower(word), F.lit(EDGES))
+
+
+def _class_counts() -> Column:
+    """The classes of ``CLASSES`` with those of small letters and capitals in one."""
+    c = F.col("classes")
+    return F.concat(F.array(c[0] + c[2], c[1]), F.slice(c, 4, len(CLASSES) - 3))
+
+
 def common_words(docs: DataFrame, rules: QualityRules = QualityRules(), text_col: str = "text", lang_col: str = "lang") -> list[str]:
     """The common words of all languages: of a language without a fixed list, its most frequent words.
 
@@ -68,7 +82,8 @@ def common_words(docs: DataFrame, rules: QualityRules = QualityRules(), text_col
     found = [r["lang"] for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).count().where(F.col("count") >= rules.min_reference).collect()]
     words = {w for lang in found for w in COMMON_WORDS.get(lang, [])}
     if new := [lang for lang in found if lang not in COMMON_WORDS]:
-        each = rows.where(F.col(lang_col).isin(*new)).select(F.col(lang_col).alias("lang"), F.explode(words_of(F.col(text_col))).alias("word")).groupBy("lang", "word").count()
+        each = rows.where(F.col(lang_col).isin(*new)).select(F.col(lang_col).alias("lang"), F.explode(words_of(F.col(text_col))).alias("word"))
+        each = each.withColumn("word", _folded(F.col("word"))).where(F.col("word") != "").groupBy("lang", "word").count()
         place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("count"), "word"))
         words |= {r["word"] for r in each.withColumn("place", place).where(F.col("place") <= rules.n_common).collect()}
     return sorted(words)
@@ -106,7 +121,7 @@ def document_features(docs: DataFrame, rules: QualityRules = QualityRules(), id_
         (n[6] - F.length("t7")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.array(n[0] - n[1], n[1] - n[2], n[2] - n[3], n[3] - n[4], n[4] - n[5], n[5] - n[6], n[6]).alias("classes"),
-        F.filter("words", lambda w: w.isin(vocabulary)).alias("known"),
+        F.filter(F.transform("words", _folded), lambda w: w.isin(vocabulary)).alias("known"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("one"), *carried,
     )
     base = _with_pairs(base.drop("words"), "one", 1, "two")
@@ -153,11 +168,11 @@ def language_references(features: DataFrame, rules: QualityRules = QualityRules(
     asked = F.col("lang").isin(*rules.languages) if rules.languages is not None else F.col("lang").isNotNull()
     good = features.where(asked & plain & ~_failed(rules))
     n_words = (features.select(F.size("commons")).first() or [1])[0]
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
+    sums = [F.sum(_class_counts()[i]).alias(f"c{i}") for i in range(len(CLASSES) - 1)]
     sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(n_words)]
     found = {}
     for row in good.groupBy("lang").agg(F.count("*").alias("n"), *sums).where(F.col("n") >= rules.min_reference).collect():
-        shares = [_shares([row[f"{k}{i}"] for i in range(n)]) for k, n in (("c", len(CLASSES)), ("w", n_words))]
+        shares = [_shares([row[f"{k}{i}"] for i in range(n)]) for k, n in (("c", len(CLASSES) - 1), ("w", n_words))]
         if shares[0] and shares[1]:
             found[row["lang"]] = (shares[0], shares[1])
     return dict(sorted(found.items()))
@@ -187,7 +202,7 @@ def _judged(features: DataFrame, rules: QualityRules) -> DataFrame:
     """Adds ``base_failed``, both distances (null under the guards) and ``kept`` to written features."""
     references = language_references(features, rules)
 
-    def distances(counts: str, k: int) -> Column:
+    def distances(counts: Column, k: int) -> Column:
         total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
         shares = F.transform(counts, lambda x: x / total)
         each = [js_distance(shares, r[k]) for r in references.values()]
@@ -195,8 +210,8 @@ def _judged(features: DataFrame, rules: QualityRules) -> DataFrame:
 
     chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x)
     out = features.withColumn("base_failed", _failed(rules))
-    out = out.withColumn("char_distance", F.when(chars >= rules.guard_chars, F.array_min(distances("classes", 0))))
-    out = out.withColumn("words_away", F.when(F.col("n_words") >= rules.guard_words, distances("commons", 1)))
+    out = out.withColumn("char_distance", F.when(chars >= rules.guard_chars, F.array_min(distances(_class_counts(), 0))))
+    out = out.withColumn("words_away", F.when(F.col("n_words") >= rules.guard_words, distances(F.col("commons"), 1)))
     # A reference without common words says nothing about a text without them.
     bare = F.array(*[F.lit(d or None).cast("double") for d in (_bare_distance(r[1]) for r in references.values())])
     out = out.withColumn("word_distance", F.array_min("words_away")).withColumn("word_share", F.array_min(F.zip_with("words_away", bare, lambda d, b: d / b)))

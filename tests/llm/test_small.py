@@ -63,6 +63,26 @@ def test_quality_rejects_what_no_language_has(spark):
     assert all(kept[i] for i, *_ in clean) and not any(kept[i] for i, *_ in junk)
 
 
+def test_quality_judges_a_text_alike_in_any_case(spark):
+    import random
+
+    rng = random.Random(7)
+    own = {"en": quality.COMMON_WORDS["en"], "da": ["og", "i", "at", "det", "en", "den", "til", "er", "som", "på"]}
+    rest = ["house", "garden", "window", "yellow", "river", "ærlig", "åben"]
+    # Every word, common or not, with punctuation around it now and then.
+    word = lambda k: rng.choice(own[k] if rng.random() < 0.4 else rest)
+    text = lambda k: " ".join(rng.choice(["{}", "{}", "{}", "{},", "({})", "“{}”", "{}."]).format(word(k)) for _ in range(rng.randrange(70, 300)))
+    rows = [(i, text(k), k, "s") for i, k in enumerate(["en", "da"] * 40)]
+    forms = [(1000 * (j + 1) + i, f(t), k, "s") for i, t, k, _ in rows[:10] for j, f in enumerate((str.title, str.upper))]
+    junk = [(9000 + i, "".join(rng.choice("QXZVWK0#$ ") for _ in range(900)), "en", "s") for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.quality_verdicts(docs(spark, rows + forms + junk)).collect()}
+    for i in range(10):
+        for j in (1000, 2000):
+            assert got[j + i]["kept"] and got[i]["kept"]
+            assert got[j + i]["word_distance"] == got[i]["word_distance"] and got[j + i]["char_distance"] == got[i]["char_distance"], (j, i)
+    assert not any(got[9000 + i]["kept"] for i in range(5))
+
+
 def js(p, q):
     import math
 
