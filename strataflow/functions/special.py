@@ -1,4 +1,4 @@
-"""Special functions as columns: log-gamma, digamma, the normal distribution and its quantile, incomplete gamma."""
+"""Special functions as columns: log-gamma and its derivatives, the normal distribution and its quantile, incomplete gamma."""
 
 from __future__ import annotations
 
@@ -44,6 +44,17 @@ def digamma(x: Column) -> Column:
     return out + F.log(z) - 0.5 / z - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
 
 
+def trigamma(x: Column) -> Column:
+    """Derivative of digamma for x > 0: eight steps of the recurrence, then the asymptotic series."""
+    y = x.cast("double")
+    out = F.lit(0.0)
+    for i in range(8):
+        out = out + 1 / ((y + i) * (y + i))
+    z = y + 8
+    r = 1 / (z * z)
+    return out + 1 / z + 0.5 * r + r / z * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+
+
 def _poly(c: list[float], x: Column) -> Column:
     out = F.lit(c[0])
     for a in c[1:]:
