@@ -163,6 +163,26 @@ def prior(x: Column, family: str, *a: float) -> Column:
     raise ValueError(f"unknown prior {family}")
 
 
+def prior_given(x: Column, family: str, *a: Column) -> Column:
+    """Log prior density whose arguments are columns, such as the values of a level above; minus infinity where they are illegal."""
+    bad, (x, *a) = _args(x, *a)
+    pos = F.when(x > 0, x).otherwise(1.0)
+    legal = F.lit(True)
+    if family == "normal":
+        out = normal(x, a[0], a[1])
+    elif family == "half_normal":
+        legal, out = x >= 0, normal(x, F.lit(0.0), a[0]) + math.log(2)
+    elif family == "log_normal":
+        legal, out = x > 0, normal(F.log(pos), a[0], a[1]) - F.log(pos)
+    elif family == "exponential":
+        legal, out = (x >= 0) & (a[0] > 0), _log(a[0]) - a[0] * x
+    elif family == "gamma":
+        legal, out = (x > 0) & (a[0] > 0) & (a[1] > 0), a[0] * _log(a[1]) - lgamma(a[0]) + (a[0] - 1) * F.log(pos) - a[1] * x
+    else:
+        raise ValueError(f"no prior {family} with columns as arguments")
+    return F.when(~bad & legal, out).otherwise(NEVER)
+
+
 def transform(x: Column, support: str, lo: float | None = None, hi: float | None = None) -> Column:
     """To the whole line: identity, lower, upper, interval or log_interval."""
     if support == "identity":

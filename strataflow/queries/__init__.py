@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from strataflow.queries import dynamics, evidence, files, lineages, regression, relational, series, smoothing, statistics  # noqa: E402, F401
+from strataflow.queries import dynamics, evidence, files, hierarchy, lineages, regression, relational, series, smoothing, statistics  # noqa: E402, F401
