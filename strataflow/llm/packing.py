@@ -23,7 +23,7 @@ length are cut into grains; weights of 0 or less are refused; other columns are
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -40,53 +40,70 @@ END = 0
 SLOTS = 1024
 KNOTS = 64
 TABLE_SIZE = 400_000
+# Distinct words that one call encodes.
+TOGETHER = 4096
 TOKENS = "_row long, doc_id long, source string, slot int, tie long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # White space as Unicode has it, without the four separators that only Python counts.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class WordTokens:
     """Token ids of texts, by way of the ids of their space-separated words.
 
     A byte-level tokenizer of this kind never joins what stands before a single space with what stands after, and takes
-    the space to the word that follows.  So the ids of a text are those of its first word and of each ' word' after it,
-    each of which is encoded once.  Texts in which a space has white space beside it, or with a special string, are
-    encoded whole.  ``ranked``: whether :func:`ranks_agree` holds for the file.
+    the space to the word that follows.  So the ids of a text are those of its first word and of each ' word' after it.
+    ``ranked``: whether :func:`ranks_agree` holds for the file.  Then the distinct words of many texts are encoded together,
+    as a text of their own, which is cut into words by its tokens' lengths; otherwise each word is encoded once and kept in a
+    table.  Texts in which a space has white space beside it, or with a special string, are encoded whole.
     """
 
     def __init__(self, path: str, table_size: int = TABLE_SIZE, ranked: bool = False):
+        import numpy as np
+
         self.whole = _tokenizer(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = _ranked(self.whole) if ranked else None
         self.kind = id_type(self.whole)
-        self.odd = re.compile(f"[{_SPACE}][ ]|[ ][{_SPACE}]" + "".join("|" + re.escape(s) for s in self.special))
+        self.fast = None
+        if ranked:
+            self.fast, ranks = _ranked(self.whole)
+            self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+            self.sizes[list(ranks.values())] = [len(token) for token in ranks]
         self.table_size = table_size
-        self.clear()
-
-    def clear(self) -> None:
-        self.table: dict[str, int] = {}
-        self.lengths, self.flat = [], []
+        self.table: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> list[int]:
         if self.fast is not None and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
-    def _codes(self, names: list[str], lead: str):
+    def _alone(self, words: pa.Array, lead: str) -> tuple:
+        """Lengths and ids of words that are encoded one by one."""
         import numpy as np
 
-        table, out = self.table, np.empty(len(names), np.int64)
-        for i, name in enumerate(names):
-            key = lead + name
-            code = table.get(key)
-            if code is None:
-                ids = self._encode(key)
-                code = table[key] = len(self.lengths)
-                self.lengths.append(len(ids))
-                self.flat.extend(ids)
-            out[i] = code
-        return out
+        lists, table = [], self.table if self.fast is None else {}
+        for word in words.to_pylist():
+            ids = table.get(lead + word)
+            if ids is None:
+                ids = table[lead + word] = np.array(self._encode(lead + word), self.kind).tobytes()
+            lists.append(ids)
+        flat = np.frombuffer(b"".join(lists), self.kind)
+        return np.array([len(x) for x in lists], np.int64) // flat.itemsize, flat
+
+    def _together(self, words: pa.Array, lead: str) -> tuple:
+        """Lengths and ids of words that are not empty and don't end in white space."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        lengths, flat = [np.zeros(0, np.int64)], [np.zeros(0, self.kind)]
+        bounds = pc.binary_length(words).to_numpy(zero_copy_only=False) + len(lead)
+        for i in range(0, len(words), TOGETHER):
+            text = lead + lead.join(words.slice(i, TOGETHER).to_numpy(zero_copy_only=False))
+            ids = np.array(self.fast.encode_ordinary(text), self.kind)
+            last = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(bounds[i : i + TOGETHER]))
+            lengths.append(np.diff(last + 1, prepend=0))
+            flat.append(ids)
+        return np.concatenate(lengths), np.concatenate(flat)
 
     def of(self, texts: pa.Array) -> list:
         """An array of ids, without an end token, for each text."""
@@ -94,38 +111,46 @@ class WordTokens:
         import pyarrow.compute as pc
 
         if len(self.table) > self.table_size:
-            self.clear()
-        out: list = [None] * len(texts)
-        plain = []
-        for i, t in enumerate(texts.to_pylist()):
-            if self.odd.search(t):
-                out[i] = np.array(self._encode(t), self.kind)
-            elif t:
-                plain.append(i)
-            else:
-                out[i] = np.zeros(0, self.kind)
-        if plain:
-            lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-            first = np.zeros(int(sizes.sum()), bool)
-            first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
-            words = lists.flatten()
-            codes = np.empty(len(words), np.int64)
-            for lead, mask in (("", first), (" ", ~first)):
+            self.table.clear()
+        odd = pc.match_substring_regex(texts, f"[{_SPACE}][ ]|[ ][{_SPACE}]")
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out: list = [np.zeros(0, self.kind)] * len(texts)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self._encode(texts[i].as_py()), self.kind)
+        plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0))
+        if len(plain):
+            chosen = texts.take(pa.array(plain))
+            lists = pc.split_pattern(chosen, " ")
+            words, stops = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            first, blank = np.zeros((2, len(words)), bool)
+            first[np.concatenate(([0], stops[:-1]))] = True
+            # Only the last word of a text may be empty or end in white space, which would meet the next word's space.
+            blank[stops[pc.match_substring_regex(chosen, f"[{_SPACE}]$").to_numpy(zero_copy_only=False)] - 1] = True
+            codes, lengths, flat, known = np.empty(len(words), np.int64), [], [], 0
+            for lead, mask, encode in (("", first, self._alone), (" ", blank & ~first, self._alone), (" ", ~blank & ~first, self._together if self.fast else self._alone)):
                 coded = words.filter(pa.array(mask)).dictionary_encode()
-                codes[mask] = self._codes(coded.dictionary.to_pylist(), lead)[coded.indices.to_numpy(zero_copy_only=False)]
-            lengths = np.array(self.lengths, np.int64)
-            flat = np.array(self.flat, self.kind)
+                codes[mask] = known + coded.indices.to_numpy(zero_copy_only=False)
+                known += len(coded.dictionary)
+                for to, part in zip((lengths, flat), encode(coded.dictionary, lead), strict=True):
+                    to.append(part)
+            lengths, flat = np.concatenate(lengths), np.concatenate(flat)
             begins = np.cumsum(lengths) - lengths
             n = lengths[codes]
             ends = np.cumsum(n)
             ids = flat[np.repeat(begins[codes] - (ends - n), n) + np.arange(ends[-1])]
-            cuts = ends[np.cumsum(sizes) - 1]
-            for i, part in zip(plain, np.split(ids, cuts[:-1]), strict=True):
+            for i, part in zip(plain.tolist(), np.split(ids, ends[stops - 1][:-1]), strict=True):
                 out[i] = part
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str, table_size: int, ranked: bool) -> WordTokens:
+    """The encoder of a worker, whose later tasks need not read the file again."""
+    return WordTokens(path, table_size, ranked)
+
+
 def _tokenizer(path: str):
     import os
 
@@ -151,7 +176,7 @@ def _byte_names() -> dict[str, int]:
 
 
 def _ranked(tokenizer):
-    """The same vocabulary for a library that merges by rank."""
+    """The same vocabulary for a library that merges by rank, and its tokens' ranks."""
     import json
 
     import public_tokenizers
@@ -160,7 +185,7 @@ def _ranked(tokenizer):
     spec, byte_of = json.loads(tokenizer.to_str()), _byte_names()
     added = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
 def ranks_agree(path: str) -> bool:
@@ -181,7 +206,7 @@ def ranks_agree(path: str) -> bool:
     plain = {t for t in vocab if t not in added}
     if any(vocab[a] >= vocab[b] for a, b in zip(made, made[1:], strict=False)) or {t for t in plain if len(t) > 1} != set(made) or any(c not in byte_of for t in plain for c in t):
         return False
-    fast, texts = _ranked(whole), []
+    (fast, _), texts = _ranked(whole), []
     for token in plain:
         try:
             texts.append(bytes(byte_of[c] for c in token).decode())
@@ -196,7 +221,7 @@ def _tokenize(path: str, slots: int, table_size: int, ordered: bool, ranked: boo
         import xxhash
         from pyspark import TaskContext
 
-        encoder, row = WordTokens(path, table_size, ranked), TaskContext.get().partitionId() << ROW_BITS
+        encoder, row = _encoder(path, table_size, ranked), TaskContext.get().partitionId() << ROW_BITS
         names = [x.split()[0] for x in TOKENS.split(", ")]
         end = np.array([END], encoder.kind)
         for batch in (s for b in batches for s in slices(b, "text")):

@@ -592,6 +592,27 @@ def test_packing(spark, odd):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_words_are_encoded_together():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = token_counts.tokenizer_path("byte_bpe_50k.json")
+    whole, rnd = Tokenizer.from_file(path), random.Random(3)
+    parts = ["a", "Zé", "語", "don't", "'s", "12", "...", "\n", "\t", "\u0085", "\u001c", "\u2003", "🙂", " ", "  ", "<|endoftext|>", "|>"]
+    texts = ["", " ", "\n", "a ", "a\n", "a b\n\n", " a", "a\u2003", *("".join(rnd.choices(parts, weights=[1] * 13 + [12, 1, 1, 1], k=rnd.randrange(12))) for _ in range(2000))]
+    texts += [" ".join(f"w{i}x{k}," for k in range(200)) for i in range(50)]  # 10,000 distinct words
+    expected = [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    for ranked in (True, False):
+        words = packing.WordTokens(path, 100, ranked)
+        assert [x.tolist() for x in words.of(pa.array(texts, pa.large_string()))] == expected
+    words, calls = packing.WordTokens(path, ranked=True), []
+    words.fast = type("Counted", (), {"encode_ordinary": lambda self, text, fast=words.fast: calls.append(text) or fast.encode_ordinary(text)})()
+    assert [x.tolist() for x in words.of(pa.array(texts[-50:], pa.large_string()))] == expected[-50:]
+    assert len(calls) < 100  # the 50 first words, and all others together
+
+
 def test_packing_keeps_proportions(spark):
     path = token_counts.tokenizer_path("byte_bpe_50k.json")
     rows = docs(spark, [(i, f"word{i} " * 400, "en", "big" if i % 4 else "small") for i in range(80)])
