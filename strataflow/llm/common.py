@@ -19,6 +19,8 @@ SPACE_CLASS = r"[\x09-\x0D\x20]"
 SPACE_CHARS = "\t\n\x0b\x0c\r "
 #: Bytes of text that one vectorised step inside a task works on.
 SLICE_BYTES = 8 << 20
+#: The same for steps that hold many arrays over all words of a slice, so that a worker stays small.
+WORD_SLICE_BYTES = 2 << 20
 #: Rows of a written table are numbered by task and, below these bits, by place.
 ROW_BITS = 33
 
@@ -157,7 +159,7 @@ def visit_rows(table: Scratch, asks: DataFrame, columns: list[str], visit: Calla
 
             yield path, own()
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(released(run), schema)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -224,6 +226,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         start = stop
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over a task's record batches; at the end Arrow's unused memory goes back, which an idle worker would keep."""
+
+    def whole(*batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(*batches)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def large_text(column: pa.Array) -> pa.Array:
     """Texts without nulls and with 64-bit offsets, in buffers of their own: kernels for strings misread some slices."""
     import numpy as np

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from strataflow.llm.common import Scratch, large_text, mix64, numbered, slices, visit_rows, written
+from strataflow.llm.common import WORD_SLICE_BYTES, Scratch, large_text, mix64, numbered, released, slices, visit_rows, written
 from strataflow.llm.components import connected_components
 
 SHINGLE = 5
@@ -135,7 +135,7 @@ def _sketches(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", WORD_SLICE_BYTES)):
             with np.errstate(over="ignore"):
                 hashes, counts = shingle_hashes(batch.column("text"), k)
                 ends = np.concatenate(([0], np.cumsum(counts)))
@@ -146,8 +146,9 @@ def _sketches(k: int, bands: int, rows: int):
                 for r in range(rows):
                     band = mix64(band ^ ranks[:, :, r]) + np.uint64(r)
                 at = np.repeat(np.arange(len(counts)), counts) * (64 * PARITY) + (hashes % np.uint64(64 * PARITY)).astype(np.int64)
-                odd = (np.bincount(at, minlength=len(counts) * 64 * PARITY) & 1).astype(np.uint8)
-                parity = pa.array(np.packbits(odd).view(np.int64))
+                odd = np.zeros(len(counts) * 64 * PARITY, np.uint8)  # a byte that wraps around keeps its parity
+                np.add.at(odd, at, np.uint8(1))
+                parity = pa.array(np.packbits(odd & 1).view(np.int64))
             full = counts > 0
             values = pa.array(band[full].reshape(-1).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32)
@@ -155,7 +156,7 @@ def _sketches(k: int, bands: int, rows: int):
             columns = [batch.column("_row"), batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists, pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * PARITY), parity)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
 
-    return run
+    return released(run)
 
 
 def _asked(batch: pa.RecordBatch, asks: Iterator[pa.RecordBatch], held: list) -> list[int]:
@@ -186,7 +187,7 @@ def _sets(k: int, text_col: str):
         for whole in batches:
             if not (at := _asked(whole, asks, held)):
                 continue
-            for batch in slices(whole.take(pa.array(at)), text_col):
+            for batch in slices(whole.take(pa.array(at)), text_col, WORD_SLICE_BYTES):
                 with np.errstate(over="ignore"):
                     hashes, counts = shingle_hashes(batch.column(text_col), k)
                 ends = np.concatenate(([0], np.cumsum(counts)))
@@ -215,8 +216,8 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, token) rows of sets."""
     import numpy as np
 
-    for batch in batches:
-        if batch.num_rows:
+    for whole in batches:
+        for batch in slices(whole, "hashes", WORD_SLICE_BYTES):
             parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
             owner = np.repeat(batch.column("node").to_numpy(), [len(x) for x in parts])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(parts))], names=["node", "token"])
@@ -242,7 +243,7 @@ def _linked(percent: int):
                 take = batch.take(pa.array(found))
                 yield pa.RecordBatch.from_arrays([take.column("a"), take.column("b")], names=["a", "b"])
 
-    return run
+    return released(run)
 
 
 def _open_keys(level: DataFrame) -> DataFrame:
@@ -293,7 +294,7 @@ def _groups(table: Scratch, id_col: str, text_col: str, k: int, bands: int, rows
     mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     open_nodes = written(labelled.join(mixed, "band").select("node", "n", "component").distinct(), "open")
     # The beginning of each open set in order of rarity; elements that no other open set has come first and make no key.
-    tokens = written(sets.join(open_nodes.select("node"), "node", "left_semi").mapInArrow(_tokens, "node long, token long"), "tokens")
+    tokens = written(sets.join(open_nodes.select("node"), "node", "left_semi").mapInArrow(released(_tokens), "node long, token long"), "tokens")
     common = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1").withColumnRenamed("token", "t")
     of_node = Window.partitionBy("node")
     begin = tokens.join(common, F.col("token") == F.col("t")).select("node", "token", F.count("*").over(of_node).alias("c"), F.row_number().over(of_node.orderBy("f", "token")).alias("i"))

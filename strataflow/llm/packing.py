@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strataflow.llm.common import ROW_BITS, Scratch, large_text, never_null, running_sum, slices, visit_rows, written
+from strataflow.llm.common import ROW_BITS, WORD_SLICE_BYTES, Scratch, large_text, never_null, released, running_sum, slices, visit_rows, written
 
 WINDOW = 1024
 GRAIN = 256
@@ -224,7 +224,7 @@ def _tokenize(path: str, slots: int, table_size: int, ordered: bool, ranked: boo
         encoder, row = _encoder(path, table_size, ranked), TaskContext.get().partitionId() << ROW_BITS
         names = [x.split()[0] for x in TOKENS.split(", ")]
         end = np.array([END], encoder.kind)
-        for batch in (s for b in batches for s in slices(b, "text")):
+        for batch in (s for b in batches for s in slices(b, "text", WORD_SLICE_BYTES)):
             ids = [np.concatenate((x, end)) for x in encoder.of(large_text(batch.column("text")))]
             if ordered:
                 at = batch.column("position").fill_null(1.0).to_numpy(zero_copy_only=False)
@@ -236,7 +236,7 @@ def _tokenize(path: str, slots: int, table_size: int, ordered: bool, ranked: boo
             columns = [pa.array(rows), batch.column("doc_id"), batch.column("source"), pa.array((ties >> 32) * slots >> 31, pa.int64()).cast(pa.int32()), pa.array(ties), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(encoder.kind).tobytes() for x in ids], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return run
+    return released(run)
 
 
 def _cut(window: int, kind: str):

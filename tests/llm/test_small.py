@@ -691,3 +691,35 @@ def test_packing_with_more_than_16_bits_of_ids(spark, tmp_path):
 def test_ranks_are_used_only_where_both_libraries_agree():
     assert packing.ranks_agree(token_counts.tokenizer_path("byte_bpe_50k.json"))
     assert not packing.ranks_agree(token_counts.tokenizer_path("word_bpe_49k.json"))
+
+
+def test_sketches_and_ids_are_made_in_little_memory(monkeypatch):
+    """What a task holds at once follows the slice, not the record batch: workers live beside a heap that may be full."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", Task)
+    path = token_counts.tokenizer_path("byte_bpe_50k.json")
+    runs = {"sketches": minhash._sketches(minhash.SHINGLE, minhash.BANDS, minhash.ROWS), "ids": packing._tokenize(path, 16, 1000, False, packing.ranks_agree(path))}
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    short = [" ".join(rng.choices(words, k=3)) for _ in range(10_000)]
+    long = [" ".join(rng.choices(words, k=1000)) for _ in range(1300)]
+    for kind, texts, most in (("sketches", short, 64), ("sketches", long, 80), ("ids", long, 60)):
+        n = len(texts)
+        batch = pa.record_batch({"_row": pa.array(range(n)), "doc_id": pa.array(range(n)), "source": pa.array(["s"] * n), "text": pa.array(texts)})
+        for _ in runs[kind](iter([batch.slice(0, 2)])):  # what is loaded once
+            pass
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in runs[kind](iter([batch]))) == n
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+        assert peak < most
