@@ -186,50 +186,111 @@ def require_order(rows: DataFrame, individual: str, time: str, sequence: str) ->
     return rows
 
 
+def _replay(names: list[str], seed: int):
+    """Streams a task's events, run after run; ``names``: those of the run's column and of the result's."""
+
+    def run(batches):
+        import math
+        from array import array
+        from bisect import bisect_right
+        from itertools import accumulate
+
+        import numpy as np
+        import pyarrow as pa
+
+        def values(column):
+            """Off the buffers at once: to_pylist makes an object of each value first, and of each pair of a map."""
+            if not column.null_count or pa.types.is_string(column.type):
+                return column.to_numpy(zero_copy_only=False).tolist()
+            found = column.fill_null(0).to_numpy().astype(object)
+            found[column.is_null().to_numpy(zero_copy_only=False)] = None
+            return found.tolist()
+
+        def word():
+            nonlocal stock
+            if not stock:
+                stock = bits.random_raw(4096).tolist()[::-1]
+            return stock.pop()
+
+        def below(n):
+            """The generator's own rule for integers under ``n``, from words drawn many at a time; a call of it costs several times as much."""
+            nonlocal half
+            if n == 1:
+                return 0
+            while True:
+                if half is None:
+                    x = word()
+                    x, half = x & 0xFFFFFFFF, x >> 32
+                else:
+                    x, half = half, None
+                product = x * n
+                rest = product & 0xFFFFFFFF
+                if rest >= n or rest >= (2**32 - n) % n:
+                    return product >> 32
+
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        now, pools, fresh, bits, stock, half = None, {}, 0, None, [], None
+        # Weights that stay the same, over pools of which none has begun or run dry, are summed once.
+        last, masses, demes, sums, total = None, {}, [], [], 0.0
+        for batch in batches:
+            who, parents, to, sources, logs = [], [], [], [], []
+            runs, steps, marks, start, goal = (values(batch.column(c)) for c in (0, 1, 3, 4, 5))
+            ends, names_of, masses_of = (values(x) for x in (batch.column(6).offsets, batch.column(6).keys, batch.column(6).items))
+            for r, step, kind, deme, target, a, b in zip(runs, steps, marks, start, goal, ends, ends[1:], strict=False):
+                if r != now or bits is None:
+                    now, pools, fresh, bits, stock, half, last = r, {}, 0, np.random.PCG64([seed, r]), [], None, None
+                if deme is None or (kind == "move" and target is None):
+                    raise ValueError(f"run {r}, step {step}: no deme")
+                pool = pools.get(deme)
+                if kind == "birth":
+                    weights = (names_of[a:b], masses_of[a:b])
+                    if weights != last:
+                        masses = {k: v for k, v in zip(*weights, strict=True) if v is not None and v > 0 and pools.get(k)}
+                        total, demes, last = sum(masses.values()), sorted(masses), weights
+                        sums = list(accumulate(masses[k] for k in demes))
+                    parent, source, log = None, None, 0.0
+                    if demes:
+                        source = demes[min(bisect_right(sums, (word() >> 11) * 2.0**-53 * total), len(demes) - 1)]
+                        members = pools[source]
+                        parent = members[below(len(members))]
+                        log = math.log(masses[source] / total / len(members))
+                    individual, fresh = fresh, fresh + 1
+                    target = deme
+                else:
+                    if not pool:
+                        raise ValueError(f"run {r}, step {step}: deme {deme} has no member")
+                    i = below(len(pool))
+                    individual, pool[i] = pool[i], pool[-1]
+                    pool.pop()
+                    parent, source, log = None, None, -math.log(len(pool) + 1)
+                    if not pool:
+                        last = None
+                    if kind != "move":
+                        target = deme
+                if kind in ("birth", "move"):
+                    if not (into := pools.setdefault(target, array("q"))):
+                        last = None
+                    into.append(individual)
+                who.append(individual)
+                parents.append(parent)
+                to.append(target)
+                sources.append(source)
+                logs.append(log)
+            found = [pa.array(x, t) for x, t in zip((who, parents, to, sources, logs), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *found], names=names)
+
+    return run
+
+
 def realize(events: DataFrame, run: str = "run", seed: int = 0) -> DataFrame:
     """Give individuals to counted events: (run, step, time, kind, individual, parent, deme, parent_deme, logprob).
 
     Events: run, step, time, kind ('birth', 'move', 'end'), deme, to_deme, weights (map from deme to the mass of its
-    members as parents).  Pools are replayed in order, so a run is one group; runs are independent and spread over tasks.
+    members as parents).  Pools are replayed in order, each draw from what the draws before have left, so one run is one
+    task's stream; runs are independent and spread over tasks.  A task holds eight bytes per living member, and no events.
     """
     schema = f"{run} long, step long, time double, kind string, individual long, parent long, deme long, parent_deme long, logprob double"
-
-    def replay(pdf):
-        import math
-
-        import numpy as np
-        import pandas as pd
-
-        r = int(pdf[run].iloc[0])
-        rng = np.random.default_rng([seed, r])
-        pools: dict[int, list[int]] = {}
-        rows, fresh = [], 0
-        for e in pdf.sort_values(["step", "time"]).itertuples():
-            deme = int(e.deme)
-            if e.kind == "birth":
-                masses = {k: v for k, v in dict(e.weights or {}).items() if v > 0 and pools.get(int(k))}
-                parent, from_deme, logp = None, None, 0.0
-                if masses:
-                    total, names = sum(masses.values()), sorted(masses)
-                    from_deme = int(names[min(int(np.searchsorted(np.cumsum([masses[k] for k in names]), rng.random() * total, side="right")), len(names) - 1)])
-                    pool = pools[from_deme]
-                    parent = pool[int(rng.integers(len(pool)))]
-                    logp = math.log(masses[from_deme] / total / len(pool))
-                pools.setdefault(deme, []).append(fresh)
-                rows.append((r, e.step, e.time, e.kind, fresh, parent, deme, from_deme, logp))
-                fresh += 1
-                continue
-            pool = pools.get(deme) or []
-            if not pool:
-                raise ValueError(f"run {r}, step {e.step}: deme {deme} has no member")
-            i = int(rng.integers(len(pool)))
-            pool[i], pool[-1] = pool[-1], pool[i]
-            who = pool.pop()
-            target = deme
-            if e.kind == "move":
-                target = int(e.to_deme)
-                pools.setdefault(target, []).append(who)
-            rows.append((r, e.step, e.time, e.kind, who, None, target, None, -math.log(len(pool) + 1)))
-        return pd.DataFrame(rows, columns=[run, "step", "time", "kind", "individual", "parent", "deme", "parent_deme", "logprob"]).astype({"parent": "Int64", "parent_deme": "Int64"})
-
-    return events.groupBy(run).applyInPandas(replay, schema)
+    own = {"step": "long", "time": "double", "kind": "string", "deme": "long", "to_deme": "long", "weights": "map<long,double>"}
+    rows = events.select(F.col(run).cast("long").alias(run), *[F.col(c).cast(t).alias(c) for c, t in own.items()])
+    rows = rows.repartition(run).sortWithinPartitions(run, F.col("step").asc_nulls_last(), F.col("time").asc_nulls_last())
+    return rows.mapInArrow(_replay([run, "step", "time", "kind", "individual", "parent", "deme", "parent_deme", "logprob"], seed), schema)
