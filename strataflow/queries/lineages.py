@@ -169,8 +169,6 @@ def realized_line_list(spark, sf_dir):
 )
 def realized_structure(spark, sf_dir):
     """Births, moves and ends of a replayed run: as many of each as were counted, parents born before, and pools that add up."""
-    from pyspark.sql.window import Window as W
-
     # Every event is a birth, a purchase also a move and an error also an end; births come first, all into one pool, so that
     # every later event finds somebody.
     also = F.when(F.col("event_type") == "purchase", "move").when(F.col("event_type") == "error", "end")
@@ -179,11 +177,18 @@ def realized_structure(spark, sf_dir):
     weights = F.create_map(F.lit(0).cast("long"), F.lit(1.0))
     e = e.select("run", step.cast("long").alias("step"), step.cast("double").alias("time"), "kind", F.lit(0).cast("long").alias("deme"), F.when(F.col("kind") == "move", F.lit(1).cast("long")).alias("to_deme"), weights.alias("weights"))
     lines = lineage.realize(e, "run", 5)
-    born = lines.where("kind = 'birth'").select("run", F.col("individual").alias("parent"), F.col("step").alias("born"))
-    own = W.partitionBy("run", "individual").orderBy("step")
-    rows = lines.withColumn("_next", F.lead("kind").over(own)).join(born, ["run", "parent"], "left")
-    return rows.groupBy("run").agg(
-        F.count_if(F.col("kind") == "birth").alias("births"), F.count_if(F.col("kind") == "move").alias("moves"), F.count_if(F.col("kind") == "end").alias("ends"),
-        F.bool_and(F.col("parent").isNull() | (F.col("born") < F.col("step"))).alias("parents_are_older"), F.bool_and((F.col("kind") != "end") | F.col("_next").isNull()).alias("nobody_acts_after_the_end"),
-        F.bool_and(F.col("deme") == F.when(F.col("kind") == "move", 1).otherwise(0)).alias("demes_follow"),
+    # A line is a row of its individual, and a child's row of its parent, so that all about one individual meets in one shuffle.
+    fits = F.col("deme") == F.when(F.col("kind") == "move", 1).otherwise(0)
+    own, child = F.struct(F.col("individual").alias("who"), "kind", fits.alias("fits")), F.struct(F.col("parent").alias("who"), F.lit("child").alias("kind"), F.lit(None).cast("boolean").alias("fits"))
+    rows = lines.select("run", "step", F.explode(F.array_compact(F.array(own, F.when(F.col("parent").isNotNull(), child)))).alias("r")).select("run", "step", "r.*").repartition("run", "who")
+    count, at = lambda k: F.count_if(F.col("kind") == k), lambda k: F.min(F.when(F.col("kind") == k, F.col("step")))
+    each = rows.groupBy("run", "who").agg(
+        count("birth").alias("births"), count("move").alias("moves"), count("end").alias("ends"), at("birth").alias("born"), at("child").alias("first_child"), at("end").alias("ended"),
+        F.max(F.when(F.col("kind") != "child", F.col("step"))).alias("acted"), F.bool_and("fits").alias("fits"),
     )
+    return each.groupBy("run").agg(
+        *[F.sum(c).alias(c) for c in ("births", "moves", "ends")],
+        F.bool_and(F.col("first_child").isNull() | F.coalesce(F.col("born") < F.col("first_child"), F.lit(False))).alias("parents_are_older"),
+        F.bool_and((F.col("ends") == 0) | ((F.col("ends") == 1) & (F.col("ended") == F.col("acted")))).alias("nobody_acts_after_the_end"),
+        F.bool_and("fits").alias("demes_follow"),
+    )

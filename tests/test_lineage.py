@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from strataflow.operators import lineage
+from strataflow.queries import REGISTRY
 
 SCHEMA = "run long, step long, time double, kind string, deme long, to_deme long, weights map<long,double>"
 OUT = ["run", "step", "time", "kind", "individual", "parent", "deme", "parent_deme", "logprob"]
@@ -96,3 +97,8 @@ def test_actions_without_members_are_refused(spark):
     for kind, deme, to in (("end", 0, None), ("move", 1, 0), ("birth", None, None)):
         with pytest.raises(Exception, match="no member|no deme"):
             lineage.realize(spark.createDataFrame([(0, 0, 0.0, kind, deme, to, None)], SCHEMA)).collect()
+
+
+def test_the_structure_is_read_off_one_replay_without_windows(spark):
+    plan = REGISTRY["realized_structure"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(w in plan for w in ("Window", "Join", "InPandas"))
