@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from strataflow.functions.arithmetic import finite
 from strataflow.functions.special import normal_cdf, normal_quantile
+from strataflow.operators.chains import chain_ess  # noqa: F401
 from strataflow.operators.lags import centred, lag_products
 from strataflow.operators.order import interpolated, joined_by, numbered_within, ordered_counts
 
@@ -86,81 +87,6 @@ def convergence_status(df: DataFrame, by: list[str], chain: str, value: str) ->
     return out.select(*by, "n_chains", F.col("n_min").alias("n_draws"), why.alias("refusal"), (F.col("all_frozen") & (F.col("lo") != F.col("hi"))).alias("all_frozen"))
 
 
-def ess_of(chains) -> float:
-    """Effective sample size of an array (chains, draws) by Geyer's initial positive and monotone sequences."""
-    import numpy as np
-
-    x = np.asarray(chains, float)
-    m, n = x.shape
-    if n < 3 or np.ptp(x) == 0:
-        return float("nan")
-    centred = x - x.mean(axis=1, keepdims=True)
-    size = 1 << (2 * n - 1).bit_length()
-    power = np.abs(np.fft.rfft(centred, size, axis=1)) ** 2
-    cov = np.fft.irfft(power, size, axis=1)[:, :n].mean(axis=0) / n
-    within = cov[0] * n / (n - 1)
-    total = cov[0] + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
-    rho = 1 - (within - cov) / total
-    rho[0] = 1.0
-    pairs = [rho[0] + rho[1]]
-    t = 0
-    even = rho[0]
-    while t < n - 5 and pairs[-1] > 0:
-        t += 2
-        even = rho[t]
-        pairs.append(rho[t] + rho[t + 1])
-    # Sums of pairs that are positive, made to fall.
-    kept = np.minimum.accumulate(np.array(pairs[: len(pairs) - 1])) if t else np.array([])
-    head = kept.sum() if t else rho[0]
-    tau = -1 + 2 * head + (even if even > 0 and t else 0.0 if t else rho[0])
-    return m * n / max(tau, 1 / math.log10(m * n))
-
-
-def chain_ess(df: DataFrame, by: list[str], chain: str, order: str, value: str) -> DataFrame:
-    """ess_bulk and ess_tail per group.
-
-    The sequence rule stops where the data say, so one group's draws go to one task as arrays: a group holds chains
-    times draws values of one parameter, whatever the number of parameters.
-    """
-    draws = df.groupBy(*by, chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))).alias("a"))
-    draws = draws.groupBy(*by).agg(F.collect_list(F.transform("a", lambda s: s["v"])).alias("chains"))
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for chains in pdf["chains"]:
-                x = np.array([c for c in chains], float) if len({len(c) for c in chains}) == 1 else None
-                out.append(_ess_pair(x))
-            yield pd.concat([pdf[by], pd.DataFrame(out, columns=["ess_bulk", "ess_tail"], index=pdf.index)], axis=1)
-
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + ["ess_bulk double", "ess_tail double"])
-    return draws.mapInPandas(run, schema)
-
-
-def _halves(x):
-    import numpy as np
-
-    h = x.shape[1] // 2
-    return np.concatenate((x[:, :h], x[:, x.shape[1] - h :]))
-
-
-def _ess_pair(x) -> tuple[float, float]:
-    import numpy as np
-    import pandas as pd
-    from statistics import NormalDist
-
-    if x is None or x.shape[1] < 4 or not np.isfinite(x).all() or np.ptp(x) == 0:
-        return float("nan"), float("nan")
-    split = _halves(x)
-    ranks = pd.Series(split.ravel()).rank().to_numpy()
-    z = np.array([NormalDist().inv_cdf((r - 0.375) / (len(ranks) + 0.25)) for r in ranks]).reshape(split.shape)
-    tail = [ess_of(_halves((x <= np.quantile(x, p)).astype(float))) for p in (0.05, 0.95)]
-    return ess_of(z), float("nan") if any(map(math.isnan, tail)) else min(tail)
-
-
 def rhat_band(rhat: Column) -> Column:
     out = F.when(rhat.isNull() | F.isnan(rhat), "not_assessed").when(rhat < RHAT_STEPS[0], "converged")
     return out.when(rhat < RHAT_STEPS[1], "not_converged").when(rhat < RHAT_STEPS[2], "high").otherwise("severe")

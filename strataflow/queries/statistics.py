@@ -152,8 +152,7 @@ def rank_rhat(spark, sf_dir):
 def chain_ess(spark, sf_dir):
     """Bulk and tail effective sample size (checked against an independent version in the tests)."""
     l = _ordered(spark, sf_dir)
-    l = bands.common_length(l, ["l_returnflag"], "l_linenumber", "at")
-    return rounded(diagnostics.chain_ess(l, ["l_returnflag"], "l_linenumber", "i", "l_extendedprice"), 4)
+    return rounded(diagnostics.chain_ess(l, ["l_returnflag"], "l_linenumber", "at", "l_extendedprice", common=True), 4)
 
 
 @query(
