@@ -26,7 +26,7 @@ HALO = 64
 GROWTH = 8
 LONGEST = BLOCK * GROWTH**3
 #: Distinct values up to which tasks look scores up, and rows up to which a table by group is sent to all tasks.
-LOOKED_UP = 2_000_000
+LOOKED_UP = 1_000_000
 SENT = 20_000
 #: Shares of draws that the tail's size is about.
 TAILS = (0.05, 0.95)
@@ -121,7 +121,9 @@ def _blocks(files: list[str]):
         g, v, z = (pa.concat_tables(tables).column(c).to_numpy() for c in ("_g", "_v", "_z"))
         o = np.lexsort((v, g))
         g, v, z = g[o], v[o], z[o]
-        for batch in batches:
+        del tables, o
+        # Some megabytes of scores at a time.
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             groups, lengths, begins = (batch.column(c).to_numpy() for c in ("_g", "_n", "_from"))
             which, where, found = [], [], []
             for row, (values, n, begin) in enumerate(zip(batch.column("_v"), lengths.tolist(), begins.tolist(), strict=True)):
